@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,5 +43,26 @@ def row_key() -> Column:
 
 
 def fold(doc_id: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return (F.crc32(doc_id.cast("string").cast("binary")) % parts).cast("int")
+    """crc32 of the id as text (a null one: empty), modulo ``parts``."""
+    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts).cast("int")
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has so few rows, and left to a shuffled join beyond that."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, label: one row an id, the highest label where ids repeat; null ids or labels aren't used."""
+    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression, the last one its constant, by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - ridge * w)
+    return w

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cratewise.llm import byte_bpe, secrets, token_shards
-from cratewise.llm.common import read
+from cratewise.llm import byte_bpe, quality, secrets, token_shards, toxicity
+from cratewise.llm.common import fold, read
 
 END_ID = 2
 
@@ -19,6 +20,18 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_back(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder != 0)
+    return toxicity.score(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 4)
+    network = quality.fit(docs, read(spark, sf_dir, "labels"), remainder != 2)
+    return quality.score(docs, network).select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,7 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op8_byte_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_token_shards, op3_toxicity, op4_quality, op8_byte_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
