@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import byte_bpe, decontaminate, quality, secrets, token_shards, toxicity
+from cratewise.llm import byte_bpe, decontaminate, line_dedup, quality, secrets, token_shards, toxicity, winnowing
 from cratewise.llm.common import fold, read
 
 END_ID = 2
@@ -20,6 +20,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_back(spark, path)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, remainder = read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder != 0)
@@ -36,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove(read(spark, sf_dir, "documents"), report=True)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,9 +68,26 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, text, l, list_transform(l, lambda x: len(regexp_extract_all(x, '\S+'))) AS w FROM d),
+s AS (SELECT doc_id, l, w, unnest(range(1, len(l) + 1)) AS i FROM w),
+e AS (SELECT doc_id, l, i, list_position(list_transform(range(i, len(w) + 1), lambda j: list_sum(w[i : j]) >= 20), true) AS m FROM s WHERE w[i] > 0),
+r AS (SELECT doc_id, i, m, array_to_string(l[i : i + m - 1], chr(10)) AS run FROM e WHERE m > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY m, run ORDER BY doc_id, i) AS k FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM o WHERE k > 1),
+n AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+u AS (SELECT doc_id, min(p) AS p, count(*) AS c FROM n GROUP BY doc_id, island),
+x AS (SELECT doc_id, sum(c) AS n_deleted, string_agg((p - 1) || ':' || c, ',' ORDER BY p) AS runs FROM u GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, l[i] AS line FROM s) ANTI JOIN (SELECT doc_id, p AS i FROM g) USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(d.l)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(runs, '') AS runs, coalesce(t.text, '') AS text
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_toxicity, op4_quality, op6_decontaminate, op8_byte_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_line_dedup": OP7_SQL}
