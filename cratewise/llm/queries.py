@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import byte_bpe, decontaminate, line_dedup, quality, secrets, token_shards, toxicity, winnowing
+from cratewise.llm import byte_bpe, decontaminate, line_dedup, privacy, quality, secrets, token_shards, toxicity, winnowing
 from cratewise.llm.common import fold, read
 
 END_ID = 2
@@ -48,6 +48,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_privacy, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
