@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import byte_bpe, decontaminate, line_dedup, privacy, quality, secrets, token_shards, toxicity, winnowing
+from cratewise.llm import byte_bpe, decontaminate, line_dedup, privacy, quality, secrets, set_join, token_shards, toxicity, winnowing
 from cratewise.llm.common import fold, read
 
 END_ID = 2
@@ -36,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.components(read(spark, sf_dir, "documents"), words=4, numerator=85, denominator=100)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -90,7 +94,7 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_privacy, op10_secrets)}
+    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op5_set_join, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_privacy, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
