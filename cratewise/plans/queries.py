@@ -98,8 +98,12 @@ def results(*tables: DataFrame) -> DataFrame:
 
 def session(tracks_: DataFrame, ledger: DataFrame) -> DataFrame:
     rows = intake.fresh(tracks_, ledger)
-    groups = duplicates.exact(tracks_).agg(F.count("*").alias("duplicate_groups"))
-    return rows.agg(F.count("*").alias("processed"), F.count_if(tracks.high_quality()).alias("high_quality"), F.count_if(~tracks.high_quality()).alias("low_quality")).crossJoin(groups)
+    zero = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    names = ["processed", "high_quality", "low_quality", "duplicate_groups"]
+    high = tracks.high_quality()
+    one = rows.agg(F.count("*").alias(names[0]), F.count_if(high).alias(names[1]), F.count_if(~high).alias(names[2])).select(*names[:3], *zero(names[3]))
+    two = duplicates.exact(tracks_).agg(F.count("*").alias(names[3])).select(*zero(*names[:3]), names[3])
+    return one.unionByName(two).agg(*(F.sum(n).alias(n) for n in names))
 
 
 ALL = ("tracks", "ledger", "collection", "recordings", "releases")
