@@ -82,6 +82,13 @@ def table(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which n-grams have one of the sorted keys."""
+    if not hot.size:
+        return np.zeros(tokens.size, bool)
+    return hot[np.minimum(np.searchsorted(hot, tokens), hot.size - 1)] == tokens
+
+
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of n-grams that many documents hold, counted over all of them."""
 
@@ -115,7 +122,7 @@ def index(docs: DataFrame, words: int, numerator: int, denominator: int) -> Data
                 entries: list[tuple[int, int, np.ndarray]] = []
                 for sid, s in {i: s for i, s in zip(ids, sets, strict=True) if i is not None}.items():
                     size = s.size - -(-numerator * s.size // denominator) + 1
-                    late = np.isin(s, hot.value) if hot.value.size else np.zeros(s.size, bool)
+                    late = among(s, hot.value)
                     entries.append((sid, s.size, np.concatenate([s[~late], s[late]])[:size]))
                 lengths = [len(e[2]) for e in entries]
                 total = sum(lengths)
