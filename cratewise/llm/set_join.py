@@ -34,10 +34,10 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 8, 10
 #: n-grams that are put last, at most; each stands in HOT_SETS documents or more.
 HOT, HOT_SETS = 200_000, 64
 #: Share of the hash range whose n-grams are counted, and the set size up to which all are.
-COUNTED_SHARE, SMALL = 0.35, 40
+COUNTED_SHARE, SMALL = 0.3, 32
 BITMAP = 8
 MOST_WANTED = 1_000_000
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 POSITIVE = (1 << 63) - 1
 
 
@@ -82,8 +82,14 @@ def table(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def short(tokens: np.ndarray) -> np.ndarray:
+    """31 bits of a hash: enough to tell frequent n-grams, and half the shuffle."""
+    return (tokens & 0x7FFFFFFF).astype(np.int32)
+
+
 def among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which n-grams have one of the sorted keys."""
+    """Which n-grams have one of the sorted short keys."""
+    tokens = short(tokens)
     if not hot.size:
         return np.zeros(tokens.size, bool)
     return hot[np.minimum(np.searchsorted(hot, tokens), hot.size - 1)] == tokens
@@ -96,12 +102,12 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
         shingles = Shingles(words)
         for batch in batches:
             own = [s if s.size <= SMALL else s[: np.searchsorted(s, int(COUNTED_SHARE * POSITIVE))] for s in map(shingles.of, batch.column(0).to_pylist())]
-            tokens, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64),) * 2
-            yield table({"token": (tokens, pa.int64()), "n": (n, pa.int64())})
+            keys, n = np.unique(short(np.concatenate(own)), return_counts=True)
+            yield table({"token": (keys, pa.int32()), "n": (n.astype(np.int32), pa.int32())})
 
-    counted = texts(docs).select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = texts(docs).select("text").mapInArrow(run, "token int, n int").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= HOT_SETS).orderBy(F.desc("n"), "token").limit(HOT).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64))
+    return np.sort(np.array([r[0] for r in rows], np.int32))
 
 
 def index(docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
