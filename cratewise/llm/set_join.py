@@ -161,10 +161,15 @@ class Join:
         sizes = (F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & (na > 0)
         return sizes & (F.least(na - pa_, nb - pb) * (self.up + self.down) >= (na + nb) * self.up)
 
+    def few_differ(self, a: str, b: str, size: Column) -> Column:
+        """Whether the bitmaps leave enough common n-grams possible."""
+        differ = reduce(Column.__add__, (F.bit_count(F.col(a)[n].bitwiseXOR(F.col(b)[n])) for n in range(BITMAP)))
+        return differ * (self.up + self.down) <= size * (self.down - self.up)
+
     def with_leaders(self) -> DataFrame:
-        """Pairs of each listed set with the leaders of its lists: the first by id, the smallest and the largest."""
+        """Pairs of each listed set with the leaders of its lists: the first and the last by id, the smallest and the largest."""
         by_size, by_id = F.struct("n", "sid", "place"), F.struct("sid", "n", "place")
-        leaders = self.entries.groupBy("token").agg(F.array(F.min(by_id)["sid"], F.min(by_size)["sid"], F.max(by_size)["sid"]).alias("leaders"))
+        leaders = self.entries.groupBy("token").agg(F.array(F.min(by_id)["sid"], F.min(by_size)["sid"], F.max(by_size)["sid"], F.max(by_id)["sid"]).alias("leaders"))
         pairs = self.entries.select("token", "sid").join(leaders, "token").select("sid", F.explode(F.array_distinct("leaders")).alias("other")).where("sid != other")
         return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
@@ -172,10 +177,10 @@ class Join:
         """Pairs of a common list in different components that weren't compared."""
         own = self.entries.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-        own = materialise(own.join(mixed, "token"), "set-mixed")
+        own = materialise(own.join(mixed, "token").join(self.sets.select("sid", "bits"), "sid"), "set-mixed")
         main = own.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
         own = own.join(main, "token").withColumn("rare", F.col("label") != F.col("main"))
-        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.rare") | (F.col("x.sid") < F.col("y.sid"))) & self.may_link("x", "y")
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.rare") | (F.col("x.sid") < F.col("y.sid"))) & self.may_link("x", "y") & self.few_differ("x.bits", "y.bits", F.col("x.n") + F.col("y.n"))
         pairs = own.where("rare").alias("x").join(own.alias("y"), same).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
         return pairs.join(done, ["a", "b"], "left_anti")
 
@@ -184,9 +189,8 @@ class Join:
         heads = self.sets.select("sid", "n", "bits")
         x, y = (heads.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
         both = pairs.join(x, "a").join(y, "b")
-        differ = reduce(Column.__add__, (F.bit_count(F.col("bits_a")[n].bitwiseXOR(F.col("bits_b")[n])) for n in range(BITMAP)))
         na, nb = F.col("n_a"), F.col("n_b")
-        close = both.where((F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & (differ * (self.up + self.down) <= (na + nb) * (self.down - self.up)))
+        close = both.where((F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & self.few_differ("bits_a", "bits_b", na + nb))
         close = materialise(close.select("a", "b"), "set-pairs")
         wanted = close.select(F.col("a").alias("sid")).unionAll(close.select(F.col("b").alias("sid"))).distinct()
         ids = self.sets.join(wanted, "sid", "left_semi").select("doc_id", "sid")
