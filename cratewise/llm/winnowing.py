@@ -152,7 +152,7 @@ def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     that of the next row in ascending doc_id, text; null ids come first, and the first row follows the last.
     """
     order = Window.partitionBy("bucket").orderBy("guard", F.col("doc_id").asc_nulls_first(), "text")
-    rows = with_next(texts(docs)).withColumn("choices", winnow(F.col("text"), gram, window))
+    rows = with_next(texts(docs)).repartition("bucket").withColumn("choices", winnow(F.col("text"), gram, window))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_choices", F.lead("choices").over(order)).where("NOT guard")
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("head", F.encode(F.substring(F.col("text"), F.lit(1), F.length("text") - half), "UTF-8")).withColumn("tail", F.encode(F.substring(F.col("next_text"), F.lit(1), half), "UTF-8"))
