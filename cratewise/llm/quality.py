@@ -28,7 +28,8 @@ WIDTH = 5
 HOP = 128
 TRAIN_ROWS = 4_000
 TRAIN_CHUNKS = 4
-EPOCHS = 12
+#: Gradient steps, however few rows there are.
+STEPS = 750
 RATE = 0.01
 BATCH = 64
 #: Bytes convolved at once.
@@ -79,8 +80,9 @@ def train(chunks: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
     values = [net.table, net.bias, net.out, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    for _ in range(EPOCHS):
-        for rows in np.array_split(draw.permutation(len(labels)), max(1, len(labels) // BATCH)):
+    batches = max(1, len(labels) // BATCH)
+    for _ in range(-(-STEPS // batches)):
+        for rows in np.array_split(draw.permutation(len(labels)), batches):
             x = chunks[rows]
             y = net.convolve(x)
             at = y.argmax(axis=2)
