@@ -106,6 +106,17 @@ def session(tracks_: DataFrame, ledger: DataFrame) -> DataFrame:
     return one.unionByName(two).agg(*(F.sum(n).alias(n) for n in names))
 
 
+def named(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
+    """Rows under the file names of their tracks' titles."""
+    own = titles.select("track_id", F.concat(F.lit(folder), F.translate("title", "/", "-"), F.lit(".mp3")).alias("path"))
+    return paths.drop("path").join(own, "track_id")
+
+
+def fuzzy(t: DataFrame, c: DataFrame) -> DataFrame:
+    """Tracks against a collection that was kept elsewhere, so that only file names agree."""
+    return catalogue.enrich_by_like_names(named(t, t, "/music/"), named(c.withColumn("track_id", F.col("ordinal")), t, "/usb/"))
+
+
 ALL = ("tracks", "ledger", "collection", "recordings", "releases")
 QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name, columns in COLUMNS.items()} | {
     "dup_exact": over("tracks", clean_exact),
@@ -135,6 +146,7 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "incremental_skipped": both(lambda t, l: intake.skipped(t, l).select("path", "mtime"), "tracks", "ledger"),
     "ledger_latest": over("ledger", files.latest),
     "collection_enrich": both(catalogue.enrich_from_collection, "tracks", "collection"),
+    "collection_fuzzy": both(fuzzy, "tracks", "collection"),
     "identify_text": both(catalogue.identify_by_text, "tracks", "recordings"),
     "identify_fingerprint": both(catalogue.identify_by_fingerprint, "tracks", "recordings"),
     "match_gate": both(gated, "tracks", "recordings"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
-from cratewise.operators import duplicates
+from cratewise.operators import catalogue, duplicates
 from cratewise.plans import queries
 from cratewise.sources import files
 from cratewise.sources.library import view
@@ -50,6 +50,23 @@ def test_similar_titles_equal_brute_force(spark):
     assert got == want
 
 
+def test_like_names_equal_brute_force(spark):
+    names = ["night drive (remix)", "night drive (remi)", "night drive", "Night Drive (Remix)!", "a", "ab", "ba", "aaaaaaaaaaaa", "aaaaaaaaaaa", "midnight drive (remix)", "", "tide and time", "time and tide"]
+    tracks = [(i, f"/music/{n}", None if i % 2 else "128", "") for i, n in enumerate(names)] + [(99, "/usb/ab", None, None)]
+    entries = [(f"/usb/{n}", i, 100.0 + i, "Gm") for i, n in enumerate(names[::-1])]
+    t = spark.createDataFrame(tracks, "track_id long, path string, bpm string, key_tag string")
+    c = spark.createDataFrame(entries, "path string, ordinal long, bpm double, key string")
+    got = {r.track_id: (r.ordinal, r.bpm, r.key_tag) for r in catalogue.enrich_by_like_names(t, c).collect()}
+    want = {}
+    for i, path, bpm, _ in tracks[:-1]:
+        own = path.rsplit("/", 1)[1].lower()
+        first = [e for e in entries if own and SequenceMatcher(None, own, e[0].rsplit("/", 1)[1].lower()).ratio() >= 0.9]
+        if first:
+            want[i] = (first[0][1], bpm or f"{first[0][2]:.2f}", "Gm")
+    assert got == want and len(want) > 9
+    assert catalogue.enrich_by_like_names(t.limit(0), c).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["dup_similar", "dup_similar_lev", "catalog_enrich", "incremental_new"])
 def test_no_cross_joins(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
