@@ -135,38 +135,55 @@ class Shard:
         return [list(range(a, a + n)) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
 
 
+class Known(dict):
+    """Ids by word. A word that isn't known gets its number among ``asked``, which is encoded once a batch."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.asked)
+        self.asked.append(word)
+        return number
+
+
 class Encoder:
     """Encodes texts with the tokenizers library; each distinct word once while it is kept."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Known(), Known()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _answer(self, known: Known, lead: str) -> list[bytes]:
+        """Ids of the words asked for; all but long ones are kept."""
+        words, known.asked = known.asked, []
+        answers = self._encode([lead + x for x in words])
+        known.update(zip(words, answers, strict=True))
+        for word in words:
+            if len(word) > CACHE_CHARS:
+                del known[word]
+        return answers
+
     def batch(self, docs: list[str]) -> list[bytes]:
         """Ids of each text. A text with odd white space is encoded as one piece."""
         if len(self.first) + len(self.later) > CACHE_CHUNKS:
             self.first.clear()
             self.later.clear()
         whole = {i for i, text in enumerate(docs) if UNEVEN_SPACE.search(text)}
-        chunks = [[] if i in whole else text.split(" ") for i, text in enumerate(docs)]
-        long: dict[str, bytes] = {}
-        for known, lead, seen in ((self.first, "", {x[0] for x in chunks if x}), (self.later, " ", set().union(*(x[1:] for x in chunks)))):
-            new = [x for x in seen if x not in known]
-            for chunk, ids in zip(new, self._encode([lead + x for x in new]), strict=True):
-                known[chunk] = ids
-                if len(chunk) > CACHE_CHARS:
-                    long[chunk] = ids
+        parts: list[tuple] = []
+        for i, text in enumerate(docs):
+            if i not in whole:
+                head, *rest = text.split(" ")
+                parts.append((self.first[head], list(map(self.later.__getitem__, rest))))
+        heads, rests = self._answer(self.first, ""), self._answer(self.later, " ")
         odd = iter(self._encode([docs[i] for i in sorted(whole)]))
-        out = [next(odd) if i in whole else self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:])) for i, x in enumerate(chunks)]
-        for chunk in long:
-            self.first.pop(chunk, None)
-            self.later.pop(chunk, None)
-        return out
+        even = ((x if type(x) is bytes else heads[x]) + b"".join([y if type(y) is bytes else rests[y] for y in own] if rests else own) for x, own in parts)
+        return [next(odd if i in whole else even) for i in range(len(docs))]
 
 
 @lru_cache(maxsize=2)
