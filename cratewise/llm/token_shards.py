@@ -15,6 +15,7 @@ one of its own. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -152,6 +153,7 @@ class Encoder:
     """Encodes texts with the tokenizers library; each distinct word once while it is kept."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would spin on others'
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.first, self.later = Known(), Known()
