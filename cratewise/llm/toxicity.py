@@ -6,9 +6,11 @@ ending continues in either class, and a word to its share of both. A document's
 log-likelihood ratios and those of its most telling words make the score, through a logistic curve fitted
 on other labelled rows.
 
-Spark counts the n-grams and words of all training documents, copies once. The model that is broadcast has
-at most MOST_GRAMS n-grams and as many words (seen twice at least), the most frequent; others fall back. Of the training rows, every fourth fold sets
-the curve, from at most CURVE_ROWS rows. Where no rows of both classes are labelled, every score is 0.5.
+Spark counts the words of all training documents, copies once, and from them the n-grams; the counts, their
+backoff and the ratios stay tables, and none is dropped. Every fourth fold of the training rows sets the curve, from
+at most CURVE_ROWS rows, under counts without that fold; scores are by the counts of all training rows. Ratios of
+the CACHED_WORDS most frequent words are broadcast; those of all other words are joined by shuffle.
+Where no rows of both classes are labelled, every score is 0.5.
 A null or empty text scores as a document without evidence; repeated rows each get their score; words are
 split at white space, of any length; columns other than doc_id and text are never read.
 """
@@ -22,17 +24,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.llm.common import broadcast_if_small, fold, labelled, logistic, materialise, texts
 
 ORDER = 7
-#: Words are counted under a hash with this bit; n-grams have 56 bits.
+#: Words are looked up by a hash with this bit; n-grams have 56 bits.
 WORD = 1 << 62
 DISCOUNT = 0.75
-MOST_GRAMS = 400_000
 CURVE_ROWS = 20_000
+#: Words whose ratios are broadcast; this costs time, never a count.
+CACHED_WORDS = 200_000
+#: Uncached words in so many documents are broadcast, as one key would hold them all.
+HEAVY = 20_000
+#: n-grams with at most three bytes of a word are in many words; their ratios are dealt over so many keys.
+SALTS, SHORT = 16, 1 << 32
+#: Counts without the fold of the curve, and of all training rows.
+PARTS = ("own", "all")
 #: Labels of up to so many documents are broadcast (16 bytes each); beyond, Spark joins by shuffle.
 MOST_LABELS = 2_000_000
 CACHE_WORDS = 500_000
@@ -62,34 +72,96 @@ def word_keys(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w.encode()) & (WORD - 1) | WORD for w in words], np.int64)
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """gram, n_toxic, n_ordinary over (text, label) rows: counted in each task, then summed."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """word, and toxic_ and ordinary_ for each of PARTS, over (text, label, for_curve) rows: counted in each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        seen: list[Counter] = [Counter() for _ in range(4)]
 
         def table() -> pa.RecordBatch:
-            parts = []
-            for label, words in enumerate(seen):
-                own, n = grams(list(words))
-                each = np.fromiter(words.values(), np.int64, len(words))
-                weight = np.concatenate([np.repeat(each, n), each])
-                keys, at = np.unique(np.concatenate([own, word_keys(list(words))]), return_inverse=True)
-                total = np.bincount(at, weights=weight, minlength=keys.size).astype(np.int64)
-                zero = np.zeros_like(total)
-                parts.append((keys, total if label else zero, zero if label else total))
-                words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["gram", "n_toxic", "n_ordinary"])
+            words = list(set().union(*seen))
+            parts = [pa.array([counter[w] for w in words], pa.int64()) for counter in seen]
+            for counter in seen:
+                counter.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *parts], ["word", "t", "o", "t_curve", "o_curve"])
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(text.lower().split())
-            if len(seen[0]) + len(seen[1]) > CACHE_WORDS:
+            for text, label, curve in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                seen[(0 if label else 1) + (2 if curve else 0)].update(text.lower().split())
+            if sum(map(len, seen)) > CACHE_WORDS:
                 yield table()
         yield table()
 
-    each = rows.select("text", "label").mapInArrow(run, "gram long, n_toxic long, n_ordinary long")
-    return each.groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
+    each = rows.select("text", "label", "for_curve").mapInArrow(run, "word string, t long, o long, t_curve long, o_curve long")
+    total = each.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t", "o", "t_curve", "o_curve")))
+    return total.select("word", F.col("t").alias("toxic_own"), F.col("o").alias("ordinary_own"), (F.col("t") + F.col("t_curve")).alias("toxic_all"), (F.col("o") + F.col("o_curve")).alias("ordinary_all"))
+
+
+COUNTS = [f"{c}_{part}" for part in PARTS for c in ("toxic", "ordinary")]
+
+
+def count_grams(words: DataFrame) -> DataFrame:
+    """gram and COUNTS, from those of distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = grams(batch.column(0).to_pylist())
+            keys, at = np.unique(own, return_inverse=True)
+            sums = [np.bincount(at, weights=np.repeat(batch.column(k).to_numpy(), n), minlength=keys.size).astype(np.int64) for k in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["gram", *COUNTS])
+
+    each = words.select("word", *COUNTS).mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return each.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def backed_off(counted: DataFrame) -> DataFrame:
+    """``counted`` with below_ for each of PARTS: ``shared_backoff`` as joins. A context has 256 n-grams at most, so no key is large."""
+    levels = [counted.select("gram", *((F.col(f"toxic_{p}") + F.col(f"ordinary_{p}") > 0).cast("long").alias(f"c_{p}") for p in PARTS))]
+    for order in range(ORDER - 1, 0, -1):
+        ending = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+        levels.append(materialise(levels[-1].groupBy(ending).agg(*(F.count_if(F.col(f"c_{p}") > 0).alias(f"c_{p}") for p in PARTS)), "toxicity-endings"))
+    below = None
+    for n in range(len(levels) - 1, 0, -1):
+        order = ORDER - n
+        totals = levels[n].groupBy(F.shiftright("gram", 8).alias("context")).agg(*(x for p in PARTS for x in (F.sum(f"c_{p}").alias(f"total_{p}"), F.count_if(F.col(f"c_{p}") > 0).alias(f"kinds_{p}"))))
+        own = levels[n].withColumn("context", F.shiftright("gram", 8)).join(totals, "context")
+        if below is None:
+            own = own.select("*", *(F.lit(1 / 256).alias(f"below_{p}") for p in PARTS))
+        else:
+            own = own.withColumn("ending", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(below, "ending")
+        size = {p: F.greatest(F.col(f"total_{p}"), F.lit(1)) for p in PARTS}
+        chance = [(F.greatest(F.col(f"c_{p}") - DISCOUNT, F.lit(0.0)) / size[p] + DISCOUNT * F.col(f"kinds_{p}") / size[p] * F.col(f"below_{p}")).alias(f"below_{p}") for p in PARTS]
+        below = materialise(own.select(F.col("gram").alias("ending"), *chance), "toxicity-below")
+    last = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))
+    return counted.withColumn("ending", last).join(below, "ending").drop("ending")
+
+
+def gram_tables(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram and ratio_, context and fall_, for each of PARTS; null where these counts don't have it."""
+    context = F.shiftright("gram", 8).alias("context")
+    totals = counted.groupBy(context).agg(*(x for c in COUNTS for x in (F.sum(c).alias(f"total_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))))
+    left = {c: F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"kinds_{c}") / F.col(f"total_{c}")).otherwise(1.0) for c in COUNTS}
+    totals = materialise(totals.select("context", *(F.col(f"total_{c}") for c in COUNTS), *(left[c].alias(f"left_{c}") for c in COUNTS)), "toxicity-contexts")
+    rows = backed_off(counted).withColumn("context", F.shiftright("gram", 8)).join(totals, "context")
+    log = lambda c, p: F.log(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total_{c}"), F.lit(1)) + F.col(f"left_{c}") * F.col(f"below_{p}"))
+    ratios = [F.when(F.col(f"toxic_{p}") + F.col(f"ordinary_{p}") > 0, log(f"toxic_{p}", p) - log(f"ordinary_{p}", p)).alias(f"ratio_{p}") for p in PARTS]
+    falls = [F.when(F.col(f"total_toxic_{p}") + F.col(f"total_ordinary_{p}") > 0, F.log(f"left_toxic_{p}") - F.log(f"left_ordinary_{p}")).alias(f"fall_{p}") for p in PARTS]
+    return materialise(rows.select("gram", *ratios), "toxicity-ratios"), materialise(totals.select("context", *falls), "toxicity-falls")
+
+
+def word_table(words: DataFrame) -> DataFrame:
+    """word and own_ for each of PARTS: ``_words`` over the table."""
+    sums = words.agg(*(x for c in COUNTS for x in (F.coalesce(F.sum(c), F.lit(0)).alias(c), F.count_if(F.col(c) > 0).alias(f"kinds_{c}")))).first()
+    ratios = []
+    for p in PARTS:
+        both = F.col(f"toxic_{p}") + F.col(f"ordinary_{p}")
+        shared = both / max(1.0, float(sums[f"toxic_{p}"] + sums[f"ordinary_{p}"]))
+        logs = []
+        for c in (f"toxic_{p}", f"ordinary_{p}"):
+            total = max(1.0, float(sums[c]))
+            logs.append(F.log(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + max(DISCOUNT * sums[f"kinds_{c}"] / total, 1e-9) * shared))
+        ratios.append(F.when(both > 0, logs[0] - logs[1]).alias(f"own_{p}"))
+    return materialise(words.select("word", *ratios), "toxicity-words")
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +205,10 @@ def _words(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[n
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of n-grams, and of falling back from a context."""
+    """Log-likelihood ratios (toxic to ordinary) of n-grams, and of falling back from a context, of few counts held in memory.
+
+    ``Tables`` has the same for any number; tests hold it against this.
+    """
 
     keys: np.ndarray
     ratio: np.ndarray
@@ -173,65 +248,127 @@ class Model:
         return np.stack([np.add.reduceat(each, np.concatenate(([0], np.cumsum(n)[:-1]))), n, own_ratio], axis=1)
 
 
+@dataclass
+class Tables:
+    """The model as tables, the ratios of its most frequent words in memory, and the curve."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    cached: tuple[np.ndarray, dict[str, np.ndarray]]
+    weights: np.ndarray
+
+    @classmethod
+    def build(cls, words: DataFrame, cached: int | None = None) -> Tables:
+        """From distinct words with COUNTS."""
+        ratios, falls = gram_tables(materialise(count_grams(words), "toxicity-counts"))
+        model = cls(ratios, falls, word_table(words), (np.zeros(0, np.int64), {}), np.zeros(FEATURES + 1))
+        most = words.orderBy(F.desc(F.col("toxic_all") + F.col("ordinary_all")), "word").limit(CACHED_WORDS if cached is None else cached).select("word")
+        table = model.ratios_of(materialise(most, "toxicity-frequent")).toArrow()
+        keys = word_keys(table.column("word").to_pylist())
+        order = np.argsort(keys)
+        model.cached = keys[order], {p: np.stack([table.column(f"{c}_{p}").to_numpy()[order] for c in ("sum", "own")], axis=1) for p in PARTS}
+        return model
+
+    def ratios_of(self, words: DataFrame) -> DataFrame:
+        """``words`` (distinct) with sum_, the summed ratio of a word's n-grams, and own_, its own ratio, for each of PARTS."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    own, n = grams(batch.column(0).to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n.size), n))), pa.array(own)], ["word", "gram"])
+
+        each = words.select("word").mapInArrow(run, "word string, gram long")
+        short = F.col("gram") < SHORT
+        each = each.withColumn("context", F.shiftright("gram", 8)).withColumn("salt", F.when(short, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int"))
+        dealt = lambda df, few: df.withColumn("salt", F.explode(F.when(few, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        # a short n-gram has a context below SHORT >> 8; a longer one's is above
+        rows = each.join(dealt(self.grams, short), ["gram", "salt"], "left").join(dealt(self.contexts, F.col("context") < SHORT >> 8), ["context", "salt"], "left")
+        sums = rows.groupBy("word").agg(*(F.sum(F.coalesce(f"ratio_{p}", f"fall_{p}", F.lit(0.0))).alias(f"sum_{p}") for p in PARTS))
+        found = words.join(sums, "word").join(self.words, "word", "left")
+        return found.select(*words.columns, *(F.col(f"sum_{p}") for p in PARTS), *(F.coalesce(f"own_{p}", F.lit(0.0)).alias(f"own_{p}") for p in PARTS))
+
+
 class Scorer:
-    """Features of texts; remembers words."""
+    """What a text's cached words add to its features, and its other words; remembers words."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.keys, self.ratios, self.known = keys, ratios, {}
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def learn(self, new: list[str]) -> None:
+        if new:
+            at, there = find(self.keys, word_keys(new))
+            self.known.update((w, tuple(self.ratios[k].tolist()) if t else None) for w, k, t in zip(new, at, there, strict=True))
 
-    def features(self, batch: list[str]) -> np.ndarray:
+    def parts(self, batch: list[str]) -> Iterator[tuple]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         docs = [text.lower().split() for text in batch]
-        new = list(set().union(*docs).difference(self.known))
-        self.known.update(zip(new, map(tuple, self.model.words(new)), strict=True))
-        out = np.zeros((len(docs), FEATURES))
-        for row, words in enumerate(docs):
-            if words:
-                ratios = np.array(list(map(self.known.__getitem__, words)))
-                for at, column, parts in ((0, 0, ratios[:, 1].sum()), (TOP_WORDS + 1, 2, len(words))):
-                    out[row, at] = 100 * ratios[:, column].sum() / parts
-                    top = np.sort(ratios[:, column])[::-1][:TOP_WORDS]
-                    out[row, at + 1 : at + 1 + len(top)] = np.maximum(top, 0)
-        return np.clip(out, -50, 50)
-
-
-def _scored(rows: DataFrame, model: Model, raw: bool) -> DataFrame:
-    """Scores, or features, added to (doc_id, text) rows; ``extra`` columns stay."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+        self.learn(list(set().union(*docs).difference(self.known)))
+        for words in docs:
+            found = list(map(self.known.__getitem__, words))
+            rest = Counter(w for w, x in zip(words, found, strict=True) if x is None)
+            ratios = np.array([x for x in found if x is not None]).reshape(-1, 2)
+            top = np.maximum(np.sort(ratios, axis=0)[::-1][:TOP_WORDS], 0)
+            yield sum(len(w.encode()) + 1 for w in words), len(words), *ratios.sum(axis=0).tolist(), top[:, 0].tolist(), top[:, 1].tolist(), [{"word": w, "n": n} for w, n in rest.items()]
+
+
+def _features(rows: DataFrame, model: Tables, part: str) -> DataFrame:
+    """doc_id, x (the features) of each (doc_id, text) row."""
+    held = rows.sparkSession.sparkContext.broadcast((model.cached[0], model.cached[1][part]))
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))]
+    names = ["n_grams", "n_words", "grams", "words", "top_grams", "top_words", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer, first = Scorer(*held.value), TaskContext.get().partitionId() << 36
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                x = scorer.features(batch.column("text").to_pylist())
-                score = 1 / (1 + np.exp(-np.clip(x @ held.value.weights[:-1] + held.value.weights[-1], -30, 30)))
-                last = pa.array(list(x), pa.list_(pa.float64())) if raw else pa.array(score)
-                yield pa.RecordBatch.from_arrays([batch.column(0), last], ["doc_id", "value"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, value {'array<double>' if raw else 'double'}")
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
+                parts = list(zip(*scorer.parts(batch.column("text").to_pylist()), strict=True))
+                ids = np.arange(first, first + batch.num_rows)
+                first += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), *map(pa.array, parts, kinds)], ["row", "doc_id", *names])
+
+    of_doc = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {of_doc}, n_grams long, n_words long, grams double, words double, top_grams array<double>, top_words array<double>, rest array<struct<word:string,n:int>>"
+    own = materialise(rows.select("doc_id", "text").mapInArrow(run, schema), "toxicity-parts")
+    each = own.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
+    known = materialise(model.ratios_of(each.groupBy("word").agg(F.count("*").alias("times"))), "toxicity-rest").select("word", "times", F.col(f"sum_{part}").alias("s"), F.col(f"own_{part}").alias("o"))
+    heavy = F.broadcast(known.where(F.col("times") >= HEAVY))
+    light = each.join(heavy.select("word"), "word", "left_anti").join(known.where(F.col("times") < HEAVY), "word")
+    found = each.join(heavy, "word").unionByName(light)
+    tops = lambda c: F.flatten(F.collect_list(F.array_repeat(F.greatest(F.col(c), F.lit(0.0)), F.least("n", F.lit(TOP_WORDS)))))
+    added = found.groupBy("row").agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum(F.col("o") * F.col("n")).alias("o"), tops("s").alias("top_s"), tops("o").alias("top_o"))
+    joined = own.drop("rest").join(added, "row", "left")
+    none = F.array().cast("array<double>")
+    clip = lambda c: F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c))
+    x = []
+    for column, more, top, more_top, parts in (("grams", "s", "top_grams", "top_s", "n_grams"), ("words", "o", "top_words", "top_o", "n_words")):
+        x.append(F.when(F.col(parts) > 0, 100 * (F.col(column) + F.coalesce(more, F.lit(0.0))) / F.col(parts)).otherwise(0.0))
+        best = F.sort_array(F.concat(top, F.coalesce(more_top, none)), asc=False)
+        x += [F.coalesce(F.get(best, F.lit(k)), F.lit(0.0)) for k in range(TOP_WORDS)]
+    return joined.select("doc_id", F.array(*map(clip, x)).alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Tables:
     """A model from the labelled rows that ``training`` (over doc_id) admits."""
     own = labelled(labels, "toxic").where(training)
     known = texts(docs).join(broadcast_if_small(own, MOST_LABELS), "doc_id")
-    once = known.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "label")
-    once = materialise(once, "toxicity-rows")
     for_curve = fold(F.reverse(F.col("doc_id").cast("string")), 4) == 0
-    rows = texts(docs).join(broadcast_if_small(once.where(~for_curve), MOST_LABELS), "doc_id")
-    counted = materialise(count_grams(rows).withColumn("n", F.col("n_toxic") + F.col("n_ordinary")), "toxicity-counts")
-    most = [counted.where(kind).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS) for kind in (F.col("gram") < WORD, (F.col("gram") >= WORD) & (F.col("n") > 1))]
-    table = most[0].unionAll(most[1]).select("gram", "n_toxic", "n_ordinary").toArrow()
-    model = Model.build(*(table.column(c).to_numpy() for c in table.column_names))
-    curve = once.where(for_curve).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    sample = _scored(texts(docs).join(F.broadcast(curve.select("doc_id")), "doc_id"), model, raw=True).join(F.broadcast(curve), "doc_id").toPandas()
+    once = known.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "label", for_curve.alias("for_curve"))
+    once = materialise(once, "toxicity-rows")
+    rows = texts(docs).join(broadcast_if_small(once, MOST_LABELS), "doc_id")
+    model = Tables.build(materialise(count_words(rows), "toxicity-seen"))
+    curve = once.where("for_curve").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).select("doc_id", "label")
+    sample = _features(texts(docs).join(F.broadcast(curve.select("doc_id")), "doc_id"), model, "own").join(F.broadcast(curve), "doc_id").toPandas()
     if sample["label"].nunique() == 2:
-        model.weights = logistic(np.array(sample["value"].tolist()), sample["label"].to_numpy(float))
+        model.weights = logistic(np.array(sample["x"].tolist()), sample["label"].to_numpy(float))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Tables) -> DataFrame:
     """doc_id, score (0 to 1, higher: likelier toxic) of each row."""
-    return _scored(texts(docs), model, raw=False).withColumnRenamed("value", "score")
+    sums = sum((F.get("x", F.lit(k)) * float(w) for k, w in enumerate(model.weights[:-1])), F.lit(float(model.weights[-1])))
+    return _features(texts(docs), model, "all").select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sums))))).alias("score"))

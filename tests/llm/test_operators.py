@@ -135,6 +135,36 @@ def test_shared_backoff_is_a_distribution():
     assert np.isfinite(model.ratio).all() and np.isfinite(model.fall).all()
 
 
+def test_toxicity_holds_all_counts(spark):
+    """Every n-gram and word counts, seen once too, cached or joined: as in the model held in memory."""
+    random.seed(11)
+    seen = {"".join(random.choice("abcé") for _ in range(random.randint(1, 9))): [random.randint(0, 2) for _ in range(4)] for _ in range(300)}
+    rows = [(w, t, o, t + a, o + b) for w, (t, o, a, b) in seen.items() if t + o + a + b]
+    model = toxicity.Tables.build(spark.createDataFrame(rows, "word string, toxic_own long, ordinary_own long, toxic_all long, ordinary_all long"), cached=20)
+    asked = [r[0] for r in rows] + ["abc" * 5, "zzz", "aé"]
+    got = {r.word: r for r in model.ratios_of(spark.createDataFrame([(w,) for w in sorted(set(asked))], "word string")).collect()}
+    for at, part in ((1, "own"), (3, "all")):
+        counts = defaultdict(lambda: [0, 0])
+        for r in rows:
+            for key in [*toxicity.grams([r[0]])[0].tolist(), toxicity.word_keys([r[0]])[0]]:
+                counts[int(key)][0] += r[at]
+                counts[int(key)][1] += r[at + 1]
+        table = np.array([(k, *v) for k, v in counts.items() if sum(v)], np.int64)
+        whole = toxicity.Model.build(*table.T)
+        for w in set(asked):
+            total, _, own = whole.words([w])[0]
+            assert abs(got[w][f"sum_{part}"] - total) < 1e-6 and abs(got[w][f"own_{part}"] - own) < 1e-6
+    docs = spark.createDataFrame([(i, " ".join(random.choices(asked, k=i % 9))) for i in range(30)], "doc_id long, text string")
+    for r in toxicity._features(docs, model, "all").join(docs, "doc_id").collect():
+        words, x = r.text.split(), np.zeros(toxicity.FEATURES)
+        if words:
+            ratios = whole.words(words)
+            for k, column, n in ((0, 0, ratios[:, 1].sum()), (4, 2, len(words))):
+                top = np.maximum(np.sort(ratios[:, column])[::-1][:3], 0)
+                x[k], x[k + 1 : k + 1 + len(top)] = 100 * ratios[:, column].sum() / n, top
+        assert np.allclose(r.x, np.clip(x, -50, 50))
+
+
 def test_network_sees_every_byte():
     net = quality.Network(np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32), np.zeros(quality.FILTERS, np.float32), np.ones(quality.FILTERS, np.float32), 0.0)
     net.table[0, ord("!"), 0] = 5
