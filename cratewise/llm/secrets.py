@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
 Three patterns find plain candidates. Candidates in base64 or hex are decoded and parsed: a key encoding is
-reported only if its nested lengths fit exactly, and a signed token only if its header is JSON that names
+reported only if its nested lengths (of DER, or of an OpenSSH key) fit exactly, and a signed token only if its header is JSON that names
 an algorithm. Spans are code point offsets, the end exclusive.
 
 A null text is empty and has no spans; overlapping spans of different kinds are all reported; equal rows
@@ -28,10 +28,18 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: In quoted strings line ends, tabs and slashes are escaped, more than once where strings are nested.
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: A DER sequence starts with the byte 0x30, so its base64 starts with M and its hex with 30.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{31,}={0,2}|(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+#: A DER sequence starts with the byte 0x30, so its base64 starts with M and its hex with 30; an OpenSSH key with its magic. An escaped line end may stand before.
+ENCODED = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{31,}={0,2}"
+    r"|(?:(?<![0-9A-Fa-f])|(?<=\\[nrt]))(?P<hex>(?:30|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)[0-9A-Fa-f]{46,})"
+)
+OPENSSH = b"openssh-key-v1\0"
+#: These ciphers put a tag of so many bytes after the private part.
+TAGGED, TAG = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com"), 16
 LEAST_PARTS = 2
 
 
@@ -63,7 +71,43 @@ def der_parts(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return parts
 
 
+def ssh_strings(data: bytes, start: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Strings with 32-bit lengths, so many or all up to the end, and the offset after them; None if one doesn't fit."""
+    found: list[bytes] = []
+    while len(found) < most if most is not None else start < len(data):
+        size = int.from_bytes(data[start : start + 4], "big")
+        if start + 4 + size > len(data):
+            return None
+        found.append(data[start + 4 : start + 4 + size])
+        start += 4 + size
+    return found, start
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """The magic, cipher, derivation and its options, the number of keys, so many public ones and the private part, without a rest."""
+    head = ssh_strings(data, len(OPENSSH), 3) if data.startswith(OPENSSH) else None
+    if head is None or head[1] + 4 > len(data):
+        return False
+    (cipher, derivation, _), at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not cipher or not derivation or not 1 <= keys <= len(data):
+        return False
+    body = ssh_strings(data, at + 4, keys + 1)
+    if body is None or len(data) - body[1] != (TAG if cipher in TAGGED else 0):
+        return False
+    *public, private = body[0]
+    for key in public:
+        parts = ssh_strings(key, 0)
+        if parts is None or len(parts[0]) < LEAST_PARTS or not parts[0][0]:
+            return False
+    return len(private) >= 8 and (cipher != b"none" or private[:4] == private[4:8])
+
+
 def is_key(data: bytes) -> bool:
+    return is_openssh_key(data) or is_der_key(data)
+
+
+def is_der_key(data: bytes) -> bool:
     """An outer DER sequence that fills the data, of two parts at least, a number or a sequence first, nested ones well-formed."""
     outer = der_parts(data, 0, len(data))
     if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
@@ -95,13 +139,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """What decoding and parsing confirms: signed tokens and key encodings."""
     found = [("token", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
-    pem = [m for m in PEM.finditer(text) if (data := from_base64("".join(m[2].split()))) and is_key(data)]
+    pem = [m for m in PEM.finditer(text) if (data := from_base64(ESCAPED.sub("", m[2]))) and is_key(data)]
     found += [("key", m.start(), m.end()) for m in pem]
     for m in ENCODED.finditer(text):
         if any(p.start() <= m.start() < p.end() for p in pem):
             continue
-        by_hex = bytes.fromhex(m[0]) if m[0].startswith("30") and len(m[0]) % 2 == 0 else None
-        if any(data and is_key(data) for data in (by_hex, None if by_hex else from_base64(m[0]))):
+        data = from_base64(m[0]) if m["hex"] is None else bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
+        if data and is_key(data):
             found.append(("key", m.start(), m.end()))
     return found
 

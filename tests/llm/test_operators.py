@@ -302,6 +302,37 @@ def test_telling_terms(spark):
     assert "Zorbling" not in privacy.sanitise(df).where("doc_id = 0").first().text and "[EMAIL]" in privacy.sanitise(df).where("doc_id = 0").first().text
 
 
+def openssh_key(cipher=b"none", tag=b""):
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    public = part(b"ssh-ed25519") + part(b"\x07" * 32)
+    private = b"\x01\x02\x03\x04" * 2 + public + part(b"\x09" * 64) + part(b"me@host") + b"\x01\x02\x03\x04\x05"
+    return b"openssh-key-v1\0" + part(cipher) + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(public) + part(private) + tag
+
+
+def in_pem(data, kind, end="\n"):
+    lines = base64.encodebytes(data).decode().split("\n")[:-1]
+    return end.join([f"-----BEGIN {kind}-----", *lines, f"-----END {kind}-----"])
+
+
+def test_openssh_keys():
+    data = openssh_key()
+    for text in (in_pem(data, "OPENSSH PRIVATE KEY"), base64.b64encode(data).decode(), data.hex()):
+        assert ("key", 2, 2 + len(text)) in secrets.confirmed_spans(f"k {text} z")
+    assert secrets.is_key(openssh_key(b"aes256-gcm@openssh.com", b"t" * 16))
+    for bad in (data[:-3], data + b"x", openssh_key(tag=b"t" * 16), data.replace(b"\x01\x02\x03\x04", b"\x01\x02\x03\x05", 1), b"openssh-key-v1\0" + b"\xff" * 90):
+        assert not secrets.is_key(bad) and not secrets.confirmed_spans(in_pem(bad, "OPENSSH PRIVATE KEY"))
+
+
+def test_keys_with_escaped_line_ends():
+    body = b"\x02\x01\x00" + b"\x02\x40" + b"\xff" * 64
+    for data, kind in ((b"\x30" + bytes([len(body)]) + body, "PRIVATE KEY"), (openssh_key(), "OPENSSH PRIVATE KEY")):
+        pem = in_pem(data, kind)
+        for text in (json.dumps(pem)[1:-1], json.dumps(json.dumps(pem))[3:-3], in_pem(data, kind, "\\r\\n"), json.dumps(pem)[1:-1].replace("/", "\\/")):
+            assert secrets.confirmed_spans(f'KEY="{text}"') == [("key", 5, 5 + len(text))]
+    bare = base64.b64encode(b"\x30" + bytes([len(body)]) + body).decode()
+    assert secrets.confirmed_spans(f"x\\n{bare}\\n") == [("key", 3, 3 + len(bare))]
+
+
 def test_secrets(spark, odd, empty):
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.abcDEF"
