@@ -37,7 +37,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join.components(read(spark, sf_dir, "documents"), words=4, numerator=85, denominator=100)
+    return set_join.links(read(spark, sf_dir, "documents"), words=4, numerator=85, denominator=100)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

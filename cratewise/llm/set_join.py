@@ -1,10 +1,14 @@
-"""Exact Jaccard self-join of documents' word n-gram sets, and its components.
+"""Exact Jaccard self-join of documents' word n-gram sets: its links, their number for each document, and its components.
 
 A set's n-grams are put in one order for all sets (frequent ones last), and only the first few, its prefix,
 are indexed: two sets as alike as asked share one of these. An index list holds each set with its size and
-the n-gram's position, so entries whose size or position can't reach the overlap are skipped unread.
+the n-gram's position, so pairs whose sizes or positions can't reach the overlap are dropped.
 
-Sets whose answers a like set has already are not asked again. Equal sets are one. In each list all sets are
+Equal sets are one. ``pairs`` and ``links`` verify all pairs of a list that sizes and positions allow; long lists
+are dealt in blocks, each two of them under a key of their own. The number of links grows with the square of a group
+of near copies, and so does this.
+
+``components`` and ``keep_one`` want no links, so they don't ask all. In each list all sets are
 compared with a few leaders first; sets that link to a leader have its component. What is left are pairs in a
 list that lie in different components: only these are compared, all of them, so no link between components is
 lost. A parity bitmap, whose differing bits can't outnumber the differing n-grams, skips most of them.
@@ -37,6 +41,8 @@ HOT, HOT_SETS = 200_000, 64
 COUNTED_SHARE, SMALL = 0.3, 32
 BITMAP = 8
 MOST_WANTED = 1_000_000
+#: Entries of a list that one task compares with as many others.
+BLOCK = 500
 CACHE_WORDS = 400_000
 POSITIVE = (1 << 63) - 1
 
@@ -143,7 +149,7 @@ def index(docs: DataFrame, words: int, numerator: int, denominator: int) -> Data
 
 
 class Join:
-    """One self-join; ``components`` runs it."""
+    """One self-join; ``links`` runs all of it, ``components`` what labels need."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR):
         self.docs, self.words, self.up, self.down = docs, words, numerator, denominator
@@ -166,6 +172,22 @@ class Join:
         differ = reduce(Column.__add__, (F.bit_count(F.col(a)[n].bitwiseXOR(F.col(b)[n])) for n in range(BITMAP)))
         return differ * (self.up + self.down) <= size * (self.down - self.up)
 
+    def candidates(self) -> DataFrame:
+        """All pairs of different sets in a common list that sizes and positions allow."""
+        long = self.entries.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        own = self.entries.join(broadcast_if_small(long, MOST_WANTED), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = own.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        x = own.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("x")
+        y = own.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("y")
+        same = reduce(Column.__and__, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "low", "high")))
+        once = (F.col("x.low") < F.col("x.high")) | (F.col("x.sid") < F.col("y.sid"))
+        pairs = x.join(y, same & once & self.may_link("x", "y"))
+        return pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+    def pairs(self) -> DataFrame:
+        """a, b (a < b): all different sets as alike as asked."""
+        return self.linked(materialise(self.candidates(), "set-candidates"))
+
     def with_leaders(self) -> DataFrame:
         """Pairs of each listed set with the leaders of its lists: the first and the last by id, the smallest and the largest."""
         by_size, by_id = F.struct("n", "sid", "place"), F.struct("sid", "n", "place")
@@ -227,11 +249,23 @@ class Join:
         links = self.linked(first)
         labels = connected(links)
         links = links.unionAll(self.linked(self.across(labels, first)))
-        labels = connected(links)
-        own = self.members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        return self.labelled(links).select("doc_id", "n_shingles", "component_id")
+
+    def labelled(self, links: DataFrame) -> DataFrame:
+        own = self.members.join(connected(links), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
         joined = own.join(least, "label", "left")
-        return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        return joined.select("sid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+    def links(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, n_links (other rows as alike as asked, those of an equal set among them) of each row."""
+        pairs = self.pairs()
+        copies = materialise(self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies")), "set-copies")
+        both = pairs.select(F.col("a").alias("own"), F.col("b").alias("sid")).unionAll(pairs.select(F.col("b").alias("own"), F.col("a").alias("sid")))
+        others = both.join(copies, "sid").groupBy("own").agg(F.sum("copies").alias("others"))
+        counted = copies.join(others, copies["sid"] == others["own"], "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        rows = self.labelled(pairs).join(counted, "sid", "left")
+        return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -248,6 +282,16 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def pairs(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) of different sets, and the set of each row (doc_id, sid, n)."""
+    join = Join(docs, words, numerator, denominator)
+    return join.pairs(), join.members
+
+
+def links(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    return Join(docs, words, numerator, denominator).links()
+
+
 def components(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     return Join(docs, words, numerator, denominator).components()
 

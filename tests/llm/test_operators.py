@@ -214,6 +214,25 @@ def test_set_join(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 1").count() == 0 and kept.where("doc_id = 7").count() == 1
 
 
+def test_set_join_loses_no_link(spark, empty, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 3)
+    random.seed(6)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(i, " ".join(f"z{random.randint(0, 4)}" if random.random() < 0.01 else w for w in base)) for i in range(60)]
+    rows += [(60 + i, rows[i][1]) for i in range(5)] + [(70, ""), (71, None), (72, "other words")]
+    grams = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set() for i, t in rows}
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in set_join.links(df, 4, 85, 100).collect()}
+    want = {i: sum(alike(x, y) for j, y in grams.items() if i != j) for i, x in grams.items()}
+    assert {i: r.n_links for i, r in got.items()} == want and max(want.values()) > 8
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.values()) == brute_components(rows, 4, 85, 100)
+    found, members = set_join.pairs(df, 4, 85, 100)
+    of = {r.sid: grams[r.doc_id] for r in members.where("sid IS NOT NULL").collect()}
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((a, b) for a in of for b in of if a < b and alike(of[a], of[b]))
+    assert set_join.links(empty).count() == 0
+
+
 def brute_hits(text, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     own, hit, found = words(text), set(), set()
