@@ -135,8 +135,9 @@ def test_shared_backoff_is_a_distribution():
     assert np.isfinite(model.ratio).all() and np.isfinite(model.fall).all()
 
 
-def test_toxicity_holds_all_counts(spark):
+def test_toxicity_holds_all_counts(spark, monkeypatch):
     """Every n-gram and word counts, seen once too, cached or joined: as in the model held in memory."""
+    monkeypatch.setattr(toxicity, "HEAVY", 2)
     random.seed(11)
     seen = {"".join(random.choice("abcé") for _ in range(random.randint(1, 9))): [random.randint(0, 2) for _ in range(4)] for _ in range(300)}
     rows = [(w, t, o, t + a, o + b) for w, (t, o, a, b) in seen.items() if t + o + a + b]
