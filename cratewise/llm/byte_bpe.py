@@ -4,10 +4,11 @@ Bytes are mapped to Latin-1 characters so that one automaton of all tokens finds
 at each byte. An encoding takes the longest token, and steps back to a shorter one (or to the token
 before) when two neighbours couldn't stand side by side in a merge order. Whether two tokens may be
 neighbours depends on these two alone, so the answers are memoised and each byte is tried a bounded
-number of times.
+number of times. The idea is that of backtracking BPE encoders (published with the Rust crate ``bpe``).
 
 A null text counts as empty, and an empty text has no ids. Rows are neither dropped nor merged, in any
-order of input; columns other than doc_id and text are ignored.
+order of input; columns other than doc_id and text are ignored. An empty table gives an empty result. A text
+of any length is encoded whole, its working memory is in proportion to its longest match of the pattern.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 
 from cratewise.llm.common import texts
 
-#: A chunk that is cached costs about 200 bytes; a worker forgets all of them beyond this number.
-CACHE_CHUNKS = 1_200_000
-#: Answers on neighbours that are kept.
-CACHE_PAIRS = 1_000_000
+#: Bytes that a worker's encoded chunks may take; it forgets all of them beyond, and at the end of each task.
+CACHE_BYTES = 64 << 20
+#: What a cached chunk takes besides its characters and ids: two objects and a place in a table.
+ENTRY_BYTES = 190
+#: Answers on neighbours that are kept, of about 100 bytes.
+CACHE_PAIRS = 200_000
+#: Texts that are encoded at once.
+SLICE = 500
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 200
 #: Where a single space parts two words, the splitting pattern never looks across it. Elsewhere it may.
@@ -38,18 +43,23 @@ UNEVEN_SPACE = re.compile(r" \s|\s ")
 
 
 class Known(dict):
-    """Encoded strings by string; what is missing is encoded, and kept if it is short."""
+    """Encoded strings by string; what is missing is encoded, and kept if it is short. ``held`` bytes are kept."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.encode(text)
         if len(text) <= CACHE_CHARS:
             self[text] = ids
+            self.held += ENTRY_BYTES + len(text) + len(ids)
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class ByteBpe:
     """Encoder and decoder of one rank table."""
@@ -153,18 +163,28 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.later) + len(self.first) + len(self.matches) > CACHE_CHUNKS:
-            for known in (self.later, self.first, self.matches):
-                known.clear()
+        if self.later.held + self.first.held + self.matches.held > CACHE_BYTES:
+            self.forget()
         if UNEVEN_SPACE.search(text):
             return self._chunk(text)
         first, *others = text.split(" ")
         return self.first[first] + b"".join(map(self.later.__getitem__, others))
 
+    def forget(self) -> None:
+        """Drop what is cached of texts; the table of tokens stays."""
+        for known in (self.later, self.first, self.matches, self._beside):
+            known.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     with open(path, "rb") as lines:
@@ -176,9 +196,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [bpe.encode(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        bpe.forget()
 
     return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -200,7 +221,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)
@@ -211,6 +232,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").select(F.col("*"))

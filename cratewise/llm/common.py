@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -17,8 +18,17 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A temporary one only in local mode, where one machine is all there is; on a cluster without either, an error.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        return f"file://{_own_folder()}"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -28,6 +38,22 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables. What was written from them since stays whole."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_folder(spark)
+        for parent in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if folder.split(":", 1)[-1].strip("/") in parent:
+                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns of ``docs`` as one (``row``), so that no helper column can clash with one of them."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

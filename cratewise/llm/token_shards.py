@@ -16,15 +16,15 @@ one of its own. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,15 @@ from cratewise.llm.common import shared_folder, texts
 SHARD_IDS = 250_000
 #: Slots for each key of a level: more make the index larger and the levels fewer.
 SLOTS_PER_KEY = 2.0
-CACHE_CHUNKS = 800_000
-CACHE_CHARS = 200
+#: Bytes that a worker's encoded words may take, and about what one takes.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
+#: Texts that are encoded together: so many, and of so many bytes but for a longer one.
+SLICE_DOCS, SLICE_BYTES = 2_000, 4 << 20
+#: Words that the library gets as one piece.
+TOGETHER = 100
 #: Where a single space parts two words, the vocabulary's splitting pattern never looks across it.
-UNEVEN_SPACE = re.compile(r" \s|\s ")
+SPACES = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+UNEVEN_SPACE = f" {SPACES}|{SPACES} "
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -136,64 +141,109 @@ class Shard:
         return [list(range(a, a + n)) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
 
 
-class Known(dict):
-    """Ids by word. A word that isn't known gets its number among ``asked``, which is encoded once a batch."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.asked: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.asked)
-        self.asked.append(word)
-        return number
-
-
 class Encoder:
-    """Encodes texts with the tokenizers library; each distinct word once while it is kept."""
+    """Encodes texts with the tokenizers library; each distinct word once while it is kept.
 
-    def __init__(self, path: str):
+    A word's ids are a run of ``ids``, named by its slot. Texts are split, and their words told apart, in Arrow;
+    a text's ids are then gathered from the runs of all its words at once. ``text_only`` takes the strings of
+    special tokens as ordinary text.
+    """
+
+    def __init__(self, path: str, text_only: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would spin on others'
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.first, self.later = Known(), Known()
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _answer(self, known: Known, lead: str) -> list[bytes]:
-        """Ids of the words asked for; all but long ones are kept."""
-        words, known.asked = known.asked, []
-        answers = self._encode([lead + x for x in words])
-        known.update(zip(words, answers, strict=True))
-        for word in words:
-            if len(word) > CACHE_CHARS:
-                del known[word]
-        return answers
-
-    def batch(self, docs: list[str]) -> list[bytes]:
-        """Ids of each text. A text with odd white space is encoded as one piece."""
-        if len(self.first) + len(self.later) > CACHE_CHUNKS:
-            self.first.clear()
-            self.later.clear()
-        whole = {i for i, text in enumerate(docs) if UNEVEN_SPACE.search(text)}
-        parts: list[tuple] = []
-        for i, text in enumerate(docs):
-            if i not in whole:
-                head, *rest = text.split(" ")
-                parts.append((self.first[head], list(map(self.later.__getitem__, rest))))
-        heads, rests = self._answer(self.first, ""), self._answer(self.later, " ")
-        odd = iter(self._encode([docs[i] for i in sorted(whole)]))
-        even = ((x if type(x) is bytes else heads[x]) + b"".join([y if type(y) is bytes else rests[y] for y in own] if rests else own) for x, own in parts)
-        return [next(odd if i in whole else even) for i in range(len(docs))]
+        self.library.encode_special_tokens = text_only
+        self.special = [] if text_only else [token.content for token in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1 + len(self.special), np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))  # a character of such a token is a byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: tuple[dict[str, int], dict[str, int]] = {}, {}  # of words that follow a space, and of those that lead a text
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and their number in each."""
+        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(pieces))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, each with a space before it; many are encoded as one piece, and told apart by their bytes."""
+        ids, _ = self._encode(["".join(f" {w}" for w in words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)])
+        ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1)
+        reached = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(reached, ends)
+        if last.size and (last[-1] >= reached.size or (reached[last] != ends).any()):
+            return self._encode([" " + w for w in words])
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _slots(self, words: list[str], leads: bool) -> np.ndarray:
+        """Slots of words; new ones are encoded together."""
+        known = self.slots[leads]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        plain = [] if leads else [w for w in new if w and not w[-1].isspace()]
+        others = new if leads else [" " + w for w in new if not w or w[-1].isspace()]
+        for group, asked, encode in ((plain, plain, self._encode_words), ([w if leads else w[1:] for w in others], others, self._encode)):
+            if group:
+                ids, size = encode(asked)
+                known.update(zip(group, range(self.size.size, self.size.size + len(group)), strict=True))
+                self.start = np.concatenate([self.start, self.ids.size + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _even(self, docs: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose words are parted by single spaces."""
+        split = pc.split_pattern(docs, " ")
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        lead = pc.take(split.flatten(), pa.array(first)).to_pylist()
+        slot = self._slots(words.dictionary.to_pylist(), False)[words.indices.to_numpy()]
+        slot[first] = self._slots(lead, True)
+        size = self.size[slot]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[slot] - (ends - size), size) + np.arange(ends[-1])]
+        return np.split(ids, (ends - size)[first[1:]])
+
+    def _whole(self, docs: pa.Array) -> list[np.ndarray]:
+        ids, size = self._encode(docs.to_pylist())
+        return np.split(ids, np.cumsum(size)[:-1])
+
+    def batch(self, docs: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. A text with odd white space, or with a special token's string, is encoded as one piece."""
+        if sum(map(len, self.slots)) * ENTRY_BYTES > CACHE_BYTES:
+            self.forget()
+        odd = pc.match_substring_regex(docs, UNEVEN_SPACE)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(docs, token))
+        out: list[np.ndarray | None] = [None] * len(docs)
+        for some, encode in ((odd, self._whole), (pc.invert(odd), self._even)):
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            if at.size:
+                for k, ids in zip(at.tolist(), encode(docs.take(pa.array(at))), strict=True):
+                    out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, text_only: bool = False) -> Encoder:
+    return Encoder(path, text_only)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of a (doc_id, text) batch, cut by number and by bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        n = min(max(most - at, 1), SLICE_DOCS)
+        yield batch.slice(at, n)
+        at += n
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS, text_only: bool = False) -> None:
     """Encode ``docs``, in ascending doc_id, to shards at ``path``. One shuffle deals the rows out by id ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +257,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_id
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": [seq], "n_ids": [held], "payload": [b"".join(ids)], "index": [index]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for key, own in zip(some.column(0).to_pylist(), encoder(tokenizer_path).batch(some.column(1).to_pylist()), strict=True):
-                    own += tail
-                    if held and held + len(own) // 4 > shard_ids:
+            for some in slices(batch):
+                for key, own in zip(some.column(0).to_pylist(), encoder(tokenizer_path, text_only).batch(some.column(1)), strict=True):
+                    if held and held + own.size + 1 > shard_ids:
                         yield shard()
                         keys, ids, held, seq = [], [], 0, seq + 1
                     keys.append(key)
-                    ids.append(own)
-                    held += len(own) // 4
+                    ids.append(own.tobytes() + tail)
+                    held += own.size + 1
         if keys:
             yield shard()
 

@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, st
 def odd(spark):
     """Nulls in all columns, empty and long texts, ties, repeated rows, and columns whose names clash with results."""
     line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
-    text = [line, line, line + " end", "", None, "Word", "x" * 30000, " ".join(f"w{i}" for i in range(4000)), f"head\n{line}\n{line}\ntail", "héllo 🙂 wörld\n\n漢字 a@b.co 1.2.3.4", "a  b\t c\n", "token = 'abcdefghijklmnop'"]
+    text = [line, line, line + " end", "", None, "Word", "x" * 30000, " ".join(f"w{i}" for i in range(4000)), f"head\n{line}\n{line}\ntail", "héllo 🙂 wörld\n\n漢字 a@b.co 1.2.3.4", "a  b\t c\n <|endoftext|> x", "token = 'abcdefghijklmnop'"]
     rows = [(i, t, "en", "s", 1, 5, "k", 0.5) for i, t in enumerate(text)]
     rows += [rows[0], rows[9], (None, line, None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (3, "other text of id three", "en", "s", 1, 5, "k", 0.5)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -53,7 +54,6 @@ def test_shards(spark, odd, empty):
     path = token_shards.scratch_path(spark)
     token_shards.write(odd, path, JSON, 2, shard_ids=50)
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
     ids = [library.encode(r.text or "", add_special_tokens=False).ids + [2] for r in rows]
     starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
@@ -66,6 +66,19 @@ def test_shards(spark, odd, empty):
     assert token_shards.read_back(spark, path).count() == 0
 
 
+def test_shard_encoder_equals_library():
+    """Whole texts, odd white space and strings of special tokens among them, taken as such or as text."""
+    draw, library = random.Random(1), Tokenizer.from_file(JSON)
+    pieces = [" ", "  ", "a", "b", "don't", "\n", "\t", "é", "ß", "1", "23", "<|endoftext|>", " x", "\x1c", "\u3000", "!", "...", "語", "\x85", "\u200b", "'s", "\x0b"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(4000)] + ["", " ", "  ", "<|endoftext|>"]
+    for text_only in (False, True):
+        library.encode_special_tokens = text_only
+        encoder = token_shards.Encoder(JSON, text_only)
+        for at in range(0, len(texts), 700):
+            own = texts[at : at + 700]
+            assert [x.tolist() for x in encoder.batch(pa.array(own))] == [x.ids for x in library.encode_batch(own, add_special_tokens=False)]
+
+
 def test_key_index():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     index = token_shards.KeyIndex.build(keys.view(np.uint64), np.arange(keys.size), np.ones(keys.size, int))
