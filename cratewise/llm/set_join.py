@@ -1,24 +1,28 @@
-"""Exact Jaccard self-join of documents' word n-gram sets: its links, their number for each document, and its components.
+"""Set-similarity self-join of documents by word n-grams, with set-relation skipping.
 
-A set's n-grams are put in one order for all sets (frequent ones last), and only the first few, its prefix,
-are indexed: two sets as alike as asked share one of these. An index list holds each set with its size and
-the n-gram's position, so pairs whose sizes or positions can't reach the overlap are dropped.
+Each distinct set of n-grams is listed under its first n-grams in an order that puts frequent ones last; two sets
+that are alike enough share a list. An entry of a list knows its set's size and the n-gram's position.
 
-Equal sets are one. ``pairs`` and ``links`` verify all pairs of a list that sizes and positions allow; long lists
-are dealt in blocks, each two of them under a key of their own. The number of links grows with the square of a group
-of near copies, and so does this.
+Skipping: pairs whose sizes or positions can't reach the overlap are dropped where lists are read. Long lists are cut in
+blocks by size and position; two blocks are read together only if their bounds can reach it, the others are skipped
+unread.
 
-``components`` and ``keep_one`` want no links, so they don't ask all. In each list all sets are
-compared with a few leaders first; sets that link to a leader have its component. What is left are pairs in a
-list that lie in different components: only these are compared, all of them, so no link between components is
-lost. A parity bitmap, whose differing bits can't outnumber the differing n-grams, skips most of them.
+Leaders: in each list the sets are compared with the first and the last by id; then with their neighbour by id, where it lies
+in another component; then all pairs that are left between components of a list are. So no link between components is lost.
 
-Sets are known by 63-bit hashes of their n-grams' 63-bit hashes, like the n-grams themselves. Frequent n-grams
-only change the order, so the bound on their number (HOT) costs time, never a link.
+Derived answers: a link lies within a component. There, in blocks of sets dealt out by component, the answers of one set are
+computed, and those of the others derived from them by the n-grams in which they differ from it: with d of its n
+n-grams missing in one set and d' in another, both share n - d - d' of them, and what they lack together or have
+in addition together. So links are counted (and listed, if asked for) without a row for each pair.
+
+Parity bitmaps, whose differing bits can't outnumber the differing n-grams, drop most pairs before texts are read again; every
+link is verified by whole sets. Sets are known by 63-bit hashes of their n-grams' 63-bit hashes, like the n-grams
+themselves. Frequent n-grams only change the order, so the bound on their number (HOT) costs time, never a link.
 
 Defined cases: null and empty texts, and those without words, have empty sets, linked with nothing; with fewer
 words than an n-gram the whole sequence is one. Repeated rows share a set. A null id is no candidate for a
-component's smallest id. Columns besides doc_id and text are ignored; ``keep_one`` returns them as they are.
+component's smallest id, but its row links as any other. An empty table gives an empty result. A text of any length is
+read whole. Columns besides doc_id and text are ignored; ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,21 +33,25 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import broadcast_if_small, materialise, texts
+from cratewise.llm.common import broadcast_if_small, discard, materialise, texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 8, 10
 #: n-grams that are put last, at most; each stands in HOT_SETS documents or more.
-HOT, HOT_SETS = 200_000, 64
-#: Share of the hash range whose n-grams are counted, and the set size up to which all are.
-COUNTED_SHARE, SMALL = 0.3, 32
-BITMAP = 8
-MOST_WANTED = 1_000_000
-#: Entries of a list that one task compares with as many others.
-BLOCK = 500
-CACHE_WORDS = 400_000
+HOT, HOT_SETS = 200_000, 32
+#: Share of the hash range whose n-grams are counted over all documents, and the set size up to which all are.
+COUNTED_SHARE, SMALL = 0.25, 32
+COUNTED = int(COUNTED_SHARE * (1 << 63))
+#: 64-bit words of the smallest and the largest bitmap, and n-grams for each.
+LEAST_BITS, MOST_BITS, GRAMS_A_WORD = 8, 512, 32
+MOST_WANTED = 500_000
+#: Entries of a block of a long list, about; sets that are compared with one at once; sets of a block of a component.
+BLOCK, FAN, GROUP = 500, 200, 128
+#: Columns of the matrix of differences at once.
+WIDTH = 8_192
+CACHE_WORDS = 200_000
 POSITIVE = (1 << 63) - 1
 
 
@@ -79,9 +87,10 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Each n-gram flips one of 64 * BITMAP bits."""
-    flips = np.bincount(tokens % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+    """Each n-gram flips one bit; the larger the set, the more bits: a power of two of 64-bit words."""
+    words = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, tokens.size // GRAMS_A_WORD) - 1).bit_length()))
+    flips = np.bincount(tokens & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def table(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.RecordBatch:
@@ -101,173 +110,280 @@ def among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, tokens), hot.size - 1)] == tokens
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of n-grams that many documents hold, counted over all of them."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield batch.slice(at, 500)
+
+
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, bool]:
+    """Sorted short keys of n-grams that many documents hold, of those in the counted part of the hash range (of small sets, of all);
+    and whether these are all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
-            own = [s if s.size <= SMALL else s[: np.searchsorted(s, int(COUNTED_SHARE * POSITIVE))] for s in map(shingles.of, batch.column(0).to_pylist())]
-            keys, n = np.unique(short(np.concatenate(own)), return_counts=True)
+            own = [short(s if s.size <= SMALL else s[: np.searchsorted(s, COUNTED)]) for s in map(shingles.of, batch.column(0).to_pylist())]
+            keys, n = np.unique(np.concatenate(own), return_counts=True)
             yield table({"token": (keys, pa.int32()), "n": (n.astype(np.int32), pa.int32())})
 
     counted = texts(docs).select("text").mapInArrow(run, "token int, n int").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= HOT_SETS).orderBy(F.desc("n"), "token").limit(HOT).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int32))
+    return np.sort(np.array([r[0] for r in rows], np.int32)), len(rows) < HOT
 
 
 def index(docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Rows of documents (doc_id, sid, n, bits; token null) and of index entries (sid, n, token, place)."""
+    """doc_id, h, sid, n, bits, prefix, narrow of each document: its set, its first n-grams in the order, and how many of
+    these are known to be in fewer than HOT_SETS documents."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
-                ids = [set_id(s) if s.size else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int32()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([parity(s).tolist() for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "sid", "n", "token", "place", "bits"],
-                )
-                entries: list[tuple[int, int, np.ndarray]] = []
-                for sid, s in {i: s for i, s in zip(ids, sets, strict=True) if i is not None}.items():
-                    size = s.size - -(-numerator * s.size // denominator) + 1
-                    late = among(s, hot.value)
-                    entries.append((sid, s.size, np.concatenate([s[~late], s[late]])[:size]))
-                lengths = [len(e[2]) for e in entries]
-                total = sum(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(total, batch.column(0).type), pa.array(np.repeat([e[0] for e in entries], lengths), pa.int64()), pa.array(np.repeat([e[1] for e in entries], lengths), pa.int32()),
-                     pa.array(np.concatenate([e[2] for e in entries]) if entries else [], pa.int64()), pa.array(np.concatenate([np.arange(k) for k in lengths]) if entries else [], pa.int32()), pa.nulls(total, pa.list_(pa.int64()))],
-                    ["doc_id", "sid", "n", "token", "place", "bits"],
-                )
+        for batch in sliced(batches):
+            sets = [shingles.of(t) for t in batch.column(2).to_pylist()]
+            (often, whole), prefixes, narrow = hot.value, [], []
+            for s in sets:
+                late = among(s, often)
+                size = s.size - -(-numerator * s.size // denominator) + 1 if s.size else 0
+                early = s[~late]
+                prefixes.append(np.concatenate([early, s[late]])[:size])
+                narrow.append(min(size, int(np.searchsorted(early, COUNTED))) if whole else 0)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([set_id(s) if s.size else None for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int32()),
+                pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(narrow, pa.int32()),
+            ], ["doc_id", "h", "sid", "n", "bits", "prefix", "narrow"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialise(texts(docs).mapInArrow(run, f"doc_id {kind}, sid long, n int, token long, place int, bits array<long>"), "set-index")
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, sid long, n int, bits array<long>, prefix array<long>, narrow int")
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "set-index")
 
 
 class Join:
-    """One self-join; ``links`` runs all of it, ``components`` what labels need."""
+    """One self-join: components of linked sets first, then, where asked for, the links within them."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR):
         self.docs, self.words, self.up, self.down = docs, words, numerator, denominator
         rows = index(docs, words, numerator, denominator)
-        self.members = rows.where("token IS NULL").select("doc_id", "sid", "n")
-        entries = rows.where("token IS NOT NULL").select("token", "sid", "n", "place")
-        shared = entries.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("token")
-        self.entries = materialise(entries.join(shared, "token").distinct(), "set-lists")
-        sets = rows.where("token IS NULL AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
-        self.sets = materialise(sets.join(self.entries.select("sid").distinct(), "sid", "left_semi"), "set-heads")
-
-    def may_link(self, a: str, b: str) -> Column:
+        first = broadcast_if_small(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).select("row"), 2 * MOST_WANTED)
+        sets = rows.join(first, "row", "left_semi")
+        self.lists = materialise(self.narrow_lists(sets).unionByName(self.wide_lists(sets)), "set-lists")
+        listed = self.lists.select("sid").distinct()
+        self.sets = materialise(sets.select("sid", "doc_id", "h", "n", "bits").join(listed, "sid", "left_semi"), "set-heads")
+        self.members = materialise(rows.select("doc_id", "sid", "n"), "set-members")
+        discard(rows)
+
+    def may_link(self, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
         """By sizes and positions of one common n-gram."""
-        na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
         sizes = (F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & (na > 0)
         return sizes & (F.least(na - pa_, nb - pb) * (self.up + self.down) >= (na + nb) * self.up)
 
-    def few_differ(self, a: str, b: str, size: Column) -> Column:
-        """Whether the bitmaps leave enough common n-grams possible."""
-        differ = reduce(Column.__add__, (F.bit_count(F.col(a)[n].bitwiseXOR(F.col(b)[n])) for n in range(BITMAP)))
+    def with_leaders(self, entries: DataFrame, *by: str) -> DataFrame:
+        """Entries of lists (or blocks) of several sets, with partners: the first and the last by id, where they may link."""
+        own = Window.partitionBy(*by).orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        entry = F.struct("sid", "n", "place")
+        rows = entries.withColumn("first", F.first(entry).over(own)).withColumn("last", F.last(entry).over(own)).withColumn("size", F.count("*").over(own))
+        ends = F.filter(F.array("first", "last"), lambda e: (e["sid"] != F.col("sid")) & self.may_link(F.col("n"), F.col("place"), e["n"], e["place"]))
+        return rows.withColumn("partners", F.transform(ends, lambda e: e["sid"])).drop("first", "last")
+
+    def narrow_lists(self, sets: DataFrame) -> DataFrame:
+        """Lists of n-grams in fewer than HOT_SETS documents, so a list is small."""
+        entries = sets.select("sid", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("narrow"))).alias("place", "token"))
+        return self.with_leaders(entries, "token").where("size > 1").select("token", "sid", "n", "place", F.lit(None).cast("long").alias("block"), "partners")
+
+    def wide_lists(self, sets: DataFrame) -> DataFrame:
+        """All other lists, in blocks of like sizes and positions: BLOCK sets of one size and position stay together by a hash."""
+        rest = F.transform(F.slice("prefix", F.col("narrow") + 1, F.size("prefix")), lambda t, i: F.struct((F.col("narrow") + i).alias("place"), t.alias("token")))
+        entries = sets.where(F.size("prefix") > F.col("narrow")).select("sid", "n", F.explode(rest).alias("e")).select("e.token", "sid", "n", "e.place")
+        often = entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+        size = F.floor(F.log("n") / np.log(self.down / self.up))
+        place = F.floor(8 * F.col("place") * self.down / (F.col("n") * (self.down - self.up) + self.down))
+        dealt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("times") / BLOCK))
+        block = F.when(F.col("times") > BLOCK, F.xxhash64(size, place, dealt)).otherwise(F.lit(0))
+        blocks = entries.join(often, "token").withColumn("block", block).repartition("token", "block")
+        return self.with_leaders(blocks, "token", "block").select("token", "sid", "n", "place", "block", "partners")
+
+    def labelled_lists(self, labels: DataFrame) -> DataFrame:
+        """Lists with sets of several components (and all blocks of long ones): label, and as partner the neighbour by id in another one."""
+        own = self.lists.drop("partners").join(broadcast_if_small(labels, MOST_WANTED), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        block = Window.partitionBy("token", "block")
+        entry = F.struct("sid", "n", "place", "label")
+        rows = own.withColumn("mixed", (F.min("label").over(block.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) != F.max("label").over(block.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+        rows = rows.withColumn("before", F.lag(entry).over(block.orderBy("sid"))).where("mixed OR block IS NOT NULL")
+        near = (F.col("before.label") != F.col("label")) & self.may_link(F.col("n"), F.col("place"), F.col("before.n"), F.col("before.place"))
+        return materialise(rows.select("token", "block", "sid", "n", "place", "label", F.when(near, F.array("before.sid")).otherwise(F.array().cast("array<long>")).alias("partners")), "set-mixed")
+
+    def across(self, mixed: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of a common list in different components that sizes and positions allow."""
+        own = mixed.drop("label", "partners").join(broadcast_if_small(labels, MOST_WANTED), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        may = self.may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")) & (F.col("x.label") != F.col("y.label"))
+        pair = (F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+        few = own.where("block IS NULL")
+        close = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & may).select(*pair)
+        many = materialise(own.where("block IS NOT NULL"), "set-wide")
+        left = F.col("n") - F.col("place")
+        blocks = many.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(left).alias("left"), F.min("label").alias("least"), F.max("label").alias("most"))
+        reach = (F.col("x.low") * self.up <= F.col("y.high") * self.down) & (F.col("y.low") * self.up <= F.col("x.high") * self.down)
+        reach &= F.least("x.left", "y.left") * (self.up + self.down) >= (F.col("x.low") + F.col("y.low")) * self.up
+        reach &= (F.col("x.least") != F.col("y.most")) | (F.col("x.most") != F.col("y.least"))
+        read = blocks.alias("x").join(blocks.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")) & reach)
+        read = read.select(F.col("x.token").alias("token"), F.col("x.block").alias("block"), F.col("y.block").alias("other"))
+        x = many.join(broadcast_if_small(read, MOST_WANTED), ["token", "block"]).alias("x")
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block")) & ((F.col("x.block") < F.col("y.block")) | (F.col("x.sid") < F.col("y.sid")))
+        return close.unionAll(x.join(many.alias("y"), same & may).select(*pair)).distinct()
+
+    def few_differ(self, size: Column) -> Column:
+        """Whether bits_a and bits_b leave enough common n-grams possible. The longer one is folded to the length of the other."""
+
+        def fold(bits: Column, other: Column) -> Column:
+            half = F.floor(F.size(bits) / 2).cast("int")
+            return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
+
+        a, b = F.col("bits_a"), F.col("bits_b")
+        differ = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return differ * (self.up + self.down) <= size * (self.down - self.up)
 
-    def candidates(self) -> DataFrame:
-        """All pairs of different sets in a common list that sizes and positions allow."""
-        long = self.entries.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        own = self.entries.join(broadcast_if_small(long, MOST_WANTED), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = own.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        x = own.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("x")
-        y = own.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("y")
-        same = reduce(Column.__and__, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "low", "high")))
-        once = (F.col("x.low") < F.col("x.high")) | (F.col("x.sid") < F.col("y.sid"))
-        pairs = x.join(y, same & once & self.may_link("x", "y"))
-        return pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-
-    def pairs(self) -> DataFrame:
-        """a, b (a < b): all different sets as alike as asked."""
-        return self.linked(materialise(self.candidates(), "set-candidates"))
-
-    def with_leaders(self) -> DataFrame:
-        """Pairs of each listed set with the leaders of its lists: the first and the last by id, the smallest and the largest."""
-        by_size, by_id = F.struct("n", "sid", "place"), F.struct("sid", "n", "place")
-        leaders = self.entries.groupBy("token").agg(F.array(F.min(by_id)["sid"], F.min(by_size)["sid"], F.max(by_size)["sid"], F.max(by_id)["sid"]).alias("leaders"))
-        pairs = self.entries.select("token", "sid").join(leaders, "token").select("sid", F.explode(F.array_distinct("leaders")).alias("other")).where("sid != other")
-        return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-
-    def across(self, labels: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of a common list in different components that weren't compared."""
-        own = self.entries.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-        own = materialise(own.join(mixed, "token").join(self.sets.select("sid", "bits"), "sid"), "set-mixed")
-        main = own.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-        own = own.join(main, "token").withColumn("rare", F.col("label") != F.col("main"))
-        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.rare") | (F.col("x.sid") < F.col("y.sid"))) & self.may_link("x", "y") & self.few_differ("x.bits", "y.bits", F.col("x.n") + F.col("y.n"))
-        pairs = own.where("rare").alias("x").join(own.alias("y"), same).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        return pairs.join(done, ["a", "b"], "left_anti")
-
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sets are as alike as asked."""
+        """Those of the pairs (a, b) whose sets are as alike as asked. All b of an a meet its n-grams, FAN in a group."""
         heads = self.sets.select("sid", "n", "bits")
         x, y = (heads.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
         both = pairs.join(x, "a").join(y, "b")
         na, nb = F.col("n_a"), F.col("n_b")
-        close = both.where((F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & self.few_differ("bits_a", "bits_b", na + nb))
+        # bitmaps of sets that may link differ by a factor of two in length, at most, if the asked likeness is over 1/2
+        foldable = (F.size("bits_a") <= 2 * F.size("bits_b")) & (F.size("bits_b") <= 2 * F.size("bits_a"))
+        close = both.where((F.least(na, nb) * self.down >= F.greatest(na, nb) * self.up) & (~foldable | self.few_differ(na + nb)))
         close = materialise(close.select("a", "b"), "set-pairs")
-        wanted = close.select(F.col("a").alias("sid")).unionAll(close.select(F.col("b").alias("sid"))).distinct()
-        ids = self.sets.join(wanted, "sid", "left_semi").select("doc_id", "sid")
-        words = self.words
-
-        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles = Shingles(words)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
-                    sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
-                    right = [k for k, (sid, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if s.size and set_id(s) == sid]
-                    yield table({"sid": ([batch.column(0)[k].as_py() for k in right], pa.int64()), "tokens": ([sets[k].tobytes() for k in right], pa.binary())})
-
-        found = texts(self.docs).join(broadcast_if_small(ids, MOST_WANTED), "doc_id").select("sid", "text").mapInArrow(tokens, "sid long, tokens binary")
-        sets = materialise(found, "set-tokens").dropDuplicates(["sid"])
-        x, y = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+        parts = close.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
+        asks = close.join(parts, "a").select(F.col("b").alias("sid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")).alias("ask"))
+        asks = asks.unionByName(parts.select(F.col("a").alias("sid"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("a"), p.alias("part")))).alias("ask")))
+        found = self.tokens_of(asks.groupBy("sid").agg(F.collect_list("ask").alias("asks"))).select("sid", "tokens", F.explode("asks").alias("ask")).select("ask.a", "ask.part", "sid", "tokens")
         up, down = self.up, self.down
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """In order of a, its own row first."""
+            one = None
             for batch in batches:
                 keep = []
-                for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                    one, two = (np.frombuffer(v.as_buffer(), np.int64) for v in (one, two))
+                for a, sid, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    two = np.frombuffer(tokens.as_buffer(), np.int64)
+                    if sid == a:
+                        one = two.copy()
+                        continue
                     common = np.intersect1d(one, two, assume_unique=True).size
-                    keep.append(down * common >= up * (one.size + two.size - common))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    if down * common >= up * (one.size + two.size - common):
+                        keep.append((a, sid))
+                yield table({"a": ([k[0] for k in keep], pa.int64()), "b": ([k[1] for k in keep], pa.int64())})
+
+        groups = found.repartition("a", "part").sortWithinPartitions("a", "part", F.col("sid") != F.col("a"))
+        return materialise(groups.mapInArrow(compare, "a long, b long").distinct(), "set-links")
+
+    def tokens_of(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (sid and more) with tokens, the n-grams of each set, from one of its texts."""
+        more = [c for c in wanted.columns if c != "sid"]
+        asked = self.sets.select("sid", F.struct("doc_id", "h").alias("key")).join(wanted, "sid")
+        rows = texts(self.docs).withColumn("own", F.struct("doc_id", F.xxhash64("text").alias("h"))).join(broadcast_if_small(materialise(asked, "set-asked"), MOST_WANTED), F.col("own").eqNullSafe(F.col("key")))
+        words = self.words
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles = Shingles(words)
+            for batch in sliced(batches):
+                own = [shingles.of(t).tobytes() for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.binary())], [*batch.schema.names[1:], "tokens"])
 
-        return materialise(close.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"), "set-links")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select("sid", *more).schema.fields)
+        return rows.select("text", "sid", *more).mapInArrow(tokens, f"{kinds}, tokens binary")
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (the smallest id that links reach) of each row."""
-        first = materialise(self.with_leaders(), "set-first")
-        links = self.linked(first)
+    def labels(self) -> DataFrame:
+        """sid, label of all sets that link with another one."""
+        spread = lambda lists: lists.where(F.size("partners") > 0).select("sid", F.explode("partners").alias("other")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+        links = self.linked(spread(self.lists))
+        labels = connected(links)
+        mixed = self.labelled_lists(labels)
+        links = links.unionAll(self.linked(spread(mixed)))
         labels = connected(links)
-        links = links.unionAll(self.linked(self.across(labels, first)))
-        return self.labelled(links).select("doc_id", "n_shingles", "component_id")
+        links = links.unionAll(self.linked(self.across(mixed, labels)))
+        return connected(links)
 
-    def labelled(self, links: DataFrame) -> DataFrame:
-        own = self.members.join(connected(links), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    def components(self, labels: DataFrame | None = None) -> DataFrame:
+        """sid, doc_id, n_shingles, component_id (the smallest id that links reach) of each row."""
+        own = self.members.join(self.labels() if labels is None else labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
         joined = own.join(least, "label", "left")
         return joined.select("sid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
+    def grouped(self, labels: DataFrame) -> DataFrame:
+        """label, low, high, block, sid, copies, tokens: the sets of each component, in all pairs of its blocks."""
+        copies = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"))
+        sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+        dealt = labels.join(sizes, "label").join(copies, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        held = self.tokens_of(dealt)
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        return held.select("label", "block", "sid", "copies", "tokens", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+
+    def count_links(self, labels: DataFrame) -> DataFrame:
+        """sid, others: the number of documents whose sets differ and are as alike as asked."""
+        up, down = self.up, self.down
+
+        def count(group: pa.Table) -> pa.Table:
+            sids, copies, linked = derived(group, up, down)
+            others = linked @ copies
+            return pa.table({"sid": pa.array(sids, pa.int64()), "others": pa.array(others.astype(np.int64))})
+
+        each = self.grouped(labels).groupBy("label", "low", "high").applyInArrow(count, "sid long, others long")
+        return each.groupBy("sid").agg(F.sum("others").alias("others"))
+
+    def pairs(self) -> DataFrame:
+        """a, b (a < b): all different sets as alike as asked."""
+        up, down = self.up, self.down
+
+        def listed(group: pa.Table) -> pa.Table:
+            sids, _, linked = derived(group, up, down)
+            a, b = np.nonzero(np.triu(linked | linked.T))
+            own = np.stack([sids[a], sids[b]])
+            return pa.table({"a": pa.array(own.min(axis=0)), "b": pa.array(own.max(axis=0))})
+
+        return self.grouped(self.labels()).groupBy("label", "low", "high").applyInArrow(listed, "a long, b long")
+
     def links(self) -> DataFrame:
         """doc_id, n_shingles, component_id, n_links (other rows as alike as asked, those of an equal set among them) of each row."""
-        pairs = self.pairs()
-        copies = materialise(self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies")), "set-copies")
-        both = pairs.select(F.col("a").alias("own"), F.col("b").alias("sid")).unionAll(pairs.select(F.col("b").alias("own"), F.col("a").alias("sid")))
-        others = both.join(copies, "sid").groupBy("own").agg(F.sum("copies").alias("others"))
-        counted = copies.join(others, copies["sid"] == others["own"], "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        rows = self.labelled(pairs).join(counted, "sid", "left")
+        labels = self.labels()
+        copies = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"))
+        counted = copies.join(materialise(self.count_links(labels), "set-counts"), "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        rows = self.components(labels).join(counted, "sid", "left")
         return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def derived(group: pa.Table, up: int, down: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sids, copies, and which sets of a group's lower block link with which of its higher one (of one block: all with all).
+
+    The first set's answers come from its n-grams; those of all others from the n-grams in which they differ from it.
+    """
+    group = group.take(pa.array(np.unique(group.column("sid").to_numpy(), return_index=True)[1]))  # repeated rows
+    sids, copies = group.column("sid").to_numpy(), group.column("copies").to_numpy()
+    sets = [np.frombuffer(t.as_buffer(), np.int64) for t in group.column("tokens").combine_chunks()]
+    size = np.array([s.size for s in sets])
+    pivot = sets[0]
+    lacks = [np.setdiff1d(pivot, s, assume_unique=True) for s in sets]
+    adds = [np.setdiff1d(s, pivot, assume_unique=True) for s in sets]
+    missing = np.array([x.size for x in lacks])
+    where = np.repeat(np.arange(len(sets)), missing + [x.size for x in adds])
+    _, what = np.unique(np.concatenate([y for x in zip(lacks, adds, strict=True) for y in x]), return_inverse=True)
+    together = np.zeros((len(sets), len(sets)))
+    order = np.argsort(what, kind="stable")
+    where, what = where[order], what[order]
+    for at in range(0, int(what[-1]) + 1 if what.size else 0, WIDTH):
+        own = slice(*np.searchsorted(what, [at, at + WIDTH]))
+        differs = np.zeros((len(sets), WIDTH), np.float32)
+        differs[where[own], what[own] - at] = 1
+        together += differs @ differs.T
+    common = pivot.size - missing[:, None] - missing + together
+    linked = down * common >= up * (size[:, None] + size - common)
+    np.fill_diagonal(linked, False)
+    low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "block"))
+    if low[0] != high[0]:
+        linked &= block[:, None] != block
+    return sids, copies, linked
+
+
 def connected(links: DataFrame) -> DataFrame:
     """sid, label: the smallest id of each linked set's component, by passing on minima and jumping along them."""
     edges = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "set-edges")
@@ -293,7 +409,7 @@ def links(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denom
 
 
 def components(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    return Join(docs, words, numerator, denominator).components()
+    return Join(docs, words, numerator, denominator).components().drop("sid")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
