@@ -1,16 +1,19 @@
 """Personal data, and terms that give it away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. A term that stands near such an entity
-tells something about it: the pointwise mutual information of both, from corpus counts, divided by the
-entity's own information content, is the share of the entity that the term discloses. Terms that disclose
-GENERALISE_AT of it are generalised, and those that disclose REMOVE_AT of it are removed.
+Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. How strongly a term
+reveals one is estimated from their co-occurrence in documents: an entity in n_e of N documents has the information
+log(N / n_e); knowing that a document has the term, in n_t documents, of which n_both hold the entity too, leaves
+log(n_t / n_both) of it. The share that is gone is what the term discloses, 0 to 1. Terms that disclose GENERALISE_AT
+are generalised to the kind of the entity, those that disclose REMOVE_AT are removed, wherever they stand.
 
-Counts: df(term) is the number of documents with the term, over all documents; the entity, and both together,
-count distinct contexts (so copies of a passage count once), of which MIN_CONTEXTS must be seen.
+All four numbers count documents. A pair is estimated if its documents hold the entity in MIN_CONTEXTS contexts at
+least (of 40 code points on both sides, told apart by CLASSES classes of hashes), so that copies and near copies of one
+passage aren't evidence of their own; or if the term is a part of the address itself (NAME letters or more), which
+needs no further evidence.
 
 Spans are code point offsets, the end exclusive. A null text is empty. Rows equal in id and text get equal
 results, one each. Possessive patterns keep very long runs linear. Only doc_id and text are read, so other
-columns may have any name. An empty table gives an empty result.
+columns may have any name. An empty table gives an empty result. A text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import broadcast_if_small, materialise, texts
+from cratewise.llm.common import broadcast_if_small, carried, materialise, texts
 
 # Kinds in the order of the report, with their patterns. Possessive loops at a pattern's end and
 # before a character outside their class match the same as greedy ones. The first two may only start where a
@@ -33,12 +36,14 @@ PATTERNS = {
 # A term is a word of three letters or digits at least that isn't a part of an address.
 TERM = r"(?<![\p{L}\p{N}@%+_-])(?<![A-Za-z0-9]\.)\p{L}[\p{L}\p{N}]{2,}+(?![@%+_-]|\.[A-Za-z0-9])"
 CONTEXT = 40
-MIN_CONTEXTS = 3
+MIN_CONTEXTS, CLASSES = 3, 63
+NAME = 4
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
-#: Candidate terms that are broadcast, of at most 40 code points each; beyond, a shuffled join.
-MOST_TERMS = 200_000
+#: Entities, terms or documents that are broadcast; beyond, a shuffled join.
+MOST_ENTITIES, MOST_TERMS, MOST_DOCS = 200_000, 200_000, 100_000
 DOC = ["doc_id", "h", "n"]
+EMAIL, CARD = KINDS.index("email"), KINDS.index("card")
 
 
 def bound(value: Column, use) -> Column:
@@ -95,56 +100,89 @@ def shown(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n, base: the spans of each row, with what stands CONTEXT code points around each."""
-    rows = texts(docs).withColumn("found", base_spans(F.col("text")))
+    """doc_id, h, n, base: the spans of each row with entity, class of its context, and whether it is the entity's first one; and the
+    distinct terms of rows that have spans."""
+    text = F.col("text")
     lead = lambda s: F.greatest(s["start"] - CONTEXT, F.lit(0))
-    base = F.transform("found", lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), lead(s).alias("lead"),
-        F.substring(F.col("text"), lead(s) + 1, s["start"] - lead(s)).alias("left"), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)).alias("right"),
-    ))
-    return materialise(rows.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), base.alias("base")), "privacy-base")
-
-
-def near_terms(base: DataFrame) -> DataFrame:
-    """A row for each term near an entity: document, entity, context, term and its span. Words cut by the context's ends are none."""
-    each = base.where(F.size("base") > 0).select(*DOC, F.explode("base").alias("e"))
-    left = F.filter(F.transform(matches(F.col("e.left"), TERM), lambda m: F.struct((m["start"] + F.col("e.lead")).alias("start"), (m["end"] + F.col("e.lead")).alias("end"), m["value"].alias("value"))), lambda m: (m["start"] > F.col("e.lead")) | (F.col("e.lead") == 0))
-    right = F.filter(F.transform(matches(F.col("e.right"), TERM), lambda m: F.struct((m["start"] + F.col("e.end")).alias("start"), (m["end"] + F.col("e.end")).alias("end"), m["value"].alias("value"))), lambda m: (m["end"] < F.col("e.end") + CONTEXT) | (m["end"] == F.col("n")))
-    entity = F.when(F.col("e.kind") >= KINDS.index("card"), F.regexp_replace("e.value", "[^0-9]", "")).otherwise(F.lower("e.value"))
-    rows = each.select(*DOC, F.col("e.kind").alias("kind"), entity.alias("entity"), F.xxhash64("e.left", "e.right").alias("context"), F.explode(F.concat(left, right)).alias("t"))
-    return rows.select(*DOC, "kind", "entity", "context", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame | None:
-    """kind, entity, term, disclosed (0 to 1) of pairs seen in MIN_CONTEXTS contexts; None if there are none."""
-    both = near.groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
-    both = materialise(both, "privacy-pairs")
-    if both.isEmpty():
-        return None
-    entities = near.groupBy("kind", "entity").agg(F.countDistinct("context").alias("n_entity"))
-    total = base.count()
-    terms = broadcast_if_small(both.select("term").distinct(), MOST_TERMS)
-    words = texts(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = both.join(entities, ["kind", "entity"]).join(df, "term")
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * float(total) / (F.col("n_term") * F.col("n_entity")))
-    return counted.select("kind", "entity", "term", F.when(content > 0, shared / content).otherwise(0.0).alias("disclosed"))
+    around = lambda s: F.xxhash64(F.substring(text, lead(s) + 1, s["start"] - lead(s)), F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
+    entity = lambda s: F.when(s["kind"] >= CARD, F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
+    each = F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(s).alias("entity"), F.pmod(around(s), F.lit(CLASSES)).cast("int").alias("context")))
+
+    def marked(spans: Column) -> Column:
+        names = F.transform(spans, lambda s: F.struct(s["kind"], s["entity"]))
+        first = lambda keys: F.transform(spans, lambda s, i: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "entity", "context")), (F.array_position(keys, F.get(keys, i)) == i + 1).alias("first")))
+        return bound(names, first)
+
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text", bound(each, marked).alias("base"))
+    rows = rows.withColumn("terms", F.when(F.size("base") > 0, terms_of(text)))
+    return materialise(rows.drop("text"), "privacy-base")
+
+
+def pairs(base: DataFrame) -> DataFrame:
+    """kind, entity, term, n_both, n_entity of all pairs with evidence."""
+    held = base.where(F.size("base") > 0)
+    each = held.select("terms", F.explode("base").alias("e")).select("terms", "e.kind", "e.entity", "e.context", "e.first")
+    context = F.expr("shiftleft(1L, context)")
+    entities = each.groupBy("kind", "entity").agg(F.count_if("first").alias("n_entity"), F.bit_or(context).alias("contexts"))
+    entities = materialise(entities, "privacy-entities")
+    often = broadcast_if_small(entities.where(F.bit_count("contexts") >= MIN_CONTEXTS).select("kind", "entity"), MOST_ENTITIES)
+    seen = each.join(often, ["kind", "entity"]).select("kind", "entity", "context", "first", F.explode("terms").alias("term"))
+    seen = seen.groupBy("kind", "entity", "term").agg(F.count_if("first").alias("n_both"), F.bit_or(context).alias("contexts")).where(F.bit_count("contexts") >= MIN_CONTEXTS)
+    parts = F.filter(F.split(F.substring_index("entity", "@", 1), r"[^\p{L}]+"), lambda p: F.length(p) >= NAME)
+    own = each.where((F.col("kind") == EMAIL) & F.col("first")).select("kind", "entity", F.explode(F.array_intersect("terms", parts)).alias("term"))
+    own = own.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both"))
+    both = seen.drop("contexts").unionByName(own).groupBy("kind", "entity", "term").agg(F.max("n_both").alias("n_both"))
+    return materialise(both.join(entities.select("kind", "entity", "n_entity"), ["kind", "entity"]), "privacy-pairs")
+
+
+def disclosures(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """kind, entity, term, disclosed (0 to 1) of all pairs with evidence. Words are counted in each task before any is sent."""
+    words = texts(docs).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    content = F.log(F.lit(float(max(1, base.count()))) / F.col("n_entity"))
+    left = F.log(F.col("n_term") / F.col("n_both"))
+    disclosed = F.when(content > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - left / content))).otherwise(0.0)
+    return pairs(base).join(words, "term").select("kind", "entity", "term", disclosed.alias("disclosed"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n, base, terms: entities of each row, and (start, end, disclosed) of terms that disclose GENERALISE_AT or more."""
+    """doc_id, h, n, base, terms: entities of each row, and (start, end, disclosed, kind) of all terms that disclose GENERALISE_AT or more of any."""
     base = find_base(docs)
-    near = materialise(near_terms(base), "privacy-terms")
-    known = disclosures(docs, base, near)
-    if known is None:
-        return base.withColumn("terms", F.array().cast("array<struct<start:int,end:int,disclosed:double>>"))
-    telling = broadcast_if_small(known.where(F.col("disclosed") >= GENERALISE_AT), MOST_TERMS)
-    spans = near.join(telling, ["kind", "entity", "term"]).groupBy(*DOC, "start", "end").agg(F.max("disclosed").alias("disclosed"))
-    spans = spans.groupBy(F.struct(*DOC).alias("key_")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosed"))).alias("terms"))
-    joined = base.join(spans, F.struct(*DOC).eqNullSafe(F.col("key_")), "left").drop("key_")
-    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosed:double>>")))
+    telling = disclosures(docs, base).where(F.col("disclosed") >= GENERALISE_AT).groupBy("term").agg(F.max(F.struct("disclosed", "kind")).alias("most"))
+    telling = broadcast_if_small(materialise(telling, "privacy-telling"), MOST_TERMS)
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    words = texts(docs).select(key.alias("key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    hits = words.join(telling, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "most"))).alias("found"))
+    hits = broadcast_if_small(materialise(hits, "privacy-hits"), MOST_DOCS)
+    rows = texts(docs).select(key.alias("own"), "text").join(hits, F.col("own").eqNullSafe(F.col("key"))).dropDuplicates(["own"]).select("own", spans_of(F.col("text"), F.col("found")).alias("terms"))
+    joined = base.drop("terms").join(rows, F.struct(*DOC).eqNullSafe(F.col("own")), "left").drop("own")
+    return joined.withColumn("terms", F.coalesce("terms", F.array().cast(SPANS)))
+
+
+SPANS = "array<struct<start:int,end:int,disclosed:double,kind:int>>"
+
+
+def spans_of(text: Column, found: Column) -> Column:
+    """Where the terms of ``found`` (by term, what it discloses) stand in a text."""
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda t, p: t + F.length(p))
+
+    def placed(x: Column) -> Column:
+        words, gaps = x["words"], x["gaps"]
+        at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.map_contains_key(found, F.lower(F.get(words, i - 1))))
+
+        def span(i: Column) -> Column:
+            word = F.get(words, i - 1)
+            most = found[F.lower(word)]
+            start = lambda n: F.struct(n.alias("start"), (n + F.length(word)).alias("end"), most["disclosed"].alias("disclosed"), most["kind"].alias("kind"))
+            return bound(length(F.slice(gaps, F.lit(1), i)) + length(F.slice(words, F.lit(1), i - 1)), start)
+
+        return F.when(F.size(words) > 0, F.transform(at, span)).otherwise(F.array().cast(SPANS))
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("words"), F.split(text, TERM, -1).alias("gaps")), placed)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -158,21 +196,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with entities replaced by their kind, telling terms by [TERM], and wholly disclosing ones by nothing."""
+    """``docs`` with entities replaced by their kind, telling terms by the kind of what they tell, and wholly disclosing ones by nothing."""
     found = find(docs)
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names, related = (F.array(*(F.lit(f"[{k.upper()}{more}]") for k in KINDS)) for more in ("", " OWNER"))
     marks = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("mark"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosed"] >= REMOVE_AT, "").otherwise("[TERM]").alias("mark"))),
+        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosed"] >= REMOVE_AT, "").otherwise(F.get(related, t["kind"])).alias("mark"))),
     )
-    spans = found.select(F.struct(*DOC).alias("key_"), F.array_sort(marks).alias("marks_")).where(F.size("marks_") > 0).groupBy("key_").agg(F.first("marks_").alias("marks_"))
+    spans = found.select(F.struct(*DOC).alias("key"), F.array_sort(marks).alias("marks")).where(F.size("marks") > 0).dropDuplicates(["key"])
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("own_key_", F.struct("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n"))).join(spans, F.col("own_key_").eqNullSafe(F.col("key_")), "left")
+    own = F.struct("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+    joined = carried(docs).withColumn("own", own).join(spans, F.col("own").eqNullSafe(F.col("key")), "left")
 
     def add(state: Column, m: Column) -> Column:
         gap = F.substring(text, state["at"] + 1, F.greatest(m["start"] - state["at"], F.lit(0)))
         return F.when(m["end"] <= state["at"], state).otherwise(F.struct(m["end"].alias("at"), F.concat(state["done"], gap, m["mark"]).alias("done")))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    clean = F.aggregate("marks_", begin, add, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("marks_").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("marks", begin, add, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+    row = F.col("row").withField("text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(clean))
+    return joined.select(row.alias("row")).select("row.*")

@@ -230,10 +230,14 @@ def test_set_join(spark, odd, empty):
 
 def test_set_join_loses_no_link(spark, empty, monkeypatch):
     monkeypatch.setattr(set_join, "BLOCK", 3)
+    monkeypatch.setattr(set_join, "GROUP", 7)
+    monkeypatch.setattr(set_join, "FAN", 4)
+    monkeypatch.setattr(set_join, "WIDTH", 16)
     random.seed(6)
     base = [f"v{i}" for i in range(90)]
     rows = [(i, " ".join(f"z{random.randint(0, 4)}" if random.random() < 0.01 else w for w in base)) for i in range(60)]
     rows += [(60 + i, rows[i][1]) for i in range(5)] + [(70, ""), (71, None), (72, "other words")]
+    rows += [(i, f"{rows[i - 73][1]} end{i}") for i in range(73, 80)]
     grams = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set() for i, t in rows}
     alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -247,6 +251,37 @@ def test_set_join_loses_no_link(spark, empty, monkeypatch):
     assert set_join.links(empty).count() == 0
 
 
+def test_set_join_with_null_ids_and_clashes(spark):
+    base = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(base), 7), (None, " ".join([*base, "x"]), 7), (5, " ".join([*base, "x", "y", "z"]), 7), (None, None, None), (None, " ".join(base), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = sorted(str(tuple(r)) for r in set_join.links(df, 4, 85, 100).collect())
+    assert got == sorted(map(str, [(1, 97, 1, 3), (None, 98, 1, 3), (5, 100, 1, 3), (None, 0, None, 0), (None, 97, 1, 3)]))
+    assert sorted(str(tuple(r)) for r in set_join.keep_one(df).collect()) == sorted(str(r) for r in rows if r[0] != 5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_set_join_at_random(spark, monkeypatch, seed):
+    """Families of edited texts that share passages, in small blocks and with n-grams that are frequent soon."""
+    for name, value in (("HOT_SETS", 3 + 3 * seed), ("BLOCK", 4), ("GROUP", 5), ("FAN", 3)):
+        monkeypatch.setattr(set_join, name, value)
+    draw = random.Random(seed)
+    passage = [f"p{i}" for i in range(25)]
+    rows = []
+    for i in range(160):
+        own = [f"f{i // 16}w{k}" for k in range(30 + 5 * (i // 16))]
+        own[3:3] = passage if i % 3 else []
+        for _ in range(draw.randint(0, 3)):
+            own[draw.randrange(len(own))] = f"z{draw.randint(0, 30)}"
+        rows.append((i, " ".join(own[: draw.choice([len(own), len(own) - 2])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = {i: sum(10 * len(x & y) >= 8 * len(x | y) for j, y in grams.items() if i != j) for i, x in grams.items()}
+    got = set_join.links(df).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_components(rows, 5, 8, 10)
+
+
 def brute_hits(text, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     own, hit, found = words(text), set(), set()
@@ -326,13 +361,43 @@ def test_privacy(spark, odd, empty):
     assert privacy.report(empty).count() == 0
 
 
+def brute_disclosed(docs):
+    """What each term discloses at most, by the definitions, document by document."""
+    term = re.compile(privacy.TERM.replace(r"\p{L}\p{N}", r"^\W_").replace(r"\p{L}", r"[^\W\d_]").replace("{2,}+", "{2,}"))
+    words = {i: {w.lower() for w in term.findall(t)} for i, t in docs.items()}
+    holds, contexts = defaultdict(set), defaultdict(set)
+    for i, t in docs.items():
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            holds[m[0].lower()].add(i)
+            contexts[m[0].lower(), i].add(hash((t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40])))
+    most = defaultdict(float)
+    for e, own in holds.items():
+        for w in set().union(*(words[i] for i in own)):
+            both = [i for i in own if w in words[i]]
+            if len(set().union(*(contexts[e, i] for i in both))) >= privacy.MIN_CONTEXTS or w in re.split(r"[^a-zA-Z]+", e.split("@")[0]) and len(w) >= privacy.NAME:
+                left = np.log(sum(w in x for x in words.values()) / len(both))
+                most[w] = max(most[w], 0 if len(own) == len(docs) else max(0, 1 - left / np.log(len(docs) / len(own))))
+    return most, term
+
+
 def test_telling_terms(spark):
-    rows = [(i, f"note {i}{i} from Zorbling at bob@x.org see p{i}q") for i in range(6)] + [(10 + i, f"common words stand here see {i}") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {r.doc_id: r.spans for r in privacy.report(df).collect()}
-    at = rows[0][1].index("Zorbling")
-    assert f"term:{at}:{at + 8}" in spans[0] and spans[10] == ""
-    assert "Zorbling" not in privacy.sanitise(df).where("doc_id = 0").first().text and "[EMAIL]" in privacy.sanitise(df).where("doc_id = 0").first().text
+    """As brute force has it; marked wherever they stand; near copies of one passage are no evidence."""
+    draw = random.Random(4)
+    texts = [f"note {i}{i} from Zorbling at bob@x.org see p{i}q" for i in range(6)] + ["a story of Zorbling alone, and zorbling again"]
+    texts += [f"common words stand here see {i} " + " ".join(draw.choices(["alpha", "beta", "gamma", "delta", "story"], k=5)) for i in range(60)]
+    texts += [f"{'same passage ' * 5} mail to kim@y.net please {'the rest of it ' * 5} copy{i} Quirx" for i in range(5)]
+    texts += ["Heitlich wrote: heitlich.60@mail8.com", "no one else", "", "Heitlich is not at home"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    most, term = brute_disclosed(dict(enumerate(texts)))
+    got = {r.term: r.d for r in privacy.disclosures(df, privacy.find_base(df)).groupBy("term").agg(F.max("disclosed").alias("d")).collect()}
+    assert got.keys() == most.keys() and all(abs(got[w] - most[w]) < 1e-9 and 0 <= got[w] <= 1 for w in got)
+    spans = {r.doc_id: re.findall(r"term:(\d+):(\d+)", r.spans) for r in privacy.report(df).collect()}
+    told = {w for w, d in most.items() if d >= privacy.GENERALISE_AT}
+    assert "zorbling" in told and "heitlich" in told and "quirx" not in told
+    for i, t in enumerate(texts):
+        assert spans[i] == [(str(m.start()), str(m.end())) for m in term.finditer(t) if m[0].lower() in told]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    assert not any("zorbling" in t.lower() for t in clean.values()) and "[EMAIL]" in clean[0] and clean[30] == texts[30]
 
 
 def openssh_key(cipher=b"none", tag=b""):
