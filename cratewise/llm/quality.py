@@ -2,10 +2,10 @@
 
 Learned filters slide over a document's bytes. Their outputs are max-pooled in overlapping chunks that cover
 the whole document, the chunks' maxima are averaged, and a logistic unit makes one probability of them.
-The network is trained in numpy on the driver, from at most TRAIN_ROWS labelled rows, each of a few chunks
-spread over the whole document; scores are computed in the tasks, from every byte.
+The network is trained in numpy on the driver, from all chunks of at most TRAIN_ROWS whole labelled texts of at most
+TRAIN_BYTES together, taken by a hash; scores are computed in the tasks. Both read every byte.
 
-A null or empty text is one chunk of zero bytes and gets the probability of that. Repeated rows each get
+An empty table gives an empty result. A null or empty text is one chunk of zero bytes and gets the probability of that. Repeated rows each get
 their score. Without rows of both labels every score is the share of label 1 (1 without any label).
 Columns other than doc_id and text are never read.
 """
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cratewise.llm.common import labelled, texts
 
@@ -27,11 +28,11 @@ WIDTH = 5
 #: A chunk is two neighbouring hops, so each byte lies in two chunks.
 HOP = 128
 TRAIN_ROWS = 4_000
-TRAIN_CHUNKS = 4
+TRAIN_BYTES = 24 << 20
 #: Gradient steps, however few rows there are.
-STEPS = 750
+STEPS = 600
 RATE = 0.01
-BATCH = 64
+BATCH = 32
 #: Bytes convolved at once.
 BLOCK = 512 * HOP
 
@@ -64,37 +65,42 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(chunks.mean(axis=0) @ self.out + self.constant, -30, 30))))
 
 
-def spread(text: bytes) -> bytes:
-    """TRAIN_CHUNKS chunks of a document, from its start to its end; zero bytes fill short ones."""
-    size = 2 * HOP + WIDTH - 1
-    last = max(0, len(text) - 2 * HOP)
-    n = min(TRAIN_CHUNKS, -(-max(1, len(text)) // (2 * HOP)))
-    own = [text[at : at + size].ljust(size, b"\0") for at in (last * k // max(1, n - 1) for k in range(n))]
-    return b"".join(own[k % n] for k in range(TRAIN_CHUNKS))
+def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, each in whole hops and a hop of zero bytes; the first hop of each chunk; and each text's number of chunks."""
+    hops = np.array([max(2, -(-t.size // HOP)) for t in texts])
+    at = np.concatenate(([0], np.cumsum(hops + 1)))
+    flat = np.zeros(at[-1] * HOP + WIDTH - 1, np.uint8)
+    for a, t in zip(at.tolist(), texts, strict=False):
+        flat[a * HOP : a * HOP + t.size] = t
+    return flat, np.concatenate([np.arange(a, a + h - 1) for a, h in zip(at.tolist(), hops.tolist(), strict=False)]), hops - 1
 
 
-def train(chunks: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
-    """Adam over (rows, TRAIN_CHUNKS, bytes) and 0/1 labels. Gradients reach only the bytes under each maximum."""
+def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
+    """Adam over the bytes of whole texts and 0/1 labels. Gradients reach only the bytes under each chunk's maximum."""
     draw = np.random.default_rng(seed)
     net = Network(draw.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), draw.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
     values = [net.table, net.bias, net.out, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     batches = max(1, len(labels) // BATCH)
+    filters = np.arange(FILTERS)
     for _ in range(-(-STEPS // batches)):
         for rows in np.array_split(draw.permutation(len(labels)), batches):
-            x = chunks[rows]
-            y = net.convolve(x)
-            at = y.argmax(axis=2)
-            top = np.take_along_axis(y, at[:, :, None, :], 2)[:, :, 0, :] + net.bias
-            pooled = np.maximum(top, 0).mean(axis=1)
+            flat, left, chunks = laid_out([texts[r] for r in rows])
+            y = net.convolve(flat).reshape(-1, HOP, FILTERS)
+            at = y.argmax(axis=1)
+            top = np.take_along_axis(y, at[:, None, :], 1)[:, 0, :]
+            hop = left[:, None] + (top[left + 1] > top[left])
+            value = top[hop, filters] + net.bias
+            doc = np.repeat(np.arange(chunks.size), chunks)
+            pooled = np.add.reduceat(np.maximum(value, 0), np.cumsum(chunks) - chunks) / chunks[:, None]
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + values[3][0], -30, 30)))
-            error = ((p - labels[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            back = error[:, None, None] * net.out * (top > 0) / x.shape[1]
-            grads = [np.zeros_like(net.table), back.sum(axis=(0, 1)), pooled.T @ error, np.array([error.sum()], np.float32)]
-            r, c, f = np.meshgrid(*(np.arange(k) for k in at.shape), indexing="ij")
+            error = (p - labels[rows]) * weight[rows] / len(rows)
+            back = ((error / chunks)[doc, None] * net.out * (value > 0)).astype(np.float32)
+            grads = [np.zeros_like(net.table), back.sum(axis=0), pooled.T @ error, np.array([error.sum()])]
+            place = hop * HOP + at[hop, filters]
             for j in range(WIDTH):
-                np.add.at(grads[0][j], (x[r, c, at + j], f), back)
+                np.add.at(grads[0][j], (flat[place + j], filters), back)
             step += 1
             for k, g in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -105,32 +111,38 @@ def train(chunks: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Network:
-    """A network from at most TRAIN_ROWS of the labelled rows that ``training`` (over doc_id) admits, taken by a hash of the id."""
+    """A network from at most TRAIN_ROWS labelled rows, and TRAIN_BYTES, of those that ``training`` (over doc_id) admits, by a hash of the id."""
     chosen = labelled(labels, "quality").where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [spread(t.encode()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], ["chunks", "label"])
-
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(run, "chunks binary, label int")
-    rows = sample.orderBy(F.xxhash64("chunks"), "chunks").limit(TRAIN_ROWS).collect()
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "label")
+    sizes = sample.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(TRAIN_ROWS).collect()
+    last = max([r["h"] for r, n in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if n <= TRAIN_BYTES], default=None)
+    rows = sample.where(F.col("h") <= last).orderBy("h", "text").limit(TRAIN_ROWS).collect() if last is not None else []
     y = np.array([r["label"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if y.size else 1.0
         return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 30.0 if share == 1 else -30.0)
-    x = np.stack([np.frombuffer(r["chunks"], np.uint8).reshape(TRAIN_CHUNKS, -1) for r in rows])
-    return train(x, y)
+    return train([np.frombuffer(r["text"].encode(), np.uint8) for r in rows], y)
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with a column score (0 to 1, higher: likelier good); replaces one of that name."""
-    held = docs.sparkSession.sparkContext.broadcast(network)
-    kept = docs.drop("score")
+    return scored(docs.drop("score"), network, "score")
+
+
+def keep(docs: DataFrame, network: Network, at: float) -> DataFrame:
+    """The rows of ``docs`` that score ``at`` or more; all columns stay, whatever their names."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, network, name).where(F.col(name) >= at).drop(name)
+
+
+def scored(kept: DataFrame, network: Network, name: str) -> DataFrame:
+    held = kept.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [held.value.probability((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, name])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))

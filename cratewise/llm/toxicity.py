@@ -6,35 +6,41 @@ ending continues in either class, and a word to its share of both. A document's
 log-likelihood ratios and those of its most telling words make the score, through a logistic curve fitted
 on other labelled rows.
 
-Spark counts the words of all training documents, copies once, and from them the n-grams; the counts, their
-backoff and the ratios stay tables, and none is dropped. Every fourth fold of the training rows sets the curve, from
-at most CURVE_ROWS rows, under counts without that fold; scores are by the counts of all training rows. Ratios of
-the CACHED_WORDS most frequent words are broadcast; those of all other words are joined by shuffle.
+Spark counts the words of all training documents, copies once, and from them the n-grams; none is dropped, those
+seen once neither. Every fourth fold of the training rows sets the curve, from at most CURVE_ROWS rows, under counts
+without that fold; scores are by the counts of all training rows. Up to MOST_HELD n-grams and words (16 bytes each)
+are broadcast (``Held``), so texts are read once and nothing is shuffled. Beyond, counts, backoff and ratios stay tables
+(``Tables``): the ratios of the CACHED_WORDS most frequent words are broadcast, those of all other words are joined by
+shuffle. Both give the same scores.
+
 Where no rows of both classes are labelled, every score is 0.5.
-A null or empty text scores as a document without evidence; repeated rows each get their score; words are
-split at white space, of any length; columns other than doc_id and text are never read.
+A null or empty text scores as a document without evidence; repeated rows each get their score; an empty table gives an
+empty result; words are split at white space, of any length, and texts are read whole; columns other than doc_id and
+text are never read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.llm.common import broadcast_if_small, fold, labelled, logistic, materialise, texts
 
-ORDER = 7
+ORDER = 6
 #: Words are looked up by a hash with this bit; n-grams have 56 bits.
 WORD = 1 << 62
 DISCOUNT = 0.75
 CURVE_ROWS = 20_000
+#: n-grams and words that are broadcast; beyond, they are joined by shuffle.
+MOST_HELD = 4_000_000
 #: Words whose ratios are broadcast; this costs time, never a count.
 CACHED_WORDS = 200_000
 #: Uncached words in so many documents are broadcast, as one key would hold them all.
@@ -45,7 +51,7 @@ SALTS, SHORT = 16, 1 << 32
 PARTS = ("own", "all")
 #: Labels of up to so many documents are broadcast (16 bytes each); beyond, Spark joins by shuffle.
 MOST_LABELS = 2_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 TOP_WORDS = 3
 #: Of n-grams and of words: the length-normalised ratio, then those of the top words.
 FEATURES = 2 * (TOP_WORDS + 1)
@@ -69,7 +75,8 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_keys(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode()) & (WORD - 1) | WORD for w in words], np.int64)
+    """As Spark's xxhash64 has them."""
+    return np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) & (WORD - 1) | WORD for w in words], np.int64)
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -205,10 +212,7 @@ def _words(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[n
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of n-grams, and of falling back from a context, of few counts held in memory.
-
-    ``Tables`` has the same for any number; tests hold it against this.
-    """
+    """Log-likelihood ratios (toxic to ordinary) of n-grams, and of falling back from a context, of counts held in memory."""
 
     keys: np.ndarray
     ratio: np.ndarray
@@ -248,6 +252,30 @@ class Model:
         return np.stack([np.add.reduceat(each, np.concatenate(([0], np.cumsum(n)[:-1]))), n, own_ratio], axis=1)
 
 
+@dataclass
+class Held:
+    """The model in memory, for counts of a bounded number: one ``Model`` for each of PARTS, and the curve."""
+
+    models: dict[str, Model]
+    weights: np.ndarray
+
+    @classmethod
+    def build(cls, words: DataFrame, counted: DataFrame) -> Held:
+        """From distinct words and n-grams with COUNTS."""
+        whole, models = counted.select("gram", *(F.col(c).cast("int") for c in COUNTS)).toArrow(), {}
+        own = word_table(words).select(F.xxhash64("word").bitwiseAND(F.lit(WORD - 1)).bitwiseOR(F.lit(WORD)).alias("key"), *(F.col(f"own_{p}").cast("float") for p in PARTS)).toArrow()
+        vocabulary = own.column("key").to_numpy()
+        order = np.argsort(vocabulary)
+        vocabulary = vocabulary[order]
+        for p in PARTS:
+            keys, toxic, ordinary = (whole.column(c).to_numpy() for c in ("gram", f"toxic_{p}", f"ordinary_{p}"))
+            seen = toxic + ordinary > 0
+            models[p] = Model.build(keys[seen], toxic[seen], ordinary[seen])
+            models[p].vocabulary, models[p].word_ratio = vocabulary, own.column(f"own_{p}").to_numpy(zero_copy_only=False)[order]
+            models[p].word_ratio = np.nan_to_num(models[p].word_ratio)
+        return cls(models, np.zeros(FEATURES + 1))
+
+
 @dataclass
 class Tables:
     """The model as tables, the ratios of its most frequent words in memory, and the curve."""
@@ -259,9 +287,9 @@ class Tables:
     weights: np.ndarray
 
     @classmethod
-    def build(cls, words: DataFrame, cached: int | None = None) -> Tables:
-        """From distinct words with COUNTS."""
-        ratios, falls = gram_tables(materialise(count_grams(words), "toxicity-counts"))
+    def build(cls, words: DataFrame, counted: DataFrame, cached: int | None = None) -> Tables:
+        """From distinct words and n-grams with COUNTS."""
+        ratios, falls = gram_tables(counted)
         model = cls(ratios, falls, word_table(words), (np.zeros(0, np.int64), {}), np.zeros(FEATURES + 1))
         most = words.orderBy(F.desc(F.col("toxic_all") + F.col("ordinary_all")), "word").limit(CACHED_WORDS if cached is None else cached).select("word")
         table = model.ratios_of(materialise(most, "toxicity-frequent")).toArrow()
@@ -292,37 +320,40 @@ class Tables:
 
 
 class Scorer:
-    """What a text's cached words add to its features, and its other words; remembers words."""
-
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
-        self.keys, self.ratios, self.known = keys, ratios, {}
+    """What a text's known words add to its features, and its other words; remembers words."""
 
-    def learn(self, new: list[str]) -> None:
-        if new:
-            at, there = find(self.keys, word_keys(new))
-            self.known.update((w, tuple(self.ratios[k].tolist()) if t else None) for w, k, t in zip(new, at, there, strict=True))
+    def __init__(self, ratios: Callable[[list[str]], list[tuple[float, float] | None]]):
+        self.ratios, self.known = ratios, {}
 
     def parts(self, batch: list[str]) -> Iterator[tuple]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         docs = [text.lower().split() for text in batch]
-        self.learn(list(set().union(*docs).difference(self.known)))
+        new = list(set().union(*docs).difference(self.known))
+        self.known.update(zip(new, self.ratios(new) if new else [], strict=True))
         for words in docs:
             found = list(map(self.known.__getitem__, words))
-            rest = Counter(w for w, x in zip(words, found, strict=True) if x is None)
-            ratios = np.array([x for x in found if x is not None]).reshape(-1, 2)
+            rest = Counter(w for w, x in zip(words, found, strict=True) if x is None) if None in found else {}
+            ratios = np.array([x for x in found if x is not None] if rest else found).reshape(-1, 2)
             top = np.maximum(np.sort(ratios, axis=0)[::-1][:TOP_WORDS], 0)
             yield sum(len(w.encode()) + 1 for w in words), len(words), *ratios.sum(axis=0).tolist(), top[:, 0].tolist(), top[:, 1].tolist(), [{"word": w, "n": n} for w, n in rest.items()]
 
 
-def _features(rows: DataFrame, model: Tables, part: str) -> DataFrame:
-    """doc_id, x (the features) of each (doc_id, text) row."""
-    held = rows.sparkSession.sparkContext.broadcast((model.cached[0], model.cached[1][part]))
+def cached_ratios(keys: np.ndarray, ratios: np.ndarray) -> Callable[[list[str]], list[tuple[float, float] | None]]:
+    def of(words: list[str]) -> list[tuple[float, float] | None]:
+        at, there = find(keys, word_keys(words))
+        return [tuple(ratios[k].tolist()) if t else None for k, t in zip(at, there, strict=True)]
+
+    return of
+
+
+def parts_of(rows: DataFrame, held: Broadcast, ratios: Callable) -> DataFrame:
+    """row, doc_id and what the known words of each (doc_id, text) row add to its features. ``ratios`` makes a Scorer's function of what is held."""
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))]
     names = ["n_grams", "n_words", "grams", "words", "top_grams", "top_words", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, first = Scorer(*held.value), TaskContext.get().partitionId() << 36
+        scorer, first = Scorer(ratios(held.value)), TaskContext.get().partitionId() << 36
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -333,16 +364,30 @@ def _features(rows: DataFrame, model: Tables, part: str) -> DataFrame:
 
     of_doc = rows.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {of_doc}, n_grams long, n_words long, grams double, words double, top_grams array<double>, top_words array<double>, rest array<struct<word:string,n:int>>"
-    own = materialise(rows.select("doc_id", "text").mapInArrow(run, schema), "toxicity-parts")
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def added_by_rest(own: DataFrame, model: Tables, part: str) -> DataFrame:
+    """row, s, o, top_s, top_o: what the words that weren't held add."""
     each = own.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
     known = materialise(model.ratios_of(each.groupBy("word").agg(F.count("*").alias("times"))), "toxicity-rest").select("word", "times", F.col(f"sum_{part}").alias("s"), F.col(f"own_{part}").alias("o"))
     heavy = F.broadcast(known.where(F.col("times") >= HEAVY))
     light = each.join(heavy.select("word"), "word", "left_anti").join(known.where(F.col("times") < HEAVY), "word")
     found = each.join(heavy, "word").unionByName(light)
     tops = lambda c: F.flatten(F.collect_list(F.array_repeat(F.greatest(F.col(c), F.lit(0.0)), F.least("n", F.lit(TOP_WORDS)))))
-    added = found.groupBy("row").agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum(F.col("o") * F.col("n")).alias("o"), tops("s").alias("top_s"), tops("o").alias("top_o"))
-    joined = own.drop("rest").join(added, "row", "left")
+    return found.groupBy("row").agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum(F.col("o") * F.col("n")).alias("o"), tops("s").alias("top_s"), tops("o").alias("top_o"))
+
+
+def _features(rows: DataFrame, model: Held | Tables, part: str) -> DataFrame:
+    """doc_id, x (the features) of each (doc_id, text) row."""
+    context = rows.sparkSession.sparkContext
     none = F.array().cast("array<double>")
+    if isinstance(model, Held):
+        joined = parts_of(rows, context.broadcast(model.models[part]), lambda m: lambda words: list(map(tuple, m.words(words)[:, [0, 2]].tolist())))
+        joined = joined.select("*", F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), none.alias("top_s"), none.alias("top_o"))
+    else:
+        own = materialise(parts_of(rows, context.broadcast((model.cached[0], model.cached[1][part])), lambda x: cached_ratios(*x)), "toxicity-parts")
+        joined = own.drop("rest").join(added_by_rest(own, model, part), "row", "left")
     clip = lambda c: F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c))
     x = []
     for column, more, top, more_top, parts in (("grams", "s", "top_grams", "top_s", "n_grams"), ("words", "o", "top_words", "top_o", "n_words")):
@@ -352,7 +397,7 @@ def _features(rows: DataFrame, model: Tables, part: str) -> DataFrame:
     return joined.select("doc_id", F.array(*map(clip, x)).alias("x"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Tables:
+def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Held | Tables:
     """A model from the labelled rows that ``training`` (over doc_id) admits."""
     own = labelled(labels, "toxic").where(training)
     known = texts(docs).join(broadcast_if_small(own, MOST_LABELS), "doc_id")
@@ -360,7 +405,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Tables:
     once = known.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "label", for_curve.alias("for_curve"))
     once = materialise(once, "toxicity-rows")
     rows = texts(docs).join(broadcast_if_small(once, MOST_LABELS), "doc_id")
-    model = Tables.build(materialise(count_words(rows), "toxicity-seen"))
+    words = materialise(count_words(rows), "toxicity-seen")
+    counted = materialise(count_grams(words), "toxicity-counts")
+    held = words.count() + counted.count() <= MOST_HELD
+    model = Held.build(words, counted) if held else Tables.build(words, counted)
     curve = once.where("for_curve").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).select("doc_id", "label")
     sample = _features(texts(docs).join(F.broadcast(curve.select("doc_id")), "doc_id"), model, "own").join(F.broadcast(curve), "doc_id").toPandas()
     if sample["label"].nunique() == 2:
@@ -368,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Tables:
     return model
 
 
-def score(docs: DataFrame, model: Tables) -> DataFrame:
+def score(docs: DataFrame, model: Held | Tables) -> DataFrame:
     """doc_id, score (0 to 1, higher: likelier toxic) of each row."""
     sums = sum((F.get("x", F.lit(k)) * float(w) for k, w in enumerate(model.weights[:-1])), F.lit(float(model.weights[-1])))
     return _features(texts(docs), model, "all").select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sums))))).alias("score"))

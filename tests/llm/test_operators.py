@@ -154,7 +154,9 @@ def test_toxicity_holds_all_counts(spark, monkeypatch):
     random.seed(11)
     seen = {"".join(random.choice("abcé") for _ in range(random.randint(1, 9))): [random.randint(0, 2) for _ in range(4)] for _ in range(300)}
     rows = [(w, t, o, t + a, o + b) for w, (t, o, a, b) in seen.items() if t + o + a + b]
-    model = toxicity.Tables.build(spark.createDataFrame(rows, "word string, toxic_own long, ordinary_own long, toxic_all long, ordinary_all long"), cached=20)
+    words = spark.createDataFrame(rows, "word string, toxic_own long, ordinary_own long, toxic_all long, ordinary_all long")
+    model = toxicity.Tables.build(words, toxicity.count_grams(words), cached=20)
+    held = toxicity.Held.build(words, toxicity.count_grams(words))
     asked = [r[0] for r in rows] + ["abc" * 5, "zzz", "aé"]
     got = {r.word: r for r in model.ratios_of(spark.createDataFrame([(w,) for w in sorted(set(asked))], "word string")).collect()}
     for at, part in ((1, "own"), (3, "all")):
@@ -168,15 +170,58 @@ def test_toxicity_holds_all_counts(spark, monkeypatch):
         for w in set(asked):
             total, _, own = whole.words([w])[0]
             assert abs(got[w][f"sum_{part}"] - total) < 1e-6 and abs(got[w][f"own_{part}"] - own) < 1e-6
+            assert np.allclose(held.models[part].words([w])[0], [total, _, own], atol=1e-5)
     docs = spark.createDataFrame([(i, " ".join(random.choices(asked, k=i % 9))) for i in range(30)], "doc_id long, text string")
-    for r in toxicity._features(docs, model, "all").join(docs, "doc_id").collect():
+    for r in toxicity._features(docs, model, "all").unionAll(toxicity._features(docs, held, "all")).join(docs, "doc_id").collect():
         words, x = r.text.split(), np.zeros(toxicity.FEATURES)
         if words:
             ratios = whole.words(words)
             for k, column, n in ((0, 0, ratios[:, 1].sum()), (4, 2, len(words))):
                 top = np.maximum(np.sort(ratios[:, column])[::-1][:3], 0)
                 x[k], x[k + 1 : k + 1 + len(top)] = 100 * ratios[:, column].sum() / n, top
-        assert np.allclose(r.x, np.clip(x, -50, 50))
+        assert np.allclose(r.x, np.clip(x, -50, 50), atol=1e-4)
+
+
+def test_kneser_ney_by_brute_force():
+    """Every n-gram's ratio from the definitions, byte by byte; and each shared distribution sums to 1 at most."""
+    draw = random.Random(9)
+    corpus = [[("".join(draw.choices("abc", k=draw.randint(1, 6)))) for _ in range(n)] for n in (40, 60)]
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+
+    def of(word):
+        data = b"\0" * (order - 2) + b" " + word.encode() + b" "
+        return [data[k : k + order] for k in range(len(data) - order + 1)]
+
+    counts = [defaultdict(int), defaultdict(int)]
+    for c, words in zip(counts, corpus):
+        for w in words:
+            for g in of(w):
+                c[g] += 1
+    level = {order: set(counts[0]) | set(counts[1])}
+    for n in range(order - 1, 0, -1):
+        level[n] = {g[1:] for g in level[n + 1]}
+    follow = {n: defaultdict(set) for n in range(1, order)}  # what stands before an ending
+    for n in range(1, order):
+        for g in level[n + 1]:
+            follow[n][g[1:]].add(g)
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        own = {x: len(v) for x, v in follow[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * shared(g[1:])
+
+    def log(c, g):
+        own = [n for x, n in c.items() if x[:-1] == g[:-1]]
+        total, left = max(1, sum(own)), d * len(own) / sum(own) if own else 1.0
+        return np.log(max(c.get(g, 0) - d, 0) / total + left * shared(g[1:]))
+
+    keys = {int.from_bytes(g, "big"): g for g in level[order]}
+    assert {int(x) for w in corpus[0] for x in toxicity.grams([w])[0]} == {int.from_bytes(g, "big") for g in counts[0]}
+    model = toxicity.Model.build(np.array(list(keys)), *(np.array([c.get(g, 0) for g in keys.values()]) for c in counts))
+    for k, ratio in zip(model.keys.tolist(), model.ratio):
+        assert abs(ratio - (log(counts[0], keys[k]) - log(counts[1], keys[k]))) < 1e-9
 
 
 def test_network_sees_every_byte():
@@ -187,6 +232,35 @@ def test_network_sees_every_byte():
             assert net.probability(b"a" * at + b"!" + b"a" * (n - at - 1)) > net.probability(b"a" * n)
 
 
+def test_network_equals_brute_force():
+    """Filters slid over the bytes, one by one; maxima of overlapping chunks, their mean; and the layout that training uses."""
+    draw = np.random.default_rng(5)
+    shape = (quality.WIDTH, 256, quality.FILTERS)
+    net = quality.Network(draw.normal(size=shape).astype(np.float32), draw.normal(size=quality.FILTERS).astype(np.float32), draw.normal(size=quality.FILTERS).astype(np.float32), 0.3)
+    for n in (0, 1, 127, 128, 300, 700):
+        text = draw.integers(0, 256, n).astype(np.uint8)
+        data = np.concatenate([text, np.zeros(1024 + quality.WIDTH, np.uint8)])
+        hops = max(2, -(-n // quality.HOP))
+        chunks = [np.max([[sum(net.table[j, data[i + j], f] for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(c * quality.HOP, (c + 2) * quality.HOP)], axis=0) for c in range(hops - 1)]
+        pooled = np.mean([np.maximum(c + net.bias, 0) for c in chunks], axis=0)
+        assert abs(net.probability(text.tobytes()) - 1 / (1 + np.exp(-(pooled @ net.out + 0.3)))) < 1e-5
+        flat, left, count = quality.laid_out([np.zeros(500, np.uint8), text])
+        top = net.convolve(flat).reshape(-1, quality.HOP, quality.FILTERS).max(axis=1)
+        assert count.tolist() == [3, hops - 1] and np.allclose(np.maximum(top[left], top[left + 1])[3:], chunks, atol=1e-4)
+
+
+def test_network_learns_what_stands_anywhere():
+    draw = np.random.default_rng(6)
+    texts = [draw.integers(97, 123, 900).astype(np.uint8) for _ in range(120)]
+    labels = np.arange(120) % 2
+    for t, y in zip(texts, labels):
+        if not y:
+            at = draw.integers(0, 890)
+            t[at : at + 5] = np.frombuffer(b"#$%&#", np.uint8)
+    net = quality.train(texts, labels)
+    assert np.mean([(net.probability(t.tobytes()) >= 0.5) == y for t, y in zip(texts, labels)]) > 0.95
+
+
 def brute_components(rows, k, num, den):
     sets, root = [], list(range(len(rows)))
 
