@@ -7,7 +7,7 @@ is verified. A word inside any occurrence of a window is hit.
 Defined cases: null texts have no words. Items without words have no windows; items with fewer words than a
 window are one window of their own length. A window of several items counts for each. Repeated items (equal
 ids and texts) are one. Rows equal in id and text become one row of the report for each copy, with equal
-values. Other columns are ignored by ``report`` and kept by ``remove_documents`` and ``remove_spans``.
+values. An empty table gives an empty result; texts of any length are read whole. Other columns are ignored by ``report`` and kept by ``remove_documents`` and ``remove_spans``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cratewise.llm.common import broadcast_if_small
+from cratewise.llm.common import broadcast_if_small, carried, materialise
 
 WINDOW = 10
 #: About 150 bytes each.
@@ -61,7 +61,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     table, sizes = benchmark_windows(items, window)
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), words(F.col("text")).alias("w"))
     rows = own.select("doc_id", "h", "n", F.explode(windows(F.col("w"), sizes)).alias("x")).select("doc_id", "h", "n", "x.*")
-    found = rows.join(broadcast_if_small(table, MOST_WINDOWS), "window", "left").where("at = 0 OR item_ids IS NOT NULL")
+    found = rows.join(broadcast_if_small(materialise(table, "benchmark-windows"), MOST_WINDOWS), "window", "left").where("at = 0 OR item_ids IS NOT NULL")
     span = F.when(F.col("at") > 0, F.struct("at", "size"))
     grouped = found.groupBy("doc_id", "h", "n").agg(
         F.max(F.when(F.col("at") == 0, F.col("size"))).alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.flatten(F.collect_set("item_ids")).alias("item_ids")
@@ -98,19 +98,31 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     return out.unionAll(repeated).drop("h", "n")
 
 
+def _key(text: Column) -> Column:
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text).alias("h"))
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that no window hits; all columns stay."""
-    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("key"))
-    return docs.join(bad, F.struct(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.xxhash64(docs["text"]).alias("h")) == bad["key"], "left_anti")
+    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"))
+    rows = carried(docs).withColumn("own", _key(F.col("text")))
+    return rows.join(bad, F.col("own") == F.col("bad"), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the hit words; what stands between words stays."""
-    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("key_"), merged(F.col("spans")).alias("hit_"))
-    bad = bad.groupBy("key_").agg(F.first("hit_").alias("hit_"))
-    joined = docs.join(bad, F.struct(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.xxhash64(docs["text"]).alias("h")) == bad["key_"], "left")
+    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"), merged(F.col("spans")).alias("hit"))
+    bad = bad.groupBy("bad").agg(F.first("hit").alias("hit"))
+    joined = carried(docs).withColumn("own", _key(F.col("text"))).join(bad, F.col("own") == F.col("bad"), "left")
     upper = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     own, between = F.regexp_extract_all("text", F.lit(upper), F.lit(0)), F.split("text", upper, -1)
-    kept = F.transform(F.array(F.struct(own.alias("w"), between.alias("s"))), lambda x: F.concat(x["s"][0], F.array_join(
-        F.transform(x["w"], lambda w, i: F.concat(F.when(F.exists("hit_", lambda h: (i + 1 >= h["a"]) & (i + 1 < h["b"])), F.lit("")).otherwise(w), x["s"][i + 1])), "")))[0]
-    return joined.withColumn("text", F.when(F.col("hit_").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+
+    def flags(k: Column) -> Column:
+        """Of the words after the span before, and of the span."""
+        span = F.get("hit", k)
+        return F.concat(F.array_repeat(F.lit(False), span["a"] - F.when(k == 0, F.lit(1)).otherwise(F.get("hit", k - 1)["b"])), F.array_repeat(F.lit(True), span["b"] - span["a"]))
+
+    gone = F.flatten(F.transform(F.sequence(F.lit(0), F.size("hit") - 1), flags))
+    kept = F.transform(F.array(F.struct(own.alias("w"), between.alias("s"), gone.alias("gone"))), lambda x: F.concat(x["s"][0], F.array_join(
+        F.transform(x["w"], lambda w, i: F.concat(F.when(F.coalesce(F.get(x["gone"], i), F.lit(False)), F.lit("")).otherwise(w), x["s"][i + 1])), "")))[0]
+    return joined.select(F.col("row").withField("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(kept)).alias("row")).select("row.*")

@@ -7,7 +7,7 @@ Skipping: pairs whose sizes or positions can't reach the overlap are dropped whe
 blocks by size and position; two blocks are read together only if their bounds can reach it, the others are skipped
 unread.
 
-Leaders: in each list the sets are compared with the first and the last by id; then with their neighbour by id, where it lies
+Leaders: in each list the sets are compared with the first and the last by id; then with neighbours by id that lie
 in another component; then all pairs that are left between components of a list are. So no link between components is lost.
 
 Derived answers: a link lies within a component. There, in blocks of sets dealt out by component, the answers of one set are
@@ -49,6 +49,8 @@ LEAST_BITS, MOST_BITS, GRAMS_A_WORD = 8, 512, 32
 MOST_WANTED = 500_000
 #: Entries of a block of a long list, about; sets that are compared with one at once; sets of a block of a component.
 BLOCK, FAN, GROUP = 500, 200, 128
+#: Which neighbours by id a set of a long list is compared with, and n-grams by which a pair of such sets knows its first list.
+NEIGHBOURS, FIRSTS = (1, 3, 9, 27), 16
 #: Columns of the matrix of differences at once.
 WIDTH = 8_192
 CACHE_WORDS = 200_000
@@ -205,21 +207,27 @@ class Join:
     def labelled_lists(self, labels: DataFrame) -> DataFrame:
         """Lists with sets of several components (and all blocks of long ones): label, and as partner the neighbour by id in another one."""
         own = self.lists.drop("partners").join(broadcast_if_small(labels, MOST_WANTED), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        block = Window.partitionBy("token", "block")
+        block = Window.partitionBy("token", "block").orderBy("sid")
+        whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         entry = F.struct("sid", "n", "place", "label")
-        rows = own.withColumn("mixed", (F.min("label").over(block.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) != F.max("label").over(block.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        rows = rows.withColumn("before", F.lag(entry).over(block.orderBy("sid"))).where("mixed OR block IS NOT NULL")
-        near = (F.col("before.label") != F.col("label")) & self.may_link(F.col("n"), F.col("place"), F.col("before.n"), F.col("before.place"))
-        return materialise(rows.select("token", "block", "sid", "n", "place", "label", F.when(near, F.array("before.sid")).otherwise(F.array().cast("array<long>")).alias("partners")), "set-mixed")
+        rows = own.withColumn("mixed", F.min("label").over(whole) != F.max("label").over(whole)).withColumns({f"before{k}": F.lag(entry, k).over(block) for k in NEIGHBOURS}).where("mixed OR block IS NOT NULL")
+        near = F.filter(
+            F.array(F.col("before1"), *(F.when(F.col("block").isNotNull(), F.col(f"before{k}")) for k in NEIGHBOURS[1:])),
+            lambda e: e.isNotNull() & (e["label"] != F.col("label")) & self.may_link(F.col("n"), F.col("place"), e["n"], e["place"]),
+        )
+        return materialise(rows.select("token", "block", "sid", "n", "place", "label", F.transform(near, lambda e: e["sid"]).alias("partners")), "set-mixed")
 
     def across(self, mixed: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of a common list in different components that sizes and positions allow."""
         own = mixed.drop("label", "partners").join(broadcast_if_small(labels, MOST_WANTED), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         may = self.may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")) & (F.col("x.label") != F.col("y.label"))
         pair = (F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-        few = own.where("block IS NULL")
-        close = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & may).select(*pair)
-        many = materialise(own.where("block IS NOT NULL"), "set-wide")
+        short_lists = own.where("block IS NULL")
+        close = short_lists.alias("x").join(short_lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & may).select(*pair)
+        wide = own.where("block IS NOT NULL")
+        firsts = wide.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRSTS).alias("firsts"))
+        fold = F.transform(F.sequence(F.lit(0), F.lit(LEAST_BITS - 1)), lambda i: F.aggregate(F.filter("bits", lambda x, k: k % LEAST_BITS == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+        many = materialise(wide.join(firsts, "sid").join(self.sets.select("sid", fold.alias("fold")), "sid"), "set-wide")
         left = F.col("n") - F.col("place")
         blocks = many.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(left).alias("left"), F.min("label").alias("least"), F.max("label").alias("most"))
         reach = (F.col("x.low") * self.up <= F.col("y.high") * self.down) & (F.col("y.low") * self.up <= F.col("x.high") * self.down)
@@ -229,7 +237,10 @@ class Join:
         read = read.select(F.col("x.token").alias("token"), F.col("x.block").alias("block"), F.col("y.block").alias("other"))
         x = many.join(broadcast_if_small(read, MOST_WANTED), ["token", "block"]).alias("x")
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block")) & ((F.col("x.block") < F.col("y.block")) | (F.col("x.sid") < F.col("y.sid")))
-        return close.unionAll(x.join(many.alias("y"), same & may).select(*pair)).distinct()
+        differ = reduce(Column.__add__, (F.bit_count(F.col("x.fold")[n].bitwiseXOR(F.col("y.fold")[n])) for n in range(LEAST_BITS)))
+        few = differ * (self.up + self.down) <= (F.col("x.n") + F.col("y.n")) * (self.down - self.up)
+        once = ~F.exists(F.array_intersect("x.firsts", "y.firsts"), lambda t: t < F.col("x.token"))  # most pairs only in their first common list
+        return close.unionAll(x.join(many.alias("y"), same & may & few & once).select(*pair)).distinct()
 
     def few_differ(self, size: Column) -> Column:
         """Whether bits_a and bits_b leave enough common n-grams possible. The longer one is folded to the length of the other."""
