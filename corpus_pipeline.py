@@ -4,6 +4,11 @@ Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last retur
 the quality network drops what it rejects, line dedup empties later copies of long repeated runs, the set join
 keeps one document of each group, and decontamination drops documents with benchmark windows. The last one
 returns doc_id, ids (binary token ids) and n_tokens.
+
+Defined cases: a null text is kept as one by all stages (the network scores it as an empty one) and has no tokens. Rows of
+one id stay or go together in the set join; rows equal in id and text get equal results everywhere. Ties go to the smaller
+id, and within an id to the text's hash. An empty table runs through to an empty result. Texts of any length are read whole, and
+columns besides doc_id and text stay as they are, whatever their names, until the last stage.
 """
 
 from __future__ import annotations
@@ -20,8 +25,7 @@ KEEP_AT = 0.7
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = quality.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    scored = quality.score(docs.withColumnRenamed("score", "score_of_input"), network)
-    return scored.where(F.col("score") >= KEEP_AT).drop("score").withColumnRenamed("score_of_input", "score").select(*docs.columns)
+    return quality.keep(docs, network, KEEP_AT)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

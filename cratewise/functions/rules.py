@@ -16,6 +16,22 @@ PROMO_PATTERNS = [
 KEPT_PATTERNS = [r"(?i)\(Remix\)", r"(?i)\(Club Mix\)", r"(?i)\(Extended Mix\)", r"(?i)\(Radio Edit\)", r"(?i)\(Unplugged\)", r"(?i)\(Live\)"]
 # Substrings that mark a polluted text, besides the site patterns.
 POLLUTED = ["masstamilan", "tamilwire", "isaimini", "djmaza", ".com", ".in", ".dev", ".net", ".org", ".co", "www.", "http", "download", "free"]
+# References to download sites and promotion, and their order.
+DOWNLOAD_PATTERNS = [
+    r"(?i)(?:www|http:|https:)+[^\s]+[\w]", r"(?i)\b\w+\.com\b", r"(?i)\b\w+\.co\.\w{2}\b", r"(?i)\b\w+\.net\b", r"(?i)\b\w+\.org\b",
+    r"(?i)\bdownload(?:ed)?(?:\s+from)?\s+\w+\b", r"(?i)\bfrom\s+\w+\.\w+\b", r"(?i)\bwww(?:\s|\.)+\w+(?:\s|\.)+\w+\b",
+    r"(?i)\b(?:follow|like|subscribe)\s+(?:us|me)?\s+(?:on|at)?\s+\w+\b", r"(?i)\b@\w+\b",
+    r"(?i)\bexclusive\b", r"(?i)\bpromotional\s+(?:use|copy)\b", r"(?i)\bcourtesy\s+of\b", r"(?i)\b(?:free|premium)\s+download\b",
+]
+# Site names of the strict profile: those it removes as words, those whose brackets go, those that end a text after a dash,
+# and those that make a text junk; and its endings of addresses.
+STRICT_SITES = [
+    "masstamilan", "djmaza", "songspk", "pagalworld", "djpunjab", "tamilwire", "tamilrockers", "isaimini", "tamildbox", "tamilyogi", "moviesda", "kuttymovies",
+]
+STRICT_WORDS = ["tamilrocker", "starmusiq", "vmusiq", "downloadsouthmp3", "uyirvani", "tamiltunes", "sensongsmp3", "scenerockers"]
+STRICT_ENDS = ["starmusiq"]
+STRICT_JUNK = ["tamilrocker", "starmusiq", "vmusiq"]
+DOMAINS = ["com", "net", "org", "in", "dev", "co", "biz", "info", "so"]
 # Labels that the comparison key ignores.
 MIX_LABELS = [r"\(original mix\)", r"\(radio edit\)", r"\(extended mix\)", r"\(club mix\)", r"\(dub mix\)", r"\(instrumental\)", r"\(remix\)", r"\(remastered\)", r"\d{4}"]
 # Words that token sets ignore.

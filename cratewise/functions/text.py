@@ -103,21 +103,20 @@ class Text:
 
     def strict(self, x: str) -> str:
         """The profile that removes addresses and sites with their brackets and endings, then junk altogether."""
-        sites = "masstamilan|djmaza|songspk|pagalworld|djpunjab|tamilwire|tamilrockers|isaimini|tamildbox|tamilyogi|moviesda|kuttymovies"
-        more = "|starmusiq|vmusiq|downloadsouthmp3|uyirvani|tamiltunes|sensongsmp3|scenerockers"
-        ends = "com|net|org|in|dev|co|biz|info|so"
+        sites, words, last, junk_sites = ("|".join([*rules.STRICT_SITES, *more]) for more in ([], rules.STRICT_WORDS, rules.STRICT_ENDS, rules.STRICT_JUNK))
+        ends = "|".join(rules.DOMAINS)
         t = f"coalesce({x}, '')"
         for p in [
-            rf"(?i)(?:https?://)?(?:www\.)?[a-z0-9-]+\.(?:{ends})(?:/\S*)?", rf"(?i)\b(?:{sites}|tamilrocker{more})\b", r"(?i)hearthis\.at",
+            rf"(?i)(?:https?://)?(?:www\.)?[a-z0-9-]+\.(?:{ends})(?:/\S*)?", rf"(?i)\b(?:{words})\b", r"(?i)hearthis\.at",
             r"\[.*?\.(?:com|in|net|org|dev).*?\]", r"\(.*?\.(?:com|in|net|org|dev).*?\)", rf"\[.*?(?:{sites}).*?\]", rf"\(.*?(?:{sites}).*?\)",
-            rf"(?i)\s*-\s*(?:{sites}|starmusiq)(?:\.(?:com|dev|in|net|org))?\s*$",
+            rf"(?i)\s*-\s*(?:{last})(?:\.(?:com|dev|in|net|org))?\s*$",
         ]:
             t = self.sub(t, p)
         t = self.sub(self.sub(self.sub(t, rf"{SPACE}*[-–—]{SPACE}*", " - "), rf"{SPACE}*[,&]{SPACE}*", ", "), SPACE + "+", " ")
         runs = self.all(t, f"{WORD}+|[^" + WORD[1:] + "+")
-        bare = ", ".join(map(self.lit, ends.split("|")))
+        bare = ", ".join(map(self.lit, rules.DOMAINS))
         t = self.strip(self.join(self.map(runs, lambda v: f"CASE WHEN lower({v}) IN ({bare}) THEN '' ELSE {v} END"), "''"), r"[ \-,&.]")
-        junk = rf"(?i)^(?:\.+|\.?(?:{ends})|[.\-,&\s]+|(?:{sites}|tamilrocker|starmusiq|vmusiq)(?:\.(?:com|dev|in|net|org|so))?)$"
+        junk = rf"(?i)^(?:\.+|\.?(?:{ends})|[.\-,&\s]+|(?:{junk_sites})(?:\.(?:com|dev|in|net|org|so))?)$"
         return self.let(t, lambda v: f"CASE WHEN {v} = '' OR {self.has(v, junk)} THEN NULL ELSE {v} END")
 
     def people(self, x: str) -> str:
@@ -137,14 +136,25 @@ class Text:
         return f"coalesce({sites} OR {self.contains_any(f'lower({x})', rules.POLLUTED)}, false)"
 
     def download_sites(self, x: str) -> str:
-        """All matches, pattern by pattern. The patterns and their order."""
-        w = WORD
-        patterns = [
-            r"(?i)(?:www|http:|https:)+[^\s]+[\w]", r"(?i)\b\w+\.com\b", r"(?i)\b\w+\.co\.\w{2}\b", r"(?i)\b\w+\.net\b", r"(?i)\b\w+\.org\b",
-            r"(?i)\bdownload(?:ed)?(?:\s+from)?\s+\w+\b", r"(?i)\bfrom\s+\w+\.\w+\b", r"(?i)\bwww(?:\s|\.)+\w+(?:\s|\.)+\w+\b",
-            r"(?i)\b(?:follow|like|subscribe)\s+(?:us|me)?\s+(?:on|at)?\s+\w+\b", r"(?i)\b@\w+\b",
-        ]
-        return self.concat_lists(*(self.all(f"coalesce({x}, '')", p.replace(r"\w", w).replace(f"[{w}]", w)) for p in patterns))
+        """All matches, pattern by pattern."""
+        letters = lambda p: p.replace(r"[\w]", WORD).replace(r"\w", WORD)
+        return self.concat_lists(*(self.all(f"coalesce({x}, '')", letters(p)) for p in rules.DOWNLOAD_PATTERNS))
+
+    def stem(self, path: str) -> str:
+        """A file's name without folder and ending."""
+        return self.sub(self.sub(path, r"^.*/"), r"\.[^.]*$")
+
+    def name_parts(self, path: str) -> tuple[str, str]:
+        """Artist and title by a file's name: parted at the first dash between spaces, else all of it is the title."""
+        name = self.clean(self.stem(path))
+        artist = self.let(name, lambda v: f"CASE WHEN contains({v}, ' - ') THEN {self.strip(f'split_part({v}, {self.lit(' - ')}, 1)', SPACE)} ELSE '' END")
+        title = self.let(name, lambda v: f"CASE WHEN contains({v}, ' - ') THEN {self.strip(f'substr({v}, length(split_part({v}, {self.lit(' - ')}, 1)) + 4)', SPACE)} ELSE {self.strip(v, SPACE)} END")
+        return artist, title
+
+    def or_name_part(self, artist: str, title: str, path: str) -> tuple[str, str]:
+        """Artist and title; where both are blank, those of the file's name."""
+        none = f"({self.blank(artist)} AND {self.blank(title)})"
+        return tuple(f"CASE WHEN {none} THEN {part} ELSE coalesce({own}, '') END" for own, part in zip((artist, title), self.name_parts(path), strict=True))
 
     def match_key(self, x: str) -> str:
         t = f"lower(coalesce({x}, ''))"
@@ -152,6 +162,28 @@ class Text:
             t = self.sub(t, p)
         return self.strip(self.sub(self.sub(t, r"[^\p{L}\p{N}_\s\p{Z}]"), SPACE + "+", " "), SPACE)
 
+    def search_title(self, title: str, path: str) -> str:
+        """What a track is searched by: its cleaned title, or the cleaned name of its file where that has under three characters."""
+        return self.let(self.clean(title), lambda v: f"CASE WHEN length({v}) < 3 THEN {self.clean(self.stem(path))} ELSE {v} END")
+
+    def lead(self, artist: str) -> str:
+        """The comparison key of the first person of a list; empty without one."""
+        return self.match_key(f"split_part({self.people(artist)}, ', ', 1)")
+
+    def camelot(self, key: str) -> str:
+        return self.lookup(key, rules.CAMELOT, "'Unknown'")
+
+    def likes(self, a: str, b: str, share: float) -> str:
+        """Whether two texts share so many of their tokens, both having some."""
+        both = f"len(list_intersect({{x}}, {{y}})) / greatest(len({{x}}), len({{y}}), 1)" if not self.spark else "size(array_intersect({x}, {y})) / greatest(size({x}), size({y}), 1)"
+        return self.let(self.tokens(a), lambda x: self.let(self.tokens(b), lambda y: f"({self.size(x)} > 0 AND {self.size(y)} > 0 AND {both.format(x=x, y=y)} >= {share})"))
+
+    def gate(self, artist: str, title: str, year: str, new_artist: str, new_title: str, new_year: str) -> str:
+        """Whether two of three signals hold: like titles, like artists, years within two (or none known)."""
+        y, oy = (f"cast({self.year(x)} AS INT)" for x in (year, new_year))
+        near = f"coalesce({oy} IS NOT NULL AND ({y} IS NULL OR abs({y} - {oy}) <= 2), false)"
+        return f"(cast({self.likes(title, new_title, 0.7)} AS INT) + cast({self.likes(artist, new_artist, 0.5)} AS INT) + cast({near} AS INT) >= 2)"
+
     def tokens(self, x: str) -> str:
         stop = ", ".join(map(self.lit, ["", *rules.STOP_WORDS]))
         return self.distinct(self.keep(self.split(self.sub(f"lower(coalesce({x}, ''))", r"[^\p{L}\p{N}_\s\p{Z}]", " "), SPACE + "+"), lambda v: f"{v} NOT IN ({stop})"))

@@ -16,10 +16,10 @@ def dynamic_range(frames: DataFrame) -> DataFrame:
     return sums.withColumn("db", db).select("track_id", F.round("db", 4).alias("db"), F.round(F.col("peak") / (F.sqrt("square") + 1e-10), 4).alias("crest"), rating.alias("rating"))
 
 
-def energy(frames: DataFrame, tempo: float = 120.0) -> DataFrame:
+def energy(frames: DataFrame) -> DataFrame:
     """track_id, energy (1 to 10) from tempo, loudness and brightness."""
-    sums = frames.groupBy("track_id").agg(F.avg("rms").alias("rms"), F.avg("centroid").alias("centroid"))
-    score = (F.least(F.lit(tempo / 130.0), F.lit(1.5)) * 0.4 + F.least(F.col("rms") * 1000, F.lit(2.0)) * 0.4 + F.least(F.col("centroid") / 2000.0, F.lit(1.5)) * 0.2) * 5.0
+    sums = frames.groupBy("track_id").agg(F.avg("rms").alias("rms"), F.avg("centroid").alias("centroid"), F.max("tempo").alias("tempo"))
+    score = (F.least(F.col("tempo") / 130.0, F.lit(1.5)) * 0.4 + F.least(F.col("rms") * 1000, F.lit(2.0)) * 0.4 + F.least(F.col("centroid") / 2000.0, F.lit(1.5)) * 0.2) * 5.0
     return sums.select("track_id", F.round(F.greatest(F.lit(1.0), F.least(F.lit(10.0), score)), 1).alias("energy"))
 
 
@@ -59,16 +59,16 @@ def cue_ratios(frames: DataFrame) -> DataFrame:
     """track_id, frame_idx, ratio: the mean of eight beats from each on, to that of the four before it."""
     w = Window.partitionBy("track_id").orderBy("frame_idx")
     ratio = F.avg("mean_abs_mfcc").over(w.rowsBetween(0, 7)) / (F.avg("mean_abs_mfcc").over(w.rowsBetween(-4, -1)) + 1e-10)
-    return frames.select("track_id", "frame_idx", "t_s", ratio.alias("ratio"), F.count("*").over(Window.partitionBy("track_id")).alias("beats"), F.max("t_s").over(Window.partitionBy("track_id")).alias("last_s"))
+    return frames.select("track_id", "frame_idx", "t_s", ratio.alias("ratio"), F.count("*").over(Window.partitionBy("track_id")).alias("beats"), F.max("t_s").over(Window.partitionBy("track_id")).alias("last_s"), F.max("tempo").over(Window.partitionBy("track_id")).alias("tempo"))
 
 
-def cue_points(frames: DataFrame, tempo: float = 120.0) -> DataFrame:
-    """track_id, intro_end, drops, outro_start: changes at every eighth beat after five seconds whose ratio passes 1.4."""
-    bar = 4 * 60 / tempo
-    rows = cue_ratios(frames)
+def cue_points(frames: DataFrame) -> DataFrame:
+    """track_id, intro_end, drops, outro_start: changes at every eighth beat after five seconds whose ratio passes 1.4. A bar is four beats of the track's tempo."""
+    rows = cue_ratios(frames).withColumn("bar", 4 * 60 / F.col("tempo"))
     change = (F.col("frame_idx") % 8 == 1) & (F.col("frame_idx") < F.col("beats") - 8) & (F.col("t_s") > 5.0) & (F.col("ratio") > 1.4)
     found = rows.groupBy("track_id").agg(
-        F.min(F.when(change & (F.col("t_s") > bar * 8), F.col("t_s"))).alias("intro"), F.slice(F.array_sort(F.collect_list(F.when(change, F.col("t_s")))), 1, 3).alias("drops"), F.max("last_s").alias("length")
-    )
-    outro = F.greatest(F.col("length") - 16 * bar, F.col("length") * 0.75)
-    return found.select("track_id", F.round(F.coalesce("intro", F.lit(bar * 16)), 4).alias("intro_end"), F.array_join(F.transform("drops", lambda x: F.format_string("%.1f", x)), ",").alias("drops"), F.round(outro, 4).alias("outro_start"))
+        F.min(F.when(change & (F.col("t_s") > F.col("bar") * 8), F.col("t_s"))).alias("intro"), F.slice(F.array_sort(F.collect_list(F.when(change, F.col("t_s")))), 1, 3).alias("drops"),
+        F.max("last_s").alias("length"), F.max("bar").alias("bar"),
+    )
+    outro = F.greatest(F.col("length") - 16 * F.col("bar"), F.col("length") * 0.75)
+    return found.select("track_id", F.round(F.coalesce("intro", F.col("bar") * 16), 4).alias("intro_end"), F.array_join(F.transform("drops", lambda x: F.format_string("%.1f", x)), ",").alias("drops"), F.round(outro, 4).alias("outro_start"))

@@ -94,11 +94,37 @@ def annotate(comment: Column, marker: str, line: Column) -> Column:
     return F.when(F.contains(F.coalesce(comment, F.lit("")), F.lit(marker)), comment).otherwise(F.concat_ws("\n", F.nullif(comment, F.lit("")), line))
 
 
+def quality_line() -> Column:
+    """The comment line with a track's stream facts."""
+    khz = F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0))
+    return F.format_string("QUALITY: %dkbps, %.1fkHz, %s", kbps(), khz, F.when(high_quality(), "HIGH").otherwise("LOW"))
+
+
+def planned_names(tracks: DataFrame) -> DataFrame:
+    """track_id, path, folder, stem: the file name that cleaned tags (or, without any, the file's name) ask for."""
+    artist, title = T.or_name_part(T.clean("artist"), T.clean("title"), "path")
+    rows = tracks.select("track_id", "path", F.expr(artist).alias("a"), F.expr(title).alias("t"), F.coalesce(F.expr(T.year("coalesce(nullif(tdrc, ''), tyer)")), F.lit("")).alias("y"))
+    return rows.select("track_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_replace(F.expr(T.file_name("a", "t", "y")), r"\.mp3$", "").alias("stem"))
+
+
+def without_clashes(planned: DataFrame, kept: DataFrame) -> DataFrame:
+    """``planned`` (track_id, path, folder, stem) with name: of those with one stem in a folder, in order of path, each the first free one of
+    ``stem.mp3``, ``stem (1).mp3`` and so on. The files of ``kept`` (path) hold their names."""
+    folder, file = F.regexp_replace("path", "/[^/]*$", ""), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.mp3$", "")
+    held = kept.select(folder.alias("folder"), file.alias("file"))
+    suffix = r"^(.*) \(([1-9][0-9]{0,8})\)$"
+    numbered = held.where(F.col("file").rlike(suffix)).select("folder", F.regexp_extract("file", suffix, 1).alias("stem"), F.regexp_extract("file", suffix, 2).cast("int").alias("k"))
+    taken = held.select("folder", F.col("file").alias("stem"), F.lit(0).alias("k")).unionByName(numbered).join(planned.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi")
+    taken = taken.groupBy("folder", "stem").agg(F.array_sort(F.collect_set("k")).alias("taken"))
+    n = (F.row_number().over(Window.partitionBy("folder", "stem").orderBy("path")) - 1).cast("int")
+    rows = planned.withColumn("n", n).join(taken, ["folder", "stem"], "left")
+    free = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("n"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    named = rows.withColumn("n", free).withColumn("name", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise("")))
+    again = F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1  # a stem that has a number itself
+    name = F.concat("name", F.when(F.col("again") > 0, F.concat(F.lit(" ("), F.col("again").cast("string"), F.lit(")"))).otherwise(""), F.lit(".mp3"))
+    return named.withColumn("again", again).select("track_id", "path", "folder", name.alias("name"))
+
+
 def output_names(tracks: DataFrame) -> DataFrame:
-    """track_id, path, folder, name: the planned file name from cleaned tags, with its suffix where names of a folder collide."""
-    artist, title = F.expr(T.clean("artist")), F.expr(T.clean("title"))
-    rows = tracks.select("track_id", "path", artist.alias("a"), title.alias("t"), F.coalesce(F.expr(T.year("coalesce(nullif(tdrc, ''), tyer)")), F.lit("")).alias("y"))
-    name = F.expr(T.file_name("a", "t", "y"))
-    rows = rows.select("track_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_replace(name, r"\.mp3$", "").alias("stem"))
-    n = F.row_number().over(Window.partitionBy("folder", "stem").orderBy("path")) - 1
-    return rows.withColumn("n", n).select("track_id", "path", "folder", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".mp3")).alias("name"))
+    """track_id, path, folder, name: the planned file name of each track, with its suffix where names of a folder collide."""
+    return without_clashes(planned_names(tracks), tracks.select("path").limit(0))

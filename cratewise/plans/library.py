@@ -1,16 +1,17 @@
-"""The whole job over a library: skip known files, rate, clean, enrich, plan names, record."""
+"""The whole job over a library: skip known files, rate, clean, enrich, analyse, plan names, record, report."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
-from cratewise.operators import catalogue
-from cratewise.operators.tracks import high_quality, kbps, output_names
-from cratewise.streaming.intake import fresh
+from cratewise.operators import catalogue, duplicates, features
+from cratewise.operators.tracks import high_quality, kbps, without_clashes
+from cratewise.sources import files
+from cratewise.streaming.intake import fresh, skipped
 
 T = Text()
 
@@ -20,34 +21,141 @@ class Options:
     """What a run does besides cleaning."""
 
     incremental: bool = True
+    analyse_quality: bool = True
     high_quality_only: bool = False
+    use_collection: bool = True
     use_catalogue: bool = True
+    detect_key: bool = True
+    detect_cues: bool = True
+    rate_energy: bool = True
+    normalise_loudness: bool = True
+    target_lufs: float = -14.0
     rename: bool = True
+    year_in_name: bool = True
 
 
-def process(tracks: DataFrame, ledger: DataFrame, collection: DataFrame, recordings: DataFrame, releases: DataFrame, options: Options | None = None) -> DataFrame:
-    """One row a processed track: rating, cleaned and enriched tags, what changed, and the planned name.
+def process(tracks: DataFrame, ledger: DataFrame, collection: DataFrame, recordings: DataFrame, releases: DataFrame, frames: DataFrame, chroma: DataFrame, loudness: DataFrame, options: Options | None = None) -> DataFrame:
+    """One row a processed track: rating, cleaned and enriched tags, analyses, what changed, and the planned name.
 
-    Low-quality tracks are recorded, but not worked on if only high quality is wanted.
+    Low-quality tracks are recorded, but not worked on if only high quality is wanted. Names change only where the catalogue's match was
+    accepted, if there is a catalogue.
     """
-    options = options or Options()
-    todo = fresh(tracks, ledger) if options.incremental else tracks
-    work = todo.where(high_quality()) if options.high_quality_only else todo
-    tags = work.select("track_id", *(F.expr(T.sanitize(c)).alias(c) for c in ("title", "album")), F.expr(T.people("artist")).alias("artist"))
-    own = catalogue.enrich_from_collection(work, collection).withColumnRenamed("matched", "in_collection")
-    rows = todo.select("track_id", "path", kbps().alias("kbps"), high_quality().alias("is_high")).join(tags, "track_id", "left").join(own, "track_id", "left")
-    if options.use_catalogue:
-        found = catalogue.enrich(work, recordings, releases).select("track_id", "accepted", "new_artist", "new_title", "new_year", "new_album")
-        rows = rows.join(found, "track_id", "left")
-        for c in ("artist", "title", "album"):
-            rows = rows.withColumn(c, F.when(F.col("accepted") & F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)))
-        rows = rows.withColumn("enhanced", F.coalesce("accepted", F.lit(False))).drop("accepted", "new_artist", "new_title", "new_album")
-    if options.rename:
-        rows = rows.join(output_names(work).select("track_id", F.concat_ws("/", "folder", "name").alias("out_path")), "track_id", "left")
-        rows = rows.withColumn("out_path", F.when(F.col("enhanced"), F.col("out_path")).otherwise(F.col("path")) if options.use_catalogue else F.col("out_path"))
-    return rows
-
-
-def totals(results: DataFrame) -> DataFrame:
-    """One row of counters of a run."""
-    return results.agg(F.count("*").alias("processed"), F.count_if("is_high").alias("high_quality"), F.count_if(~F.col("is_high")).alias("low_quality"), F.count_if("in_collection").alias("in_collection"), F.count_if("enhanced").alias("enhanced"), F.count_if(F.col("path") != F.col("out_path")).alias("renamed"))
+    o = options or Options()
+    todo = fresh(tracks, ledger) if o.incremental else tracks
+    work = todo.where(high_quality()) if o.high_quality_only else todo
+    khz = F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0))
+    rows = todo.select("track_id", "path", "mtime", kbps().alias("kbps"), khz.alias("khz"), high_quality().alias("is_high"), (high_quality() | F.lit(not o.high_quality_only)).alias("moved"))
+    tags = work.select(
+        "track_id", *(F.expr(T.sanitize(c)).alias(c) for c in ("title", "album")), F.expr(T.people("artist")).alias("artist"), F.coalesce(F.expr(T.year("tdrc")), F.expr(T.year("tyer"))).alias("year"),
+        *(_cleaned(c, T.people(c) if c == "artist" else T.sanitize(c)).alias(f"log_{c}") for c in ("artist", "title", "album", "genre")),
+    )
+    if o.use_collection:
+        own = catalogue.enrich_from_collection(work, collection).withColumnRenamed("matched", "in_collection")
+    else:
+        own = work.select("track_id", "bpm", "key_tag", "genre", "comment", F.lit(False).alias("in_collection"))
+    own = own.withColumn("genre", F.expr(T.sanitize("genre")))
+    if o.use_catalogue:
+        found = catalogue.enrich(work, recordings, releases)
+    else:
+        none = ["new_artist", "new_title", "new_year", "new_album", "new_genre", "new_bpm", "found_year", "found_album"]
+        found = work.select("track_id", F.lit(None).cast("string").alias("method"), F.lit("unasked").alias("outcome"), *(F.lit(None).cast("string").alias(c) for c in none))
+    key = features.musical_key(chroma).select("track_id", F.col("key").alias("found_key"), "camelot")
+    analyses = [(o.detect_key, key), (o.rate_energy, features.energy(frames)), (o.detect_cues, features.cue_points(frames)), (o.normalise_loudness, features.loudness_plan(loudness, o.target_lufs).select("track_id", "gain_db"))]
+    rows = rows.join(tags, "track_id", "left").join(own, "track_id", "left").join(found, "track_id", "left")
+    for wanted, made in analyses:
+        rows = rows.join(made if wanted else made.limit(0), "track_id", "left")
+    rows = rows.withColumn("enhanced", F.coalesce(F.col("outcome") == "accepted", F.lit(False)))
+    for c in ("artist", "title", "album", "year", "genre"):
+        rows = rows.withColumn(c, F.coalesce(f"new_{c}", c))
+    artist, title = T.or_name_part("artist", "title", "path")
+    rows = rows.withColumn("set_bpm", F.col("new_bpm").isNotNull() & F.expr(f"bpm IS NULL OR NOT {T.number('bpm')}")).withColumn("bpm", F.when(F.col("set_bpm"), F.col("new_bpm")).otherwise(F.col("bpm")))
+    rows = rows.withColumns({"artist": F.when(F.col("moved"), F.expr(artist)), "title": F.when(F.col("moved"), F.expr(title)), **{c: F.when(F.col("moved"), F.col(c)) for c in ("found_key", "camelot", "energy", "intro_end", "drops", "outro_start", "gain_db")}})
+    return _named(rows, o)
+
+
+def _cleaned(column: str, after: str) -> Column:
+    """What cleaning did to a tag; null if nothing."""
+    old, new = F.col(column), F.expr(after)
+    return F.when(F.coalesce(old, F.lit("")) == "", None).when(new.isNull(), f"Removed {column}").when(new != old, f"Cleaned {column}")
+
+
+def _named(rows: DataFrame, o: Options) -> DataFrame:
+    """``rows`` with output path, action and the texts of all changes."""
+    renamed = F.col("moved") & (F.col("enhanced") if o.use_catalogue else F.lit(o.rename)) & F.lit(o.rename)
+    year = F.coalesce(F.expr(T.year_of_date("year")), F.lit("")) if o.year_in_name else F.lit("")
+    stem = F.regexp_replace(F.expr(T.file_name("artist", "title", "y")), r"\.mp3$", "")
+    planned = rows.where(renamed).withColumn("y", year).select("track_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), stem.alias("stem"))
+    names = without_clashes(planned, rows.where(F.col("moved") & ~renamed).select("path")).select("track_id", F.concat_ws("/", "folder", "name").alias("new_path"))
+    rows = rows.join(names, "track_id", "left").withColumn("out_path", F.when(F.col("moved"), F.coalesce("new_path", "path")))
+    rows = rows.withColumn("action", F.when(~F.col("moved"), "skipped").when(F.col("out_path") != F.col("path"), "renamed").otherwise("kept"))
+    name = F.element_at(F.split("out_path", "/"), -1)
+    said = F.array_compact(F.array(
+        F.when(F.lit(o.analyse_quality), F.format_string("Quality analyzed: %dkbps @ %.1fkHz", "kbps", "khz")), F.when(F.lit(o.analyse_quality), F.lit("Added quality comment")),
+        F.col("log_artist"), F.col("log_title"), F.col("log_album"), F.col("log_genre"),
+        F.when(F.col("in_collection"), "Applied collection metadata"), F.when(F.col("enhanced"), "Enhanced from catalogue"),
+        F.when(F.col("found_key").isNotNull(), F.concat(F.lit("Detected key: "), F.col("found_key"))),
+        F.when(F.col("intro_end").isNotNull(), F.format_string("Detected cue points: Intro: %.3fs, Outro: %.3fs", "intro_end", "outro_start")),
+        F.when(F.col("energy").isNotNull(), F.format_string("Energy rating: %.1f/10", "energy")),
+        F.when(F.col("gain_db").isNotNull(), F.lit(f"Normalized loudness to {o.target_lufs} LUFS")),
+        F.when(F.col("action") == "renamed", F.concat(F.lit("Renamed to: "), name)).otherwise("Kept original filename"),
+    ))
+    changes = F.when(F.col("moved"), F.array_join(said, "; ")).otherwise("Skipped - low quality (no changes made)")
+    return rows.select(
+        "track_id", "path", "mtime", "kbps", "khz", "is_high", "moved", "artist", "title", "album", "year", "genre", "bpm", "set_bpm", "key_tag", "comment", "found_key", "camelot", "energy", "intro_end", "drops", "outro_start",
+        "gain_db", "in_collection", "method", "outcome", "found_year", "found_album", "enhanced", "out_path", "action", changes.alias("changes"),
+    )
+
+
+COUNTERS: dict[str, str] = {
+    "high_quality": "is_high", "low_quality": "NOT is_high", "quality_analyzed": "kbps IS NOT NULL", "text_search_hits": "method = 'text'", "fingerprint_hits": "method = 'fingerprint'",
+    "identification_failures": "outcome IN ('rejected', 'unmatched')", "manual_review": "outcome = 'unmatched'", "year_found": "found_year IS NOT NULL", "album_found": "found_album IS NOT NULL",
+    "genre_found": "method IS NOT NULL", "bpm_found": "set_bpm", "key_found": "found_key IS NOT NULL", "energy_rated": "energy IS NOT NULL", "cue_points_detected": "intro_end IS NOT NULL",
+    "loudness_normalized": "gain_db IS NOT NULL", "in_collection": "in_collection", "enhanced": "enhanced", "renamed": "action = 'renamed'",
+}
+
+
+def totals(results: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row of counters of a run; ``known``, the tracks skipped as known, count as processed with the quality that they have."""
+    own = results.select("track_id", *(F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in COUNTERS.items()))
+    if known is not None:
+        carried = {"high_quality": high_quality(), "low_quality": ~high_quality()}
+        own = own.unionByName(known.select("track_id", *(carried.get(n, F.lit(False)).alias(n) for n in COUNTERS)))
+    return own.agg(F.count("*").alias("processed"), *(F.count_if(n).alias(n) for n in COUNTERS))
+
+
+def rates(counters: DataFrame) -> DataFrame:
+    """Success of identification, and how often it found year, album, genre and tempo, in per cent; null without any."""
+    hits = F.col("text_search_hits") + F.col("fingerprint_hits")
+    share = lambda x, of: F.round(F.try_divide(100.0 * x, of), 6)
+    return counters.select(share(hits, hits + F.col("identification_failures")).alias("success_rate"), *(share(F.col(f"{c}_found"), hits).alias(f"{c}_rate") for c in ("year", "album", "genre", "bpm")))
+
+
+def low_quality(results: DataFrame, tracks: DataFrame) -> DataFrame:
+    """path, kbps, khz, length (m:ss) of what needs replacement."""
+    seconds = F.floor(F.coalesce("length_s", F.lit(0.0))).cast("long")
+    length = F.concat((seconds / 60).cast("long").cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+    return results.where("NOT is_high").join(tracks.select("track_id", length.alias("length")), "track_id").select("path", "kbps", F.round("khz", 3).alias("khz"), "length")
+
+
+def report(results: DataFrame) -> DataFrame:
+    """The library report: renames, and tracks for review, with what happened to each."""
+    rows = results.where("action = 'renamed' OR outcome = 'unmatched'")
+    return rows.select("track_id", F.when(F.col("action") == "renamed", "renamed").otherwise("review").alias("kind"), "path", "out_path", "enhanced")
+
+
+def run(tables: dict[str, DataFrame], out: str, ledger: str, options: Options | None = None) -> DataFrame:
+    """Process, then write below ``out`` the results, the collection file's rows and all reports, and append to the ledger at ``ledger``; gives the results as written."""
+    spark = tables["tracks"].sparkSession
+    names = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")
+    process(*(tables[n] for n in names), options).write.mode("overwrite").parquet(f"{out}/results")
+    results, tracks = spark.read.parquet(f"{out}/results"), tables["tracks"]
+    known = skipped(tracks, tables["ledger"]) if (options or Options()).incremental else None
+    reports = {
+        "summary": totals(results, known), "rates": rates(totals(results)), "low_quality": low_quality(results, tracks), "changes": results.select("path", "changes"),
+        "library": report(results), "duplicates": duplicates.report(tracks),
+    }
+    for name, rows in reports.items():
+        rows.write.mode("overwrite").parquet(f"{out}/reports/{name}")
+    files.append_ledger(results, ledger)
+    return results
+

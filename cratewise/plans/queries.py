@@ -36,8 +36,8 @@ COLUMNS: dict[str, list[tuple[str, Callable[[Text], str]]]] = {
     "bpm_estimate": [("bpm", lambda t: t.lookup("genre", rules.GENRE_BPM, "'120'"))],
     "bpm_policy": [("set_bpm", lambda t: f"bpm IS NULL OR NOT {t.number('bpm')}")],
     "filename_parse": [
-        ("parsed_artist", lambda t: t.let(t.clean("split_part(title, '.', 1)"), lambda v: f"CASE WHEN contains({v}, ' - ') THEN split_part({v}, ' - ', 1) ELSE '' END")),
-        ("parsed_title", lambda t: t.let(t.clean("split_part(title, '.', 1)"), lambda v: f"CASE WHEN contains({v}, ' - ') THEN substr({v}, length(split_part({v}, ' - ', 1)) + 4) ELSE {v} END")),
+        ("stem_artist", lambda t: t.name_parts("path")[0]), ("stem_title", lambda t: t.name_parts("path")[1]),
+        ("parsed_artist", lambda t: t.or_name_part("artist", "title", "path")[0]), ("parsed_title", lambda t: t.or_name_part("artist", "title", "path")[1]),
     ],
 }
 
@@ -75,6 +75,12 @@ def snapshot(frames: DataFrame) -> DataFrame:
     return kept.groupBy("track_id").agg(F.count("*").alias("n_frames"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "frame_id", "text"))), ";").alias("tags"))
 
 
+def changes(frames: DataFrame) -> DataFrame:
+    """Each changed track's fields, what they were and are, in order of the frames."""
+    said = F.concat(F.col("frame_id"), F.lit(": "), F.col("old_text"), F.lit(" -> "), F.coalesce("new_text", F.lit("(removed)")))
+    return tracks.clean_frames(frames).groupBy("track_id").agg(F.count("*").alias("n_changes"), F.count_if(F.col("action") == "removed").alias("n_removed"), F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("changes"))
+
+
 def annotated(df: DataFrame) -> DataFrame:
     line = F.concat(F.lit("Energy: "), F.format_string("%.1f", (F.col("track_id") % 100) / 10), F.lit("/10"))
     return df.select("track_id", tracks.annotate(F.col("comment"), "Energy:", line).alias("comment"))
@@ -84,16 +90,33 @@ def gated(a: DataFrame, b: DataFrame) -> DataFrame:
     """The gate on tracks and the recordings of their own fingerprints."""
     other = b.select("fingerprint", F.col("artist").alias("new_artist"), F.col("title").alias("new_title"), "recording_id")
     rows = a.join(other, "fingerprint")
-    return rows.select("track_id", "recording_id", catalogue.gate("artist", "title", "tdrc", "new_artist", "new_title", "'2001'").alias("accepted"))
+    return rows.select("track_id", "recording_id", F.expr(S.gate("artist", "title", "tdrc", "new_artist", "new_title", "'2001'")).alias("accepted"))
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The whole job's tables by name."""
+    found = {n: view(spark, sf_dir, n) for n in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness")}
+    return found | {"chroma": features.chroma_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))}
+
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    return library.process(*(t[n] for n in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")))
 
-def rates(results: DataFrame) -> DataFrame:
-    t = library.totals(results)
-    return t.select("processed", F.round(F.try_divide(F.col("enhanced"), F.col("processed")), 6).alias("match_rate"), F.round(F.try_divide(F.col("in_collection"), F.col("processed")), 6).alias("collection_rate"))
 
+def process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("track_id", "path", "kbps", "is_high", "artist", "title", "album", "year", "genre", "bpm", "key_tag", "found_key", "energy", "intro_end", "outro_start", "gain_db", "in_collection", "method", "outcome", "out_path", "action", "changes")
 
-def results(*tables: DataFrame) -> DataFrame:
-    return library.process(*tables)
+
+def stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.totals(results(spark, sf_dir), intake.skipped(view(spark, sf_dir, "tracks"), view(spark, sf_dir, "ledger")))
+
+
+def names_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracks in one folder, renamed, beside the files of the even ones, which keep their names."""
+    planned = tracks.planned_names(view(spark, sf_dir, "tracks")).withColumn("folder", F.lit("/out"))
+    kept = planned.where("track_id % 2 = 0").select(F.concat_ws("/", "folder", F.concat("stem", F.lit(".mp3"))).alias("path"))
+    return tracks.without_clashes(planned.where("track_id % 2 = 1"), kept).select("track_id", "name")
 
 
 def session(tracks_: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -117,7 +140,6 @@ def fuzzy(t: DataFrame, c: DataFrame) -> DataFrame:
     return catalogue.enrich_by_like_names(named(t, t, "/music/"), named(c.withColumn("track_id", F.col("ordinal")), t, "/usb/"))
 
 
-ALL = ("tracks", "ledger", "collection", "recordings", "releases")
 QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name, columns in COLUMNS.items()} | {
     "dup_exact": over("tracks", clean_exact),
     "dup_similar": over("tracks", duplicates.similar),
@@ -128,7 +150,7 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "quality_report": over("tracks", tracks.quality_report),
     "high_quality": over("tracks", lambda t: t.where(tracks.high_quality()).select("track_id", "path")),
     "strict_partition": over("tracks", strict_partition),
-    "low_quality_list": over("tracks", lambda t: t.where(~tracks.high_quality()).select("path", tracks.kbps().alias("kbps"), F.round("length_s", 3).alias("length_s"))),
+    "low_quality_list": over("tracks", lambda t: t.where(~tracks.high_quality()).select("path", tracks.kbps().alias("kbps"), F.round(F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0)), 3).alias("khz"), F.round("length_s", 3).alias("length_s"))),
     "missing_score": over("tracks", lambda t: tracks.missing_score(t).drop("completion")),
     "completion_pct": over("tracks", lambda t: tracks.missing_score(t).select("track_id", "completion")),
     "gap_by_field": over("tracks", tracks.gaps),
@@ -136,11 +158,11 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "clean_tags": over("tag_frames", tracks.clean_frames),
     "tag_snapshot": over("tag_frames", snapshot),
     "comment_consolidate": over("tag_frames", tracks.consolidate_comments),
-    "changes_report": over("tag_frames", lambda f: tracks.clean_frames(f).groupBy("track_id").agg(F.count("*").alias("n_changes"), F.count_if(F.col("action") == "removed").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("frame_id")), ",").alias("frames"))),
+    "changes_report": over("tag_frames", changes),
     "year_repair": over("tracks", tracks.repair_year),
     "annotate_comments": over("tracks", annotated),
     "output_plan": over("tracks", lambda t: tracks.output_names(t).select("track_id", F.concat_ws("/", "folder", "name").alias("out_path"))),
-    "name_collisions": over("tracks", lambda t: tracks.output_names(t).where(r"name RLIKE r' \(\d+\)\.mp3$'").select("track_id", "name")),
+    "name_collisions": names_query,
     "file_url": over("tracks", lambda t: t.select("track_id", files.path_of_url(files.url_of_path(F.col("path"))).alias("path"), files.url_of_path(F.col("path")).alias("url"))),
     "incremental_new": both(lambda t, l: intake.fresh(t, l).select("path", "mtime"), "tracks", "ledger"),
     "incremental_skipped": both(lambda t, l: intake.skipped(t, l).select("path", "mtime"), "tracks", "ledger"),
@@ -158,12 +180,20 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "cue_points": over("audio_frames", features.cue_points),
     "loudness_plan": over("loudness", features.loudness_plan),
     "musical_key": key_query,
-    "process_library": both(results, *ALL),
-    "run_stats": both(lambda *t: library.totals(results(*t)), *ALL),
-    "match_rates": both(lambda *t: rates(results(*t)), *ALL),
-    "rename_report": both(lambda *t: results(*t).where("enhanced AND path <> out_path").select("track_id", "path", "out_path"), *ALL),
+    "process_library": process_query,
+    "run_stats": stats_query,
+    "match_rates": lambda spark, d: library.rates(library.totals(results(spark, d))),
+    "low_quality_report": lambda spark, d: library.low_quality(results(spark, d), view(spark, d, "tracks")),
+    "rename_report": lambda spark, d: library.report(results(spark, d)),
+    "ledger_append": lambda spark, d: results(spark, d).select("path", "mtime", F.col("is_high").alias("is_high_quality")),
     "session_summary": both(session, "tracks", "ledger"),
     "collection_export": over("tracks", files.collection_rows),
+    "collection_playlist": over("tracks", files.playlist_rows),
+    "dup_exact_raw": over("tracks", duplicates.exact),
+    "dup_exact_normalized": over("tracks", lambda t: duplicates.exact(t, normalized=True)),
+    "dup_members": over("tracks", lambda t: duplicates.members(t)),
+    "people_tokens": over("tracks", lambda t: t.select("track_id", F.array_join(F.array_sort(F.expr(S.tokens("artist"))), "|").alias("tokens"))),
+    "quality_line": over("tracks", lambda t: t.where("bitrate_bps IS NOT NULL").select("track_id", tracks.quality_line().alias("line"))),
 }
 
 
@@ -178,18 +208,70 @@ CLEANED = f"""SELECT track_id, frame_id, text AS old_text, CASE WHEN frame_id IN
  FROM tag_frames WHERE frame_id IN ({', '.join(map(D.lit, rules.FRAMES))}) AND text IS NOT NULL AND text <> ''"""
 LOG = f"SELECT *, CASE WHEN new_text IS NULL THEN 'removed' ELSE 'changed' END AS action FROM ({CLEANED}) c WHERE new_text IS DISTINCT FROM old_text"
 LATEST = "SELECT path, max(mtime) AS mtime, count(*) AS entries FROM ledger GROUP BY path"
+TITLE_OR_STEM = "coalesce(nullif(trim(title), ''), cast(track_id AS varchar))"
+JOB = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness")
+COLLECTED = f"""SELECT track_id, CASE WHEN {D.blank('t.bpm')} THEN printf('%.2f', c.bpm) ELSE t.bpm END AS bpm, CASE WHEN {D.blank('t.key_tag')} THEN nullif(c.key, '') ELSE t.key_tag END AS key_tag, CASE WHEN {D.blank('t.genre')} THEN c.genre ELSE t.genre END AS genre, t.comment, c.path IS NOT NULL AS matched FROM tracks t LEFT JOIN collection c ON t.path = c.path"""
+_SEARCHED = f"""SELECT track_id, length_s, {D.match_key('wanted')} AS key, lead FROM (SELECT track_id, length_s, {D.search_title('title', 'path')} AS wanted, {D.lead('artist')} AS lead FROM tracks) t WHERE length(wanted) >= 3"""
+_LISTED = f"""SELECT *, row_number() OVER (PARTITION BY key, lead ORDER BY score DESC, recording_id) AS n_lead, row_number() OVER (PARTITION BY key ORDER BY score DESC, recording_id) AS n_all FROM (SELECT recording_id, score, length_ms, {D.match_key('title')} AS key, {D.lead('artist')} AS lead FROM recordings) r"""
+BY_TEXT = f"""SELECT track_id, arg_min(recording_id, n) AS recording_id, arg_min(score, n) AS score FROM (SELECT t.track_id, t.length_s, r.*, CASE WHEN t.lead = '' THEN n_all ELSE n_lead END AS n FROM ({_SEARCHED}) t JOIN ({_LISTED}) r ON t.key = r.key AND (t.lead = '' OR t.lead = r.lead)) x
+ WHERE n <= 3 AND key <> '' AND score > 70 AND abs(length_ms / 1000e0 - length_s) <= 5 GROUP BY track_id"""
+BY_FINGERPRINT = "SELECT track_id, recording_id, score FROM (SELECT t.track_id, r.recording_id, r.score, row_number() OVER (PARTITION BY t.track_id ORDER BY r.score DESC, recording_id) AS n FROM tracks t JOIN recordings r ON t.fingerprint = r.fingerprint WHERE r.score > 75) x WHERE n = 1"
+FIRST_RELEASE = f"""SELECT recording_id, arg_min(y, ord) FILTER (y IS NOT NULL) AS year, arg_min(title, ord) FILTER (title IS NOT NULL) AS album,
+ CASE WHEN min(ord) FILTER (y IS NOT NULL) IS NULL OR min(ord) FILTER (title IS NOT NULL) IS NULL OR min(ord) FILTER (label IS NOT NULL) <= greatest(min(ord) FILTER (y IS NOT NULL), min(ord) FILTER (title IS NOT NULL)) THEN arg_min(label, ord) FILTER (label IS NOT NULL) END AS label
+ FROM (SELECT *, {D.year_of_date('date')} AS y FROM releases) r GROUP BY recording_id"""
+_FOUND = f"""SELECT t.*, method, r.recording_id AS found_id, r.artist AS other_artist, r.title AS other_title, l.year AS other_year, l.album AS other_album, {D.genre_of_text('r.artist', 'r.title', 'l.album')} AS words
+ FROM tracks t LEFT JOIN (SELECT track_id, recording_id, 'text' AS method FROM ({BY_TEXT}) a UNION ALL SELECT track_id, recording_id, 'fingerprint' FROM ({BY_FINGERPRINT}) b WHERE track_id NOT IN (SELECT track_id FROM ({BY_TEXT}) c)) f ON t.track_id = f.track_id
+ LEFT JOIN recordings r ON f.recording_id = r.recording_id LEFT JOIN ({FIRST_RELEASE}) l ON r.recording_id = l.recording_id"""
+ENRICHED = f"""SELECT track_id, method, outcome, CASE WHEN ok THEN {D.sanitize('other_artist')} END AS new_artist, CASE WHEN ok THEN {D.sanitize('other_title')} END AS new_title, CASE WHEN ok THEN {D.year('other_year')} END AS new_year, CASE WHEN ok THEN {D.sanitize('other_album')} END AS new_album,
+ CASE WHEN ok THEN {D.genre_of_path('path', 'words')} END AS new_genre, CASE WHEN ok AND (bpm IS NULL OR NOT {D.number('bpm')}) THEN {D.lookup('words', rules.GENRE_BPM, "'120'")} END AS new_bpm, CASE WHEN found_id IS NOT NULL THEN other_year END AS found_year, CASE WHEN found_id IS NOT NULL THEN other_album END AS found_album
+ FROM (SELECT *, outcome = 'accepted' AS ok FROM (SELECT *, CASE WHEN found_id IS NULL THEN 'unmatched' WHEN {D.gate('artist', 'title', "coalesce(nullif(tdrc, ''), tyer)", 'other_artist', 'other_title', 'other_year')} THEN 'accepted' ELSE 'rejected' END AS outcome FROM ({_FOUND}) f) g) h"""
+ENERGY = "SELECT track_id, round(greatest(1e0, least(10e0, (least(max(tempo) / 130, 1.5e0) * 0.4e0 + least(avg(rms) * 1000, 2e0) * 0.4e0 + least(avg(centroid) / 2000e0, 1.5e0) * 0.2e0) * 5)), 1) AS energy FROM audio_frames GROUP BY track_id"
+CUES = """SELECT track_id, round(coalesce(min(t_s) FILTER (change AND t_s > bar * 8), max(bar) * 16), 4) AS intro_end, coalesce(array_to_string(list_transform(list_sort(list(t_s) FILTER (change))[1:3], lambda x: printf('%.1f', x)), ','), '') AS drops, round(greatest(max(t_s) - 16 * max(bar), max(t_s) * 0.75), 4) AS outro_start
+ FROM (SELECT *, frame_idx % 8 = 1 AND frame_idx < beats - 8 AND t_s > 5 AND coalesce(a / (b + 1e-10) > 1.4, false) AS change FROM (SELECT *, 240 / tempo AS bar, count(*) OVER (PARTITION BY track_id) AS beats, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b FROM audio_frames) x) y GROUP BY track_id"""
+LOUDNESS = "SELECT track_id, round(-14e0 - (lufs + 20 * log10(0.9e0 / peak)), 4) AS gain_db, round(least(0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20), 0.99e0), 4) AS peak_after, 0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20) > 0.99 AS clips FROM loudness"
+
+
+def _profiles() -> str:
+    """Rows (key, camelot, rank, w) of the rotated profiles; w is a list."""
+    made = []
+    for rank, (weights, suffix) in enumerate(((rules.MAJOR, ""), (rules.MINOR, "m"))):
+        made += [f"('{p}{suffix}', '{rules.CAMELOT[p + suffix]}', {12 * rank + i}, {[float(weights[(j - i) % 12]) for j in range(12)]}::DOUBLE[])" for i, p in enumerate(rules.PITCHES)]
+    return f"(VALUES {', '.join(made)}) p(key, camelot, rank, w)"
+
+
+KEY = f"""SELECT track_id, CASE WHEN flat THEN NULL ELSE arg_min(key, place) END AS key, CASE WHEN flat THEN NULL ELSE arg_min(camelot, place) END AS camelot FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, rank) AS place FROM (
+ SELECT track_id, key, camelot, rank, bool_and(v = m) OVER (PARTITION BY track_id) AS flat, round(r, 9) AS r FROM (SELECT track_id, key, camelot, rank, min(x) AS v, max(x) AS m, corr(x, y) AS r FROM (
+ SELECT track_id, key, camelot, rank, unnest(v) AS x, unnest(w) AS y FROM (SELECT vec_id % 50 AS track_id, [{', '.join(f'avg(abs(embedding[{j}]::DOUBLE))' for j in range(1, 13))}] AS v FROM embeddings GROUP BY 1) c CROSS JOIN {_profiles()}) u GROUP BY 1, 2, 3, 4) g) h) i GROUP BY track_id, flat"""
+_OWN_ARTIST, _OWN_TITLE = D.or_name_part(D.clean("artist"), D.clean("title"), "path")
+PLANNED = f"""SELECT track_id, path, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('a', 't', 'y')}, '\\.mp3$', '') AS stem FROM (SELECT track_id, path, {_OWN_ARTIST} AS a, {_OWN_TITLE} AS t, coalesce({D.year("coalesce(nullif(tdrc, ''), tyer)")}, '') AS y FROM tracks) x"""
+
+
+def _log(column: str, after: str) -> str:
+    return f"CASE WHEN coalesce(t.{column}, '') = '' THEN NULL WHEN {after} IS NULL THEN 'Removed {column}' WHEN {after} <> t.{column} THEN 'Cleaned {column}' END AS log_{column}"
+
+
+_JOINED = f"""SELECT t.track_id, t.path, t.mtime, floor(coalesce(t.bitrate_bps, 0) / 1000)::INTEGER AS kbps, coalesce(t.sample_rate_hz / 1000e0, 0e0) AS khz, {HIGH.replace('bitrate_bps', 't.bitrate_bps').replace('sample_rate_hz', 't.sample_rate_hz')} AS is_high,
+ coalesce(new_artist, {D.people('t.artist')}) AS artist_, coalesce(new_title, {D.sanitize('t.title')}) AS title_, coalesce(new_album, {D.sanitize('t.album')}) AS album, coalesce(new_year, {D.year('t.tdrc')}, {D.year('t.tyer')}) AS year, coalesce(new_genre, {D.sanitize('c.genre')}) AS genre,
+ new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) AS set_bpm, CASE WHEN new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) THEN new_bpm ELSE c.bpm END AS bpm, c.key_tag, k.key AS found_key, energy, intro_end, outro_start, gain_db, c.matched AS in_collection, method, outcome, found_year, found_album, outcome = 'accepted' AS enhanced,
+ {_log('artist', D.people('t.artist'))}, {_log('title', D.sanitize('t.title'))}, {_log('album', D.sanitize('t.album'))}, {_log('genre', D.sanitize('t.genre'))}
+ FROM (SELECT * FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) t
+ JOIN ({COLLECTED}) c ON t.track_id = c.track_id JOIN ({ENRICHED}) e ON t.track_id = e.track_id LEFT JOIN ({KEY}) k ON t.track_id = k.track_id LEFT JOIN ({ENERGY}) n ON t.track_id = n.track_id LEFT JOIN ({CUES}) q ON t.track_id = q.track_id LEFT JOIN ({LOUDNESS}) o ON t.track_id = o.track_id"""
+_ARTIST, _TITLE = D.or_name_part("artist_", "title_", "path")
+_PLACED = f"""SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('artist', 'title', f"coalesce({D.year_of_date('year')}, '')")}, '\\.mp3$', '') AS stem FROM (SELECT *, {_ARTIST} AS artist, {_TITLE} AS title FROM ({_JOINED}) j) k"""
+_NUMBERED = f"""SELECT *, CASE WHEN enhanced THEN folder || '/' || stem || CASE WHEN n > 1 THEN ' (' || (n - 1) || ')' ELSE '' END || '.mp3' ELSE path END AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem, enhanced ORDER BY path) AS n FROM ({_PLACED}) p) q"""
+PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept' END AS action, concat_ws('; ', 'Quality analyzed: ' || kbps || 'kbps @ ' || printf('%.1f', khz) || 'kHz', 'Added quality comment', log_artist, log_title, log_album, log_genre,
+ CASE WHEN in_collection THEN 'Applied collection metadata' END, CASE WHEN enhanced THEN 'Enhanced from catalogue' END, 'Detected key: ' || found_key, 'Detected cue points: Intro: ' || printf('%.3f', intro_end) || 's, Outro: ' || printf('%.3f', outro_start) || 's',
+ 'Energy rating: ' || printf('%.1f', energy) || '/10', CASE WHEN gain_db IS NOT NULL THEN 'Normalized loudness to -14.0 LUFS' END, CASE WHEN out_path <> path THEN 'Renamed to: ' || regexp_replace(out_path, '^.*/', '') ELSE 'Kept original filename' END) AS changes FROM ({_NUMBERED}) r"""
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {', '.join(f'{e(D)} AS {n}' for n, e in columns)} FROM tracks", ("tracks",)) for name, columns in COLUMNS.items()} | {
     "dup_exact": (f"SELECT artist, title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM (SELECT track_id, size_bytes, lower(trim({D.clean('artist')})) AS artist, lower(coalesce(nullif(trim({D.clean('title')}), ''), cast(track_id AS varchar))) AS title FROM tracks WHERE {HIGH}) t GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
-    "dup_similar_lev": ("""SELECT l.track_id AS a_id, r.track_id AS b_id, levenshtein(l.title, r.title)::INTEGER AS distance
- FROM (SELECT track_id, path, lower(trim(coalesce(artist, ''))) AS artist, regexp_replace(lower(trim(title)), '[^a-z0-9 ]', '', 'g') AS title FROM tracks) l
- JOIN (SELECT track_id, path, lower(trim(coalesce(artist, ''))) AS artist, regexp_replace(lower(trim(title)), '[^a-z0-9 ]', '', 'g') AS title FROM tracks) r
- ON l.artist = r.artist AND l.path < r.path AND l.artist <> '' AND trim(l.title) <> '' AND trim(r.title) <> ''
+    "dup_similar_lev": ("""WITH u AS (SELECT artist, title, min(path) AS path, arg_min(track_id, path) AS id FROM (SELECT track_id, path, lower(trim(coalesce(artist, ''))) AS artist, regexp_replace(lower(trim(title)), '[^a-z0-9 ]', '', 'g') AS title FROM tracks) t WHERE artist <> '' AND trim(title) <> '' GROUP BY artist, title)
+ SELECT l.id AS a_id, r.id AS b_id, levenshtein(l.title, r.title)::INTEGER AS distance FROM u l JOIN u r ON l.artist = r.artist AND l.path < r.path
  WHERE levenshtein(l.title, r.title) <= floor(0.2 * (length(l.title) + length(r.title)) + 1e-9)""", ("tracks",)),
     "dup_audio": (f"SELECT fingerprint, count(*) AS n, min(track_id) AS first_id, max(track_id) AS last_id FROM (SELECT track_id, fingerprint, {KEYS} FROM tracks) t GROUP BY fingerprint HAVING count(*) > 1 AND count(DISTINCT artist || chr(0) || title) > 1", ("tracks",)),
     "quality_report": (f"SELECT track_id, floor(bitrate_bps / 1000)::INTEGER AS kbps, round(coalesce(sample_rate_hz / 1000e0, 0), 3) AS khz, cast(floor(length_s)::BIGINT // 60 AS varchar) || ':' || lpad(cast(floor(length_s)::BIGINT % 60 AS varchar), 2, '0') AS length, {HIGH} AS is_high, CASE WHEN {HIGH} THEN 'HIGH' ELSE 'LOW' END AS rating FROM tracks", ("tracks",)),
     "high_quality": (f"SELECT track_id, path FROM tracks WHERE {HIGH}", ("tracks",)),
     "strict_partition": (f"SELECT {HIGH} AS is_high, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM tracks GROUP BY 1", ("tracks",)),
-    "low_quality_list": (f"SELECT path, floor(bitrate_bps / 1000)::INTEGER AS kbps, round(length_s, 3) AS length_s FROM tracks WHERE NOT ({HIGH})", ("tracks",)),
+    "low_quality_list": (f"SELECT path, floor(bitrate_bps / 1000)::INTEGER AS kbps, round(coalesce(sample_rate_hz / 1000e0, 0), 3) AS khz, round(length_s, 3) AS length_s FROM tracks WHERE NOT ({HIGH})", ("tracks",)),
     "missing_score": (f"SELECT track_id, path, ({SCORE})::INTEGER AS missing_score FROM ({scores()}) s", ("tracks",)),
     "completion_pct": (f"SELECT track_id, round((55 - ({SCORE})) * 100e0 / 55, 6) AS completion FROM ({scores()}) s", ("tracks",)),
     "gap_by_field": (" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (no_{f}) AS n_missing FROM ({scores()}) s" for f in rules.FIELD_WEIGHTS), ("tracks",)),
@@ -197,24 +279,49 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
     "clean_tags": (LOG, ("tag_frames",)),
     "tag_snapshot": ("SELECT track_id, count(*) AS n_frames, string_agg(frame_id || '=' || text, ';' ORDER BY frame_id || '=' || text) AS tags FROM tag_frames WHERE text <> '' GROUP BY track_id", ("tag_frames",)),
     "comment_consolidate": (f"SELECT track_id, CASE WHEN contains(lower(text), 'itunes') THEN NULL ELSE nullif(array_to_string({D.comment_lines('text')}, chr(10)), '') END AS comment, 1::BIGINT AS n_frames FROM tag_frames WHERE frame_id LIKE 'COMM%' AND text IS NOT NULL", ("tag_frames",)),
-    "changes_report": (f"SELECT track_id, count(*) AS n_changes, count(*) FILTER (action = 'removed') AS n_removed, string_agg(frame_id, ',' ORDER BY frame_id) AS frames FROM ({LOG}) l GROUP BY track_id", ("tag_frames",)),
+    "changes_report": (f"SELECT track_id, count(*) AS n_changes, count(*) FILTER (action = 'removed') AS n_removed, string_agg(said, '; ' ORDER BY said) AS changes FROM (SELECT *, frame_id || ': ' || old_text || ' -> ' || coalesce(new_text, '(removed)') AS said FROM ({LOG}) x) l GROUP BY track_id", ("tag_frames",)),
     "year_repair": (f"SELECT track_id, coalesce({D.year('tdrc')}, {D.year('tyer')}) AS year, CASE WHEN {D.year('tdrc')} IS NOT NULL AND {D.year('tdrc')} <> tdrc THEN 'parsed' WHEN {D.year('tdrc')} IS NULL AND {D.year('tyer')} IS NOT NULL THEN 'migrated' WHEN {D.year('tdrc')} IS NULL AND NOT {D.blank('tdrc')} THEN 'dropped' ELSE 'kept' END AS action FROM tracks", ("tracks",)),
     "annotate_comments": ("SELECT track_id, CASE WHEN contains(coalesce(comment, ''), 'Energy:') THEN comment ELSE concat_ws(chr(10), nullif(comment, ''), 'Energy: ' || printf('%.1f', (track_id % 100) / 10e0) || '/10') END AS comment FROM tracks", ("tracks",)),
     "incremental_new": (f"SELECT path, mtime FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)", ("tracks", "ledger")),
     "incremental_skipped": (f"SELECT path, mtime FROM tracks WHERE EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)", ("tracks", "ledger")),
     "ledger_latest": (LATEST, ("ledger",)),
-    "collection_enrich": (f"SELECT track_id, CASE WHEN {D.blank('t.bpm')} THEN printf('%.2f', c.bpm) ELSE t.bpm END AS bpm, CASE WHEN {D.blank('t.key_tag')} THEN nullif(c.key, '') ELSE t.key_tag END AS key_tag, CASE WHEN {D.blank('t.genre')} THEN c.genre ELSE t.genre END AS genre, c.path IS NOT NULL AS matched FROM tracks t LEFT JOIN collection c ON t.path = c.path", ("tracks", "collection")),
-    "identify_text": (f"""SELECT track_id, arg_min(recording_id, n) AS recording_id, arg_min(score, n) AS score FROM (SELECT track_id, length_s, {D.match_key(D.clean('title'))} AS key FROM tracks) t
- JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, recording_id) AS n FROM (SELECT recording_id, score, length_ms, {D.match_key('title')} AS key FROM recordings) r) r ON t.key = r.key
- WHERE n <= 3 AND score > 70 AND abs(length_ms / 1000e0 - length_s) <= 5 AND length(t.key) >= 3 GROUP BY track_id""", ("tracks", "recordings")),
-    "identify_fingerprint": ("SELECT track_id, recording_id, score FROM (SELECT t.track_id, r.recording_id, r.score, row_number() OVER (PARTITION BY t.track_id ORDER BY r.score DESC, recording_id) AS n FROM tracks t JOIN recordings r ON t.fingerprint = r.fingerprint WHERE r.score > 75) x WHERE n = 1", ("tracks", "recordings")),
-    "release_first": (f"""SELECT recording_id, arg_min(y, ord) FILTER (y IS NOT NULL) AS year, arg_min(title, ord) FILTER (title IS NOT NULL) AS album,
- CASE WHEN min(ord) FILTER (y IS NOT NULL) IS NULL OR min(ord) FILTER (title IS NOT NULL) IS NULL OR min(ord) FILTER (label IS NOT NULL) <= greatest(min(ord) FILTER (y IS NOT NULL), min(ord) FILTER (title IS NOT NULL)) THEN arg_min(label, ord) FILTER (label IS NOT NULL) END AS label
- FROM (SELECT *, {D.year_of_date('date')} AS y FROM releases) r GROUP BY recording_id""", ("releases",)),
+    "collection_enrich": (COLLECTED, ("tracks", "collection")),
+    "identify_text": (BY_TEXT, ("tracks", "recordings")),
+    "identify_fingerprint": (BY_FINGERPRINT, ("tracks", "recordings")),
+    "release_first": (FIRST_RELEASE, ("releases",)),
+    "catalog_enrich": (ENRICHED, ("tracks", "recordings", "releases")),
+    "match_gate": (f"SELECT t.track_id, r.recording_id, {D.gate('t.artist', 't.title', 'tdrc', 'r.artist', 'r.title', repr('2001'))} AS accepted FROM tracks t JOIN recordings r ON t.fingerprint = r.fingerprint", ("tracks", "recordings")),
     "dynamic_range": ("SELECT track_id, round(20 * log10(max(peak_abs) / (avg(rms) + 1e-10)), 4) AS db, round(max(peak_abs) / (sqrt(sum(sum_sq) / sum(n)) + 1e-10), 4) AS crest, CASE WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 14 THEN 'Excellent' WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 10 THEN 'Good' WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 6 THEN 'Fair' ELSE 'Poor' END AS rating FROM audio_frames GROUP BY track_id", ("audio_frames",)),
-    "energy_rating": ("SELECT track_id, round(greatest(1e0, least(10e0, (least(120e0 / 130, 1.5e0) * 0.4e0 + least(avg(rms) * 1000, 2e0) * 0.4e0 + least(avg(centroid) / 2000e0, 1.5e0) * 0.2e0) * 5)), 1) AS energy FROM audio_frames GROUP BY track_id", ("audio_frames",)),
+    "energy_rating": (ENERGY, ("audio_frames",)),
+    "cue_points": (CUES, ("audio_frames",)),
+    "musical_key": (KEY, ()),
     "cue_change_ratio": ("SELECT track_id, frame_idx, round(a / (b + 1e-10), 6) AS ratio FROM (SELECT track_id, frame_idx, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b FROM audio_frames) x WHERE frame_idx >= 4", ("audio_frames",)),
-    "loudness_plan": ("SELECT track_id, round(-14e0 - (lufs + 20 * log10(0.9e0 / peak)), 4) AS gain_db, round(least(0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20), 0.99e0), 4) AS peak_after, 0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20) > 0.99 AS clips FROM loudness", ("loudness",)),
+    "loudness_plan": (LOUDNESS, ("loudness",)),
+    "output_plan": (f"SELECT track_id, folder || '/' || stem || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || '.mp3' AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY path) - 1 AS n FROM ({PLANNED}) p) x", ("tracks",)),
+    "name_collisions": (f"""WITH p AS (SELECT * FROM ({PLANNED}) p),
+ held AS (SELECT stem AS file FROM p WHERE track_id % 2 = 0),
+ taken AS (SELECT file AS stem, 0 AS k FROM held UNION SELECT regexp_extract(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$', 1), regexp_extract(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$', 2)::INTEGER FROM held WHERE regexp_matches(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$')),
+ wanted AS (SELECT track_id, stem, row_number() OVER (PARTITION BY stem ORDER BY path) AS n FROM p WHERE track_id % 2 = 1),
+ most AS (SELECT stem, count(*) AS c FROM (SELECT stem FROM wanted UNION ALL SELECT stem FROM taken) x GROUP BY stem),
+ free AS (SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS n FROM (SELECT stem, unnest(range(0, c + 1)) AS i FROM most) x WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.stem = x.stem AND t.k = x.i)),
+ named AS (SELECT w.track_id, w.stem || CASE WHEN i > 0 THEN ' (' || i || ')' ELSE '' END AS name FROM wanted w JOIN free f ON w.stem = f.stem AND w.n = f.n)
+ SELECT track_id, name || CASE WHEN again > 1 THEN ' (' || (again - 1) || ')' ELSE '' END || '.mp3' AS name FROM (SELECT n.track_id, name, row_number() OVER (PARTITION BY name ORDER BY path) AS again FROM named n JOIN tracks USING (track_id)) x""", ("tracks",)),
+    "file_url": ("SELECT track_id, path, 'file://localhost' || replace(url_encode(path), '%2F', '/') AS url FROM tracks", ("tracks",)),
+    "collection_export": (f"""SELECT row_number() OVER (ORDER BY path) AS "_TrackID", coalesce(title, '') AS "_Name", coalesce(artist, '') AS "_Artist", coalesce(album, '') AS "_Album", coalesce(genre, '') AS "_Genre", coalesce(bpm, '') AS "_AverageBpm", coalesce(key_tag, '') AS "_Tonality",
+ coalesce(comment, '') AS "_Comments", coalesce({D.year("coalesce(tdrc, tyer, '')")}, '') AS "_Year", cast(size_bytes AS varchar) AS "_FileSize", floor(length_s)::BIGINT AS "_TotalTime", 'file://localhost' || replace(url_encode(path), '%2F', '/') AS "_Location" FROM tracks""", ("tracks",)),
+    "collection_playlist": ('SELECT row_number() OVER (ORDER BY path) AS "_Key" FROM tracks', ("tracks",)),
+    "dup_exact_raw": (f"SELECT artist, title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM (SELECT size_bytes, track_id, {KEYS} FROM tracks) t GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
+    "dup_exact_normalized": (f"SELECT {D.match_key('artist')} AS artist, {D.match_key(TITLE_OR_STEM)} AS title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM tracks GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
+    "dup_members": (f"SELECT artist, title, track_id, path, size_bytes // 1024 AS kb FROM (SELECT *, count(*) OVER (PARTITION BY artist, title) AS n FROM (SELECT track_id, path, size_bytes, {KEYS} FROM tracks) t) x WHERE n > 1", ("tracks",)),
+    "people_tokens": (f"SELECT track_id, array_to_string(list_sort({D.tokens('artist')}), '|') AS tokens FROM tracks", ("tracks",)),
+    "quality_line": (f"SELECT track_id, 'QUALITY: ' || floor(bitrate_bps / 1000)::INTEGER || 'kbps, ' || printf('%.1f', coalesce(sample_rate_hz / 1000e0, 0)) || 'kHz, ' || CASE WHEN {HIGH} THEN 'HIGH' ELSE 'LOW' END AS line FROM tracks WHERE bitrate_bps IS NOT NULL", ("tracks",)),
+    "process_library": (f"SELECT track_id, path, kbps, is_high, artist, title, album, year, genre, bpm, key_tag, found_key, energy, intro_end, outro_start, gain_db, in_collection, method, outcome, out_path, action, changes FROM ({{RESULT}}) r".replace("{RESULT}", PROCESSED), JOB),
+    "run_stats": ("SELECT count(*) AS processed, " + ", ".join(f"sum(n_{n})::BIGINT AS {n}" for n in library.COUNTERS) + " FROM (SELECT " + ", ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END AS n_{n}" for n, c in library.COUNTERS.items()) + f" FROM ({PROCESSED}) r UNION ALL SELECT " + ", ".join({"high_quality": f"CASE WHEN {HIGH} THEN 1 ELSE 0 END", "low_quality": f"CASE WHEN {HIGH} THEN 0 ELSE 1 END"}.get(n, "0") for n in library.COUNTERS) + f" FROM tracks WHERE EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) x", JOB),
+    "match_rates": (f"""SELECT round(100e0 * hits / nullif(hits + failures, 0), 6) AS success_rate, round(100e0 * years / nullif(hits, 0), 6) AS year_rate, round(100e0 * albums / nullif(hits, 0), 6) AS album_rate, round(100e0 * hits / nullif(hits, 0), 6) AS genre_rate, round(100e0 * bpms / nullif(hits, 0), 6) AS bpm_rate
+ FROM (SELECT count(method) AS hits, count(*) FILTER (outcome <> 'accepted') AS failures, count(found_year) AS years, count(found_album) AS albums, count(*) FILTER (set_bpm) AS bpms FROM ({PROCESSED}) r) x""", JOB),
+    "low_quality_report": (f"SELECT r.path, r.kbps, round(r.khz, 3) AS khz, cast(floor(length_s)::BIGINT // 60 AS varchar) || ':' || lpad(cast(floor(length_s)::BIGINT % 60 AS varchar), 2, '0') AS length FROM ({PROCESSED}) r JOIN tracks USING (track_id) WHERE NOT r.is_high", JOB),
+    "rename_report": (f"SELECT track_id, CASE WHEN action = 'renamed' THEN 'renamed' ELSE 'review' END AS kind, path, out_path, enhanced FROM ({PROCESSED}) r WHERE action = 'renamed' OR outcome = 'unmatched'", JOB),
+    "ledger_append": (f"SELECT path, mtime, {HIGH} AS is_high_quality FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)", ("tracks", "ledger")),
     "session_summary": (f"SELECT p.*, (SELECT count(*) FROM (SELECT 1 FROM (SELECT {KEYS} FROM tracks) k GROUP BY artist, title HAVING count(*) > 1) g) AS duplicate_groups FROM (SELECT count(*) AS processed, count(*) FILTER ({HIGH}) AS high_quality, count(*) FILTER (NOT ({HIGH})) AS low_quality FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) p", ("tracks", "ledger")),
 }
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cratewise.functions.text import Text
+
+T = Text()
 PREFIX = "file://localhost"
 CUES = "array<struct<_Name:string,_Type:string,_Start:string,_Num:string>>"
 TRACK = f"_Location string, _Name string, _Artist string, _Album string, _Genre string, _Comments string, _Tonality string, _AverageBpm string, _Rating string, _PlayCount string, _DateAdded string, POSITION_MARK {CUES}"
@@ -50,18 +55,41 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 
 def collection_rows(tracks: DataFrame) -> DataFrame:
-    """The export's columns of each track."""
-    rows = numbered(tracks.select("path", "artist", "title", "album", "genre", "bpm", "key_tag", "comment", "length_s", "bitrate_bps", "sample_rate_hz"), "path", "TrackID")
+    """The export's columns of each track. The year is that of the recording date, else of the older frame."""
+    year = F.coalesce(F.expr(T.year("coalesce(tdrc, tyer, '')")), F.lit(""))
+    rows = numbered(tracks.select("path", "artist", "title", "album", "genre", "bpm", "key_tag", "comment", "length_s", "size_bytes", year.alias("year")), "path", "TrackID")
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(
         F.col("TrackID").alias("_TrackID"), text("title").alias("_Name"), text("artist").alias("_Artist"), text("album").alias("_Album"), text("genre").alias("_Genre"), text("bpm").alias("_AverageBpm"),
-        text("key_tag").alias("_Tonality"), text("comment").alias("_Comments"), F.floor("length_s").alias("_TotalTime"), F.floor(F.col("bitrate_bps") / 1000).alias("_BitRate"), F.col("sample_rate_hz").alias("_SampleRate"), url_of_path(F.col("path")).alias("_Location"),
+        text("key_tag").alias("_Tonality"), text("comment").alias("_Comments"), F.col("year").alias("_Year"), F.col("size_bytes").cast("string").alias("_FileSize"), F.floor("length_s").alias("_TotalTime"), url_of_path(F.col("path")).alias("_Location"),
     )
 
 
-def write_collection(tracks: DataFrame, path: str) -> None:
-    rows = collection_rows(tracks)
-    rows.write.format("xml").option("rootTag", f"COLLECTION Entries='{tracks.count()}'").option("rowTag", "TRACK").option("declaration", "version='1.0' encoding='UTF-8'").save(path)
+def playlist_rows(tracks: DataFrame) -> DataFrame:
+    """The playlist's entries: the numbers of all tracks."""
+    return collection_rows(tracks).select(F.col("_TrackID").alias("_Key"))
+
+
+def write_collection(tracks: DataFrame, path: str, playlist: str | None = None) -> None:
+    """The collection as XML below ``path``; a playlist of all tracks, if it has a name, beside it (``path``-playlist)."""
+    entries = tracks.count()
+    out = lambda rows, root, to: rows.write.format("xml").option("rootTag", root).option("rowTag", "TRACK").option("declaration", "version='1.0' encoding='UTF-8'").save(to)
+    out(collection_rows(tracks), f"COLLECTION Entries='{entries}'", path)
+    if playlist is not None:
+        name = re.sub(r"[\s='\"]+", "_", playlist)  # the writer parts the root's attributes at spaces
+        out(playlist_rows(tracks), f"NODE Name='{name}' Type='1' KeyType='0' Entries='{entries}'", f"{path}-playlist")
+
+
+def bad_values(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many entries of a collection file have a tempo, rating or play count that is no number."""
+    rows = spark.read.format("xml").option("rowTag", "TRACK").schema(TRACK).load(path).where(F.col("_Location").startswith(PREFIX))
+    bad = lambda c, kind: F.count_if((F.trim(F.coalesce(c, F.lit(""))) != "") & F.trim(c).try_cast(kind).isNull())
+    return rows.agg(F.count("*").alias("entries"), bad(F.col("_AverageBpm"), "double").alias("bad_bpm"), bad(F.col("_Rating"), "int").alias("bad_rating"), bad(F.col("_PlayCount"), "int").alias("bad_play_count"))
+
+
+def append_ledger(results: DataFrame, path: str) -> None:
+    """Record processed tracks: path, mtime, when, and their quality. Each run adds files; ``latest`` is the state."""
+    results.select("path", "mtime", F.current_timestamp().alias("last_processed"), F.col("is_high").alias("is_high_quality")).write.mode("append").parquet(path)
 
 
 def latest(ledger: DataFrame) -> DataFrame:

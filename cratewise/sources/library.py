@@ -37,7 +37,7 @@ VIEWS = {
      WHEN 'TDRC' THEN tdrc WHEN 'TYER' THEN tyer WHEN 'TBPM' THEN bpm WHEN 'TKEY' THEN key_tag ELSE comment END AS text
   FROM tracks CROSS JOIN (VALUES ('TIT2'),('TPE1'),('TALB'),('TCON'),('TDRC'),('TYER'),('TBPM'),('TKEY'),('COMM::eng')) f(frame_id)""",
     "audio_frames": """SELECT user_id AS track_id, i AS frame_idx, i * 0.5e0 AS t_s, value / 500e0 AS rms,
-  least(1e0, value / 250e0) AS peak_abs, value * value / 250000e0 AS sum_sq, 1 AS n, value * 20 AS centroid, value AS mean_abs_mfcc
+  least(1e0, value / 250e0) AS peak_abs, value * value / 250000e0 AS sum_sq, 1 AS n, value * 20 AS centroid, value AS mean_abs_mfcc, 90e0 + user_id % 7 * 10 AS tempo
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS i FROM events) e""",
     "loudness": "SELECT p_partkey AS track_id, -5e0 - p_size * 0.4e0 AS lufs, 0.3e0 + (p_partkey % 70) / 100e0 AS peak FROM part",
 }
@@ -48,7 +48,11 @@ GIVEN = ["documents", "events", "part", "embeddings"]
 def with_views(query: str, *views: str) -> str:
     """``query`` after the definitions of the views it reads."""
     names = list(dict.fromkeys(x for v in views for x in [*NEEDS.get(v, []), v]))
-    return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in names)}\n{query}" if names else query
+    if not names:
+        return query
+    own = query.lstrip()
+    rest = f",\n{own[5:]}" if own.startswith("WITH ") else f"\n{query}"
+    return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in names)}{rest}"
 
 
 def exploded(query: str) -> str:

@@ -1,13 +1,15 @@
 """Goldens of the cleaning functions, brute force for the joins, plan checks, XML and streaming round trips."""
 
+import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
-from cratewise.operators import catalogue, duplicates
-from cratewise.plans import queries
+from cratewise.operators import catalogue, duplicates, tracks
+from cratewise.plans import library, queries
 from cratewise.sources import files
 from cratewise.sources.library import view
 from cratewise.streaming import intake
@@ -41,24 +43,68 @@ def test_file_names(spark):
     assert [r[0] for r in df.select(F.expr(T.file_name("a", "t", "y"))).collect()] == ["A - T (1999)", "A - T", "T", "Unknown Track.mp3", "A"]
 
 
-def test_similar_titles_equal_brute_force(spark):
-    rows = [(i, f"/{i:03}", "x" if i % 3 else "y", t, 1, None) for i, t in enumerate(["abcdefgh", "abcdefgi", "tide", "diet", "abcdefgh", "zzzz", "abcdxfgh", "a", "ab", ""] * 3)]
+GOLDENS = {
+    "strict": [("masstamilan.com - Song", "Song"), ("Song [www.djmaza.com]", "Song []"), ("Song (DJMaza rip)", "Song ( rip)"), ("A & B - C", "A, B - C"), ("com", None), ("...", None), ("Song—Live", "Song - Live"), ("visit hearthis.at now", "visit now"), ("Song - songspk", "Song"), ("", None), (None, None)],
+    "polluted": [("Download now", True), ("Plain", False), ("song.COM", True), ("x.dev", True), ("", False), (None, False), ("PagalWorld", True)],
+    "match_key": [("Song (Original Mix) feat. X Y", "song"), ("Don't 1999", "dont"), ("A  B", "a b"), ("Song (Remix) ft. Z!", "song"), ("", ""), (None, "")],
+    "year_of_date": [("2031-01-01", None), ("1999-05", "1999"), ("12 2001", "2001"), ("99999", None), ("", None), (None, None), ("2030", "2030"), ("1899", None)],
+    "download_sites": [
+        ("exclusive courtesy of promotional copy premium download", ["exclusive", "promotional copy", "courtesy of", "premium download"]),
+        ("downloaded from site.com", ["site.com", "downloaded from site", "from site.com"]), ("follow us on djmaza", ["follow us on djmaza"]), ("Free Download", ["Free Download"]),
+        ("see http://a.b/c and x.co.in", ["http://a.b/c", "x.co.in"]), ("plain", []), (None, []),
+    ],
+    "tokens": [("The Song, feat. A", ["song"]), ("b-side B", ["b", "side"]), ("", []), (None, [])],
+    "comment_lines": [("QUALITY: 320kbps, 44.1kHz, HIGH\nvisit", ["QUALITY: - 44.1kHz - HIGH"]), ("Energy: 7.5/10", ["Energy: 7.5/10"]), ("hello", []), (None, [])],
+}
+
+
+@pytest.mark.parametrize("name", GOLDENS)
+def test_goldens(spark, name):
+    """By hand from the definitions, not from the expressions."""
+    assert values(spark, getattr(T, name)("x"), [x for x, _ in GOLDENS[name]]) == [want for _, want in GOLDENS[name]]
+
+
+def test_genre_goldens(spark):
+    rows = [("A R Rahman", "", "", "/m/x.mp3"), ("", "Club hit", None, "/m/Tamil/x.mp3"), ("DJ", "Hindi x", "", "/m/Telugu/Hindi.mp3"), ("", "", "", "/m/BOLLYWOOD/x.mp3"), (None, None, None, "/punjabi/x.mp3")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, t string, l string, p string").orderBy("i")
+    assert [r[0] for r in df.select(F.expr(T.genre_of_text("a", "t", "l"))).collect()] == ["Tamil", "Electronic", "Bollywood", "Indian", "Indian"]
+    assert [r[0] for r in df.select(F.expr(T.genre_of_path("p", "'rock'"))).collect()] == ["Rock", "Tamil", "Telugu", "Bollywood", "Punjabi"]
+    genres = ["r&b", "hip-hop songspk", "", None, "ROCK"]
+    assert values(spark, T.genre_of_path("'/m/x.mp3'", "x"), genres) == ["R&B", "Hip - Hop", "Indian", "Indian", "Rock"]
+
+
+def test_names_from_files(spark):
+    rows = [("/m/A - B - C.mp3", "", " "), ("/m/Song_One.mp3", None, None), ("/m/plain.mp3", "", ""), ("/m/x.y.mp3", "", ""), ("/m/A - B.mp3", "own", ""), ("/m/A - B.mp3", "", "own"), ("/m/djmaza.mp3", "", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, a string, t string").orderBy("i")
+    artist, title = T.or_name_part("a", "t", "p")
+    assert [tuple(r) for r in df.select(F.expr(artist), F.expr(title)).collect()] == [("A", "B - C"), ("Song", "One"), ("", "plain"), ("", "x.y"), ("own", ""), ("", "own"), ("", "")]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_similar_titles_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK_TITLES", block)
+    draw = random.Random(block)
+    titles = ["abcdefgh", "abcdefgi", "tide", "diet", "abcdefgh", "zzzz", "abcdxfgh", "a", "ab", ""] * 3
+    titles += ["".join(draw.choices("ab d", k=draw.randint(1, 14))).strip() for _ in range(120)]
+    rows = [(i, f"/{i:03}", "x" if i % 3 else "y", t, 1, None) for i, t in enumerate(titles)]
     df = spark.createDataFrame(rows, "track_id long, path string, artist string, title string, size_bytes long, fingerprint string")
-    got = {(r.a_id, r.b_id) for r in duplicates.similar(df).collect()}
-    keys = {i: (a, t or f"{i:03}") for i, _, a, t, _, _ in rows}
-    want = {(i, j) for i in keys for j in keys if i < j and keys[i][0] == keys[j][0] and keys[i][1] != keys[j][1] and SequenceMatcher(None, keys[i][1], keys[j][1]).ratio() >= 0.8}
-    assert got == want
+    firsts, n = {}, Counter()
+    for i, _, a, t, _, _ in rows:
+        firsts.setdefault((a, t or f"{i:03}"), i)
+        n[a, t or f"{i:03}"] += 1
+    want = {(i, j, round(r, 6), n[x], n[y]) for x, i in firsts.items() for y, j in firsts.items() if i < j and x[0] == y[0] and (r := SequenceMatcher(None, x[1], y[1]).ratio()) >= 0.8}
+    assert {tuple(r) for r in duplicates.similar(df).collect()} == want and len(want) > 15
 
 
 def test_like_names_equal_brute_force(spark):
     names = ["night drive (remix)", "night drive (remi)", "night drive", "Night Drive (Remix)!", "a", "ab", "ba", "aaaaaaaaaaaa", "aaaaaaaaaaa", "midnight drive (remix)", "", "tide and time", "time and tide"]
-    tracks = [(i, f"/music/{n}", None if i % 2 else "128", "") for i, n in enumerate(names)] + [(99, "/usb/ab", None, None)]
+    own_tracks = [(i, f"/music/{n}", None if i % 2 else "128", "") for i, n in enumerate(names)] + [(99, "/usb/ab", None, None)]
     entries = [(f"/usb/{n}", i, 100.0 + i, "Gm") for i, n in enumerate(names[::-1])]
-    t = spark.createDataFrame(tracks, "track_id long, path string, bpm string, key_tag string")
+    t = spark.createDataFrame(own_tracks, "track_id long, path string, bpm string, key_tag string")
     c = spark.createDataFrame(entries, "path string, ordinal long, bpm double, key string")
     got = {r.track_id: (r.ordinal, r.bpm, r.key_tag) for r in catalogue.enrich_by_like_names(t, c).collect()}
     want = {}
-    for i, path, bpm, _ in tracks[:-1]:
+    for i, path, bpm, _ in own_tracks[:-1]:
         own = path.rsplit("/", 1)[1].lower()
         first = [e for e in entries if own and SequenceMatcher(None, own, e[0].rsplit("/", 1)[1].lower()).ratio() >= 0.9]
         if first:
@@ -74,9 +120,9 @@ def test_no_cross_joins(spark, name):
 
 
 def test_incremental_runs_are_idempotent(spark):
-    tracks = view(spark, SF, "tracks")
-    ledger = tracks.select("path", "mtime")
-    assert intake.fresh(tracks, ledger).count() == 0 and intake.skipped(tracks, ledger).count() == tracks.count()
+    rows = view(spark, SF, "tracks")
+    ledger = rows.select("path", "mtime")
+    assert intake.fresh(rows, ledger).count() == 0 and intake.skipped(rows, ledger).count() == rows.count()
 
 
 def test_scores_add_up(spark):
@@ -85,11 +131,11 @@ def test_scores_add_up(spark):
 
 
 def test_collection_round_trip(spark, tmp_path):
-    tracks = view(spark, SF, "tracks").limit(20)
-    files.write_collection(tracks, str(tmp_path / "c"))
+    rows = view(spark, SF, "tracks").limit(20)
+    files.write_collection(rows, str(tmp_path / "c"))
     back = files.read_collection(spark, str(tmp_path / "c"))
-    assert {r.path for r in back.collect()} == {r.path for r in tracks.collect()}
-    ids = [r[0] for r in files.collection_rows(tracks).select("_TrackID").collect()]
+    assert {r.path for r in back.collect()} == {r.path for r in rows.collect()}
+    ids = [r[0] for r in files.collection_rows(rows).select("_TrackID").collect()]
     assert sorted(ids) == list(range(1, 21))
 
 
@@ -106,6 +152,46 @@ def test_collection_import(spark, tmp_path):
     assert rows["/m/a+b c.mp3"].cue_points[0].time == 1.5
 
 
+def test_names_without_clashes(spark):
+    planned = [(1, "/m/a.mp3", "/o", "x"), (2, "/m/b.mp3", "/o", "x"), (3, "/m/c.mp3", "/o", "x"), (4, "/m/d.mp3", "/o", "y"), (5, "/m/e.mp3", "/q", "x"), (6, "/m/f.mp3", "/o", "z (1)"), (7, "/m/g.mp3", "/o", "z"), (8, "/m/h.mp3", "/o", "z")]
+    kept = [("/o/x (1).mp3",), ("/o/y.mp3",), ("/o/y (1).mp3",), ("/o/Other.mp3",)]
+    p, k = spark.createDataFrame(planned, "track_id long, path string, folder string, stem string"), spark.createDataFrame(kept, "path string")
+    got = {r.track_id: f"{r.folder}/{r.name}" for r in tracks.without_clashes(p, k).collect()}
+    assert got == {1: "/o/x.mp3", 2: "/o/x (2).mp3", 3: "/o/x (3).mp3", 4: "/o/y (2).mp3", 5: "/q/x.mp3", 6: "/o/z (1).mp3", 7: "/o/z.mp3", 8: "/o/z (1) (1).mp3"}
+    assert not {*got.values()} & {r[0] for r in kept} and len({*got.values()}) == len(got)
+
+
+def test_whole_job(spark, tmp_path):
+    """Results, reports and ledger are written; a second run over the ledger finds nothing to do."""
+    t = queries.tables(spark, SF)
+    results = library.run(t, str(tmp_path / "out"), str(tmp_path / "ledger"))
+    n = results.count()
+    summary = spark.read.parquet(str(tmp_path / "out/reports/summary")).first()
+    assert summary.processed == t["tracks"].count() and summary.high_quality + summary.low_quality == summary.processed and summary.key_found > 0
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert ledger.count() == n and intake.fresh(results.select("path", "mtime"), ledger).isEmpty()
+    strict = library.process(*(t[x] for x in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")), library.Options(incremental=False, high_quality_only=True, use_catalogue=False, detect_key=False))
+    low = strict.where("NOT is_high").first()
+    assert (low.action, low.out_path, low.artist) == ("skipped", None, None) and low.changes.startswith("Skipped") and strict.where("found_key IS NOT NULL").isEmpty()
+
+
+def test_collection_cues(spark):
+    cues = [("Drop", "0", 1.25, 0), ("", "0", 2.0, 1), ("Out", "0", 61.5, 2)]
+    collection = spark.createDataFrame([("/a", 1, 120.0, "Gm", "Pop", cues), ("/b", 2, None, "", None, [])], "path string, ordinal long, bpm double, key string, genre string, cue_points array<struct<name:string,type:string,time:double,num:int>>")
+    rows = spark.createDataFrame([(1, "/a", "", None, " ", "mine"), (2, "/b", "99", "Am", "Rock", None), (3, "/a", "1", "x", "y", "Rekordbox Cues: #1")], "track_id long, path string, bpm string, key_tag string, genre string, comment string")
+    got = {r.track_id: r for r in catalogue.enrich_from_collection(rows, collection).collect()}
+    assert got[1].comment == "mine\nRekordbox Cues: #0: 1.3s (Drop), #2: 61.5s (Out)" and (got[1].bpm, got[1].key_tag, got[1].genre) == ("120.00", "Gm", "Pop")
+    assert got[2].comment is None and got[3].comment == "Rekordbox Cues: #1"
+
+
+def test_collection_playlist_and_bad_values(spark, tmp_path):
+    files.write_collection(view(spark, SF, "tracks").limit(5), str(tmp_path / "c"), "All & more")
+    nodes = spark.read.format("xml").option("rowTag", "TRACK").schema("_Key long").load(str(tmp_path / "c-playlist"))
+    assert sorted(r[0] for r in nodes.collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "bad.xml").write_text("""<C><TRACK AverageBpm="x" Rating="1" Location="file://localhost/a"></TRACK><TRACK AverageBpm=" " Rating="y" PlayCount="z" Location="file://localhost/b"></TRACK></C>""")
+    assert tuple(files.bad_values(spark, str(tmp_path / "bad.xml")).first()) == (2, 1, 1, 1)
+
+
 def test_inventory(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for name in ("a.mp3", "d/b.MP3", "c.txt"):
