@@ -47,8 +47,9 @@ COUNTED = int(COUNTED_SHARE * (1 << 63))
 #: 64-bit words of the smallest and the largest bitmap, and n-grams for each.
 LEAST_BITS, MOST_BITS, GRAMS_A_WORD = 8, 512, 32
 MOST_WANTED = 500_000
-#: Entries of a block of a long list, about; sets that are compared with one at once; sets of a block of a component.
-BLOCK, FAN, GROUP = 500, 200, 128
+#: Entries of a block of a long list, about, and parts of a prefix that its positions are told apart by; sets that are compared with one at once;
+#: sets of a block of a component.
+BLOCK, PLACES, FAN, GROUP = 500, 4, 200, 128
 #: Which neighbours by id a set of a long list is compared with, and n-grams by which a pair of such sets knows its first list.
 NEIGHBOURS, FIRSTS = (1, 3, 9, 27), 16
 #: Columns of the matrix of differences at once.
@@ -124,7 +125,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, bool]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for batch in batches:
+        for batch in sliced(batches):
             own = [short(s if s.size <= SMALL else s[: np.searchsorted(s, COUNTED)]) for s in map(shingles.of, batch.column(0).to_pylist())]
             keys, n = np.unique(np.concatenate(own), return_counts=True)
             yield table({"token": (keys, pa.int32()), "n": (n.astype(np.int32), pa.int32())})
@@ -198,8 +199,8 @@ class Join:
         entries = sets.where(F.size("prefix") > F.col("narrow")).select("sid", "n", F.explode(rest).alias("e")).select("e.token", "sid", "n", "e.place")
         often = entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
         size = F.floor(F.log("n") / np.log(self.down / self.up))
-        place = F.floor(8 * F.col("place") * self.down / (F.col("n") * (self.down - self.up) + self.down))
-        dealt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("times") / BLOCK))
+        place = F.floor(PLACES * F.col("place") * self.down / (F.col("n") * (self.down - self.up) + self.down))
+        dealt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("times") / (PLACES * BLOCK)))
         block = F.when(F.col("times") > BLOCK, F.xxhash64(size, place, dealt)).otherwise(F.lit(0))
         blocks = entries.join(often, "token").withColumn("block", block).repartition("token", "block")
         return self.with_leaders(blocks, "token", "block").select("token", "sid", "n", "place", "block", "partners")
@@ -272,7 +273,7 @@ class Join:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """In order of a, its own row first."""
             one = None
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = []
                 for a, sid, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                     two = np.frombuffer(tokens.as_buffer(), np.int64)
