@@ -3,8 +3,8 @@
 Each class, toxic and ordinary, has a model of byte n-grams within words and one of whole words. All counts
 below the highest order are shared: an n-gram that a class hasn't seen falls back to how many contexts its
 ending continues in either class, and a word to its share of both. A document's length-normalised
-log-likelihood ratios and those of its most telling words make the score, through a logistic curve fitted
-on other labelled rows.
+log-likelihood ratios make the score, through a logistic curve fitted on other labelled rows: the whole ratio, what its
+words have beyond each of LEVELS, and the largest of a word; so a few telling expressions count in a long text too.
 
 Spark counts the words of all training documents, copies once, and from them the n-grams; none is dropped, those
 seen once neither. Every fourth fold of the training rows sets the curve, from at most CURVE_ROWS rows, under counts
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cratewise.llm.common import broadcast_if_small, fold, labelled, logistic, materialise, texts
 
-ORDER = 6
+ORDER = 5
 #: Words are looked up by a hash with this bit; n-grams have 56 bits.
 WORD = 1 << 62
 DISCOUNT = 0.75
@@ -52,9 +52,9 @@ PARTS = ("own", "all")
 #: Labels of up to so many documents are broadcast (16 bytes each); beyond, Spark joins by shuffle.
 MOST_LABELS = 2_000_000
 CACHE_WORDS = 300_000
-TOP_WORDS = 3
-#: Of n-grams and of words: the length-normalised ratio, then those of the top words.
-FEATURES = 2 * (TOP_WORDS + 1)
+LEVELS = (0.0, 1.0, 2.0, 3.0)
+#: Of n-grams and of words: the length-normalised ratio, what is beyond each level, and the largest of a word.
+FEATURES = 2 * (len(LEVELS) + 2)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -335,8 +335,9 @@ class Scorer:
             found = list(map(self.known.__getitem__, words))
             rest = Counter(w for w, x in zip(words, found, strict=True) if x is None) if None in found else {}
             ratios = np.array([x for x in found if x is not None] if rest else found).reshape(-1, 2)
-            top = np.maximum(np.sort(ratios, axis=0)[::-1][:TOP_WORDS], 0)
-            yield sum(len(w.encode()) + 1 for w in words), len(words), *ratios.sum(axis=0).tolist(), top[:, 0].tolist(), top[:, 1].tolist(), [{"word": w, "n": n} for w, n in rest.items()]
+            beyond = [np.maximum(ratios - level, 0).sum(axis=0) for level in LEVELS]
+            each = np.stack([ratios.sum(axis=0), *beyond, ratios.max(axis=0, initial=0)])
+            yield sum(len(w.encode()) + 1 for w in words), len(words), each[:, 0].tolist(), each[:, 1].tolist(), [{"word": w, "n": n} for w, n in rest.items()]
 
 
 def cached_ratios(keys: np.ndarray, ratios: np.ndarray) -> Callable[[list[str]], list[tuple[float, float] | None]]:
@@ -349,8 +350,8 @@ def cached_ratios(keys: np.ndarray, ratios: np.ndarray) -> Callable[[list[str]],
 
 def parts_of(rows: DataFrame, held: Broadcast, ratios: Callable) -> DataFrame:
     """row, doc_id and what the known words of each (doc_id, text) row add to its features. ``ratios`` makes a Scorer's function of what is held."""
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))]
-    names = ["n_grams", "n_words", "grams", "words", "top_grams", "top_words", "rest"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))]
+    names = ["n_grams", "n_words", "grams", "words", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, first = Scorer(ratios(held.value)), TaskContext.get().partitionId() << 36
@@ -363,37 +364,37 @@ def parts_of(rows: DataFrame, held: Broadcast, ratios: Callable) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), *map(pa.array, parts, kinds)], ["row", "doc_id", *names])
 
     of_doc = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {of_doc}, n_grams long, n_words long, grams double, words double, top_grams array<double>, top_words array<double>, rest array<struct<word:string,n:int>>"
+    schema = f"row long, doc_id {of_doc}, n_grams long, n_words long, grams array<double>, words array<double>, rest array<struct<word:string,n:int>>"
     return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def added_by_rest(own: DataFrame, model: Tables, part: str) -> DataFrame:
-    """row, s, o, top_s, top_o: what the words that weren't held add."""
+    """row, more_grams, more_words: what the words that weren't held add."""
     each = own.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
-    known = materialise(model.ratios_of(each.groupBy("word").agg(F.count("*").alias("times"))), "toxicity-rest").select("word", "times", F.col(f"sum_{part}").alias("s"), F.col(f"own_{part}").alias("o"))
+    known = materialise(model.ratios_of(each.groupBy("word").agg(F.count("*").alias("times"))), "toxicity-rest").select("word", "times", F.col(f"sum_{part}").alias("grams"), F.col(f"own_{part}").alias("words"))
     heavy = F.broadcast(known.where(F.col("times") >= HEAVY))
     light = each.join(heavy.select("word"), "word", "left_anti").join(known.where(F.col("times") < HEAVY), "word")
-    found = each.join(heavy, "word").unionByName(light)
-    tops = lambda c: F.flatten(F.collect_list(F.array_repeat(F.greatest(F.col(c), F.lit(0.0)), F.least("n", F.lit(TOP_WORDS)))))
-    return found.groupBy("row").agg(F.sum(F.col("s") * F.col("n")).alias("s"), F.sum(F.col("o") * F.col("n")).alias("o"), tops("s").alias("top_s"), tops("o").alias("top_o"))
+    zero = F.lit(0.0)
+    sums = lambda c: F.array(F.sum(F.col(c) * F.col("n")), *(F.sum(F.greatest(F.col(c) - level, zero) * F.col("n")) for level in LEVELS), F.max(F.greatest(F.col(c), zero)))
+    return each.join(heavy, "word").unionByName(light).groupBy("row").agg(sums("grams").alias("more_grams"), sums("words").alias("more_words"))
 
 
 def _features(rows: DataFrame, model: Held | Tables, part: str) -> DataFrame:
     """doc_id, x (the features) of each (doc_id, text) row."""
     context = rows.sparkSession.sparkContext
-    none = F.array().cast("array<double>")
     if isinstance(model, Held):
         joined = parts_of(rows, context.broadcast(model.models[part]), lambda m: lambda words: list(map(tuple, m.words(words)[:, [0, 2]].tolist())))
-        joined = joined.select("*", F.lit(0.0).alias("s"), F.lit(0.0).alias("o"), none.alias("top_s"), none.alias("top_o"))
+        joined = joined.select("*", F.lit(None).cast("array<double>").alias("more_grams"), F.lit(None).cast("array<double>").alias("more_words"))
     else:
         own = materialise(parts_of(rows, context.broadcast((model.cached[0], model.cached[1][part])), lambda x: cached_ratios(*x)), "toxicity-parts")
         joined = own.drop("rest").join(added_by_rest(own, model, part), "row", "left")
     clip = lambda c: F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c))
-    x = []
-    for column, more, top, more_top, parts in (("grams", "s", "top_grams", "top_s", "n_grams"), ("words", "o", "top_words", "top_o", "n_words")):
-        x.append(F.when(F.col(parts) > 0, 100 * (F.col(column) + F.coalesce(more, F.lit(0.0))) / F.col(parts)).otherwise(0.0))
-        best = F.sort_array(F.concat(top, F.coalesce(more_top, none)), asc=False)
-        x += [F.coalesce(F.get(best, F.lit(k)), F.lit(0.0)) for k in range(TOP_WORDS)]
+    x, last = [], len(LEVELS) + 1
+    for column, parts in (("grams", "n_grams"), ("words", "n_words")):
+        value = lambda k, c=column: F.get(c, F.lit(k))
+        more = lambda k, c=column: F.coalesce(F.get(f"more_{c}", F.lit(k)), F.lit(0.0))
+        per = lambda k, n: F.when(F.col(n) > 0, 100 * (value(k) + more(k)) / F.col(n)).otherwise(0.0)
+        x += [per(0, parts), *(per(k, "n_words") for k in range(1, last)), F.greatest(value(last), more(last))]
     return joined.select("doc_id", F.array(*map(clip, x)).alias("x"))
 
 

@@ -174,12 +174,11 @@ def test_toxicity_holds_all_counts(spark, monkeypatch):
             assert np.allclose(held.models[part].words([w])[0], [total, _, own], atol=1e-5)
     docs = spark.createDataFrame([(i, " ".join(random.choices(asked, k=i % 9))) for i in range(30)], "doc_id long, text string")
     for r in toxicity._features(docs, model, "all").unionAll(toxicity._features(docs, held, "all")).join(docs, "doc_id").collect():
-        words, x = r.text.split(), np.zeros(toxicity.FEATURES)
-        if words:
-            ratios = whole.words(words)
-            for k, column, n in ((0, 0, ratios[:, 1].sum()), (4, 2, len(words))):
-                top = np.maximum(np.sort(ratios[:, column])[::-1][:3], 0)
-                x[k], x[k + 1 : k + 1 + len(top)] = 100 * ratios[:, column].sum() / n, top
+        words, x = r.text.split(), []
+        ratios = whole.words(words)
+        for column, n in ((0, ratios[:, 1].sum()), (2, len(words))):
+            own = ratios[:, column]
+            x += [100 * own.sum() / max(1, n), *(100 * np.maximum(own - level, 0).sum() / max(1, len(words)) for level in toxicity.LEVELS), own.max(initial=0)]
         assert np.allclose(r.x, np.clip(x, -50, 50), atol=1e-4)
 
 
