@@ -50,8 +50,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all columns of ``docs`` as one (``row``), so that no helper column can clash with one of them."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """All columns of ``docs`` as one (``row``), so that no helper column can clash with one of them; the text goes along once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

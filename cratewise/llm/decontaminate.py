@@ -98,14 +98,14 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     return out.unionAll(repeated).drop("h", "n")
 
 
-def _key(text: Column) -> Column:
-    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text).alias("h"))
+def _key() -> Column:
+    return F.struct(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.xxhash64("row.text").alias("h"))
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that no window hits; all columns stay."""
     bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"))
-    rows = carried(docs).withColumn("own", _key(F.col("text")))
+    rows = carried(docs).withColumn("own", _key())
     return rows.join(bad, F.col("own") == F.col("bad"), "left_anti").select("row.*")
 
 
@@ -113,9 +113,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     """``docs`` without the hit words; what stands between words stays."""
     bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"), merged(F.col("spans")).alias("hit"))
     bad = bad.groupBy("bad").agg(F.first("hit").alias("hit"))
-    joined = carried(docs).withColumn("own", _key(F.col("text"))).join(bad, F.col("own") == F.col("bad"), "left")
+    joined = carried(docs).withColumn("own", _key()).join(bad, F.col("own") == F.col("bad"), "left")
     upper = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    own, between = F.regexp_extract_all("text", F.lit(upper), F.lit(0)), F.split("text", upper, -1)
+    own, between = F.regexp_extract_all("row.text", F.lit(upper), F.lit(0)), F.split("row.text", upper, -1)
 
     def flags(k: Column) -> Column:
         """Of the words after the span before, and of the span."""
@@ -125,4 +125,4 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     gone = F.flatten(F.transform(F.sequence(F.lit(0), F.size("hit") - 1), flags))
     kept = F.transform(F.array(F.struct(own.alias("w"), between.alias("s"), gone.alias("gone"))), lambda x: F.concat(x["s"][0], F.array_join(
         F.transform(x["w"], lambda w, i: F.concat(F.when(F.coalesce(F.get(x["gone"], i), F.lit(False)), F.lit("")).otherwise(w), x["s"][i + 1])), "")))[0]
-    return joined.select(F.col("row").withField("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(kept)).alias("row")).select("row.*")
+    return joined.select(F.col("row").withField("text", F.when(F.col("hit").isNull(), F.col("row.text")).otherwise(kept)).alias("row")).select("row.*")

@@ -204,8 +204,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosed"] >= REMOVE_AT, "").otherwise(F.get(related, t["kind"])).alias("mark"))),
     )
     spans = found.select(F.struct(*DOC).alias("key"), F.array_sort(marks).alias("marks")).where(F.size("marks") > 0).dropDuplicates(["key"])
-    text = F.coalesce("text", F.lit(""))
-    own = F.struct("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+    text = F.coalesce("row.text", F.lit(""))
+    own = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
     joined = carried(docs).withColumn("own", own).join(spans, F.col("own").eqNullSafe(F.col("key")), "left")
 
     def add(state: Column, m: Column) -> Column:
@@ -214,5 +214,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     clean = F.aggregate("marks", begin, add, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
-    row = F.col("row").withField("text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(clean))
+    row = F.col("row").withField("text", F.when(F.col("marks").isNull(), F.col("row.text")).otherwise(clean))
     return joined.select(row.alias("row")).select("row.*")
