@@ -9,7 +9,7 @@ All work is done by array functions on a text's own bytes: 32 bits of hash and 3
 so a window's minimum is the rightmost smallest hash. ``transform`` over an array of one binds a computed
 value to a name; without that it would be computed again for each element.
 
-Equal texts have equal fingerprints. The likeness of two is the share of common hashes, 1 for two empty ones.
+An empty table gives an empty result; repeated rows get a row each; a text of any length is one array. Equal texts have equal fingerprints. The likeness of two is the share of common hashes, 1 for two empty ones.
 """
 
 from __future__ import annotations
@@ -148,8 +148,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each text and of its edited form, whose last half is the next document's first part.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document is
-    that of the next row in ascending doc_id, text; null ids come first, and the first row follows the last.
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and positions: the 1-based bytes where
+    the chosen runs of the text start, comma-joined. The next document is that of the next row in ascending doc_id, text; null ids
+    come first, and the first row follows the last.
     """
     order = Window.partitionBy("bucket").orderBy("guard", F.col("doc_id").asc_nulls_first(), "text")
     rows = with_next(texts(docs)).repartition("bucket").withColumn("choices", winnow(F.col("text"), gram, window))
@@ -161,9 +162,10 @@ def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     )[0]
     sets = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
+        F.array_join(F.transform("choices", lambda x: position(x).cast("string")), ",").alias("positions"),
         F.transform(F.array(F.struct(distinct_hashes(F.col("choices")).alias("own"), edited.alias("edited"), distinct_hashes(F.col("next_choices")).alias("next"))), lambda s: F.struct(
             shown(s["own"]).alias("fingerprint"), shown(s["edited"]).alias("edited_fingerprint"),
             likeness(s["own"], s["edited"]).alias("near_edited"), likeness(s["own"], s["next"]).alias("near_next"),
         ))[0].alias("x"),
     )
-    return sets.select("doc_id", "n_chars", "edited_sha256", "x.*")
+    return sets.select("doc_id", "n_chars", "edited_sha256", "x.*", "positions")
