@@ -94,7 +94,7 @@ def _named(rows: DataFrame, o: Options) -> DataFrame:
         F.col("log_artist"), F.col("log_title"), F.col("log_album"), F.col("log_genre"),
         F.when(F.col("in_collection"), "Applied collection metadata"), F.when(F.col("enhanced"), "Enhanced from catalogue"),
         F.when(F.col("found_key").isNotNull(), F.concat(F.lit("Detected key: "), F.col("found_key"))),
-        F.when(F.col("intro_end").isNotNull(), F.format_string("Detected cue points: Intro: %.3fs, Outro: %.3fs", "intro_end", "outro_start")),
+        F.when(F.col("intro_end").isNotNull(), F.format_string("Detected cue points: Intro: %.4fs, Outro: %.4fs", "intro_end", "outro_start")),
         F.when(F.col("energy").isNotNull(), F.format_string("Energy rating: %.1f/10", "energy")),
         F.when(F.col("gain_db").isNotNull(), F.lit(f"Normalized loudness to {o.target_lufs} LUFS")),
         F.when(F.col("action") == "renamed", F.concat(F.lit("Renamed to: "), name)).otherwise("Kept original filename"),

@@ -260,7 +260,7 @@ _ARTIST, _TITLE = D.or_name_part("artist_", "title_", "path")
 _PLACED = f"""SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('artist', 'title', f"coalesce({D.year_of_date('year')}, '')")}, '\\.mp3$', '') AS stem FROM (SELECT *, {_ARTIST} AS artist, {_TITLE} AS title FROM ({_JOINED}) j) k"""
 _NUMBERED = f"""SELECT *, CASE WHEN enhanced THEN folder || '/' || stem || CASE WHEN n > 1 THEN ' (' || (n - 1) || ')' ELSE '' END || '.mp3' ELSE path END AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem, enhanced ORDER BY path) AS n FROM ({_PLACED}) p) q"""
 PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept' END AS action, concat_ws('; ', 'Quality analyzed: ' || kbps || 'kbps @ ' || printf('%.1f', khz) || 'kHz', 'Added quality comment', log_artist, log_title, log_album, log_genre,
- CASE WHEN in_collection THEN 'Applied collection metadata' END, CASE WHEN enhanced THEN 'Enhanced from catalogue' END, 'Detected key: ' || found_key, 'Detected cue points: Intro: ' || printf('%.3f', intro_end) || 's, Outro: ' || printf('%.3f', outro_start) || 's',
+ CASE WHEN in_collection THEN 'Applied collection metadata' END, CASE WHEN enhanced THEN 'Enhanced from catalogue' END, 'Detected key: ' || found_key, 'Detected cue points: Intro: ' || printf('%.4f', intro_end) || 's, Outro: ' || printf('%.4f', outro_start) || 's',
  'Energy rating: ' || printf('%.1f', energy) || '/10', CASE WHEN gain_db IS NOT NULL THEN 'Normalized loudness to -14.0 LUFS' END, CASE WHEN out_path <> path THEN 'Renamed to: ' || regexp_replace(out_path, '^.*/', '') ELSE 'Kept original filename' END) AS changes FROM ({_NUMBERED}) r"""
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {', '.join(f'{e(D)} AS {n}' for n, e in columns)} FROM tracks", ("tracks",)) for name, columns in COLUMNS.items()} | {
     "dup_exact": (f"SELECT artist, title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM (SELECT track_id, size_bytes, lower(trim({D.clean('artist')})) AS artist, lower(coalesce(nullif(trim({D.clean('title')}), ''), cast(track_id AS varchar))) AS title FROM tracks WHERE {HIGH}) t GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
