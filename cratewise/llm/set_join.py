@@ -50,7 +50,7 @@ MOST_WANTED = 500_000
 #: Entries of a block of a long list, about, and parts of a prefix that its positions are told apart by; sets that are compared with one at once;
 #: sets of a block of a component.
 BLOCK, PLACES, FAN, GROUP = 500, 4, 200, 128
-#: Which neighbours by id a set of a long list is compared with, and n-grams by which a pair of such sets knows its first list.
+#: Which neighbours by id a set of a long list is compared with, and n-grams, in the order of prefixes, by which a pair of such sets knows its first list.
 NEIGHBOURS, FIRSTS = (1, 3, 9, 27), 16
 #: Columns of the matrix of differences at once.
 WIDTH = 8_192
@@ -226,7 +226,8 @@ class Join:
         short_lists = own.where("block IS NULL")
         close = short_lists.alias("x").join(short_lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & may).select(*pair)
         wide = own.where("block IS NOT NULL")
-        firsts = wide.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRSTS).alias("firsts"))
+        in_order = F.array_sort(F.collect_set(F.struct("place", "token")))
+        firsts = wide.groupBy("sid").agg(F.slice(F.transform(in_order, lambda e: e["token"]), 1, FIRSTS).alias("firsts"))
         fold = F.transform(F.sequence(F.lit(0), F.lit(LEAST_BITS - 1)), lambda i: F.aggregate(F.filter("bits", lambda x, k: k % LEAST_BITS == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
         many = materialise(wide.join(firsts, "sid").join(self.sets.select("sid", fold.alias("fold")), "sid"), "set-wide")
         left = F.col("n") - F.col("place")
@@ -240,7 +241,9 @@ class Join:
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.block")) & ((F.col("x.block") < F.col("y.block")) | (F.col("x.sid") < F.col("y.sid")))
         differ = reduce(Column.__add__, (F.bit_count(F.col("x.fold")[n].bitwiseXOR(F.col("y.fold")[n])) for n in range(LEAST_BITS)))
         few = differ * (self.up + self.down) <= (F.col("x.n") + F.col("y.n")) * (self.down - self.up)
-        once = ~F.exists(F.array_intersect("x.firsts", "y.firsts"), lambda t: t < F.col("x.token"))  # most pairs only in their first common list
+        # Prefixes have one order, so both sets agree on the first n-gram that they share; the bound by positions holds there.
+        shared = F.array_intersect("x.firsts", "y.firsts")
+        once = (F.size(shared) == 0) | (F.element_at(shared, 1) == F.col("x.token"))
         return close.unionAll(x.join(many.alias("y"), same & may & few & once).select(*pair)).distinct()
 
     def few_differ(self, size: Column) -> Column:

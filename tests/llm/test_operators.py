@@ -360,6 +360,36 @@ def test_set_join_at_random(spark, monkeypatch, seed):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_components(rows, 5, 8, 10)
 
 
+def test_set_join_where_frequent_words_come_first_by_number(spark):
+    """Pairs of long lists, whose first common n-gram is often not the one of the smallest hash."""
+    rows = [(i, f"x{i // 24} {' '.join(f'h{k}' for k in range(24))} a{i // 2 % 12} b{i}") for i in range(288)]
+    grams = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: sum(100 * len(x & y) >= 85 * len(x | y) for j, y in grams.items() if i != j) for i, x in grams.items()}
+    got = set_join.links(df, 4, 85, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and sum(want.values()) == 288
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_components(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pairs_across_components_alone(spark, monkeypatch, seed):
+    """Without leaders or labels, with frequent and rare n-grams mixed: the lists alone find every link."""
+    for name, value in (("HOT_SETS", 12), ("BLOCK", 16), ("FIRSTS", 4)):
+        monkeypatch.setattr(set_join, name, value)
+    draw = random.Random(seed)
+    rows = []
+    for i in range(240):
+        own = [f"h{k}" for k in range(24)]
+        own[2:2] = [f"r{i // 2}"] * draw.randint(0, 1)
+        rows.append((i, " ".join([f"x{i // 24}", *own, f"a{i // 2 % 6}", f"b{i // 2 if draw.random() < 0.3 else i}"])))
+    sets = {t: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for _, t in rows for w in [t.split()]}
+    join = set_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, 100)
+    none = spark.createDataFrame([], "sid long, label long")
+    of = {r.sid: sets[rows[r.doc_id][1]] for r in join.members.collect()}
+    got = {(r.a, r.b) for r in join.linked(join.across(join.labelled_lists(none), none)).collect()}
+    assert got == {(a, b) for a in of for b in of if a < b and 100 * len(of[a] & of[b]) >= 85 * len(of[a] | of[b])} and len(got) > 50
+
+
 def brute_hits(text, items, size=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     own, hit, found = words(text), set(), set()
