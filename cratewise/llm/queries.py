@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewise.llm import byte_bpe, decontaminate, line_dedup, privacy, quality, secrets, set_join, token_shards, toxicity, winnowing
+from cratewise.llm import alignment, byte_bpe, decontaminate, forest, line_dedup, privacy, quality, secrets, set_join, spelling, token_shards, toxicity, winnowing
 from cratewise.llm.common import fold, read
 
 END_ID = 2
@@ -60,6 +60,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS g FROM w),
@@ -105,7 +117,8 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op5_set_join, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_privacy, op10_secrets)}
+    first = (op1_token_shards, op2_winnowing, op3_toxicity, op4_quality, op5_set_join, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_privacy, op10_secrets)
+    return {f.__name__: f for f in (*first, op11_spelling_variants, op12_token_alignment, op13_nearest_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
