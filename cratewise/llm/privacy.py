@@ -6,10 +6,11 @@ log(N / n_e); knowing that a document has the term, in n_t documents, of which n
 log(n_t / n_both) of it. The share that is gone is what the term discloses, 0 to 1. Terms that disclose GENERALISE_AT
 are generalised to the kind of the entity, those that disclose REMOVE_AT are removed, wherever they stand.
 
-All four numbers count documents. A pair is estimated if its documents hold the entity in MIN_CONTEXTS contexts at
-least (of 40 code points on both sides, told apart by CLASSES classes of hashes), so that copies and near copies of one
+All four numbers count documents. A pair is estimated if its documents hold the entity in three contexts at
+least (of 40 code points on both sides, told apart by 40-bit hashes), so that copies and near copies of one
 passage aren't evidence of their own; or if the term is a part of the address itself (NAME letters or more), which
-needs no further evidence.
+needs no further evidence. Whether there is a third context is told by sums, without a set of them: with the lowest hash
+and the highest one, the sum of (hash - low) * (high - hash) is over 0 only if there is one between them.
 
 Spans are code point offsets, the end exclusive. A null text is empty. Rows equal in id and text get equal
 results, one each. Possessive patterns keep very long runs linear. Only doc_id and text are read, so other
@@ -36,7 +37,7 @@ PATTERNS = {
 # A term is a word of three letters or digits at least that isn't a part of an address.
 TERM = r"(?<![\p{L}\p{N}@%+_-])(?<![A-Za-z0-9]\.)\p{L}[\p{L}\p{N}]{2,}+(?![@%+_-]|\.[A-Za-z0-9])"
 CONTEXT = 40
-MIN_CONTEXTS, CLASSES = 3, 63
+CONTEXT_BITS = 40
 NAME = 4
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -104,39 +105,63 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+#: Contexts of an entity: how many, their sum and that of their squares, the lowest and the highest.
+WIDE = "decimal(38,0)"
+
+
+def sums_of(contexts: Column) -> list[Column]:
+    add = lambda square: F.aggregate(contexts, F.lit(0).cast(WIDE), lambda s, c: (s + (c.cast("decimal(18,0)") * c.cast("decimal(18,0)") if square else c)).cast(WIDE))
+    return [F.size(contexts).cast("long").alias("times"), add(False).alias("total"), add(True).alias("squares"), F.array_min(contexts).alias("low"), F.array_max(contexts).alias("high")]
+
+
+def added() -> list[Column]:
+    return [F.sum("times").alias("times"), F.sum("total").cast(WIDE).alias("total"), F.sum("squares").cast(WIDE).alias("squares"), F.min("low").alias("low"), F.max("high").alias("high")]
+
+
+def third_context() -> Column:
+    """Whether a context lies between the lowest and the highest hash."""
+    low, high, n = (F.col(c).cast("decimal(18,0)") for c in ("low", "high", "times"))
+    return F.col("total") * (low + high).cast("decimal(18,0)") - F.col("squares") > n * (low * high).cast("decimal(28,0)")
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n, base: the spans of each row with entity, class of its context, and whether it is the entity's first one; and the
+    """doc_id, h, n, base: the spans of each row; entities: each of its entities with the sums of its contexts; and the
     distinct terms of rows that have spans."""
     text = F.col("text")
     lead = lambda s: F.greatest(s["start"] - CONTEXT, F.lit(0))
     around = lambda s: F.xxhash64(F.substring(text, lead(s) + 1, s["start"] - lead(s)), F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
     entity = lambda s: F.when(s["kind"] >= CARD, F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
-    each = F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(s).alias("entity"), F.pmod(around(s), F.lit(CLASSES)).cast("int").alias("context")))
+    base = F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), entity(s).alias("entity"), around(s).bitwiseAND((1 << CONTEXT_BITS) - 1).alias("context"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def entities(spans: Column) -> Column:
+        """Runs of the sorted spans, one for each entity."""
+
+        def cut(own: Column, firsts: Column) -> Column:
+            size = lambda k: F.coalesce(F.get(firsts, k + 1), F.size(own) + 1) - F.get(firsts, k)
+            run = lambda f, k: bound(F.slice(own, f, size(k)), lambda x: F.struct(x[0]["kind"].alias("kind"), x[0]["entity"].alias("entity"), *sums_of(F.transform(x, lambda e: e["context"]))))
+            return F.transform(firsts, run)
 
-    def marked(spans: Column) -> Column:
-        names = F.transform(spans, lambda s: F.struct(s["kind"], s["entity"]))
-        first = lambda keys: F.transform(spans, lambda s, i: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "entity", "context")), (F.array_position(keys, F.get(keys, i)) == i + 1).alias("first")))
-        return bound(names, first)
+        new = lambda own: F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | (F.get(own, i - 1)["kind"] != F.get(own, i - 2)["kind"]) | (F.get(own, i - 1)["entity"] != F.get(own, i - 2)["entity"]))
+        return bound(F.array_sort(spans), lambda own: bound(new(own), lambda firsts: cut(own, firsts)))
 
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text", bound(each, marked).alias("base"))
-    rows = rows.withColumn("terms", F.when(F.size("base") > 0, terms_of(text)))
-    return materialise(rows.drop("text"), "privacy-base")
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text", base.alias("base"))
+    rows = rows.withColumns({"entities": F.when(F.size("base") > 0, entities(F.col("base"))), "terms": F.when(F.size("base") > 0, terms_of(text))})
+    spans = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return materialise(rows.withColumn("base", spans).drop("text"), "privacy-base")
 
 
 def pairs(base: DataFrame) -> DataFrame:
     """kind, entity, term, n_both, n_entity of all pairs with evidence."""
-    held = base.where(F.size("base") > 0)
-    each = held.select("terms", F.explode("base").alias("e")).select("terms", "e.kind", "e.entity", "e.context", "e.first")
-    context = F.expr("shiftleft(1L, context)")
-    entities = each.groupBy("kind", "entity").agg(F.count_if("first").alias("n_entity"), F.bit_or(context).alias("contexts"))
-    entities = materialise(entities, "privacy-entities")
-    often = broadcast_if_small(entities.where(F.bit_count("contexts") >= MIN_CONTEXTS).select("kind", "entity"), MOST_ENTITIES)
-    seen = each.join(often, ["kind", "entity"]).select("kind", "entity", "context", "first", F.explode("terms").alias("term"))
-    seen = seen.groupBy("kind", "entity", "term").agg(F.count_if("first").alias("n_both"), F.bit_or(context).alias("contexts")).where(F.bit_count("contexts") >= MIN_CONTEXTS)
+    each = base.where(F.size("base") > 0).select("terms", F.explode("entities").alias("e")).select("terms", "e.*")
+    entities = materialise(each.groupBy("kind", "entity").agg(F.count("*").alias("n_entity"), *added()), "privacy-entities")
+    often = broadcast_if_small(entities.where(third_context()).select("kind", "entity"), MOST_ENTITIES)
+    sums = ["times", "total", "squares", "low", "high"]
+    seen = each.join(often, ["kind", "entity"]).select("kind", "entity", *sums, F.explode("terms").alias("term"))
+    seen = seen.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both"), *added()).where(third_context())
     parts = F.filter(F.split(F.substring_index("entity", "@", 1), r"[^\p{L}]+"), lambda p: F.length(p) >= NAME)
-    own = each.where((F.col("kind") == EMAIL) & F.col("first")).select("kind", "entity", F.explode(F.array_intersect("terms", parts)).alias("term"))
+    own = each.where(F.col("kind") == EMAIL).select("kind", "entity", F.explode(F.array_intersect("terms", parts)).alias("term"))
     own = own.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both"))
-    both = seen.drop("contexts").unionByName(own).groupBy("kind", "entity", "term").agg(F.max("n_both").alias("n_both"))
+    both = seen.drop(*sums).unionByName(own).groupBy("kind", "entity", "term").agg(F.max("n_both").alias("n_both"))
     return materialise(both.join(entities.select("kind", "entity", "n_entity"), ["kind", "entity"]), "privacy-pairs")
 
 
@@ -159,7 +184,7 @@ def find(docs: DataFrame) -> DataFrame:
     hits = words.join(telling, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "most"))).alias("found"))
     hits = broadcast_if_small(materialise(hits, "privacy-hits"), MOST_DOCS)
     rows = texts(docs).select(key.alias("own"), "text").join(hits, F.col("own").eqNullSafe(F.col("key"))).dropDuplicates(["own"]).select("own", spans_of(F.col("text"), F.col("found")).alias("terms"))
-    joined = base.drop("terms").join(rows, F.struct(*DOC).eqNullSafe(F.col("own")), "left").drop("own")
+    joined = base.drop("terms", "entities").join(rows, F.struct(*DOC).eqNullSafe(F.col("own")), "left").drop("own")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast(SPANS)))
 
 
