@@ -3,7 +3,8 @@
 Learned filters slide over a document's bytes. Their outputs are max-pooled in overlapping chunks that cover
 the whole document, the chunks' maxima are averaged, and a logistic unit makes one probability of them.
 The network is trained in numpy on the driver, from all chunks of at most TRAIN_ROWS whole labelled texts of at most
-TRAIN_BYTES together, taken by a hash; scores are computed in the tasks. Both read every byte.
+TRAIN_BYTES together, taken by a hash; a text that the rest has no room for is passed over, and shorter ones after it are
+taken. Scores are computed in the tasks. Both read every byte.
 
 An empty table gives an empty result. A null or empty text is one chunk of zero bytes and gets the probability of that. Repeated rows each get
 their score. Without rows of both labels every score is the share of label 1 (1 without any label).
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -110,13 +111,24 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network
     return net
 
 
+def fitting(sizes: list[Row]) -> list[Row]:
+    """In order, each that the rest of TRAIN_BYTES has room for."""
+    left, taken = TRAIN_BYTES, []
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append(r)
+    return taken
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Network:
     """A network from at most TRAIN_ROWS labelled rows, and TRAIN_BYTES, of those that ``training`` (over doc_id) admits, by a hash of the id."""
     chosen = labelled(labels, "quality").where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "label")
     sizes = sample.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(TRAIN_ROWS).collect()
-    last = max([r["h"] for r, n in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if n <= TRAIN_BYTES], default=None)
-    rows = sample.where(F.col("h") <= last).orderBy("h", "text").limit(TRAIN_ROWS).collect() if last is not None else []
+    taken = sample.sparkSession.createDataFrame([(r["h"], r["n"]) for r in fitting(sizes)], "h long, n int")
+    keys = sample.withColumn("n", F.octet_length("text")).join(F.broadcast(taken.distinct()), ["h", "n"])
+    rows = keys.orderBy("h", "text").limit(TRAIN_ROWS).collect()
     y = np.array([r["label"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if y.size else 1.0
