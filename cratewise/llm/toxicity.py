@@ -43,8 +43,8 @@ CURVE_ROWS = 20_000
 MOST_HELD = 4_000_000
 #: Words whose ratios are broadcast; this costs time, never a count.
 CACHED_WORDS = 200_000
-#: Uncached words in so many documents are broadcast, as one key would hold them all.
-HEAVY = 20_000
+#: Uncached words in so many documents meet their counts in parts, as one key would hold them all; and how many such words are broadcast to tell.
+HEAVY, HEAVY_PARTS, MOST_OFTEN = 20_000, 64, 100_000
 #: n-grams with at most three bytes of a word are in many words; their ratios are dealt over so many keys.
 SALTS, SHORT = 16, 1 << 32
 #: Counts without the fold of the curve, and of all training rows.
@@ -372,11 +372,14 @@ def added_by_rest(own: DataFrame, model: Tables, part: str) -> DataFrame:
     """row, more_grams, more_words: what the words that weren't held add."""
     each = own.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
     known = materialise(model.ratios_of(each.groupBy("word").agg(F.count("*").alias("times"))), "toxicity-rest").select("word", "times", F.col(f"sum_{part}").alias("grams"), F.col(f"own_{part}").alias("words"))
-    heavy = F.broadcast(known.where(F.col("times") >= HEAVY))
-    light = each.join(heavy.select("word"), "word", "left_anti").join(known.where(F.col("times") < HEAVY), "word")
+    # a word of many documents meets its counts in HEAVY_PARTS parts, by document
+    often = broadcast_if_small(known.where(F.col("times") >= HEAVY).select("word", F.lit(True).alias("often")), MOST_OFTEN)
+    salted = each.join(often, "word", "left").withColumn("salt", F.when(F.col("often"), F.pmod("row", F.lit(HEAVY_PARTS))).otherwise(0)).drop("often")
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("times") >= HEAVY, HEAVY_PARTS - 1).otherwise(0)))).drop("times")
+    found = salted.join(spread.withColumn("salt", F.col("salt").cast("long")), ["word", "salt"])
     zero = F.lit(0.0)
     sums = lambda c: F.array(F.sum(F.col(c) * F.col("n")), *(F.sum(F.greatest(F.col(c) - level, zero) * F.col("n")) for level in LEVELS), F.max(F.greatest(F.col(c), zero)))
-    return each.join(heavy, "word").unionByName(light).groupBy("row").agg(sums("grams").alias("more_grams"), sums("words").alias("more_words"))
+    return found.groupBy("row").agg(sums("grams").alias("more_grams"), sums("words").alias("more_words"))
 
 
 def _features(rows: DataFrame, model: Held | Tables, part: str) -> DataFrame:
