@@ -1,11 +1,14 @@
 """Secret scans with structural confirmation.
 
-Three patterns find plain candidates. Candidates in base64 or hex are decoded and parsed: a key encoding is
-reported only if its nested lengths (of DER, or of an OpenSSH key) fit exactly, and a signed token only if its header is JSON that names
-an algorithm. Spans are code point offsets, the end exclusive.
+Three patterns find plain candidates. Candidates in base64 or hex, on one line or wrapped over lines of one length, are decoded and
+parsed. A key is reported only if its nested lengths fit exactly, down to the last level, and its structure is that of a private one:
+PKCS#1 (version and eight numbers), DSA (version and five), SEC1 (version 1 and an octet string), PKCS#8 (version, algorithm, and
+an octet string that parses again), encrypted PKCS#8 (an algorithm of passwords), or an OpenSSH key. So public
+keys, certificates and signatures aren't reported. Between PEM marks an encrypted body counts if its header names cipher and start value
+and its length fits. A signed token needs a header in JSON that names an algorithm. Spans are code point offsets, the end exclusive.
 
 A null text is empty and has no spans; overlapping spans of different kinds are all reported; equal rows
-each get theirs. A candidate of any length is decoded whole. Columns besides doc_id and text are ignored.
+each get theirs. An empty table gives an empty result. A candidate of any length is decoded whole. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: In quoted strings line ends, tabs and slashes are escaped, more than once where strings are nested.
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+PEM = re.compile(
+    r"-----BEGIN (?P<kind>[A-Z ]*PRIVATE KEY)-----(?P<head>(?:(?:\\+[nrt]|\s)*[A-Z][A-Za-z]*-[A-Z][A-Za-z]*: [^\n\r\\]*(?:\\+[nrt]|\s))*)"
+    r"(?P<body>(?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END (?P=kind)-----"
+)
+#: What the header of an encrypted body says: the cipher, and its start value in hex.
+ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED(?:.|\s)*DEK-Info: [A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,16})(?![0-9A-Fa-f])")
+#: The next line of a wrapped candidate.
+NEXT = re.compile(r"(?:\\+[nr]|\r?\n)+[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
 ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: A DER sequence starts with the byte 0x30, so its base64 starts with M and its hex with 30; an OpenSSH key with its magic. An escaped line end may stand before.
@@ -41,6 +51,10 @@ OPENSSH = b"openssh-key-v1\0"
 #: These ciphers put a tag of so many bytes after the private part.
 TAGGED, TAG = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com"), 16
 LEAST_PARTS = 2
+NUMBER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Object ids of algorithms that take a password start with these.
+BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+DEEPEST = 16
 
 
 def from_base64(text: str) -> bytes | None:
@@ -107,15 +121,38 @@ def is_key(data: bytes) -> bool:
     return is_openssh_key(data) or is_der_key(data)
 
 
+def well_formed(data: bytes, start: int, end: int, depth: int = 0) -> bool:
+    """Whether elements fill the range, those within them too, and so on."""
+    parts = der_parts(data, start, end)
+    return parts is not None and depth < DEEPEST and all(well_formed(data, a, b, depth + 1) for tag, a, b in parts if tag & 0x20)
+
+
 def is_der_key(data: bytes) -> bool:
-    """An outer DER sequence that fills the data, of two parts at least, a number or a sequence first, nested ones well-formed."""
+    """One DER sequence that fills the data and is built as a private key is."""
     outer = der_parts(data, 0, len(data))
-    if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
+    if outer is None or len(outer) != 1 or outer[0][0] != SEQUENCE or not well_formed(data, *outer[0][1:]):
+        return False
+    parts = der_parts(data, *outer[0][1:])
+    tags, value = [tag for tag, _, _ in parts], lambda k: data[parts[k][1] : parts[k][2]]
+    if tags == [SEQUENCE, OCTETS]:
+        algorithm = der_parts(data, *parts[0][1:])
+        return bool(algorithm) and algorithm[0][0] == OBJECT and data[algorithm[0][1] : algorithm[0][2]].startswith(BY_PASSWORD) and len(value(1)) >= 8
+    if not tags or tags[0] != NUMBER or value(0) not in (b"\0", b"\1"):
         return False
-    inner = der_parts(data, *outer[0][1:])
-    if inner is None or len(inner) < LEAST_PARTS or inner[0][0] not in (0x02, 0x30):
+    if tags[1:] in ([NUMBER] * 8, [NUMBER] * 8 + [SEQUENCE], [NUMBER] * 5):
+        return True
+    if tags[1:2] == [OCTETS]:
+        return value(0) == b"\1" and len(value(1)) >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+    if tags[1:3] != [SEQUENCE, OCTETS] or not set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
         return False
-    return all(der_parts(data, a, b) is not None for tag, a, b in inner if tag & 0x20)
+    algorithm, inner = der_parts(data, *parts[1][1:]), der_parts(data, *parts[2][1:])
+    return bool(algorithm) and algorithm[0][0] == OBJECT and inner is not None and len(inner) == 1 and (not inner[0][0] & 0x20 or well_formed(data, *inner[0][1:]))
+
+
+def is_encrypted(head: str, data: bytes) -> bool:
+    """Whether a PEM header names a cipher and its start value, and the body has whole blocks of it."""
+    found = ENCRYPTED.search(head)
+    return found is not None and len(data) >= 16 and len(data) % (len(found[1]) // 2) == 0
 
 
 def is_signed_token(header: str, body: str) -> bool:
@@ -139,17 +176,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """What decoding and parsing confirms: signed tokens and key encodings."""
     found = [("token", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
-    pem = [m for m in PEM.finditer(text) if (data := from_base64(ESCAPED.sub("", m[2]))) and is_key(data)]
+    pem = [m for m in PEM.finditer(text) if (data := from_base64(ESCAPED.sub("", m["body"]))) and (is_key(data) or is_encrypted(m["head"], data))]
     found += [("key", m.start(), m.end()) for m in pem]
+    done = 0
     for m in ENCODED.finditer(text):
-        if any(p.start() <= m.start() < p.end() for p in pem):
+        if m.start() < done or any(p.start() <= m.start() < p.end() for p in pem):
             continue
-        data = from_base64(m[0]) if m["hex"] is None else bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
-        if data and is_key(data):
-            found.append(("key", m.start(), m.end()))
+        for body, end in wrapped(m, text):
+            data = from_base64(body) if m["hex"] is None else bytes.fromhex(body) if re.fullmatch("(?:[0-9A-Fa-f]{2})+", body) else None
+            if data and is_key(data):
+                found.append(("key", m.start(), end))
+                done = end
+                break
     return found
 
 
+def wrapped(m: re.Match, text: str) -> list[tuple[str, int]]:
+    """What a candidate may be, with its end: its line alone; with all following lines of its length; with a last one that is shorter."""
+    line, end = m[0], m.end()
+    tries, lines = [(line, end)], [line]
+    while len(lines[-1]) == len(line) and not lines[-1].endswith("="):
+        more = NEXT.match(text, end)
+        if more is None or len(more[1]) > len(line):
+            break
+        if len(more[1]) < len(line) and len(lines) > 1:
+            tries.append(("".join(lines), end))
+        lines.append(more[1])
+        end = more.end()
+    return [*tries, ("".join(lines), end)] if len(lines) > 1 else tries
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
