@@ -170,6 +170,21 @@ class Text:
         """The comparison key of the first person of a list; empty without one."""
         return self.match_key(f"split_part({self.people(artist)}, ', ', 1)")
 
+    def search_words(self, key: str, lead: str) -> str:
+        """What a search compares: the words of a title's key (the key itself, if all are ignored) and those of the artist's, told apart."""
+        title = self.let(self.tokens(key), lambda v: f"CASE WHEN {self.size(v)} = 0 THEN {'array' if self.spark else ''}{f'({key})' if self.spark else f'[{key}]'} ELSE {v} END")
+        return self.concat_lists(self.map(title, lambda v: f"'t:' || {v}"), self.map(self.tokens(lead), lambda v: f"'a:' || {v}"))
+
+    def annotate(self, comment: str, marker: str, line: str) -> str:
+        """The comment with a line appended, unless its marker stands there or there is no line."""
+        end = "chr(10)"
+        return self.let(comment, lambda v: f"CASE WHEN {line} IS NULL OR contains(coalesce({v}, ''), {marker}) THEN {v} ELSE concat_ws({end}, nullif({v}, ''), {line}) END")
+
+    def consolidated(self, comment: str) -> str:
+        """The lines of a comment worth keeping, each once; null without any, or where the text is a player's own."""
+        lines = self.join(self.distinct(self.comment_lines(comment)) if self.spark else self.comment_lines(comment), "chr(10)")
+        return f"CASE WHEN contains(lower({comment}), 'itunes') THEN NULL ELSE nullif({lines}, '') END"
+
     def camelot(self, key: str) -> str:
         return self.lookup(key, rules.CAMELOT, "'Unknown'")
 

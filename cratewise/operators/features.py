@@ -55,20 +55,45 @@ def musical_key(chroma: DataFrame) -> DataFrame:
     return best.select("track_id", "best.key", "best.camelot")
 
 
-def cue_ratios(frames: DataFrame) -> DataFrame:
-    """track_id, frame_idx, ratio: the mean of eight beats from each on, to that of the four before it."""
+def segment_means(frames: DataFrame, beats: DataFrame) -> DataFrame:
+    """track_id, beat_idx, t_s, bar, length, ratio: at every second bar's first beat, the mean from it to the beat eight on against that of the
+    bar (four beats of the track's tempo) before it. Null where either has no frame.
+
+    A segment goes from the frame in which it begins to the one in which it ends, which is left out, like the last frame of all. Its mean comes
+    from running sums, looked up at the three times by one sort of frames and times together.
+    """
     w = Window.partitionBy("track_id").orderBy("frame_idx")
-    ratio = F.avg("mean_abs_mfcc").over(w.rowsBetween(0, 7)) / (F.avg("mean_abs_mfcc").over(w.rowsBetween(-4, -1)) + 1e-10)
-    return frames.select("track_id", "frame_idx", "t_s", ratio.alias("ratio"), F.count("*").over(Window.partitionBy("track_id")).alias("beats"), F.max("t_s").over(Window.partitionBy("track_id")).alias("last_s"), F.max("tempo").over(Window.partitionBy("track_id")).alias("tempo"))
-
-
-def cue_points(frames: DataFrame) -> DataFrame:
-    """track_id, intro_end, drops, outro_start: changes at every eighth beat after five seconds whose ratio passes 1.4. A bar is four beats of the track's tempo."""
-    rows = cue_ratios(frames).withColumn("bar", 4 * 60 / F.col("tempo"))
-    change = (F.col("frame_idx") % 8 == 1) & (F.col("frame_idx") < F.col("beats") - 8) & (F.col("t_s") > 5.0) & (F.col("ratio") > 1.4)
-    found = rows.groupBy("track_id").agg(
-        F.min(F.when(change & (F.col("t_s") > F.col("bar") * 8), F.col("t_s"))).alias("intro"), F.slice(F.array_sort(F.collect_list(F.when(change, F.col("t_s")))), 1, 3).alias("drops"),
-        F.max("last_s").alias("length"), F.max("bar").alias("bar"),
-    )
-    outro = F.greatest(F.col("length") - 16 * F.col("bar"), F.col("length") * 0.75)
-    return found.select("track_id", F.round(F.coalesce("intro", F.col("bar") * 16), 4).alias("intro_end"), F.array_join(F.transform("drops", lambda x: F.format_string("%.1f", x)), ",").alias("drops"), F.round(outro, 4).alias("outro_start"))
+    before = F.coalesce(F.sum("mean_abs_mfcc").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = frames.select("track_id", F.col("t_s").alias("at"), F.struct(F.col("frame_idx").cast("long").alias("idx"), before.alias("sum")).alias("frame"))
+    facts = frames.groupBy("track_id").agg(F.max("t_s").alias("length"), F.max("tempo").alias("tempo"), F.max_by(F.struct(F.col("frame_idx").cast("long").alias("idx"), "t_s"), "frame_idx").alias("last"))
+    ahead = F.lead("t_s", 8).over(Window.partitionBy("track_id").orderBy("beat_idx"))
+    asked = beats.withColumn("end", ahead).where("end IS NOT NULL AND beat_idx % 8 = 1").join(facts, "track_id").withColumn("bar", 4 * 60 / F.col("tempo"))
+    times = [F.struct(F.lit(name).alias("what"), at.alias("at")) for name, at in (("start", F.col("t_s")), ("end", F.least("end", "last.t_s")), ("before", F.greatest(F.lit(0.0), F.col("t_s") - F.col("bar"))))]
+    wanted = asked.select("track_id", F.struct("beat_idx", "t_s", "bar", "length").alias("beat"), F.explode(F.array(*times)).alias("x")).select("track_id", "beat", "x.*")
+    both = sums.unionByName(wanted, allowMissingColumns=True)
+    found = both.withColumn("frame", F.last("frame", ignorenulls=True).over(Window.partitionBy("track_id").orderBy("at", F.col("what").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    at = {name: F.max(F.when(F.col("what") == name, F.col("frame"))) for name in ("start", "end", "before")}
+    rows = found.where("what IS NOT NULL").groupBy("track_id", "beat").agg(*(x.alias(n) for n, x in at.items()))
+    mean = lambda a, b: F.when(F.col(f"{b}.idx") > F.col(f"{a}.idx"), (F.col(f"{b}.sum") - F.col(f"{a}.sum")) / (F.col(f"{b}.idx") - F.col(f"{a}.idx")))
+    return rows.select("track_id", "beat.*", (mean("start", "end") / (mean("before", "start") + 1e-10)).alias("ratio"))
+
+
+def cue_ratios(frames: DataFrame, beats: DataFrame) -> DataFrame:
+    """track_id, beat_idx, ratio where there is one."""
+    return segment_means(frames, beats).where("ratio IS NOT NULL").select("track_id", "beat_idx", F.round("ratio", 6).alias("ratio"))
+
+
+def cue_points(frames: DataFrame, beats: DataFrame) -> DataFrame:
+    """track_id, intro_end, drops, outro_start, recommended: changes after five seconds whose ratio passes 1.4. The intro ends at the first one
+    after eight bars, else after 16; the outro is 16 bars, a quarter of the track at most; drops are the first three changes, and
+    the start, the intro's end, the drops and the outro's start are the recommended cues."""
+    change = (F.col("t_s") > 5.0) & (F.col("ratio") > 1.4)
+    found = segment_means(frames, beats).groupBy("track_id").agg(
+        F.min(F.when(change & (F.col("t_s") > F.col("bar") * 8), F.col("t_s"))).alias("intro"), F.slice(F.array_sort(F.collect_list(F.when(change, F.col("t_s")))), 1, 3).alias("drops")
+    )
+    facts = frames.groupBy("track_id").agg(F.max("t_s").alias("length"), (4 * 60 / F.max("tempo")).alias("bar")).join(found, "track_id", "left")
+    intro, outro = F.coalesce("intro", F.col("bar") * 16), F.greatest(F.col("length") - 16 * F.col("bar"), F.col("length") * 0.75)
+    drops = F.coalesce("drops", F.array().cast("array<double>"))
+    shown = lambda values, places: F.array_join(F.transform(values, lambda x: F.format_string(f"%.{places}f", F.round(x, places))), ",")
+    recommended = F.concat(F.array(F.lit(0.0), intro), drops, F.array(outro))
+    return facts.select("track_id", F.round(intro, 4).alias("intro_end"), shown(drops, 1).alias("drops"), F.round(outro, 4).alias("outro_start"), shown(recommended, 2).alias("recommended"))

@@ -25,6 +25,11 @@ def high_quality() -> Column:
     return (kbps() >= 320) & (khz.isNull() | (khz == 0) | (khz >= 44.0))
 
 
+def shown_khz() -> Column:
+    """The sampling rate as it is: 44.1, 22.05, 48.0."""
+    return F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0)).cast("string")
+
+
 def quality_report(tracks: DataFrame) -> DataFrame:
     """Stream facts of each track; a track without a bitrate is rated ERROR."""
     bad = F.col("bitrate_bps").isNull()
@@ -58,6 +63,14 @@ def gaps(tracks: DataFrame) -> DataFrame:
     return long.groupBy("field").agg(F.count_if("missing").alias("n_missing"))
 
 
+def gaps_by_genre(tracks: DataFrame) -> DataFrame:
+    """genre, field, level, n_tracks, n_missing: gaps of each field in each genre (level 0), of each genre (1), of each field (2) and of all (3)."""
+    pairs = ", ".join(f"'{f}', no_{f}" for f in rules.FIELD_WEIGHTS)
+    name = F.coalesce(F.nullif(F.trim("genre"), F.lit("")), F.lit("(none)"))
+    long = missing_fields(tracks).select(name.alias("genre"), F.expr(f"stack({len(rules.FIELD_WEIGHTS)}, {pairs}) AS (field, missing)"))
+    return long.cube("genre", "field").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_tracks"), F.count_if("missing").alias("n_missing"))
+
+
 def most_urgent(tracks: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` tracks that miss most, by path where they tie."""
     return missing_score(tracks).orderBy(F.desc("missing_score"), "path").limit(n)
@@ -89,15 +102,15 @@ def consolidate_comments(frames: DataFrame) -> DataFrame:
     return grouped.select("track_id", F.nullif(F.array_join(kept, "\n"), F.lit("")).alias("comment"), "n_frames")
 
 
-def annotate(comment: Column, marker: str, line: Column) -> Column:
+def annotate(comment: Column, marker: str | Column, line: Column) -> Column:
     """The comment with a line appended, unless its marker stands there."""
-    return F.when(F.contains(F.coalesce(comment, F.lit("")), F.lit(marker)), comment).otherwise(F.concat_ws("\n", F.nullif(comment, F.lit("")), line))
+    mark = F.lit(marker) if isinstance(marker, str) else marker
+    return F.when(F.contains(F.coalesce(comment, F.lit("")), mark), comment).otherwise(F.concat_ws("\n", F.nullif(comment, F.lit("")), line))
 
 
 def quality_line() -> Column:
     """The comment line with a track's stream facts."""
-    khz = F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0))
-    return F.format_string("QUALITY: %dkbps, %.1fkHz, %s", kbps(), khz, F.when(high_quality(), "HIGH").otherwise("LOW"))
+    return F.concat(F.format_string("QUALITY: %dkbps, ", kbps()), shown_khz(), F.lit("kHz, "), F.when(high_quality(), "HIGH").otherwise("LOW"))
 
 
 def planned_names(tracks: DataFrame) -> DataFrame:
@@ -109,20 +122,23 @@ def planned_names(tracks: DataFrame) -> DataFrame:
 
 def without_clashes(planned: DataFrame, kept: DataFrame) -> DataFrame:
     """``planned`` (track_id, path, folder, stem) with name: of those with one stem in a folder, in order of path, each the first free one of
-    ``stem.mp3``, ``stem (1).mp3`` and so on. The files of ``kept`` (path) hold their names."""
+    ``stem.mp3``, ``stem (1).mp3`` and so on. The files of ``kept`` (path) hold their names.
+
+    A name with a number can be asked for in two ways only: as a stem, or as the numbered form of the stem before the number. Numbers that
+    make a planned stem aren't free, so the first way goes before and no two tracks get one name.
+    """
     folder, file = F.regexp_replace("path", "/[^/]*$", ""), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.mp3$", "")
     held = kept.select(folder.alias("folder"), file.alias("file"))
     suffix = r"^(.*) \(([1-9][0-9]{0,8})\)$"
-    numbered = held.where(F.col("file").rlike(suffix)).select("folder", F.regexp_extract("file", suffix, 1).alias("stem"), F.regexp_extract("file", suffix, 2).cast("int").alias("k"))
+    names = held.unionByName(planned.select("folder", F.col("stem").alias("file")).distinct()).where(F.col("file").rlike(suffix))
+    numbered = names.select("folder", F.regexp_extract("file", suffix, 1).alias("stem"), F.regexp_extract("file", suffix, 2).cast("int").alias("k"))
     taken = held.select("folder", F.col("file").alias("stem"), F.lit(0).alias("k")).unionByName(numbered).join(planned.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi")
     taken = taken.groupBy("folder", "stem").agg(F.array_sort(F.collect_set("k")).alias("taken"))
     n = (F.row_number().over(Window.partitionBy("folder", "stem").orderBy("path")) - 1).cast("int")
     rows = planned.withColumn("n", n).join(taken, ["folder", "stem"], "left")
     free = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("n"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    named = rows.withColumn("n", free).withColumn("name", F.concat("stem", F.when(F.col("n") > 0, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise("")))
-    again = F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1  # a stem that has a number itself
-    name = F.concat("name", F.when(F.col("again") > 0, F.concat(F.lit(" ("), F.col("again").cast("string"), F.lit(")"))).otherwise(""), F.lit(".mp3"))
-    return named.withColumn("again", again).select("track_id", "path", "folder", name.alias("name"))
+    name = F.concat("stem", F.when(free > 0, F.concat(F.lit(" ("), free.cast("string"), F.lit(")"))).otherwise(""), F.lit(".mp3"))
+    return rows.select("track_id", "path", "folder", name.alias("name"))
 
 
 def output_names(tracks: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
 from cratewise.operators import catalogue, duplicates, features
-from cratewise.operators.tracks import high_quality, kbps, without_clashes
+from cratewise.operators.tags import shown_difference, tag_maps
+from cratewise.operators.tracks import annotate, high_quality, kbps, quality_line, without_clashes
 from cratewise.sources import files
+from cratewise.sources.shared import written
 from cratewise.streaming.intake import fresh, skipped
 
 T = Text()
@@ -34,64 +36,94 @@ class Options:
     year_in_name: bool = True
 
 
-def process(tracks: DataFrame, ledger: DataFrame, collection: DataFrame, recordings: DataFrame, releases: DataFrame, frames: DataFrame, chroma: DataFrame, loudness: DataFrame, options: Options | None = None) -> DataFrame:
+#: Tables of a run, in the order of ``process``.
+TABLES = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")
+MORE_TABLES = ("tag_frames", "beats")
+
+
+def process(
+    tracks: DataFrame, ledger: DataFrame, collection: DataFrame, recordings: DataFrame, releases: DataFrame, frames: DataFrame, chroma: DataFrame, loudness: DataFrame,
+    options: Options | None = None, tag_frames: DataFrame | None = None, beats: DataFrame | None = None,
+) -> DataFrame:
     """One row a processed track: rating, cleaned and enriched tags, analyses, what changed, and the planned name.
 
     Low-quality tracks are recorded, but not worked on if only high quality is wanted. Names change only where the catalogue's match was
-    accepted, if there is a catalogue.
+    accepted, if there is a catalogue. Comments get the quality line, then are cleaned, then get the lines of the collection, key, cues, energy and
+    loudness. With ``tag_frames``, all text frames are cleaned and told in maps; without ``beats`` there are no cues.
     """
     o = options or Options()
     todo = fresh(tracks, ledger) if o.incremental else tracks
     work = todo.where(high_quality()) if o.high_quality_only else todo
     khz = F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0))
     rows = todo.select("track_id", "path", "mtime", kbps().alias("kbps"), khz.alias("khz"), high_quality().alias("is_high"), (high_quality() | F.lit(not o.high_quality_only)).alias("moved"))
-    tags = work.select(
+    rated = annotate(F.col("comment"), quality_line(), quality_line()) if o.analyse_quality else F.col("comment")
+    tags = work.withColumn("rated", rated).select(
         "track_id", *(F.expr(T.sanitize(c)).alias(c) for c in ("title", "album")), F.expr(T.people("artist")).alias("artist"), F.coalesce(F.expr(T.year("tdrc")), F.expr(T.year("tyer"))).alias("year"),
-        *(_cleaned(c, T.people(c) if c == "artist" else T.sanitize(c)).alias(f"log_{c}") for c in ("artist", "title", "album", "genre")),
+        (~F.col("rated").eqNullSafe(F.col("comment"))).alias("rated"), F.expr(T.consolidated("rated")).alias("comment"), F.expr(f"({T.consolidated('rated')}) IS NOT NULL").alias("kept_comment"), (F.coalesce("rated", F.lit("")) != "").alias("had_comment"),
     )
+    collected = ["track_id", "path", "bpm", "key_tag", "genre", "comment"]
+    kept = work.drop("comment").join(tags.select("track_id", "comment"), "track_id").select(collected)
     if o.use_collection:
-        own = catalogue.enrich_from_collection(work, collection).withColumnRenamed("matched", "in_collection")
+        own = catalogue.enrich_from_collection(kept, collection).withColumnRenamed("matched", "in_collection")
     else:
-        own = work.select("track_id", "bpm", "key_tag", "genre", "comment", F.lit(False).alias("in_collection"))
+        own = kept.drop("path").withColumn("in_collection", F.lit(False))
     own = own.withColumn("genre", F.expr(T.sanitize("genre")))
     if o.use_catalogue:
         found = catalogue.enrich(work, recordings, releases)
     else:
         none = ["new_artist", "new_title", "new_year", "new_album", "new_genre", "new_bpm", "found_year", "found_album"]
         found = work.select("track_id", F.lit(None).cast("string").alias("method"), F.lit("unasked").alias("outcome"), *(F.lit(None).cast("string").alias(c) for c in none))
+    if tag_frames is not None:
+        maps = tag_maps(tag_frames.join(work.select("track_id"), "track_id", "left_semi"))
+    else:
+        maps = work.select("track_id", *(F.lit(None).cast(kind).alias(c) for c, kind in (("original", "map<string,string>"), ("cleaned", "map<string,string>"), ("diff", "array<struct<at:int,frame:string,field:string,old:string,new:string,action:string>>"))))
     key = features.musical_key(chroma).select("track_id", F.col("key").alias("found_key"), "camelot")
-    analyses = [(o.detect_key, key), (o.rate_energy, features.energy(frames)), (o.detect_cues, features.cue_points(frames)), (o.normalise_loudness, features.loudness_plan(loudness, o.target_lufs).select("track_id", "gain_db"))]
-    rows = rows.join(tags, "track_id", "left").join(own, "track_id", "left").join(found, "track_id", "left")
-    for wanted, made in analyses:
-        rows = rows.join(made if wanted else made.limit(0), "track_id", "left")
+    cues = features.cue_points(frames, beats if beats is not None else frames.select("track_id", F.col("frame_idx").alias("beat_idx"), "t_s"))
+    wanted = [(o.detect_key, key), (o.rate_energy, features.energy(frames)), (o.detect_cues and beats is not None, cues), (o.normalise_loudness, features.loudness_plan(loudness, o.target_lufs).select("track_id", "gain_db"))]
+    rows = rows.join(tags.drop("comment"), "track_id", "left").join(own, "track_id", "left").join(found, "track_id", "left").join(maps, "track_id", "left")
+    for asked, made in wanted:
+        rows = rows.join(made if asked else made.limit(0), "track_id", "left")
     rows = rows.withColumn("enhanced", F.coalesce(F.col("outcome") == "accepted", F.lit(False)))
     for c in ("artist", "title", "album", "year", "genre"):
         rows = rows.withColumn(c, F.coalesce(f"new_{c}", c))
     artist, title = T.or_name_part("artist", "title", "path")
     rows = rows.withColumn("set_bpm", F.col("new_bpm").isNotNull() & F.expr(f"bpm IS NULL OR NOT {T.number('bpm')}")).withColumn("bpm", F.when(F.col("set_bpm"), F.col("new_bpm")).otherwise(F.col("bpm")))
-    rows = rows.withColumns({"artist": F.when(F.col("moved"), F.expr(artist)), "title": F.when(F.col("moved"), F.expr(title)), **{c: F.when(F.col("moved"), F.col(c)) for c in ("found_key", "camelot", "energy", "intro_end", "drops", "outro_start", "gain_db")}})
-    return _named(rows, o)
-
-
-def _cleaned(column: str, after: str) -> Column:
-    """What cleaning did to a tag; null if nothing."""
-    old, new = F.col(column), F.expr(after)
-    return F.when(F.coalesce(old, F.lit("")) == "", None).when(new.isNull(), f"Removed {column}").when(new != old, f"Cleaned {column}")
-
-
-def _named(rows: DataFrame, o: Options) -> DataFrame:
-    """``rows`` with output path, action and the texts of all changes."""
+    analysed = ("found_key", "camelot", "energy", "intro_end", "drops", "outro_start", "recommended", "gain_db")
+    rows = rows.withColumns({"artist": F.when(F.col("moved"), F.expr(artist)), "title": F.when(F.col("moved"), F.expr(title)), **{c: F.when(F.col("moved"), F.col(c)) for c in analysed}})
+    rows = rows.withColumn("key_tag", F.coalesce("found_key", "key_tag"))
+    for marker, line in comment_lines(o):
+        rows = rows.withColumn("comment", F.expr(T.annotate("comment", marker, line)))
+    return _named(written(rows, "library"), o, ledger)
+
+
+def comment_lines(o: Options, t: Text = T) -> list[tuple[str, str]]:
+    """Marker and line of each analysis, in the order in which comments get them; a line without a result is null."""
+    number = (lambda x, form: f"format_string('{form}', {x})") if t.spark else (lambda x, form: f"printf('{form}', {x})")
+    tenth = lambda x: number(f"round({x}, 1)", "%.1f")
+    drops = f"CASE WHEN drops <> '' THEN ', Drops: ' || replace(drops, ',', 's, ') || 's' ELSE '' END"
+    cues = f"'DJ Cues - Intro: ' || {tenth('intro_end')} || 's, Outro: ' || {tenth('outro_start')} || 's' || {drops}"
+    nothing = "cast(NULL AS string)" if t.spark else "cast(NULL AS varchar)"
+    only = lambda column, line: f"CASE WHEN {column} IS NOT NULL THEN {line} ELSE {nothing} END"
+    key = only("camelot", "'Camelot key: ' || camelot")
+    loud = f"'Loudness normalized to {o.target_lufs} LUFS'"
+    return [(f"coalesce({key}, '')", key), ("'DJ Cues -'", only("intro_end", cues)), ("'Energy:'", only("energy", f"'Energy: ' || {tenth('energy')} || '/10'")), ("'Loudness normalized'", only("gain_db", loud))]
+
+
+def _named(rows: DataFrame, o: Options, ledger: DataFrame) -> DataFrame:
+    """``rows`` with output path, action and the texts of all changes. Files that stay, and outputs of earlier runs, hold their names."""
     renamed = F.col("moved") & (F.col("enhanced") if o.use_catalogue else F.lit(o.rename)) & F.lit(o.rename)
     year = F.coalesce(F.expr(T.year_of_date("year")), F.lit("")) if o.year_in_name else F.lit("")
     stem = F.regexp_replace(F.expr(T.file_name("artist", "title", "y")), r"\.mp3$", "")
     planned = rows.where(renamed).withColumn("y", year).select("track_id", "path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), stem.alias("stem"))
-    names = without_clashes(planned, rows.where(F.col("moved") & ~renamed).select("path")).select("track_id", F.concat_ws("/", "folder", "name").alias("new_path"))
+    earlier = ledger.where("out_path IS NOT NULL").select(F.col("out_path").alias("path")) if "out_path" in ledger.columns else rows.limit(0).select("path")
+    held = rows.where(F.col("moved") & ~renamed).select("path").unionByName(earlier)
+    names = without_clashes(planned, held).select("track_id", F.concat_ws("/", "folder", "name").alias("new_path"))
     rows = rows.join(names, "track_id", "left").withColumn("out_path", F.when(F.col("moved"), F.coalesce("new_path", "path")))
     rows = rows.withColumn("action", F.when(~F.col("moved"), "skipped").when(F.col("out_path") != F.col("path"), "renamed").otherwise("kept"))
     name = F.element_at(F.split("out_path", "/"), -1)
     said = F.array_compact(F.array(
-        F.when(F.lit(o.analyse_quality), F.format_string("Quality analyzed: %dkbps @ %.1fkHz", "kbps", "khz")), F.when(F.lit(o.analyse_quality), F.lit("Added quality comment")),
-        F.col("log_artist"), F.col("log_title"), F.col("log_album"), F.col("log_genre"),
+        F.when(F.lit(o.analyse_quality), F.concat(F.format_string("Quality analyzed: %dkbps @ ", "kbps"), F.col("khz").cast("string"), F.lit("kHz"))), F.when(F.col("rated"), F.lit("Added quality comment")),
+        F.nullif(shown_difference(F.col("diff")), F.lit("")), F.when(F.col("had_comment"), F.when(F.col("kept_comment"), "Consolidated comments").otherwise("Removed comments")),
         F.when(F.col("in_collection"), "Applied collection metadata"), F.when(F.col("enhanced"), "Enhanced from catalogue"),
         F.when(F.col("found_key").isNotNull(), F.concat(F.lit("Detected key: "), F.col("found_key"))),
         F.when(F.col("intro_end").isNotNull(), F.format_string("Detected cue points: Intro: %.4fs, Outro: %.4fs", "intro_end", "outro_start")),
@@ -101,8 +133,8 @@ def _named(rows: DataFrame, o: Options) -> DataFrame:
     ))
     changes = F.when(F.col("moved"), F.array_join(said, "; ")).otherwise("Skipped - low quality (no changes made)")
     return rows.select(
-        "track_id", "path", "mtime", "kbps", "khz", "is_high", "moved", "artist", "title", "album", "year", "genre", "bpm", "set_bpm", "key_tag", "comment", "found_key", "camelot", "energy", "intro_end", "drops", "outro_start",
-        "gain_db", "in_collection", "method", "outcome", "found_year", "found_album", "enhanced", "out_path", "action", changes.alias("changes"),
+        "track_id", "path", "mtime", "kbps", "khz", "is_high", "moved", "artist", "title", "album", "year", "genre", "bpm", "set_bpm", "key_tag", "comment", "original", "cleaned", "found_key", "camelot", "energy", "intro_end", "drops", "outro_start",
+        "recommended", "gain_db", "in_collection", "method", "outcome", "found_year", "found_album", "enhanced", "out_path", "action", changes.alias("changes"),
     )
 
 
@@ -146,8 +178,7 @@ def report(results: DataFrame) -> DataFrame:
 def run(tables: dict[str, DataFrame], out: str, ledger: str, options: Options | None = None) -> DataFrame:
     """Process, then write below ``out`` the results, the collection file's rows and all reports, and append to the ledger at ``ledger``; gives the results as written."""
     spark = tables["tracks"].sparkSession
-    names = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")
-    process(*(tables[n] for n in names), options).write.mode("overwrite").parquet(f"{out}/results")
+    process(*(tables[n] for n in TABLES), options, **{n: tables[n] for n in MORE_TABLES if n in tables}).write.mode("overwrite").parquet(f"{out}/results")
     results, tracks = spark.read.parquet(f"{out}/results"), tables["tracks"]
     known = skipped(tracks, tables["ledger"]) if (options or Options()).incremental else None
     reports = {

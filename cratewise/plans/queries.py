@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions import rules
 from cratewise.functions.text import Text
-from cratewise.operators import catalogue, duplicates, features, tracks
+from cratewise.operators import catalogue, duplicates, features, tags, tracks
 from cratewise.plans import library
 from cratewise.sources import files
 from cratewise.sources.library import view, with_views
@@ -95,17 +95,17 @@ def gated(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The whole job's tables by name."""
-    found = {n: view(spark, sf_dir, n) for n in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness")}
+    found = {n: view(spark, sf_dir, n) for n in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness", "tag_frames", "beats")}
     return found | {"chroma": features.chroma_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))}
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    return library.process(*(t[n] for n in ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "chroma", "loudness")))
+    return library.process(*(t[n] for n in library.TABLES), **{n: t[n] for n in library.MORE_TABLES})
 
 
 def process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("track_id", "path", "kbps", "is_high", "artist", "title", "album", "year", "genre", "bpm", "key_tag", "found_key", "energy", "intro_end", "outro_start", "gain_db", "in_collection", "method", "outcome", "out_path", "action", "changes")
+    return results(spark, sf_dir).select("track_id", "path", "kbps", "is_high", "artist", "title", "album", "year", "genre", "bpm", "key_tag", "comment", "found_key", "energy", "intro_end", "outro_start", "gain_db", "in_collection", "method", "outcome", "out_path", "action", "changes")
 
 
 def stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def session(tracks_: DataFrame, ledger: DataFrame) -> DataFrame:
     return one.unionByName(two).agg(*(F.sum(n).alias(n) for n in names))
 
 
-def named(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
+def under_titles(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
     """Rows under the file names of their tracks' titles."""
     own = titles.select("track_id", F.concat(F.lit(folder), F.translate("title", "/", "-"), F.lit(".mp3")).alias("path"))
     return paths.drop("path").join(own, "track_id")
@@ -137,7 +137,7 @@ def named(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
 
 def fuzzy(t: DataFrame, c: DataFrame) -> DataFrame:
     """Tracks against a collection that was kept elsewhere, so that only file names agree."""
-    return catalogue.enrich_by_like_names(named(t, t, "/music/"), named(c.withColumn("track_id", F.col("ordinal")), t, "/usb/"))
+    return catalogue.enrich_by_like_names(under_titles(t, t, "/music/"), under_titles(c.withColumn("track_id", F.col("ordinal")), t, "/usb/"))
 
 
 QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name, columns in COLUMNS.items()} | {
@@ -145,7 +145,7 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "dup_similar": over("tracks", duplicates.similar),
     "dup_similar_lev": over("tracks", duplicates.similar_by_edits),
     "dup_audio": over("tracks", duplicates.audio),
-    "dup_all": over("tracks", lambda t: duplicates.report(t).groupBy("kind").agg(F.countDistinct("group_key").alias("groups"), F.count("*").alias("members"))),
+    "dup_all": over("tracks", duplicates.numbered_groups),
     "dup_report": over("tracks", duplicates.report),
     "quality_report": over("tracks", tracks.quality_report),
     "high_quality": over("tracks", lambda t: t.where(tracks.high_quality()).select("track_id", "path")),
@@ -154,7 +154,9 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "missing_score": over("tracks", lambda t: tracks.missing_score(t).drop("completion")),
     "completion_pct": over("tracks", lambda t: tracks.missing_score(t).select("track_id", "completion")),
     "gap_by_field": over("tracks", tracks.gaps),
+    "gap_by_genre": over("tracks", tracks.gaps_by_genre),
     "priority_top20": over("tracks", tracks.most_urgent),
+    "tag_maps": over("tag_frames", lambda f: tags.tag_maps(f).select("track_id", tags.shown(F.col("original")).alias("original"), tags.shown(F.col("cleaned")).alias("cleaned"), tags.shown_difference(F.col("diff")).alias("changes"))),
     "clean_tags": over("tag_frames", tracks.clean_frames),
     "tag_snapshot": over("tag_frames", snapshot),
     "comment_consolidate": over("tag_frames", tracks.consolidate_comments),
@@ -176,8 +178,8 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "catalog_enrich": both(catalogue.enrich, "tracks", "recordings", "releases"),
     "dynamic_range": over("audio_frames", features.dynamic_range),
     "energy_rating": over("audio_frames", features.energy),
-    "cue_change_ratio": over("audio_frames", lambda f: features.cue_ratios(f).where("frame_idx >= 4").select("track_id", "frame_idx", F.round("ratio", 6).alias("ratio"))),
-    "cue_points": over("audio_frames", features.cue_points),
+    "cue_change_ratio": both(features.cue_ratios, "audio_frames", "beats"),
+    "cue_points": both(features.cue_points, "audio_frames", "beats"),
     "loudness_plan": over("loudness", features.loudness_plan),
     "musical_key": key_query,
     "process_library": process_query,
@@ -207,14 +209,15 @@ SCORE = " + ".join(f"CASE WHEN no_{f} THEN {w} ELSE 0 END" for f, w in rules.FIE
 CLEANED = f"""SELECT track_id, frame_id, text AS old_text, CASE WHEN frame_id IN ({', '.join(map(D.lit, rules.PEOPLE_FRAMES))}) THEN {D.people('text')} ELSE {D.sanitize('text')} END AS new_text
  FROM tag_frames WHERE frame_id IN ({', '.join(map(D.lit, rules.FRAMES))}) AND text IS NOT NULL AND text <> ''"""
 LOG = f"SELECT *, CASE WHEN new_text IS NULL THEN 'removed' ELSE 'changed' END AS action FROM ({CLEANED}) c WHERE new_text IS DISTINCT FROM old_text"
-LATEST = "SELECT path, max(mtime) AS mtime, count(*) AS entries FROM ledger GROUP BY path"
+LATEST = "SELECT path, arg_max(mtime, last_processed) AS mtime, arg_max(is_high_quality, last_processed) AS is_high_quality, count(*) AS entries FROM ledger GROUP BY path"
 TITLE_OR_STEM = "coalesce(nullif(trim(title), ''), cast(track_id AS varchar))"
-JOB = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness")
+JOB = ("tracks", "ledger", "collection", "recordings", "releases", "audio_frames", "loudness", "tag_frames", "beats")
 COLLECTED = f"""SELECT track_id, CASE WHEN {D.blank('t.bpm')} THEN printf('%.2f', c.bpm) ELSE t.bpm END AS bpm, CASE WHEN {D.blank('t.key_tag')} THEN nullif(c.key, '') ELSE t.key_tag END AS key_tag, CASE WHEN {D.blank('t.genre')} THEN c.genre ELSE t.genre END AS genre, t.comment, c.path IS NOT NULL AS matched FROM tracks t LEFT JOIN collection c ON t.path = c.path"""
-_SEARCHED = f"""SELECT track_id, length_s, {D.match_key('wanted')} AS key, lead FROM (SELECT track_id, length_s, {D.search_title('title', 'path')} AS wanted, {D.lead('artist')} AS lead FROM tracks) t WHERE length(wanted) >= 3"""
-_LISTED = f"""SELECT *, row_number() OVER (PARTITION BY key, lead ORDER BY score DESC, recording_id) AS n_lead, row_number() OVER (PARTITION BY key ORDER BY score DESC, recording_id) AS n_all FROM (SELECT recording_id, score, length_ms, {D.match_key('title')} AS key, {D.lead('artist')} AS lead FROM recordings) r"""
-BY_TEXT = f"""SELECT track_id, arg_min(recording_id, n) AS recording_id, arg_min(score, n) AS score FROM (SELECT t.track_id, t.length_s, r.*, CASE WHEN t.lead = '' THEN n_all ELSE n_lead END AS n FROM ({_SEARCHED}) t JOIN ({_LISTED}) r ON t.key = r.key AND (t.lead = '' OR t.lead = r.lead)) x
- WHERE n <= 3 AND key <> '' AND score > 70 AND abs(length_ms / 1000e0 - length_s) <= 5 GROUP BY track_id"""
+_SEARCHED = f"""SELECT track_id, length_s, lead <> '' AS hint, {D.search_words('key', 'lead')} AS words FROM (SELECT track_id, length_s, {D.match_key('wanted')} AS key, lead FROM (SELECT track_id, length_s, {D.search_title('title', 'path')} AS wanted, {D.lead('artist')} AS lead FROM tracks) t WHERE length(wanted) >= 3) u WHERE key <> ''"""
+_LISTED = f"""SELECT recording_id, listed, length_ms, hint, CASE WHEN hint THEN {D.search_words('key', 'lead')} ELSE {D.search_words('key', "''")} END AS found FROM (SELECT recording_id, score AS listed, length_ms, {D.match_key('title')} AS key, {D.lead('artist')} AS lead FROM recordings) r CROSS JOIN (VALUES (false), (true)) h(hint) WHERE key <> ''"""
+BY_TEXT = f"""SELECT track_id, arg_min(recording_id, n) AS recording_id, arg_min(score, n) AS score FROM (SELECT track_id, length_s, recording_id, length_ms, score, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, listed DESC, recording_id) AS n FROM (
+ SELECT t.track_id, t.length_s, r.recording_id, r.listed, r.length_ms, len(list_intersect(t.words, r.found)) AS common, greatest(len(t.words), len(r.found)) AS most, (100 * len(list_intersect(t.words, r.found)) // greatest(len(t.words), len(r.found)))::INTEGER AS score FROM ({_SEARCHED}) t JOIN ({_LISTED}) r ON t.hint = r.hint AND list_has_any(t.words, r.found)) x WHERE 10 * common > 7 * most) y
+ WHERE n <= 3 AND abs(length_ms / 1000e0 - length_s) <= 5 GROUP BY track_id"""
 BY_FINGERPRINT = "SELECT track_id, recording_id, score FROM (SELECT t.track_id, r.recording_id, r.score, row_number() OVER (PARTITION BY t.track_id ORDER BY r.score DESC, recording_id) AS n FROM tracks t JOIN recordings r ON t.fingerprint = r.fingerprint WHERE r.score > 75) x WHERE n = 1"
 FIRST_RELEASE = f"""SELECT recording_id, arg_min(y, ord) FILTER (y IS NOT NULL) AS year, arg_min(title, ord) FILTER (title IS NOT NULL) AS album,
  CASE WHEN min(ord) FILTER (y IS NOT NULL) IS NULL OR min(ord) FILTER (title IS NOT NULL) IS NULL OR min(ord) FILTER (label IS NOT NULL) <= greatest(min(ord) FILTER (y IS NOT NULL), min(ord) FILTER (title IS NOT NULL)) THEN arg_min(label, ord) FILTER (label IS NOT NULL) END AS label
@@ -226,8 +229,18 @@ ENRICHED = f"""SELECT track_id, method, outcome, CASE WHEN ok THEN {D.sanitize('
  CASE WHEN ok THEN {D.genre_of_path('path', 'words')} END AS new_genre, CASE WHEN ok AND (bpm IS NULL OR NOT {D.number('bpm')}) THEN {D.lookup('words', rules.GENRE_BPM, "'120'")} END AS new_bpm, CASE WHEN found_id IS NOT NULL THEN other_year END AS found_year, CASE WHEN found_id IS NOT NULL THEN other_album END AS found_album
  FROM (SELECT *, outcome = 'accepted' AS ok FROM (SELECT *, CASE WHEN found_id IS NULL THEN 'unmatched' WHEN {D.gate('artist', 'title', "coalesce(nullif(tdrc, ''), tyer)", 'other_artist', 'other_title', 'other_year')} THEN 'accepted' ELSE 'rejected' END AS outcome FROM ({_FOUND}) f) g) h"""
 ENERGY = "SELECT track_id, round(greatest(1e0, least(10e0, (least(max(tempo) / 130, 1.5e0) * 0.4e0 + least(avg(rms) * 1000, 2e0) * 0.4e0 + least(avg(centroid) / 2000e0, 1.5e0) * 0.2e0) * 5)), 1) AS energy FROM audio_frames GROUP BY track_id"
-CUES = """SELECT track_id, round(coalesce(min(t_s) FILTER (change AND t_s > bar * 8), max(bar) * 16), 4) AS intro_end, coalesce(array_to_string(list_transform(list_sort(list(t_s) FILTER (change))[1:3], lambda x: printf('%.1f', x)), ','), '') AS drops, round(greatest(max(t_s) - 16 * max(bar), max(t_s) * 0.75), 4) AS outro_start
- FROM (SELECT *, frame_idx % 8 = 1 AND frame_idx < beats - 8 AND t_s > 5 AND coalesce(a / (b + 1e-10) > 1.4, false) AS change FROM (SELECT *, 240 / tempo AS bar, count(*) OVER (PARTITION BY track_id) AS beats, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b FROM audio_frames) x) y GROUP BY track_id"""
+# Segments by the frames that they take in, one by one.
+RATIOS = """SELECT track_id, beat_idx, t, bar, a.mean / (b.mean + 1e-10) AS ratio FROM (
+ SELECT s.track_id, s.beat_idx, s.t_s AS t, s.bar, s.frame_idx AS start_idx, e.frame_idx AS end_idx, p.frame_idx AS before_idx FROM (SELECT q.*, f.frame_idx FROM asked q ASOF JOIN audio_frames f ON q.track_id = f.track_id AND q.t_s >= f.t_s) s
+ JOIN (SELECT q.track_id, q.beat_idx, f.frame_idx FROM asked q ASOF JOIN audio_frames f ON q.track_id = f.track_id AND least(q.t8, q.last_s) >= f.t_s) e ON s.track_id = e.track_id AND s.beat_idx = e.beat_idx
+ JOIN (SELECT q.track_id, q.beat_idx, f.frame_idx FROM asked q ASOF JOIN audio_frames f ON q.track_id = f.track_id AND greatest(0, q.t_s - q.bar) >= f.t_s) p ON s.track_id = p.track_id AND s.beat_idx = p.beat_idx) g,
+ LATERAL (SELECT avg(mean_abs_mfcc) AS mean FROM audio_frames f WHERE f.track_id = g.track_id AND f.frame_idx >= start_idx AND f.frame_idx < end_idx) a,
+ LATERAL (SELECT avg(mean_abs_mfcc) AS mean FROM audio_frames f WHERE f.track_id = g.track_id AND f.frame_idx >= before_idx AND f.frame_idx < start_idx) b"""
+ASKED = """SELECT b.track_id, beat_idx, t_s, t8, bar, last_s FROM (SELECT *, lead(t_s, 8) OVER (PARTITION BY track_id ORDER BY beat_idx) AS t8 FROM beats) b JOIN (SELECT track_id, 4 * 60 / max(tempo) AS bar, max(t_s) AS last_s FROM audio_frames GROUP BY track_id) x ON b.track_id = x.track_id WHERE t8 IS NOT NULL AND beat_idx % 8 = 1"""
+CUES = f"""WITH asked AS ({ASKED}), r AS (SELECT *, t > 5 AND coalesce(ratio > 1.4, false) AS change FROM ({RATIOS}) z),
+ c AS (SELECT track_id, min(t) FILTER (change AND t > bar * 8) AS intro, list_sort(list(t) FILTER (change))[1:3] AS drops FROM r GROUP BY track_id),
+ f AS (SELECT x.track_id, coalesce(intro, bar * 16) AS intro, coalesce(drops, []) AS drops, greatest(length - 16 * bar, length * 0.75) AS outro FROM (SELECT track_id, max(t_s) AS length, 4 * 60 / max(tempo) AS bar FROM audio_frames GROUP BY track_id) x LEFT JOIN c ON x.track_id = c.track_id)
+ SELECT track_id, round(intro, 4) AS intro_end, array_to_string(list_transform(drops, lambda x: printf('%.1f', round(x, 1))), ',') AS drops, round(outro, 4) AS outro_start, array_to_string(list_transform(list_concat([0e0, intro], drops, [outro]), lambda x: printf('%.2f', round(x, 2))), ',') AS recommended FROM f"""
 LOUDNESS = "SELECT track_id, round(-14e0 - (lufs + 20 * log10(0.9e0 / peak)), 4) AS gain_db, round(least(0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20), 0.99e0), 4) AS peak_after, 0.9e0 * pow(10e0, (-14e0 - (lufs + 20 * log10(0.9e0 / peak))) / 20) > 0.99 AS clips FROM loudness"
 
 
@@ -246,20 +259,50 @@ _OWN_ARTIST, _OWN_TITLE = D.or_name_part(D.clean("artist"), D.clean("title"), "p
 PLANNED = f"""SELECT track_id, path, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('a', 't', 'y')}, '\\.mp3$', '') AS stem FROM (SELECT track_id, path, {_OWN_ARTIST} AS a, {_OWN_TITLE} AS t, coalesce({D.year("coalesce(nullif(tdrc, ''), tyer)")}, '') AS y FROM tracks) x"""
 
 
-def _log(column: str, after: str) -> str:
-    return f"CASE WHEN coalesce(t.{column}, '') = '' THEN NULL WHEN {after} IS NULL THEN 'Removed {column}' WHEN {after} <> t.{column} THEN 'Cleaned {column}' END AS log_{column}"
+_FIELDS = ", ".join(f"({n}, {D.lit(f)}, {D.lit(field)})" for n, (f, field) in enumerate(tags.FIELDS.items()))
+_FRAME_ROWS = "SELECT track_id, frame_id, text FROM tag_frames WHERE (frame_id LIKE 'T%' OR frame_id LIKE 'COMM%') AND text IS NOT NULL AND text <> ''"
+_YEARS = f"SELECT track_id, coalesce({D.year('tdrc')}, {D.year('tyer')}) AS year, {D.year('tdrc')} IS NULL AND {D.year('tyer')} IS NOT NULL AS migrated FROM (SELECT track_id, max(text) FILTER (frame_id = 'TDRC') AS tdrc, max(text) FILTER (frame_id = 'TYER') AS tyer FROM tag_frames GROUP BY track_id) y"
+_CLEAN_ROWS = f"""SELECT f.track_id, f.frame_id, CASE WHEN f.frame_id IN ({', '.join(map(D.lit, rules.PEOPLE_FRAMES))}) THEN {D.people('text')} WHEN f.frame_id IN ({', '.join(map(D.lit, rules.FRAMES))}) THEN {D.sanitize('text')} WHEN f.frame_id LIKE 'COMM%' THEN {D.consolidated('text')} ELSE text END AS text
+ FROM ({_FRAME_ROWS}) f JOIN ({_YEARS}) y ON f.track_id = y.track_id WHERE f.frame_id <> 'TDRC' AND NOT (f.frame_id = 'TYER' AND migrated) UNION ALL SELECT y.track_id, 'TDRC', year FROM ({_YEARS}) y JOIN (SELECT DISTINCT track_id FROM ({_FRAME_ROWS}) f) k ON y.track_id = k.track_id"""
+_DIFF = f"""SELECT coalesce(a.track_id, b.track_id) AS track_id, coalesce(n, 99) AS n, coalesce(a.frame_id, b.frame_id) AS frame_id, CASE WHEN a.text IS NULL THEN 'Added ' WHEN b.text IS NULL THEN 'Removed ' ELSE 'Cleaned ' END || coalesce(field, coalesce(a.frame_id, b.frame_id)) AS said
+ FROM ({_FRAME_ROWS}) a FULL JOIN (SELECT * FROM ({_CLEAN_ROWS}) c WHERE text IS NOT NULL) b ON a.track_id = b.track_id AND a.frame_id = b.frame_id LEFT JOIN (VALUES {_FIELDS}) d(n, frame, field) ON d.frame = coalesce(a.frame_id, b.frame_id) WHERE a.text IS DISTINCT FROM b.text"""
+CHANGED = f"SELECT track_id, string_agg(said, '; ' ORDER BY n, frame_id) AS said FROM ({_DIFF}) x WHERE frame_id NOT LIKE 'COMM%' GROUP BY track_id"
+TAG_MAPS = f"""SELECT o.track_id, original, cleaned, coalesce(said, '') AS changes FROM (SELECT track_id, string_agg(frame_id || '=' || text, ';' ORDER BY frame_id) AS original FROM ({_FRAME_ROWS}) f GROUP BY track_id) o
+ LEFT JOIN (SELECT track_id, string_agg(frame_id || '=' || text, ';' ORDER BY frame_id) AS cleaned FROM ({_CLEAN_ROWS}) c WHERE text IS NOT NULL GROUP BY track_id) n ON o.track_id = n.track_id LEFT JOIN ({CHANGED}) d ON o.track_id = d.track_id"""
+_QUALITY = f"'QUALITY: ' || floor(coalesce(bitrate_bps, 0) / 1000)::INTEGER || 'kbps, ' || cast(coalesce(sample_rate_hz / 1000e0, 0e0) AS varchar) || 'kHz, ' || CASE WHEN {HIGH} THEN 'HIGH' ELSE 'LOW' END"
+_RATED = f"SELECT track_id, rated IS DISTINCT FROM comment AS rated, {D.consolidated('rated')} AS comment, coalesce(rated, '') <> '' AS had_comment FROM (SELECT *, {D.annotate('comment', 'quality', 'quality')} AS rated FROM (SELECT *, {_QUALITY} AS quality FROM tracks) q) r"
 
 
 _JOINED = f"""SELECT t.track_id, t.path, t.mtime, floor(coalesce(t.bitrate_bps, 0) / 1000)::INTEGER AS kbps, coalesce(t.sample_rate_hz / 1000e0, 0e0) AS khz, {HIGH.replace('bitrate_bps', 't.bitrate_bps').replace('sample_rate_hz', 't.sample_rate_hz')} AS is_high,
  coalesce(new_artist, {D.people('t.artist')}) AS artist_, coalesce(new_title, {D.sanitize('t.title')}) AS title_, coalesce(new_album, {D.sanitize('t.album')}) AS album, coalesce(new_year, {D.year('t.tdrc')}, {D.year('t.tyer')}) AS year, coalesce(new_genre, {D.sanitize('c.genre')}) AS genre,
- new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) AS set_bpm, CASE WHEN new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) THEN new_bpm ELSE c.bpm END AS bpm, c.key_tag, k.key AS found_key, energy, intro_end, outro_start, gain_db, c.matched AS in_collection, method, outcome, found_year, found_album, outcome = 'accepted' AS enhanced,
- {_log('artist', D.people('t.artist'))}, {_log('title', D.sanitize('t.title'))}, {_log('album', D.sanitize('t.album'))}, {_log('genre', D.sanitize('t.genre'))}
- FROM (SELECT * FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) t
+ new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) AS set_bpm, CASE WHEN new_bpm IS NOT NULL AND (c.bpm IS NULL OR NOT {D.number('c.bpm')}) THEN new_bpm ELSE c.bpm END AS bpm, coalesce(k.key, c.key_tag) AS key_tag, k.key AS found_key, camelot, energy, intro_end, drops, outro_start, gain_db, c.matched AS in_collection, method, outcome, found_year, found_album, outcome = 'accepted' AS enhanced,
+ w.comment AS comment_, w.rated, w.had_comment, d.said AS cleaned_said
+ FROM (SELECT * FROM tracks WHERE NOT EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) t JOIN ({_RATED}) w ON t.track_id = w.track_id LEFT JOIN ({CHANGED}) d ON t.track_id = d.track_id
  JOIN ({COLLECTED}) c ON t.track_id = c.track_id JOIN ({ENRICHED}) e ON t.track_id = e.track_id LEFT JOIN ({KEY}) k ON t.track_id = k.track_id LEFT JOIN ({ENERGY}) n ON t.track_id = n.track_id LEFT JOIN ({CUES}) q ON t.track_id = q.track_id LEFT JOIN ({LOUDNESS}) o ON t.track_id = o.track_id"""
 _ARTIST, _TITLE = D.or_name_part("artist_", "title_", "path")
-_PLACED = f"""SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('artist', 'title', f"coalesce({D.year_of_date('year')}, '')")}, '\\.mp3$', '') AS stem FROM (SELECT *, {_ARTIST} AS artist, {_TITLE} AS title FROM ({_JOINED}) j) k"""
-_NUMBERED = f"""SELECT *, CASE WHEN enhanced THEN folder || '/' || stem || CASE WHEN n > 1 THEN ' (' || (n - 1) || ')' ELSE '' END || '.mp3' ELSE path END AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem, enhanced ORDER BY path) AS n FROM ({_PLACED}) p) q"""
-PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept' END AS action, concat_ws('; ', 'Quality analyzed: ' || kbps || 'kbps @ ' || printf('%.1f', khz) || 'kHz', 'Added quality comment', log_artist, log_title, log_album, log_genre,
+_SAID = "comment_"
+for _marker, _line in library.comment_lines(library.Options(), D):
+    _SAID = D.annotate(_SAID, _marker, _line)
+_PLACED = f"""SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace({D.file_name('artist', 'title', f"coalesce({D.year_of_date('year')}, '')")}, '\\.mp3$', '') AS stem FROM (SELECT *, {_ARTIST} AS artist, {_TITLE} AS title, {_SAID} AS comment FROM ({_JOINED}) j) k"""
+
+
+def named(planned: str, held: str) -> str:
+    """track_id, name of the rows planned (track_id, path, folder, stem), beside files (folder, file) that hold their names: the free numbers of each stem in order."""
+    number = r"^(.*) \(([1-9][0-9]{0,8})\)$"
+    return f"""SELECT w.track_id, w.folder || '/' || w.stem || CASE WHEN i > 0 THEN ' (' || i || ')' ELSE '' END || '.mp3' AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY path) AS n FROM ({planned}) p) w
+ JOIN (SELECT folder, stem, i, row_number() OVER (PARTITION BY folder, stem ORDER BY i) AS n FROM (SELECT p.folder, p.stem, unnest(range(0, p.c + coalesce(h.c, 0) + 1)) AS i FROM (SELECT folder, stem, count(*) AS c FROM ({planned}) p GROUP BY 1, 2) p LEFT JOIN (SELECT folder, count(*) AS c FROM (SELECT folder, file FROM ({held}) h UNION SELECT folder, stem FROM ({planned}) p) u GROUP BY folder) h ON p.folder = h.folder) x
+ WHERE NOT EXISTS (SELECT 1 FROM (SELECT folder, file AS stem, 0 AS k FROM ({held}) h UNION SELECT folder, regexp_extract(file, '{number}', 1), regexp_extract(file, '{number}', 2)::INTEGER FROM (SELECT folder, file FROM ({held}) h UNION SELECT folder, stem FROM ({planned}) p) u WHERE regexp_matches(file, '{number}')) t WHERE t.folder = x.folder AND t.stem = x.stem AND t.k = x.i)) f
+ ON w.folder = f.folder AND w.stem = f.stem AND w.n = f.n"""
+
+
+def of_path(table: str) -> str:
+    return f"SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.mp3$', '', 'i') AS file FROM ({table}) o"
+
+
+_HELD = f"{of_path('SELECT path FROM placed WHERE NOT enhanced')} UNION {of_path('SELECT out_path AS path FROM ledger WHERE out_path IS NOT NULL')}"
+_NUMBERED = f"""WITH placed AS ({_PLACED}), names AS ({named('SELECT track_id, path, folder, stem FROM placed WHERE enhanced', _HELD)})
+ SELECT p.*, coalesce(n.out_path, p.path) AS out_path FROM placed p LEFT JOIN names n ON p.track_id = n.track_id"""
+PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept' END AS action, concat_ws('; ', 'Quality analyzed: ' || kbps || 'kbps @ ' || cast(khz AS varchar) || 'kHz', CASE WHEN rated THEN 'Added quality comment' END, cleaned_said, CASE WHEN had_comment THEN CASE WHEN comment_ IS NULL THEN 'Removed comments' ELSE 'Consolidated comments' END END,
  CASE WHEN in_collection THEN 'Applied collection metadata' END, CASE WHEN enhanced THEN 'Enhanced from catalogue' END, 'Detected key: ' || found_key, 'Detected cue points: Intro: ' || printf('%.4f', intro_end) || 's, Outro: ' || printf('%.4f', outro_start) || 's',
  'Energy rating: ' || printf('%.1f', energy) || '/10', CASE WHEN gain_db IS NOT NULL THEN 'Normalized loudness to -14.0 LUFS' END, CASE WHEN out_path <> path THEN 'Renamed to: ' || regexp_replace(out_path, '^.*/', '') ELSE 'Kept original filename' END) AS changes FROM ({_NUMBERED}) r"""
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {', '.join(f'{e(D)} AS {n}' for n, e in columns)} FROM tracks", ("tracks",)) for name, columns in COLUMNS.items()} | {
@@ -293,19 +336,14 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
     "match_gate": (f"SELECT t.track_id, r.recording_id, {D.gate('t.artist', 't.title', 'tdrc', 'r.artist', 'r.title', repr('2001'))} AS accepted FROM tracks t JOIN recordings r ON t.fingerprint = r.fingerprint", ("tracks", "recordings")),
     "dynamic_range": ("SELECT track_id, round(20 * log10(max(peak_abs) / (avg(rms) + 1e-10)), 4) AS db, round(max(peak_abs) / (sqrt(sum(sum_sq) / sum(n)) + 1e-10), 4) AS crest, CASE WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 14 THEN 'Excellent' WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 10 THEN 'Good' WHEN 20 * log10(max(peak_abs) / (avg(rms) + 1e-10)) > 6 THEN 'Fair' ELSE 'Poor' END AS rating FROM audio_frames GROUP BY track_id", ("audio_frames",)),
     "energy_rating": (ENERGY, ("audio_frames",)),
-    "cue_points": (CUES, ("audio_frames",)),
+    "cue_points": (CUES, ("audio_frames", "beats")),
+    "tag_maps": (TAG_MAPS, ("tag_frames",)),
+    "gap_by_genre": ("SELECT genre, field, grouping(genre, field)::INTEGER AS level, count(*) AS n_tracks, count(*) FILTER (missing) AS n_missing FROM (" + " UNION ALL ".join(f"SELECT coalesce(nullif(trim(genre), ''), '(none)') AS genre, '{f}' AS field, no_{f} AS missing FROM ({scores()}) s" for f in rules.FIELD_WEIGHTS) + ") x GROUP BY CUBE (genre, field)", ("tracks",)),
     "musical_key": (KEY, ()),
-    "cue_change_ratio": ("SELECT track_id, frame_idx, round(a / (b + 1e-10), 6) AS ratio FROM (SELECT track_id, frame_idx, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a, avg(mean_abs_mfcc) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b FROM audio_frames) x WHERE frame_idx >= 4", ("audio_frames",)),
+    "cue_change_ratio": (f"WITH asked AS ({ASKED}) SELECT track_id, beat_idx, round(ratio, 6) AS ratio FROM ({RATIOS}) z WHERE ratio IS NOT NULL", ("audio_frames", "beats")),
     "loudness_plan": (LOUDNESS, ("loudness",)),
-    "output_plan": (f"SELECT track_id, folder || '/' || stem || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || '.mp3' AS out_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY path) - 1 AS n FROM ({PLANNED}) p) x", ("tracks",)),
-    "name_collisions": (f"""WITH p AS (SELECT * FROM ({PLANNED}) p),
- held AS (SELECT stem AS file FROM p WHERE track_id % 2 = 0),
- taken AS (SELECT file AS stem, 0 AS k FROM held UNION SELECT regexp_extract(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$', 1), regexp_extract(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$', 2)::INTEGER FROM held WHERE regexp_matches(file, '^(.*) \\(([1-9][0-9]{{0,8}})\\)$')),
- wanted AS (SELECT track_id, stem, row_number() OVER (PARTITION BY stem ORDER BY path) AS n FROM p WHERE track_id % 2 = 1),
- most AS (SELECT stem, count(*) AS c FROM (SELECT stem FROM wanted UNION ALL SELECT stem FROM taken) x GROUP BY stem),
- free AS (SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS n FROM (SELECT stem, unnest(range(0, c + 1)) AS i FROM most) x WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.stem = x.stem AND t.k = x.i)),
- named AS (SELECT w.track_id, w.stem || CASE WHEN i > 0 THEN ' (' || i || ')' ELSE '' END AS name FROM wanted w JOIN free f ON w.stem = f.stem AND w.n = f.n)
- SELECT track_id, name || CASE WHEN again > 1 THEN ' (' || (again - 1) || ')' ELSE '' END || '.mp3' AS name FROM (SELECT n.track_id, name, row_number() OVER (PARTITION BY name ORDER BY path) AS again FROM named n JOIN tracks USING (track_id)) x""", ("tracks",)),
+    "output_plan": (named(PLANNED, "SELECT NULL::VARCHAR AS folder, NULL::VARCHAR AS file WHERE false"), ("tracks",)),
+    "name_collisions": (f"WITH p AS (SELECT track_id, path, '/out' AS folder, stem FROM ({PLANNED}) p) SELECT track_id, regexp_replace(out_path, '^/out/', '') AS name FROM ({named('SELECT * FROM p WHERE track_id % 2 = 1', 'SELECT folder, stem AS file FROM p WHERE track_id % 2 = 0')}) n", ("tracks",)),
     "file_url": ("SELECT track_id, path, 'file://localhost' || replace(url_encode(path), '%2F', '/') AS url FROM tracks", ("tracks",)),
     "collection_export": (f"""SELECT row_number() OVER (ORDER BY path) AS "_TrackID", coalesce(title, '') AS "_Name", coalesce(artist, '') AS "_Artist", coalesce(album, '') AS "_Album", coalesce(genre, '') AS "_Genre", coalesce(bpm, '') AS "_AverageBpm", coalesce(key_tag, '') AS "_Tonality",
  coalesce(comment, '') AS "_Comments", coalesce({D.year("coalesce(tdrc, tyer, '')")}, '') AS "_Year", cast(size_bytes AS varchar) AS "_FileSize", floor(length_s)::BIGINT AS "_TotalTime", 'file://localhost' || replace(url_encode(path), '%2F', '/') AS "_Location" FROM tracks""", ("tracks",)),
@@ -314,8 +352,8 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
     "dup_exact_normalized": (f"SELECT {D.match_key('artist')} AS artist, {D.match_key(TITLE_OR_STEM)} AS title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM tracks GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
     "dup_members": (f"SELECT artist, title, track_id, path, size_bytes // 1024 AS kb FROM (SELECT *, count(*) OVER (PARTITION BY artist, title) AS n FROM (SELECT track_id, path, size_bytes, {KEYS} FROM tracks) t) x WHERE n > 1", ("tracks",)),
     "people_tokens": (f"SELECT track_id, array_to_string(list_sort({D.tokens('artist')}), '|') AS tokens FROM tracks", ("tracks",)),
-    "quality_line": (f"SELECT track_id, 'QUALITY: ' || floor(bitrate_bps / 1000)::INTEGER || 'kbps, ' || printf('%.1f', coalesce(sample_rate_hz / 1000e0, 0)) || 'kHz, ' || CASE WHEN {HIGH} THEN 'HIGH' ELSE 'LOW' END AS line FROM tracks WHERE bitrate_bps IS NOT NULL", ("tracks",)),
-    "process_library": (f"SELECT track_id, path, kbps, is_high, artist, title, album, year, genre, bpm, key_tag, found_key, energy, intro_end, outro_start, gain_db, in_collection, method, outcome, out_path, action, changes FROM ({{RESULT}}) r".replace("{RESULT}", PROCESSED), JOB),
+    "quality_line": (f"SELECT track_id, {_QUALITY} AS line FROM tracks WHERE bitrate_bps IS NOT NULL", ("tracks",)),
+    "process_library": (f"SELECT track_id, path, kbps, is_high, artist, title, album, year, genre, bpm, key_tag, comment, found_key, energy, intro_end, outro_start, gain_db, in_collection, method, outcome, out_path, action, changes FROM ({{RESULT}}) r".replace("{RESULT}", PROCESSED), JOB),
     "run_stats": ("SELECT count(*) AS processed, " + ", ".join(f"sum(n_{n})::BIGINT AS {n}" for n in library.COUNTERS) + " FROM (SELECT " + ", ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END AS n_{n}" for n, c in library.COUNTERS.items()) + f" FROM ({PROCESSED}) r UNION ALL SELECT " + ", ".join({"high_quality": f"CASE WHEN {HIGH} THEN 1 ELSE 0 END", "low_quality": f"CASE WHEN {HIGH} THEN 0 ELSE 1 END"}.get(n, "0") for n in library.COUNTERS) + f" FROM tracks WHERE EXISTS (SELECT 1 FROM ({LATEST}) l WHERE l.path = tracks.path AND tracks.mtime <= l.mtime)) x", JOB),
     "match_rates": (f"""SELECT round(100e0 * hits / nullif(hits + failures, 0), 6) AS success_rate, round(100e0 * years / nullif(hits, 0), 6) AS year_rate, round(100e0 * albums / nullif(hits, 0), 6) AS album_rate, round(100e0 * hits / nullif(hits, 0), 6) AS genre_rate, round(100e0 * bpms / nullif(hits, 0), 6) AS bpm_rate
  FROM (SELECT count(method) AS hits, count(*) FILTER (outcome <> 'accepted') AS failures, count(found_year) AS years, count(found_album) AS albums, count(*) FILTER (set_bpm) AS bpms FROM ({PROCESSED}) r) x""", JOB),

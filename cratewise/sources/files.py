@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
+from cratewise.operators.numbering import numbered
 
 T = Text()
 PREFIX = "file://localhost"
@@ -46,14 +48,6 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return last.select("path", "x.*")
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Numbers from 1 in the order of a column: a sort by ranges, then each range's start, so no task holds all rows."""
-    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id()).withColumn("in_", F.monotonically_increasing_id())
-    sizes = placed.groupBy("part_").count()
-    starts = sizes.select("part_", F.coalesce(F.sum("count").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"))
-    return placed.join(F.broadcast(starts), "part_").withColumn(name, F.col("start_") + (F.col("in_") - F.shiftleft(F.col("part_").cast("long"), 33)) + 1).drop("part_", "in_", "start_")
-
-
 def collection_rows(tracks: DataFrame) -> DataFrame:
     """The export's columns of each track. The year is that of the recording date, else of the older frame."""
     year = F.coalesce(F.expr(T.year("coalesce(tdrc, tyer, '')")), F.lit(""))
@@ -87,11 +81,30 @@ def bad_values(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(F.count("*").alias("entries"), bad(F.col("_AverageBpm"), "double").alias("bad_bpm"), bad(F.col("_Rating"), "int").alias("bad_rating"), bad(F.col("_PlayCount"), "int").alias("bad_play_count"))
 
 
-def append_ledger(results: DataFrame, path: str) -> None:
-    """Record processed tracks: path, mtime, when, and their quality. Each run adds files; ``latest`` is the state."""
-    results.select("path", "mtime", F.current_timestamp().alias("last_processed"), F.col("is_high").alias("is_high_quality")).write.mode("append").parquet(path)
+#: What a ledger's files hold; each run, and each batch of a stream, has a folder ``batch=...`` of its own.
+LEDGER = "path string, mtime double, last_processed timestamp, is_high_quality boolean, out_path string, batch string"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's entries. A ledger that isn't there yet is empty, and a file that can't be read is passed over, so that its
+    tracks are worked on again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).option("ignoreCorruptFiles", True).option("basePath", path).parquet(path)
+
+
+def append_ledger(results: DataFrame, path: str, batch: str | None = None) -> None:
+    """Record processed tracks: path, mtime, when, their quality and output. ``batch`` names the folder, which is replaced if it is there, so a
+    batch that is delivered again leaves the ledger as it was; without it each call adds a folder. ``latest`` is the state."""
+    out = F.col("out_path") if "out_path" in results.columns else F.lit(None)
+    rows = results.select("path", F.col("mtime").cast("double").alias("mtime"), F.current_timestamp().alias("last_processed"), F.col("is_high").alias("is_high_quality"), out.cast("string").alias("out_path"))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch or f'run-{uuid.uuid4().hex}'}")
 
 
 def latest(ledger: DataFrame) -> DataFrame:
-    """The ledger's state: the last entry of each path."""
-    return ledger.groupBy("path").agg(F.max("mtime").alias("mtime"), F.count("*").alias("entries"))
+    """path, mtime, is_high_quality, entries: the ledger's state, which is each path's entry of the last run (of one run: the newest file).
+    A bare list of path and mtime will do."""
+    when = F.struct(*(c for c in ("last_processed", "mtime") if c in ledger.columns))
+    quality = F.col("is_high_quality") if "is_high_quality" in ledger.columns else F.lit(None).cast("boolean").alias("is_high_quality")
+    return ledger.groupBy("path").agg(F.max_by(F.struct("mtime", quality), when).alias("x"), F.count("*").alias("entries")).select("path", "x.*", "entries")

@@ -24,7 +24,9 @@ VIEWS = {
   CASE doc_id % 4 WHEN 0 THEN 320000 WHEN 1 THEN 319999 WHEN 2 THEN 256000 ELSE 321000 END AS bitrate_bps,
   CASE doc_id % 5 WHEN 0 THEN 48000 WHEN 1 THEN 32000 WHEN 2 THEN NULL ELSE 44100 END AS sample_rate_hz,
   n_chars * 0.027e0 AS length_s, n_chars * 1024 AS size_bytes, 1.7e9 + doc_id AS mtime, fp AS fingerprint FROM base""",
-    "ledger": "SELECT path, mtime + CASE WHEN track_id % 8 = 0 THEN 10 ELSE -10 END AS mtime FROM tracks WHERE track_id % 4 = 0",
+    "ledger": """SELECT path, mtime + CASE WHEN (track_id + run) % 8 = 0 THEN 10 ELSE -10 END AS mtime, 1.71e9 + run AS last_processed, track_id % 3 = run AS is_high_quality,
+  regexp_replace(path, '/[^/]*$', '') || '/' || artist || CASE WHEN run = 0 THEN '' ELSE ' (1)' END || '.mp3' AS out_path
+  FROM tracks CROSS JOIN (VALUES (0),(4)) r(run) WHERE track_id % 4 = 0 AND (run = 0 OR track_id % 3 = 0)""",
     "recordings": """SELECT doc_id AS recording_id, src AS artist, base AS title,
   n_chars * 27 + (doc_id % 11) * 1000 AS length_ms, 60 + doc_id % 41 AS score, fp AS fingerprint FROM base WHERE doc_id % 3 = 0""",
     "releases": """SELECT recording_id, ord,
@@ -39,9 +41,11 @@ VIEWS = {
     "audio_frames": """SELECT user_id AS track_id, i AS frame_idx, i * 0.5e0 AS t_s, value / 500e0 AS rms,
   least(1e0, value / 250e0) AS peak_abs, value * value / 250000e0 AS sum_sq, 1 AS n, value * 20 AS centroid, value AS mean_abs_mfcc, 90e0 + user_id % 7 * 10 AS tempo
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS i FROM events) e""",
+    "beats": """SELECT track_id, beat_idx, t_s FROM (SELECT track_id, frame_idx AS beat_idx, frame_idx * 60e0 / tempo AS t_s, max(t_s) OVER (PARTITION BY track_id) AS last_s FROM audio_frames) b
+  WHERE t_s <= last_s""",
     "loudness": "SELECT p_partkey AS track_id, -5e0 - p_size * 0.4e0 AS lufs, 0.3e0 + (p_partkey % 70) / 100e0 AS peak FROM part",
 }
-NEEDS = {"tracks": ["base"], "ledger": ["base", "tracks"], "recordings": ["base"], "releases": ["base", "recordings"], "collection": ["base", "tracks"], "tag_frames": ["base", "tracks"]}
+NEEDS = {"tracks": ["base"], "ledger": ["base", "tracks"], "recordings": ["base"], "releases": ["base", "recordings"], "collection": ["base", "tracks"], "tag_frames": ["base", "tracks"], "beats": ["audio_frames"]}
 GIVEN = ["documents", "events", "part", "embeddings"]
 
 

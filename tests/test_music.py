@@ -1,6 +1,7 @@
 """Goldens of the cleaning functions, brute force for the joins, plan checks, XML and streaming round trips."""
 
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cratewise.functions.text import Text
-from cratewise.operators import catalogue, duplicates, tracks
+from cratewise.operators import catalogue, duplicates, features, tags, tracks
 from cratewise.plans import library, queries
 from cratewise.sources import files
 from cratewise.sources.library import view
@@ -157,7 +158,7 @@ def test_names_without_clashes(spark):
     kept = [("/o/x (1).mp3",), ("/o/y.mp3",), ("/o/y (1).mp3",), ("/o/Other.mp3",)]
     p, k = spark.createDataFrame(planned, "track_id long, path string, folder string, stem string"), spark.createDataFrame(kept, "path string")
     got = {r.track_id: f"{r.folder}/{r.name}" for r in tracks.without_clashes(p, k).collect()}
-    assert got == {1: "/o/x.mp3", 2: "/o/x (2).mp3", 3: "/o/x (3).mp3", 4: "/o/y (2).mp3", 5: "/q/x.mp3", 6: "/o/z (1).mp3", 7: "/o/z.mp3", 8: "/o/z (1) (1).mp3"}
+    assert got == {1: "/o/x.mp3", 2: "/o/x (2).mp3", 3: "/o/x (3).mp3", 4: "/o/y (2).mp3", 5: "/q/x.mp3", 6: "/o/z (1).mp3", 7: "/o/z.mp3", 8: "/o/z (2).mp3"}
     assert not {*got.values()} & {r[0] for r in kept} and len({*got.values()}) == len(got)
 
 
@@ -207,3 +208,183 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r.track_id, r.frame_id, r.new_text, r.action)
     got = sorted(map(str, map(key, spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).collect())))
     assert got == sorted(map(str, map(key, queries.QUERIES["clean_tags"](spark, SF).collect())))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_two_names_are_equal(spark, seed):
+    """Random stems with numbers, beside kept files and outputs of earlier runs."""
+    draw = random.Random(seed)
+    stem = lambda: draw.choice("yz") + "".join(f" ({draw.randint(0, 3)})" for _ in range(draw.randint(0, 3)))
+    planned = [(i, f"/m/{i:03}.mp3", draw.choice(["/o", "/q"]), stem()) for i in range(150)]
+    kept = sorted({f"{draw.choice(['/o', '/q'])}/{stem()}.mp3" for _ in range(25)})
+    p = spark.createDataFrame(planned, "track_id long, path string, folder string, stem string").repartition(3)
+    got = [f"{r.folder}/{r.name}" for r in tracks.without_clashes(p, spark.createDataFrame([(k,) for k in kept], "path string")).collect()]
+    assert len(got) == len(set(got)) == 150 and not set(got) & set(kept)
+    own = tracks.without_clashes(p, spark.createDataFrame([(k,) for k in kept], "path string")).join(p.select("track_id", "stem"), "track_id").collect()
+    assert all(re.fullmatch(re.escape(r.stem) + r"( \(\d+\))?\.mp3", r.name) for r in own)
+
+
+def test_earlier_outputs_hold_their_names(spark):
+    t = queries.tables(spark, SF)
+    rows = library.process(*(t[n] for n in library.TABLES), library.Options(incremental=False), **{n: t[n] for n in library.MORE_TABLES})
+    first = [r.out_path for r in rows.where("action = 'renamed'").select("out_path").collect()]
+    ledger = spark.createDataFrame([(f"/other/{i}", 0.0, None, True, p, "run-1") for i, p in enumerate(first)], files.LEDGER)
+    again = library.process(t["tracks"], ledger, *(t[n] for n in library.TABLES[2:]), library.Options(incremental=False), **{n: t[n] for n in library.MORE_TABLES})
+    second = [r.out_path for r in again.where("out_path IS NOT NULL AND action = 'renamed'").select("out_path").collect()]
+    assert len(first) > 20 and len(set(second)) == len(second) and not set(first) & set(second)
+
+
+def scanned(spark, folder, count=3):
+    """Tag frames as scans write them: all of a track in one file."""
+    view(spark, SF, "tag_frames").repartition(count, "track_id").write.parquet(folder)
+    return lambda: spark.readStream.schema(view(spark, SF, "tag_frames").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def kept_rows(spark, out, ledger):
+    log = sorted(str((r.track_id, r.frame_id, r.new_text, r.action)) for r in spark.read.option("basePath", out).parquet(out).collect())
+    return log, sorted((r.path, r.mtime, r.is_high_quality) for r in files.read_ledger(spark, ledger).collect())
+
+
+def test_stream_with_ledger_equals_batch(spark, tmp_path, monkeypatch):
+    """Known tracks are left out; a batch that was killed between both writes, and comes again, leaves what a whole run does."""
+    stream = scanned(spark, str(tmp_path / "in"))
+    inventory = view(spark, SF, "tracks")
+    names = lambda n: (str(tmp_path / f"out{n}"), str(tmp_path / f"check{n}"), inventory, str(tmp_path / f"ledger{n}"))
+    old = inventory.where("track_id % 5 = 0").select("path", "mtime", F.lit(True).alias("is_high"))
+    for n in (1, 2):
+        files.append_ledger(old, names(n)[3], "run-0")
+    intake.start(stream(), *names(1)).awaitTermination(120)
+    write, calls = files.append_ledger, []
+
+    def killed(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        write(*a)
+
+    monkeypatch.setattr(intake, "append_ledger", killed)
+    with pytest.raises(Exception, match="killed"):
+        intake.start(stream(), *names(2)).awaitTermination(120)
+    intake.start(stream(), *names(2)).awaitTermination(120)
+    one, two = (kept_rows(spark, names(n)[0], names(n)[3]) for n in (1, 2))
+    assert one == two and len(calls) >= 3
+    todo = intake.fresh(inventory, old.select("path", "mtime"))
+    want = tracks.clean_frames(view(spark, SF, "tag_frames").join(todo.select("track_id"), "track_id", "left_semi"))
+    assert one[0] == sorted(str((r.track_id, r.frame_id, r.new_text, r.action)) for r in want.collect())
+    assert {p for p, _, _ in one[1]} == {r.path for r in inventory.collect()} and len(one[1]) == inventory.count()
+    (tmp_path / "more").mkdir()
+    intake.start(scanned(spark, str(tmp_path / "more/in"), 1)(), str(tmp_path / "out3"), str(tmp_path / "check3"), inventory, names(1)[3]).awaitTermination(120)
+    assert kept_rows(spark, names(1)[0], names(1)[3]) == one and spark.read.parquet(str(tmp_path / "out3")).isEmpty()
+
+
+def test_ledger_state_and_broken_files(spark, tmp_path):
+    rows = spark.createDataFrame([("/a", 5.0, True, "/o/a"), ("/b", 7.0, False, None)], "path string, mtime double, is_high boolean, out_path string")
+    path = str(tmp_path / "ledger")
+    assert files.read_ledger(spark, path).isEmpty()
+    files.append_ledger(rows, path)
+    files.append_ledger(rows.where("path = '/a'").withColumns({"mtime": F.lit(3.0), "is_high": F.lit(False)}), path)
+    (tmp_path / "ledger/batch=run-x").mkdir()
+    (tmp_path / "ledger/batch=run-x/part-0.parquet").write_bytes(b"no such thing")
+    state = {r.path: (r.mtime, r.is_high_quality, r.entries) for r in files.latest(files.read_ledger(spark, path)).collect()}
+    assert state == {"/a": (3.0, False, 2), "/b": (7.0, False, 1)}
+    files.append_ledger(rows, path, "stream-1")
+    files.append_ledger(rows, path, "stream-1")
+    assert files.read_ledger(spark, path).where("batch = 'stream-1'").count() == 2
+
+
+def test_cues_by_hand(spark):
+    """Frames a quarter of a second long, beats of half a second: tempo 120, a bar of two seconds."""
+    loud = lambda k: 3.0 if 60 <= k < 100 else 1.0
+    frames = spark.createDataFrame([(1, k, k / 4, loud(k), 120.0) for k in range(200)], "track_id long, frame_idx long, t_s double, mean_abs_mfcc double, tempo double")
+    beats = spark.createDataFrame([(1, i, i / 2) for i in range(100)], "track_id long, beat_idx long, t_s double").repartition(3)
+    got = {r.beat_idx: (r.t_s, r.ratio) for r in features.segment_means(frames, beats).collect()}
+    for i in range(1, 92, 8):
+        a, b, p = 2 * i, min(2 * i + 16, 199), max(0, 2 * i - 8)
+        mean = lambda x, y: sum(map(loud, range(x, y))) / (y - x)
+        assert got[i] == (i / 2, pytest.approx(mean(a, b) / (mean(p, a) + 1e-10)))
+    assert len(got) == 12
+    row = features.cue_points(frames, beats).first()
+    first = next(i / 2 for i in range(1, 92, 8) if i / 2 > 5 and got[i][1] > 1.4)
+    assert (row.drops, row.intro_end, row.outro_start) == (f"{first:.1f}", 32.0 if first <= 16 else first, 37.3125)
+    assert row.recommended == ",".join(f"{x:.2f}" for x in (0, row.intro_end, first, 37.31))
+    assert features.cue_points(frames, beats.limit(0)).first().drops == ""
+
+
+def test_search_equals_brute_force(spark):
+    """Scored by shared words, with and without an artist."""
+    draw = random.Random(7)
+    words = ["night", "drive", "love", "song", "blue", "river", "the", "of", "home", "again", "x1", "x2", "x3"]
+    title = lambda: " ".join(draw.sample(words, draw.randint(1, 9)))
+    people = ["Ann Lee", "Bob", "", None, "Ann Lee, Bob"]
+    recordings = [(i, draw.choice(people), title(), 200_000 + 1000 * draw.randint(0, 9), draw.randint(50, 99)) for i in range(150)]
+    wanted = [(i, f"/m/{title()}.mp3", draw.choice(people), draw.choice([title(), title(), "ab", None]), draw.choice([200.0, 204.0, 209.0, None])) for i in range(120)]
+    r = spark.createDataFrame(recordings, "recording_id long, artist string, title string, length_ms long, score int").repartition(3)
+    t = spark.createDataFrame(wanted, "track_id long, path string, artist string, title string, length_s double").repartition(3)
+    plain = lambda df, c: dict(df.select(df.columns[0], F.array_sort(F.expr(c)).alias("w")).collect())
+    own = {h: plain(t, T.search_words(T.match_key(T.search_title("title", "path")), T.lead("artist") if h else "''")) for h in (False, True)}
+    other = {h: plain(r, T.search_words(T.match_key("title"), T.lead("artist") if h else "''")) for h in (False, True)}
+    hints = dict(t.select("track_id", F.expr(T.lead("artist")) != "").collect())
+    long_enough = dict(t.select("track_id", F.length(F.expr(T.search_title("title", "path"))) >= 3).collect())
+    want = {}
+    for i, _, _, _, length in wanted:
+        found = []
+        for j, _, _, ms, listed in recordings:
+            a, b = set(own[hints[i]][i]), set(other[hints[i]][j])
+            if 10 * len(a & b) > 7 * max(len(a), len(b)):
+                found.append((-(100 * len(a & b) // max(len(a), len(b))), -listed, j, ms))
+        near = [x for x in sorted(found)[:3] if length is None or abs(x[3] / 1000 - length) <= 5]
+        if near and long_enough[i]:
+            want[i] = (near[0][2], -near[0][0])
+    got = {x.track_id: (x.recording_id, x.score) for x in catalogue.identify_by_text(t, r).collect()}
+    assert got == want and len(want) > 25 and min(s for _, s in want.values()) < 100
+
+
+def test_tag_maps_by_hand(spark):
+    rows = [
+        (1, "TIT2", 0, "Song (Official) djmaza"), (1, "TPE2", 0, "A & B"), (1, "TENC", 0, "songspk.com"), (1, "TDRC", 0, "abc"), (1, "TYER", 0, "2001"), (1, "TXXX", 0, "djmaza"), (1, "APIC", 0, "x"),
+        (1, "COMM::eng", 0, "Energy: 7/10\nvisit us"), (1, "COMM:x:eng", 1, "iTunes 1"), (2, "TALB", 0, "Fine"), (2, "TALB", 1, "second"), (2, "TDRC", 0, "2020-01-01"), (3, "TIT2", 0, None), (3, "COMM::eng", 0, "hello"),
+    ]
+    got = {r.track_id: r for r in tags.tag_maps(spark.createDataFrame(rows, "track_id long, frame_id string, ord int, text string").repartition(3)).collect()}
+    assert got[1].original["TXXX"] == "djmaza" and "APIC" not in got[1].original and got[1].original["COMM:x:eng"] == "iTunes 1"
+    assert got[1].cleaned == {"TIT2": "Song", "TPE2": "A, B", "TDRC": "2001", "TXXX": "djmaza", "COMM::eng": "Energy: 7/10"}
+    assert [(d.frame, d.field, d.action) for d in got[1].diff] == [
+        ("TIT2", "title", "Cleaned"), ("TPE2", "album_artist", "Cleaned"), ("TENC", "encoded_by", "Removed"), ("TDRC", "year", "Cleaned"), ("TYER", "old_year", "Removed"), ("COMM::eng", "comment", "Cleaned"), ("COMM:x:eng", "COMM:x:eng", "Removed"),
+    ]
+    assert got[2].cleaned == {"TALB": "Fine", "TDRC": "2020"} and got[3].cleaned == {} and len(got) == 3
+
+
+def test_job_tells_what_it_did(spark):
+    """Comments are cleaned and annotated, the key is filled, and changes name only what happened."""
+    t = queries.tables(spark, SF)
+    rows = library.process(*(t[n] for n in library.TABLES), **{n: t[n] for n in library.MORE_TABLES}).collect()
+    old = {r.track_id: r for r in t["tracks"].collect()}
+    for r in rows:
+        said = r.changes.split("; ")
+        assert "songspk" not in (r.comment or "") and "djmaza" not in (r.comment or "")
+        assert r.found_key is None or (r.key_tag == r.found_key and f"Camelot key: {r.camelot}" in r.comment.split("\n"))
+        assert ("DJ Cues -" in (r.comment or "")) == (r.intro_end is not None) and ("Loudness normalized" in (r.comment or "")) == (r.gain_db is not None)
+        assert ("Added quality comment" in said) == (tracks_line(old[r.track_id]) not in (old[r.track_id].comment or ""))
+        assert r.original["TIT2"] == old[r.track_id].title and ("Cleaned title" in said) == ("TIT2" in r.cleaned and r.cleaned["TIT2"] != r.original["TIT2"])
+    assert sum(r.found_key is not None for r in rows) > 10 and sum(r.intro_end is not None for r in rows) > 3
+
+
+def tracks_line(r):
+    khz = (r.sample_rate_hz or 0) / 1000
+    return f"QUALITY: {r.bitrate_bps // 1000}kbps, {khz}kHz, {'HIGH' if r.bitrate_bps >= 320000 and (not khz or khz >= 44) else 'LOW'}"
+
+
+def test_sampling_rates_as_they_are(spark):
+    df = spark.createDataFrame([(320000, 22050), (256999, 44100), (320000, None), (320000, 48000)], "bitrate_bps long, sample_rate_hz long")
+    assert [r[0] for r in df.select(tracks.quality_line()).collect()] == ["QUALITY: 320kbps, 22.05kHz, LOW", "QUALITY: 256kbps, 44.1kHz, LOW", "QUALITY: 320kbps, 0.0kHz, HIGH", "QUALITY: 320kbps, 48.0kHz, HIGH"]
+
+
+def test_groups_of_duplicates(spark):
+    rows = [(1, "/a", "X", "Song one", 2048, "f1"), (2, "/b", "x", "song one", 4096, "f2"), (3, "/c", "X", "Song one!", 1024, "f3"), (4, "/d", "Y", "Other", 1024, "f3"), (5, "/e", "", "Song one", 1, None), (6, "/f", "X", "far away", 1, "f9")]
+    df = spark.createDataFrame(rows, "track_id long, path string, artist string, title string, size_bytes long, fingerprint string").repartition(3)
+    got = [(r.group_no, r.kind, r.group_key, r.n) for r in duplicates.numbered_groups(df).orderBy("group_no").collect()]
+    assert got == [(1, "exact_match", "x|||song one", 2), (2, "similar_title", "1-3", 2), (3, "audio_match", "f3", 2)]
+    members = sorted((r.group_no, r.track_id, r.path, r.kb) for r in duplicates.report(df).collect())
+    assert members == [(1, 1, "/a", 2), (1, 2, "/b", 4), (2, 1, "/a", 2), (2, 3, "/c", 1), (3, 3, "/c", 1), (3, 4, "/d", 1)]
+    numbers = [r.group_no for r in duplicates.numbered_groups(view(spark, SF, "tracks")).collect()]
+    assert sorted(numbers) == list(range(1, len(numbers) + 1))
+    assert duplicates.report(df.limit(0)).isEmpty()
