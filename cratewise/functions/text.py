@@ -16,10 +16,10 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 class Text:
-    """Builds expressions; ``spark`` chooses the dialect."""
+    """Builds expressions; ``spark`` chooses the dialect, ``lists`` the rule lists (those of ``rules``, if none are given)."""
 
-    def __init__(self, spark: bool = True):
-        self.spark, self._names = spark, count()
+    def __init__(self, spark: bool = True, lists: object = rules):
+        self.spark, self.rules, self._names = spark, lists, count()
 
     def lit(self, text: str) -> str:
         return "'" + text.replace("'", "''") + "'" if not self.spark or "\\" not in text else f"r'{text}'"
@@ -86,13 +86,13 @@ class Text:
     def clean(self, x: str) -> str:
         """Without sites and promotion, with one kind of separator; kept remarks go to the end in brackets."""
         t = f"coalesce({x}, '')"
-        for p in [*rules.SITE_PATTERNS, *rules.PROMO_PATTERNS]:
+        for p in [*self.rules.SITE_PATTERNS, *self.rules.PROMO_PATTERNS]:
             t = self.sub(t, p)
         t = self.sub(self.strip(self.sub(t, rf"{SPACE}*[-_,]+{SPACE}*", " - "), r"[-\s\p{Z},]"), SPACE + "{2,}", " ")
 
         def remarks(v: str) -> str:
             bare = self.sub(self.sub(v, r"\[.*?\]"), r"\(.*?\)")
-            found = self.concat_lists(*(self.all(v, p) for p in rules.KEPT_PATTERNS))
+            found = self.concat_lists(*(self.all(v, p) for p in self.rules.KEPT_PATTERNS))
             return self.let(found, lambda k: f"CASE WHEN {self.size(k)} > 0 THEN {bare} || ' (' || {self.join(k, self.lit(', '))} || ')' ELSE {bare} END")
 
         t = self.sub(self.let(t, remarks), rf"{SPACE}*[-_]+{SPACE}*", " - ")
@@ -103,8 +103,8 @@ class Text:
 
     def strict(self, x: str) -> str:
         """The profile that removes addresses and sites with their brackets and endings, then junk altogether."""
-        sites, words, last, junk_sites = ("|".join([*rules.STRICT_SITES, *more]) for more in ([], rules.STRICT_WORDS, rules.STRICT_ENDS, rules.STRICT_JUNK))
-        ends = "|".join(rules.DOMAINS)
+        sites, words, last, junk_sites = ("|".join([*self.rules.STRICT_SITES, *more]) for more in ([], self.rules.STRICT_WORDS, self.rules.STRICT_ENDS, self.rules.STRICT_JUNK))
+        ends = "|".join(self.rules.DOMAINS)
         t = f"coalesce({x}, '')"
         for p in [
             rf"(?i)(?:https?://)?(?:www\.)?[a-z0-9-]+\.(?:{ends})(?:/\S*)?", rf"(?i)\b(?:{words})\b", r"(?i)hearthis\.at",
@@ -114,7 +114,7 @@ class Text:
             t = self.sub(t, p)
         t = self.sub(self.sub(self.sub(t, rf"{SPACE}*[-–—]{SPACE}*", " - "), rf"{SPACE}*[,&]{SPACE}*", ", "), SPACE + "+", " ")
         runs = self.all(t, f"{WORD}+|[^" + WORD[1:] + "+")
-        bare = ", ".join(map(self.lit, rules.DOMAINS))
+        bare = ", ".join(map(self.lit, self.rules.DOMAINS))
         t = self.strip(self.join(self.map(runs, lambda v: f"CASE WHEN lower({v}) IN ({bare}) THEN '' ELSE {v} END"), "''"), r"[ \-,&.]")
         junk = rf"(?i)^(?:\.+|\.?(?:{ends})|[.\-,&\s]+|(?:{junk_sites})(?:\.(?:com|dev|in|net|org|so))?)$"
         return self.let(t, lambda v: f"CASE WHEN {v} = '' OR {self.has(v, junk)} THEN NULL ELSE {v} END")
@@ -132,13 +132,13 @@ class Text:
         return f"CASE WHEN try_cast({digits} AS INT) BETWEEN 1900 AND 2030 THEN {digits} END"
 
     def polluted(self, x: str) -> str:
-        sites = " OR ".join(self.has(x, p) for p in rules.SITE_PATTERNS)
-        return f"coalesce({sites} OR {self.contains_any(f'lower({x})', rules.POLLUTED)}, false)"
+        sites = " OR ".join(self.has(x, p) for p in self.rules.SITE_PATTERNS)
+        return f"coalesce({sites} OR {self.contains_any(f'lower({x})', self.rules.POLLUTED)}, false)"
 
     def download_sites(self, x: str) -> str:
         """All matches, pattern by pattern."""
         letters = lambda p: p.replace(r"[\w]", WORD).replace(r"\w", WORD)
-        return self.concat_lists(*(self.all(f"coalesce({x}, '')", letters(p)) for p in rules.DOWNLOAD_PATTERNS))
+        return self.concat_lists(*(self.all(f"coalesce({x}, '')", letters(p)) for p in self.rules.DOWNLOAD_PATTERNS))
 
     def stem(self, path: str) -> str:
         """A file's name without folder and ending."""
@@ -158,7 +158,7 @@ class Text:
 
     def match_key(self, x: str) -> str:
         t = f"lower(coalesce({x}, ''))"
-        for p in [*rules.MIX_LABELS, rf"feat\. (?:{WORD}|{SPACE})+", rf"ft\. (?:{WORD}|{SPACE})+"]:
+        for p in [*self.rules.MIX_LABELS, rf"feat\. (?:{WORD}|{SPACE})+", rf"ft\. (?:{WORD}|{SPACE})+"]:
             t = self.sub(t, p)
         return self.strip(self.sub(self.sub(t, r"[^\p{L}\p{N}_\s\p{Z}]"), SPACE + "+", " "), SPACE)
 
@@ -186,7 +186,7 @@ class Text:
         return f"CASE WHEN contains(lower({comment}), 'itunes') THEN NULL ELSE nullif({lines}, '') END"
 
     def camelot(self, key: str) -> str:
-        return self.lookup(key, rules.CAMELOT, "'Unknown'")
+        return self.lookup(key, self.rules.CAMELOT, "'Unknown'")
 
     def likes(self, a: str, b: str, share: float) -> str:
         """Whether two texts share so many of their tokens, both having some."""
@@ -200,7 +200,7 @@ class Text:
         return f"(cast({self.likes(title, new_title, 0.7)} AS INT) + cast({self.likes(artist, new_artist, 0.5)} AS INT) + cast({near} AS INT) >= 2)"
 
     def tokens(self, x: str) -> str:
-        stop = ", ".join(map(self.lit, ["", *rules.STOP_WORDS]))
+        stop = ", ".join(map(self.lit, ["", *self.rules.STOP_WORDS]))
         return self.distinct(self.keep(self.split(self.sub(f"lower(coalesce({x}, ''))", r"[^\p{L}\p{N}_\s\p{Z}]", " "), SPACE + "+"), lambda v: f"{v} NOT IN ({stop})"))
 
     def file_name(self, artist: str, title: str, year: str) -> str:
@@ -215,12 +215,12 @@ class Text:
         return self.join(self.map(parts, lambda v: f"upper(left({v}, 1)) || substr({v}, 2)"), "''")
 
     def genre_of_path(self, path: str, genre: str) -> str:
-        cases = [(self.contains_any(f"lower({path})", words), self.lit(name)) for name, words in rules.GENRE_PATHS]
+        cases = [(self.contains_any(f"lower({path})", words), self.lit(name)) for name, words in self.rules.GENRE_PATHS]
         return self.either(cases, self.let(self.clean(genre), lambda v: f"CASE WHEN {v} = '' THEN 'Indian' ELSE {self.title_case(v)} END"))
 
     def genre_of_text(self, artist: str, title: str, album: str) -> str:
         text = f"lower(coalesce({artist}, '') || ' ' || coalesce({title}, '') || ' ' || coalesce({album}, ''))"
-        return self.let(text, lambda v: self.either([(self.contains_any(v, words), self.lit(name)) for name, words in rules.GENRE_WORDS], "'Indian'"))
+        return self.let(text, lambda v: self.either([(self.contains_any(v, words), self.lit(name)) for name, words in self.rules.GENRE_WORDS], "'Indian'"))
 
     def number(self, x: str) -> str:
         """Whether a text is a plain number."""
@@ -228,5 +228,5 @@ class Text:
 
     def comment_lines(self, x: str) -> str:
         """Lines of a comment that are worth keeping, cleaned."""
-        lines = self.keep(self.map(self.split(f"coalesce({x}, '')", r"\r?\n"), lambda v: f"trim({v})"), lambda v: f"{v} <> '' AND {self.contains_any(f'lower({v})', rules.COMMENT_KEYWORDS)}")
+        lines = self.keep(self.map(self.split(f"coalesce({x}, '')", r"\r?\n"), lambda v: f"trim({v})"), lambda v: f"{v} <> '' AND {self.contains_any(f'lower({v})', self.rules.COMMENT_KEYWORDS)}")
         return self.keep(self.map(lines, self.clean), lambda v: f"{v} <> ''")

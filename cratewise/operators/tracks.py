@@ -144,3 +144,12 @@ def without_clashes(planned: DataFrame, kept: DataFrame) -> DataFrame:
 def output_names(tracks: DataFrame) -> DataFrame:
     """track_id, path, folder, name: the planned file name of each track, with its suffix where names of a folder collide."""
     return without_clashes(planned_names(tracks), tracks.select("path").limit(0))
+
+
+def output_plan(tracks: DataFrame, high_quality_only: bool = False) -> DataFrame:
+    """track_id, path, out_path, moved, action: where each track's file goes. If only high quality is wanted, others are skipped: they neither move nor hold a name."""
+    moved = tracks.where(high_quality()) if high_quality_only else tracks
+    names = output_names(moved).select("track_id", F.concat_ws("/", "folder", "name").alias("out_path"))
+    rows = tracks.select("track_id", "path").join(names, "track_id", "left")
+    action = F.when(F.col("out_path").isNull(), "skipped").when(F.col("out_path") != F.col("path"), "renamed").otherwise("kept")
+    return rows.select("track_id", "path", "out_path", F.col("out_path").isNotNull().alias("moved"), action.alias("action"))

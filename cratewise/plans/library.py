@@ -53,6 +53,7 @@ def process(
     """
     o = options or Options()
     todo = fresh(tracks, ledger) if o.incremental else tracks
+    todo = written(todo.repartition(int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id"), "todo")  # all that follows reads this
     work = todo.where(high_quality()) if o.high_quality_only else todo
     khz = F.coalesce(F.col("sample_rate_hz") / 1000, F.lit(0.0))
     rows = todo.select("track_id", "path", "mtime", kbps().alias("kbps"), khz.alias("khz"), high_quality().alias("is_high"), (high_quality() | F.lit(not o.high_quality_only)).alias("moved"))

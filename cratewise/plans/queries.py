@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratewise.functions import rules
+from cratewise.functions import tables as tables_of_rules
 from cratewise.functions.text import Text
 from cratewise.operators import catalogue, duplicates, features, tags, tracks
 from cratewise.plans import library
@@ -129,6 +131,27 @@ def session(tracks_: DataFrame, ledger: DataFrame) -> DataFrame:
     return one.unionByName(two).agg(*(F.sum(n).alias(n) for n in names))
 
 
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in rules, and a user's: names of regions go from texts, those of nations tell a genre."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.lit("promotion").alias("list"), (F.col("r_regionkey") + 100.0).alias("priority"), F.concat(F.lit(r"(?i)\b"), F.lower("r_name"), F.lit(r"\b")).alias("pattern"), F.lit(None).cast("string").alias("value"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit(tables_of_rules.GENRE).alias("list"), (F.col("n_nationkey") + 100.0).alias("priority"), F.lower("n_name").alias("pattern"), F.lit("World Music").alias("value"))
+    return tables_of_rules.defaults(spark).unionByName(regions).unionByName(nations)
+
+
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's first line, under the name of title."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("track_id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
+
+
+def clean_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables_of_rules.text_with(user_rules(spark, sf_dir))
+    return first_lines(spark, sf_dir).select("track_id", F.expr(t.clean("title")).alias("title"))
+
+
+def genre_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_lines(spark, sf_dir).select("track_id", tables_of_rules.genre_of(F.col("title"), user_rules(spark, sf_dir)).alias("genre"))
+
+
 def under_titles(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
     """Rows under the file names of their tracks' titles."""
     own = titles.select("track_id", F.concat(F.lit(folder), F.translate("title", "/", "-"), F.lit(".mp3")).alias("path"))
@@ -141,6 +164,8 @@ def fuzzy(t: DataFrame, c: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name, columns in COLUMNS.items()} | {
+    "clean_by_rules": clean_by_rules,
+    "genre_by_rules": genre_by_rules,
     "dup_exact": over("tracks", clean_exact),
     "dup_similar": over("tracks", duplicates.similar),
     "dup_similar_lev": over("tracks", duplicates.similar_by_edits),
@@ -163,7 +188,7 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "changes_report": over("tag_frames", changes),
     "year_repair": over("tracks", tracks.repair_year),
     "annotate_comments": over("tracks", annotated),
-    "output_plan": over("tracks", lambda t: tracks.output_names(t).select("track_id", F.concat_ws("/", "folder", "name").alias("out_path"))),
+    "output_plan": over("tracks", lambda t: tracks.output_plan(t, high_quality_only=True)),
     "name_collisions": names_query,
     "file_url": over("tracks", lambda t: t.select("track_id", files.path_of_url(files.url_of_path(F.col("path"))).alias("path"), files.url_of_path(F.col("path")).alias("url"))),
     "incremental_new": both(lambda t, l: intake.fresh(t, l).select("path", "mtime"), "tracks", "ledger"),
@@ -305,7 +330,12 @@ _NUMBERED = f"""WITH placed AS ({_PLACED}), names AS ({named('SELECT track_id, p
 PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept' END AS action, concat_ws('; ', 'Quality analyzed: ' || kbps || 'kbps @ ' || cast(khz AS varchar) || 'kHz', CASE WHEN rated THEN 'Added quality comment' END, cleaned_said, CASE WHEN had_comment THEN CASE WHEN comment_ IS NULL THEN 'Removed comments' ELSE 'Consolidated comments' END END,
  CASE WHEN in_collection THEN 'Applied collection metadata' END, CASE WHEN enhanced THEN 'Enhanced from catalogue' END, 'Detected key: ' || found_key, 'Detected cue points: Intro: ' || printf('%.4f', intro_end) || 's, Outro: ' || printf('%.4f', outro_start) || 's',
  'Energy rating: ' || printf('%.1f', energy) || '/10', CASE WHEN gain_db IS NOT NULL THEN 'Normalized loudness to -14.0 LUFS' END, CASE WHEN out_path <> path THEN 'Renamed to: ' || regexp_replace(out_path, '^.*/', '') ELSE 'Kept original filename' END) AS changes FROM ({_NUMBERED}) r"""
+_REGIONS = SimpleNamespace(**{n: getattr(rules, n) for n in dir(rules) if n.isupper()} | {"PROMO_PATTERNS": [*rules.PROMO_PATTERNS, *(rf"(?i)\b{r}\b" for r in ("africa", "america", "asia", "europe", "middle east"))]})
+_LINES = "SELECT doc_id AS track_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents"
+_WORDS = ", ".join(f"({n}, {D.lit(w)}, {D.lit(g)})" for n, (w, g) in enumerate((w, g) for g, own in rules.GENRE_WORDS for w in own))
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {', '.join(f'{e(D)} AS {n}' for n, e in columns)} FROM tracks", ("tracks",)) for name, columns in COLUMNS.items()} | {
+    "clean_by_rules": (f"SELECT track_id, {Text(spark=False, lists=_REGIONS).clean('title')} AS title FROM ({_LINES}) l", ()),
+    "genre_by_rules": (f"SELECT track_id, coalesce(arg_min(genre, priority), 'Indian') AS genre FROM ({_LINES}) l LEFT JOIN (SELECT * FROM (VALUES {_WORDS}) w(priority, word, genre) UNION ALL SELECT 100 + n_nationkey, lower(n_name), 'World Music' FROM nation) r ON contains(lower(title), word) GROUP BY track_id", ()),
     "dup_exact": (f"SELECT artist, title, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, min(track_id) AS first_id FROM (SELECT track_id, size_bytes, lower(trim({D.clean('artist')})) AS artist, lower(coalesce(nullif(trim({D.clean('title')}), ''), cast(track_id AS varchar))) AS title FROM tracks WHERE {HIGH}) t GROUP BY 1, 2 HAVING count(*) > 1", ("tracks",)),
     "dup_similar_lev": ("""WITH u AS (SELECT artist, title, min(path) AS path, arg_min(track_id, path) AS id FROM (SELECT track_id, path, lower(trim(coalesce(artist, ''))) AS artist, regexp_replace(lower(trim(title)), '[^a-z0-9 ]', '', 'g') AS title FROM tracks) t WHERE artist <> '' AND trim(title) <> '' GROUP BY artist, title)
  SELECT l.id AS a_id, r.id AS b_id, levenshtein(l.title, r.title)::INTEGER AS distance FROM u l JOIN u r ON l.artist = r.artist AND l.path < r.path
@@ -342,7 +372,7 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
     "musical_key": (KEY, ()),
     "cue_change_ratio": (f"WITH asked AS ({ASKED}) SELECT track_id, beat_idx, round(ratio, 6) AS ratio FROM ({RATIOS}) z WHERE ratio IS NOT NULL", ("audio_frames", "beats")),
     "loudness_plan": (LOUDNESS, ("loudness",)),
-    "output_plan": (named(PLANNED, "SELECT NULL::VARCHAR AS folder, NULL::VARCHAR AS file WHERE false"), ("tracks",)),
+    "output_plan": (f"WITH high AS (SELECT * FROM ({PLANNED}) p WHERE track_id IN (SELECT track_id FROM tracks WHERE {HIGH})), n AS ({named('SELECT * FROM high', 'SELECT NULL::VARCHAR AS folder, NULL::VARCHAR AS file WHERE false')}) SELECT t.track_id, t.path, n.out_path, n.out_path IS NOT NULL AS moved, CASE WHEN n.out_path IS NULL THEN 'skipped' WHEN n.out_path <> t.path THEN 'renamed' ELSE 'kept' END AS action FROM tracks t LEFT JOIN n ON t.track_id = n.track_id", ("tracks",)),
     "name_collisions": (f"WITH p AS (SELECT track_id, path, '/out' AS folder, stem FROM ({PLANNED}) p) SELECT track_id, regexp_replace(out_path, '^/out/', '') AS name FROM ({named('SELECT * FROM p WHERE track_id % 2 = 1', 'SELECT folder, stem AS file FROM p WHERE track_id % 2 = 0')}) n", ("tracks",)),
     "file_url": ("SELECT track_id, path, 'file://localhost' || replace(url_encode(path), '%2F', '/') AS url FROM tracks", ("tracks",)),
     "collection_export": (f"""SELECT row_number() OVER (ORDER BY path) AS "_TrackID", coalesce(title, '') AS "_Name", coalesce(artist, '') AS "_Artist", coalesce(album, '') AS "_Album", coalesce(genre, '') AS "_Genre", coalesce(bpm, '') AS "_AverageBpm", coalesce(key_tag, '') AS "_Tonality",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,11 +67,18 @@ def exploded(query: str) -> str:
 
 
 def sql(spark: SparkSession, sf_dir: str, query: str, *views: str) -> DataFrame:
-    """``query`` over the tables of a folder."""
+    """``query`` over the tables of a folder. These have names of their own for as long as the query is analysed, so a session's views stay."""
+    text, names = exploded(with_views(query, *views)), []
     for table in GIVEN:
-        if table in query or any(table in VIEWS[x] for v in views for x in [*NEEDS.get(v, []), v]):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(exploded(with_views(query, *views)))
+        if re.search(rf"\bFROM {table}\b", text):
+            names.append(f"{table}_{uuid.uuid4().hex}")
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createTempView(names[-1])
+            text = re.sub(rf"\bFROM {table}\b", f"FROM {names[-1]}", text)
+    try:
+        return spark.sql(text)
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from cratewise.functions import tables
 from cratewise.functions.text import Text
 from cratewise.operators import catalogue, duplicates, features, tags, tracks
 from cratewise.plans import library, queries
@@ -388,3 +389,38 @@ def test_groups_of_duplicates(spark):
     numbers = [r.group_no for r in duplicates.numbered_groups(view(spark, SF, "tracks")).collect()]
     assert sorted(numbers) == list(range(1, len(numbers) + 1))
     assert duplicates.report(df.limit(0)).isEmpty()
+
+
+def test_rule_tables(spark):
+    """The defaults give what the lists do; a user's row changes it, in the order of priority."""
+    default = tables.defaults(spark)
+    own = tables.text_with(default)
+    bare = lambda x: re.sub(r"\bv\d+", "v", x)
+    for name in ("clean", "strict", "polluted", "download_sites", "match_key", "tokens", "comment_lines", "people"):
+        assert bare(getattr(own, name)("x")) == bare(getattr(Text(), name)("x"))
+    rows = ["Song (Official) [demo]", "Song mysite.fm", "plain"]
+    more = spark.createDataFrame([("promotion", 0.5, r"\\[demo\\]".replace("\\\\", "\\"), None), ("site", -1.0, r"(?i)mysite\.fm", None)], tables.SCHEMA)
+    assert values(spark, tables.text_with(default.union(more)).clean("x"), rows) == ["Song", "Song", "plain"]
+    df = spark.createDataFrame([("Hindi club",), ("x",), (None,), ("Jazz club",)], "x string")
+    genre = lambda t: [r[0] for r in df.select(tables.genre_of(F.col("x"), t)).collect()]
+    assert genre(default) == ["Bollywood", "Indian", "Indian", "Electronic"]
+    assert genre(default.union(spark.createDataFrame([(tables.GENRE, -1.0, "jazz", "Jazz"), (tables.GENRE, 99.0, "hindi", "Late")], tables.SCHEMA))) == ["Bollywood", "Indian", "Indian", "Jazz"]
+    assert genre(default.limit(0)) == ["Indian"] * 4
+    with pytest.raises(ValueError, match="at most"):
+        tables.ordered(spark.range(3000).select(F.lit("site").alias("list"), F.col("id").alias("priority"), F.col("id").cast("string").alias("pattern"), F.lit(None).cast("string").alias("value")))
+
+
+def test_views_of_a_session_stay(spark):
+    spark.range(3).createOrReplaceTempView("documents")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert view(spark, SF, "tracks").count() > 3 and spark.table("documents").count() == 3
+    assert {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("documents")
+
+
+def test_output_plan(spark):
+    rows = [(1, "/m/A - T.mp3", "A", "T", None, None, 320000, 44100), (2, "/m/x.mp3", "A", "T", None, None, 320000, 44100), (3, "/m/y.mp3", "A", "T", None, None, 128000, 44100)]
+    df = spark.createDataFrame(rows, "track_id long, path string, artist string, title string, tdrc string, tyer string, bitrate_bps long, sample_rate_hz long")
+    got = {r.track_id: (r.out_path, r.moved, r.action) for r in tracks.output_plan(df, high_quality_only=True).collect()}
+    assert got == {1: ("/m/A - T.mp3", True, "kept"), 2: ("/m/A - T (1).mp3", True, "renamed"), 3: (None, False, "skipped")}
+    assert {r.track_id: r.out_path for r in tracks.output_plan(df).collect()}[3] == "/m/A - T (2).mp3"
