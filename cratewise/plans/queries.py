@@ -163,6 +163,8 @@ def fuzzy(t: DataFrame, c: DataFrame) -> DataFrame:
     return catalogue.enrich_by_like_names(under_titles(t, t, "/music/"), under_titles(c.withColumn("track_id", F.col("ordinal")), t, "/usb/"))
 
 
+#: Kinds of duplicates by equality, which SQL can tell as well.
+EQUAL_KINDS = [k for k in duplicates.KINDS if k != "similar_title"]
 QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name, columns in COLUMNS.items()} | {
     "clean_by_rules": clean_by_rules,
     "genre_by_rules": genre_by_rules,
@@ -172,6 +174,8 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "dup_audio": over("tracks", duplicates.audio),
     "dup_all": over("tracks", duplicates.numbered_groups),
     "dup_report": over("tracks", duplicates.report),
+    "dup_groups": over("tracks", lambda t: duplicates.numbered_groups(t, kinds=EQUAL_KINDS)),
+    "dup_group_members": over("tracks", lambda t: duplicates.report(t, kinds=EQUAL_KINDS)),
     "quality_report": over("tracks", tracks.quality_report),
     "high_quality": over("tracks", lambda t: t.where(tracks.high_quality()).select("track_id", "path")),
     "strict_partition": over("tracks", strict_partition),
@@ -333,6 +337,9 @@ PROCESSED = f"""SELECT *, CASE WHEN out_path <> path THEN 'renamed' ELSE 'kept'
 _REGIONS = SimpleNamespace(**{n: getattr(rules, n) for n in dir(rules) if n.isupper()} | {"PROMO_PATTERNS": [*rules.PROMO_PATTERNS, *(rf"(?i)\b{r}\b" for r in ("africa", "america", "asia", "europe", "middle east"))]})
 _LINES = "SELECT doc_id AS track_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents"
 _WORDS = ", ".join(f"({n}, {D.lit(w)}, {D.lit(g)})" for n, (w, g) in enumerate((w, g) for g, own in rules.GENRE_WORDS for w in own))
+_KEYED = f"SELECT track_id, path, size_bytes, fingerprint, {KEYS} FROM tracks"
+GROUPS = f"""SELECT row_number() OVER (ORDER BY k, group_key) AS group_no, kind, group_key, similarity, n FROM (SELECT 1 AS k, 'exact_match' AS kind, artist || '|||' || title AS group_key, 1e0 AS similarity, count(*) AS n FROM ({_KEYED}) t GROUP BY artist, title HAVING count(*) > 1
+ UNION ALL SELECT 3, 'audio_match', fingerprint, 1e0, count(*) FROM ({_KEYED}) t GROUP BY fingerprint HAVING count(*) > 1 AND count(DISTINCT artist || chr(0) || title) > 1) g"""
 ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {', '.join(f'{e(D)} AS {n}' for n, e in columns)} FROM tracks", ("tracks",)) for name, columns in COLUMNS.items()} | {
     "clean_by_rules": (f"SELECT track_id, {Text(spark=False, lists=_REGIONS).clean('title')} AS title FROM ({_LINES}) l", ()),
     "genre_by_rules": (f"SELECT track_id, coalesce(arg_min(genre, priority), 'Indian') AS genre FROM ({_LINES}) l LEFT JOIN (SELECT * FROM (VALUES {_WORDS}) w(priority, word, genre) UNION ALL SELECT 100 + n_nationkey, lower(n_name), 'World Music' FROM nation) r ON contains(lower(title), word) GROUP BY track_id", ()),
@@ -341,6 +348,8 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
  SELECT l.id AS a_id, r.id AS b_id, levenshtein(l.title, r.title)::INTEGER AS distance FROM u l JOIN u r ON l.artist = r.artist AND l.path < r.path
  WHERE levenshtein(l.title, r.title) <= floor(0.2 * (length(l.title) + length(r.title)) + 1e-9)""", ("tracks",)),
     "dup_audio": (f"SELECT fingerprint, count(*) AS n, min(track_id) AS first_id, max(track_id) AS last_id FROM (SELECT track_id, fingerprint, {KEYS} FROM tracks) t GROUP BY fingerprint HAVING count(*) > 1 AND count(DISTINCT artist || chr(0) || title) > 1", ("tracks",)),
+    "dup_groups": (GROUPS, ("tracks",)),
+    "dup_group_members": (f"SELECT group_no, kind, similarity, n, track_id, path, size_bytes // 1024 AS kb FROM ({GROUPS}) g JOIN ({_KEYED}) t ON g.group_key = CASE WHEN kind = 'exact_match' THEN artist || '|||' || title ELSE fingerprint END", ("tracks",)),
     "quality_report": (f"SELECT track_id, floor(bitrate_bps / 1000)::INTEGER AS kbps, round(coalesce(sample_rate_hz / 1000e0, 0), 3) AS khz, cast(floor(length_s)::BIGINT // 60 AS varchar) || ':' || lpad(cast(floor(length_s)::BIGINT % 60 AS varchar), 2, '0') AS length, {HIGH} AS is_high, CASE WHEN {HIGH} THEN 'HIGH' ELSE 'LOW' END AS rating FROM tracks", ("tracks",)),
     "high_quality": (f"SELECT track_id, path FROM tracks WHERE {HIGH}", ("tracks",)),
     "strict_partition": (f"SELECT {HIGH} AS is_high, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM tracks GROUP BY 1", ("tracks",)),
