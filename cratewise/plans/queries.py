@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -15,6 +16,7 @@ from cratewise.operators import catalogue, duplicates, features, tags, tracks
 from cratewise.plans import library
 from cratewise.sources import files
 from cratewise.sources.library import view, with_views
+from cratewise.sources.shared import shared_folder
 from cratewise.streaming import intake
 
 S, D = Text(), Text(spark=False)
@@ -152,6 +154,13 @@ def genre_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_lines(spark, sf_dir).select("track_id", tables_of_rules.genre_of(F.col("title"), user_rules(spark, sf_dir)).alias("genre"))
 
 
+def collection_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracks written as a collection file and read back."""
+    path = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    files.write_collection(view(spark, sf_dir, "tracks"), path)
+    return files.read_collection(spark, path).select("path", "title", "artist", "album", "genre", "comment", "key", "bpm", "rating", "play_count", F.size("cue_points").alias("n_cues"))
+
+
 def under_titles(paths: DataFrame, titles: DataFrame, folder: str) -> DataFrame:
     """Rows under the file names of their tracks' titles."""
     own = titles.select("track_id", F.concat(F.lit(folder), F.translate("title", "/", "-"), F.lit(".mp3")).alias("path"))
@@ -218,6 +227,7 @@ QUERIES: dict[str, Query] = {name: over("tracks", projected(columns)) for name,
     "rename_report": lambda spark, d: library.report(results(spark, d)),
     "ledger_append": lambda spark, d: results(spark, d).select("path", "mtime", F.col("is_high").alias("is_high_quality")),
     "session_summary": both(session, "tracks", "ledger"),
+    "collection_import": collection_import,
     "collection_export": over("tracks", files.collection_rows),
     "collection_playlist": over("tracks", files.playlist_rows),
     "dup_exact_raw": over("tracks", duplicates.exact),
@@ -384,6 +394,7 @@ ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {name: (f"SELECT track_id, {',
     "output_plan": (f"WITH high AS (SELECT * FROM ({PLANNED}) p WHERE track_id IN (SELECT track_id FROM tracks WHERE {HIGH})), n AS ({named('SELECT * FROM high', 'SELECT NULL::VARCHAR AS folder, NULL::VARCHAR AS file WHERE false')}) SELECT t.track_id, t.path, n.out_path, n.out_path IS NOT NULL AS moved, CASE WHEN n.out_path IS NULL THEN 'skipped' WHEN n.out_path <> t.path THEN 'renamed' ELSE 'kept' END AS action FROM tracks t LEFT JOIN n ON t.track_id = n.track_id", ("tracks",)),
     "name_collisions": (f"WITH p AS (SELECT track_id, path, '/out' AS folder, stem FROM ({PLANNED}) p) SELECT track_id, regexp_replace(out_path, '^/out/', '') AS name FROM ({named('SELECT * FROM p WHERE track_id % 2 = 1', 'SELECT folder, stem AS file FROM p WHERE track_id % 2 = 0')}) n", ("tracks",)),
     "file_url": ("SELECT track_id, path, 'file://localhost' || replace(url_encode(path), '%2F', '/') AS url FROM tracks", ("tracks",)),
+    "collection_import": ("SELECT path, coalesce(title, '') AS title, coalesce(artist, '') AS artist, coalesce(album, '') AS album, coalesce(genre, '') AS genre, coalesce(comment, '') AS comment, coalesce(key_tag, '') AS key, try_cast(bpm AS DOUBLE) AS bpm, 0 AS rating, 0 AS play_count, 0 AS n_cues FROM tracks", ("tracks",)),
     "collection_export": (f"""SELECT row_number() OVER (ORDER BY path) AS "_TrackID", coalesce(title, '') AS "_Name", coalesce(artist, '') AS "_Artist", coalesce(album, '') AS "_Album", coalesce(genre, '') AS "_Genre", coalesce(bpm, '') AS "_AverageBpm", coalesce(key_tag, '') AS "_Tonality",
  coalesce(comment, '') AS "_Comments", coalesce({D.year("coalesce(tdrc, tyer, '')")}, '') AS "_Year", cast(size_bytes AS varchar) AS "_FileSize", floor(length_s)::BIGINT AS "_TotalTime", 'file://localhost' || replace(url_encode(path), '%2F', '/') AS "_Location" FROM tracks""", ("tracks",)),
     "collection_playlist": ('SELECT row_number() OVER (ORDER BY path) AS "_Key" FROM tracks', ("tracks",)),

@@ -37,7 +37,8 @@ def url_of_path(path):
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """The collection file's tracks, the last of each location: playlist entries have none and go; bad numbers are null."""
-    rows = spark.read.format("xml").option("rowTag", "TRACK").schema(TRACK).load(path).where(F.col("_Location").startswith(PREFIX)).withColumn("ordinal", F.monotonically_increasing_id())
+    reader = spark.read.format("xml").option("rowTag", "TRACK").option("ignoreSurroundingSpaces", False)
+    rows = reader.schema(TRACK).load(path).where(F.col("_Location").startswith(PREFIX)).withColumn("ordinal", F.monotonically_increasing_id())
     cues = F.transform(F.coalesce("POSITION_MARK", F.array().cast(CUES)), lambda c: F.struct(c["_Name"].alias("name"), c["_Type"].alias("type"), c["_Start"].try_cast("double").alias("time"), c["_Num"].try_cast("int").alias("num")))
     named = rows.select(
         path_of_url(F.col("_Location")).alias("path"), "ordinal", F.col("_Name").alias("title"), F.col("_Artist").alias("artist"), F.col("_Album").alias("album"), F.col("_Genre").alias("genre"),
