@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ from cratewise.llm.token_shards import UNEVEN_SPACE, encoder
 #: A tokens that are merged as one stretch.
 STRETCH = 64
 #: Bytes of text that are merged together, but for a longer text.
-SLICE_BYTES = 1 << 20
-#: Links that are counted together before their counts are sent, and pairs that are broadcast.
-COUNTED, HELD = 4_000_000, 1_000_000
-#: Bytes that a worker's encoded words may take, and about what one takes.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 250
+SLICE_BYTES = 1 << 19
+#: Pairs that are broadcast (24 bytes each).
+HELD = 1_000_000
+#: Words of either vocabulary that a worker keeps encoded, at about 200 bytes each.
+KEPT_WORDS = 150_000
 B_BITS = 31
 MARK = "▁"
 
@@ -54,22 +55,24 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         self.bytes_of = [piece_bytes(self.model, n) for n in range(self.model.get_piece_size())]
         self.apart = not any(MARK in self.model.id_to_piece(n).lstrip(MARK) for n in range(len(self.bytes_of)))
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
     def _even(self, docs: pa.Array) -> list[np.ndarray]:
-        if len(self.known) * ENTRY_BYTES > CACHE_BYTES:
+        if len(self.known) > KEPT_WORDS:
             self.known.clear()
         split = pc.split_pattern(docs, " ")
         words = split.flatten().dictionary_encode()
         spelled = words.dictionary.to_pylist()
         new = [w for w in spelled if w not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        own = [self.known[w] for w in spelled]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        start, flat = np.cumsum(size) - size, np.concatenate(own)
+        made = self.model.encode(new, num_threads=1)
+        packed, ends = np.fromiter(chain.from_iterable(made), np.int32).tobytes(), [0, *accumulate(4 * len(x) for x in made)]
+        self.known.update(zip(new, (packed[a:b] for a, b in pairwise(ends)), strict=True))
+        own = list(map(self.known.__getitem__, spelled))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own), np.int32)
         at = words.indices.to_numpy()
         each = size[at]
         ends = np.cumsum(each)
@@ -185,6 +188,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, 1):
                 text = batch.column(1)
+                if sum(map(len, first.slots)) > KEPT_WORDS:
+                    first.forget()
                 spaced = pc.binary_join_element_wise(pa.scalar("", text.type), text, pa.scalar(" ", text.type))
                 want = spaced.to_pylist()
                 both = []
@@ -208,73 +213,37 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "alignment-links", compression="zstd")
 
 
-def codes(batch: pa.RecordBatch, a: int = 0, b: int = 1) -> np.ndarray:
-    return (batch.column(a).flatten().to_numpy().astype(np.int64) << B_BITS) | batch.column(b).flatten().to_numpy()
+def links_of(rows: DataFrame) -> DataFrame:
+    """row, code: each link with its pair of ids as one number."""
+    pair = F.explode(F.arrays_zip("a", "b")).alias("x")
+    return rows.select("row", pair).select("row", F.shiftleft(F.col("x.a").cast("long"), B_BITS).bitwiseOR(F.col("x.b").cast("long")).alias("code"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """code, a, b, n, best: how many links hold each pair of ids, and whether no pair of its B id has more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-        for batch in batches:
-            held.append(codes(batch))
-            if sum(x.size for x in held) >= COUNTED:
-                yield counted()
-                held.clear()
-        if held:
-            yield counted()
-
-    pairs = rows.select("a", "b").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    """code, a, b, n, best: how many links hold each pair of ids, and whether no pair of its B id has more. Links are counted in each task before any is sent."""
+    pairs = links_of(rows).groupBy("code").agg(F.count("*").alias("n"))
     pairs = materialise(pairs.withColumn("b", F.col("code").bitwiseAND((1 << B_BITS) - 1).cast("int")), "alignment-pairs")
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))  # one row an id of the vocabulary
     return pairs.join(F.broadcast(most), "b").select("code", F.shiftright("code", B_BITS).cast("int").alias("a"), "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def known_sums(rows: DataFrame, held: pa.Table) -> DataFrame:
-    """``rows`` with n_best and count_sum over the pairs that are held, and rest: the other pairs with their times."""
-    order = np.argsort(held.column("code").to_numpy())
-    broadcast = rows.sparkSession.sparkContext.broadcast(tuple(held.column(c).to_numpy()[order] for c in ("code", "n", "best")))
-    keep = [c for c in rows.columns if c not in ("a", "b")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n, best = broadcast.value
-        kind = pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                own = codes(batch, batch.schema.get_field_index("a"), batch.schema.get_field_index("b"))
-                doc = np.repeat(np.arange(batch.num_rows), batch.column("n_links").to_numpy())
-                at = np.minimum(np.searchsorted(code, own), max(0, code.size - 1))
-                there = code[at] == own if code.size else np.zeros(own.size, bool)
-                sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
-                for total, value in zip(sums, (best, n), strict=True):
-                    np.add.at(total, doc[there], value[at[there]].astype(np.int64))
-                rest: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                if not there.all():
-                    pairs, times = np.unique(np.stack([doc[~there], own[~there]]), axis=1, return_counts=True)
-                    for d, c, t in zip(*pairs.tolist(), times.tolist(), strict=True):
-                        rest[d].append({"code": c, "times": t})
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, sums), pa.array(rest, kind)], [*keep, "n_best", "count_sum", "rest"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, n_best long, count_sum long, rest array<struct<code:long,times:long>>")
+def sums(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, n_best, count_sum over all links of each row."""
+    pairs = pairs.select("code", "n", F.col("best").cast("long").alias("best"))
+    held = materialise(pairs.orderBy(F.desc("n"), "code").limit(HELD), "alignment-held")
+    links = links_of(rows)
+    added = [F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")]
+    found = links.join(F.broadcast(held), "code").groupBy("row").agg(*added)
+    if held.count() < HELD:
+        return found
+    rest = links.join(F.broadcast(held.select("code")), "code", "left_anti").groupBy("row", "code").agg(F.count("*").alias("times"))
+    more = rest.join(pairs, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    return found.unionByName(more).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document; and the counts of all pairs (code, a, b, n, best)."""
     rows = aligned(docs, path_a, path_b)
     pairs = pair_counts(rows)
-    held = pairs.orderBy(F.desc("n"), "code").limit(HELD).select("code", "n", "best").toArrow()
-    known = known_sums(rows, held)
-    if held.num_rows == HELD:
-        known = materialise(known, "alignment-known")
-        rest = known.select("row", F.explode("rest").alias("r")).select("row", "r.code", "r.times")
-        more = rest.join(pairs.select("code", "n", "best"), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"))
-        known = known.join(more, "row", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
-    return known.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), pairs
+    found = rows.drop("a", "b").join(sums(rows, pairs), "row", "left")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256"), pairs
