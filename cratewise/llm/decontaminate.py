@@ -28,14 +28,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
 
-def windows(own: Column, sizes: list[int]) -> Column:
-    """A marker (0, number of words, null), then (at, size, window) of every window of these sizes.
+def windows(own: Column, sizes: list[int], spread: Column) -> Column:
+    """A marker (0, number of words, a text that is no window), then (at, size, window) of every window of these sizes.
 
-    ``own`` is bound once, by an outer transform, as an inner lambda would compute it again for each element.
+    ``own`` is bound once, by an outer transform, as an inner lambda would compute it again for each element. ``spread`` deals
+    the markers out over the tasks of a join by windows, as a null would send all of them to one.
     """
 
     def marker(w: Column) -> Column:
-        return F.array(F.struct(F.lit(0).alias("at"), F.size(w).alias("size"), F.lit(None).cast("string").alias("window")))
+        return F.array(F.struct(F.lit(0).alias("at"), F.size(w).alias("size"), F.concat(F.lit(" "), spread.cast("string")).alias("window")))
 
     def of(size: int, w: Column) -> Column:
         starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
@@ -45,28 +46,37 @@ def windows(own: Column, sizes: list[int]) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
-    """(window, item_ids), and the sizes that occur: at most ``window`` of them."""
+    """(window, window_id, item_ids), written once so that its ids stay, and the sizes that occur: at most ``window`` of them."""
     own = items.select(F.col("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     each = own.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))).alias("window"), size.alias("size"))
     sizes = sorted(r["size"] for r in each.select("size").distinct().collect())
-    return each.groupBy("window").agg(F.collect_set("item_id").alias("item_ids")), sizes
+    table = each.groupBy("window").agg(F.collect_set("item_id").alias("item_ids")).withColumn("window_id", F.monotonically_increasing_id())
+    return materialise(table, "benchmark-windows"), sizes
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each distinct (doc_id, text): its key, n_words, spans (word places, 1-based, of occurrences) and item_ids.
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """For each distinct (doc_id, text): its key, n_words, spans (word places, 1-based, of occurrences) and window_ids; and the table of windows.
 
-    Each document sends one marker row with its word count along, so documents without hits stay.
+    Each document sends one marker row with its word count along, so documents without hits stay. A hit carries its window's id
+    only, however many items have that window.
     """
     table, sizes = benchmark_windows(items, window)
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), words(F.col("text")).alias("w"))
-    rows = own.select("doc_id", "h", "n", F.explode(windows(F.col("w"), sizes)).alias("x")).select("doc_id", "h", "n", "x.*")
-    found = rows.join(broadcast_if_small(materialise(table, "benchmark-windows"), MOST_WINDOWS), "window", "left").where("at = 0 OR item_ids IS NOT NULL")
+    rows = own.select("doc_id", "h", "n", F.explode(windows(F.col("w"), sizes, F.xxhash64("doc_id", "h"))).alias("x")).select("doc_id", "h", "n", "x.*")
+    found = rows.join(broadcast_if_small(table.select("window", "window_id"), MOST_WINDOWS), "window", "left").where("at = 0 OR window_id IS NOT NULL")
     span = F.when(F.col("at") > 0, F.struct("at", "size"))
     grouped = found.groupBy("doc_id", "h", "n").agg(
-        F.max(F.when(F.col("at") == 0, F.col("size"))).alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.flatten(F.collect_set("item_ids")).alias("item_ids")
+        F.max(F.when(F.col("at") == 0, F.col("size"))).alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("window_id").alias("window_ids")
     )
-    return grouped.withColumn("item_ids", F.array_distinct("item_ids"))
+    return grouped, table
+
+
+def items_of(found: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, h, n, item_ids of what ``hits`` found, but for documents without hits."""
+    each = found.select("doc_id", "h", "n", F.explode("window_ids").alias("window_id"))
+    owners = table.select("window_id", F.explode("item_ids").alias("item_id"))
+    return each.join(broadcast_if_small(owners, MOST_WINDOWS), "window_id").groupBy("doc_id", "h", "n").agg(F.collect_set("item_id").alias("item_ids"))
 
 
 def merged(spans: Column) -> Column:
@@ -84,8 +94,11 @@ def merged(spans: Column) -> Column:
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row."""
-    found = hits(docs, items, window)
-    own = found.withColumn("hit", merged(F.col("spans"))).select(
+    found, table = hits(docs, items, window)
+    found = materialise(found, "window-hits")
+    same = F.expr("o.doc_id <=> m.doc_id AND o.h = m.h AND o.n <=> m.n")
+    joined = found.alias("o").join(items_of(found, table).alias("m"), same, "left").select("o.*", F.coalesce("m.item_ids", F.array()).alias("item_ids"))
+    own = joined.withColumn("hit", merged(F.col("spans"))).select(
         "doc_id", "h", "n", F.col("n_words").cast("long"),
         F.aggregate("hit", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"]).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
@@ -93,7 +106,6 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     copies = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).groupBy("doc_id", "h", "n").count()
     out = own.withColumn("contaminated", F.col("n_hit") > 0)
     more = copies.where("count > 1").select("doc_id", "h", "n", (F.col("count") - 1).cast("int").alias("again"))
-    same = F.expr("o.doc_id <=> m.doc_id AND o.h = m.h AND o.n <=> m.n")
     repeated = out.alias("o").join(more.alias("m"), same).select("o.*", F.explode(F.sequence(F.lit(1), F.col("again"))).alias("i")).drop("i")
     return out.unionAll(repeated).drop("h", "n")
 
@@ -104,14 +116,14 @@ def _key() -> Column:
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that no window hits; all columns stay."""
-    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"))
+    bad = hits(docs, items, window)[0].where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"))
     rows = carried(docs).withColumn("own", _key())
     return rows.join(bad, F.col("own") == F.col("bad"), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the hit words; what stands between words stays."""
-    bad = hits(docs, items, window).where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"), merged(F.col("spans")).alias("hit"))
+    bad = hits(docs, items, window)[0].where(F.size("spans") > 0).select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h").alias("bad"), merged(F.col("spans")).alias("hit"))
     bad = bad.groupBy("bad").agg(F.first("hit").alias("hit"))
     joined = carried(docs).withColumn("own", _key()).join(bad, F.col("own") == F.col("bad"), "left")
     upper = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -404,7 +404,10 @@ def brute_hits(text, items, size=10):
     return len(own), len(hit), {str(x) for x in found if x is not None}
 
 
-def test_decontamination(odd, empty, items):
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_decontamination(odd, empty, items, monkeypatch, most):
+    """With the windows broadcast, and joined by shuffle."""
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
     known = [(r.item_id, r.text) for r in items.collect()]
     want = []
     for r in odd.collect():
@@ -419,6 +422,21 @@ def test_decontamination(odd, empty, items):
     assert cut.count() == odd.count() and decontaminate.report(cut.where("doc_id = 0"), items).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_decontamination_where_many_items_share_a_window(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
+    draw = random.Random(6)
+    shared = [f"s{k}" for k in range(14)]
+    known = [(i, " ".join([*shared[: draw.randint(8, 14)], *(f"i{draw.randint(0, 9)}" for _ in range(draw.randint(0, 6)))])) for i in range(60)]
+    rows = [(i, " ".join([*shared * draw.randint(0, 2), *(f"i{draw.randint(0, 9)}" for _ in range(20)), *shared[2:11]])) for i in range(40)]
+    want = []
+    for d, t in rows:
+        n, hit, found = brute_hits(t, known)
+        want.append((d, n, hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), hit > 0))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.report(docs, items).collect())) == sorted(want) and max(w[3] for w in want) > 20
+
+
 def brute_lines(docs, least):
     """Places of deleted lines by (doc_id, text)."""
     seen, gone = {}, defaultdict(set)
