@@ -22,9 +22,9 @@ from cratewise.llm.common import texts
 GRAM = 12
 WINDOW = 16
 POSITION_BITS = 31
-#: Documents of a bucket of neighbours. Buckets are ranges of ids, found by approximate quantiles.
+#: Documents of a bucket of neighbours. Buckets are ranges of ids, found by approximate quantiles; they grow beyond so many.
 BUCKET_DOCS = 1_000
-MOST_BUCKETS = 10_000
+MOST_BUCKETS = 100_000
 
 LONGS = "array<bigint>"
 
@@ -123,26 +123,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
+def place(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by halving: a step for each binary digit of their number."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def narrow(table: Column, at: Column, left: list[int]) -> Column:
+        if not left:
+            return at
+        return bound(F.when(F.get(table, at + (left[0] - 1)) <= value, at + left[0]).otherwise(at), lambda found: narrow(table, found, left[1:]))
+
+    return bound(F.split(F.lit(",".join(map(str, cuts))), ",").cast(LONGS), lambda table: narrow(table, F.lit(0), steps)) if cuts else F.lit(0)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, bucket, guard): rows in buckets of neighbouring ids, each with a guard, the first row of the next one.
 
     So a window over a bucket sees the next row of each of its own rows; the last bucket's guard is the first row of all.
+    There are at most MOST_BUCKETS buckets, so their table is broadcast and put in order as one.
     """
     n = docs.count()
     share = max(1, min(MOST_BUCKETS, n // BUCKET_DOCS))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / share for k in range(1, share)], 100 * share).alias("c")).first()["c"] if share > 1 else None
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col("doc_id")))) if cuts else F.lit(0)
-    firsts = sorted((r["bucket"], r["first"], r["nulls"]) for r in docs.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
-    before = {b: firsts[k - 1][0] for k, (b, _, _) in enumerate(firsts)}
-    if not firsts:
-        return docs.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(False).alias("guard"))
-    first_null = bool(firsts[0][2])
-    first_of = F.create_map(*(F.lit(x) for b, first, _ in firsts for x in (b, first)))
-    before_of = F.create_map(*(F.lit(x) for b, first, _ in firsts for x in (b, before[b])))
-    own = docs.select("doc_id", "text", bucket.alias("own"))
-    start = (F.col("doc_id").isNull() if first_null else F.lit(False)) | ((F.col("doc_id") == first_of[F.col("own")]) & (F.lit(not first_null) | (F.col("own") != firsts[0][0])))
-    copies = F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guard")), F.when(F.coalesce(start, F.lit(False)), F.struct(before_of[F.col("own")].alias("bucket"), F.lit(True).alias("guard"))))
-    return own.select("doc_id", "text", F.explode(F.array_compact(copies)).alias("x")).select("doc_id", "text", "x.bucket", "x.guard")
+    key = F.col("doc_id").cast("long")
+    cuts = docs.agg(F.percentile_approx(key, [k / share for k in range(1, share)], max(10_000, 10 * share)).alias("c")).first()["c"] if share > 1 else None
+    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 0).otherwise(place(sorted(set(cuts or [])), key)).alias("own"))
+    firsts = own.groupBy("own").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    one = Window.orderBy("own")
+    firsts = firsts.select("own", "first", "nulls", F.coalesce(F.lag("own").over(one), F.max("own").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    start = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("first")) & (F.col("nulls") == 0))
+    copies = F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guard")), F.when(F.coalesce(start, F.lit(False)), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guard"))))
+    return own.join(F.broadcast(firsts), "own").select("doc_id", "text", F.explode(F.array_compact(copies)).alias("x")).select("doc_id", "text", "x.bucket", "x.guard")
 
 
 def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
