@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cratewise.llm.common import shared_folder, texts
+from cratewise.llm.common import materialise, shared_folder, texts
 
 #: Ids of a shard, but for a longer document.
 SHARD_IDS = 250_000
@@ -42,6 +42,10 @@ CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 SLICE_DOCS, SLICE_BYTES = 2_000, 4 << 20
 #: Words that the library gets as one piece.
 TOGETHER = 100
+#: Keys of a directory's bucket, about, and the bytes of a shard's index for a key at least.
+BUCKET_KEYS, KEY_BYTES = 50_000, 28
+#: Buckets or parts that a fetch names in its filter, so that files without them aren't read; more are found by the join alone.
+MOST_NAMED = 1_000
 #: Where a single space parts two words, the vocabulary's splitting pattern never looks across it.
 SPACES = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNEVEN_SPACE = f" {SPACES}|{SPACES} "
@@ -316,8 +320,102 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts(spark, path), ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
+DIRECTORY = "bucket long, buckets long, sizes array<long>, levels array<binary>, prints binary, places binary"
+PLACE = "doc_id long, part int, seq long, entry long, last_seq long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each key's entries start in each shard."""
+    for batch in batches:
+        for part, seq, index in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "index")), strict=True):
+            shard = Shard(b"", index)
+            keys, first = np.unique(shard.keys, return_index=True)
+            same = np.ones(keys.size, np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "part": pa.array(part * same, pa.int32()), "seq": pa.array(seq * same, pa.int64()), "entry": pa.array(first + int(shard.nulls), pa.int64())})
+
+
+def _pack_bucket(group: pa.Table) -> pa.Table:
+    """A bucket's keys as a minimal perfect hash, with a fingerprint and a place (part, seq, entry, last_seq) in the slot of each."""
+    keys = group.column("doc_id").to_numpy().view(np.uint64)
+    index = KeyIndex.build(keys, np.zeros(keys.size), np.zeros(keys.size))
+    places = np.empty((keys.size, 4), np.int64)
+    places[index.number(keys)] = np.column_stack([group.column(c).to_numpy() for c in ("part", "seq", "entry", "last_seq")])
+    return pa.table({
+        "bucket": group.column("bucket").slice(0, 1), "buckets": group.column("buckets").slice(0, 1), "sizes": pa.array([[b.size for b in index.levels]], pa.list_(pa.int64())),
+        "levels": pa.array([[np.packbits(b).tobytes() for b in index.levels]], pa.list_(pa.binary())), "prints": [index.prints.tobytes()], "places": [places.tobytes()],
+    })
+
+
+def write_directory(spark: SparkSession, path: str, directory: str) -> None:
+    """A table over all shards of ``path``: keys in buckets by their hash, each bucket a minimal perfect hash to shard and entry.
+
+    Equal ids stand side by side in shards of one part, so a key is one row (where it starts, and its last shard) before it
+    is dealt to its bucket, however often it is repeated. Without keys there are no buckets.
+    """
+    held = shards(spark, path).agg(F.sum(F.length("index"))).first()[0] or 0
+    buckets = max(1, held // (BUCKET_KEYS * KEY_BYTES))
+    runs = shards(spark, path).select("part", "seq", "index").mapInArrow(_runs, "doc_id long, part int, seq long, entry long")
+    keys = runs.groupBy("doc_id").agg(F.min(F.struct("part", "seq", "entry")).alias("first"), F.max("seq").alias("last_seq"))
+    keys = keys.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.lit(buckets).cast("long").alias("buckets"), "doc_id", "first.*", "last_seq")
+    packed = keys.groupBy("bucket").applyInArrow(_pack_bucket, DIRECTORY)
+    packed.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(directory)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that their bucket holds, with their places; a fingerprint rejects others but for one in four thousand million."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            levels = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(row["levels"], row["sizes"], strict=True)]
+            own, prints = np.array(row["keys"], np.int64), np.frombuffer(row["prints"], np.uint32)
+            at = KeyIndex(levels, prints, prints, prints).number(own.view(np.uint64))
+            there = (at >= 0) & (prints[at] == fingerprint(own.view(np.uint64)))
+            place = np.frombuffer(row["places"], np.int64).reshape(-1, 4)[at[there]].T
+            yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n == "part" else pa.int64()) for n, x in zip(("doc_id", "part", "seq", "entry", "last_seq"), (own[there], *place), strict=True)})
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the asked keys of each shard, from the entry where a key starts; the shard's own key decides, so no wrong one gets through."""
+    for batch in batches:
+        for payload, index, asked in zip(*(batch.column(c).to_pylist() for c in ("payload", "index", "asked")), strict=True):
+            shard = Shard(payload, index)
+            nulls = int(shard.nulls)
+            for a in asked:
+                at, key = max(a["at"], nulls), a["doc_id"]
+                ids = []
+                while at - nulls < shard.keys.size and shard.keys[at - nulls] == key:
+                    ids.append(shard.entry(at))
+                    at += 1
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(ids), pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+
+def named_only(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``table`` with a filter on the wanted values, if they are few, that reaches the scan."""
+    few = [r[0] for r in wanted.select(column).distinct().limit(MOST_NAMED + 1).collect()]
+    return table.where(F.col(column).isin(few)) if len(few) <= MOST_NAMED else table
+
+
+def fetch_by_directory(spark: SparkSession, path: str, directory: str, keys: DataFrame) -> DataFrame:
+    """doc_id, ids (binary) of the stored documents whose id is in ``keys``, through ``write_directory``'s table; absent keys give no row.
+
+    A key's hash names its bucket, the bucket its shard and entry: neither step looks at other keys, and of few keys only the
+    files of their buckets and parts are read.
+    """
+    table = spark.read.schema(DIRECTORY).parquet(directory)
+    first = table.select("buckets").first()
+    buckets = first["buckets"] if first else 1
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    wanted = materialise(wanted, "token-keys")
+    slices_ = 1 + wanted.count() // (buckets * BUCKET_KEYS)
+    lists = wanted.groupBy("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(slices_)).alias("slice")).agg(F.collect_list("doc_id").alias("keys"))
+    places = named_only(table, "bucket", wanted).join(lists, "bucket").select("sizes", "levels", "prints", "places", "keys").mapInArrow(_places, PLACE)
+    places = materialise(places, "token-places")
+    each = places.select("doc_id", "part", F.col("seq").alias("start"), "entry", F.explode(F.sequence("seq", "last_seq")).alias("seq"))
+    asked = each.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", F.when(F.col("seq") == F.col("start"), F.col("entry")).otherwise(0).alias("at"))).alias("asked"))
+    return named_only(shards(spark, path), "part", places).join(asked, ["part", "seq"]).select("payload", "index", "asked").mapInArrow(_entries, "doc_id long, ids binary")
+
+
 def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id, ids (binary) of the stored documents whose id is in ``keys``; absent keys give no row.
+    """doc_id, ids (binary) of the stored documents whose id is in ``keys``, where there is no directory; absent keys give no row.
 
     Keys meet shards by an equi-join on a coarse range of ids, so neither side is broadcast.
     """

@@ -133,6 +133,46 @@ def test_winnowing_over_buckets(spark, monkeypatch):
     assert one == sorted(map(str, winnowing.compare_edited(df).collect()))
 
 
+def test_places_among_cuts(spark):
+    random.seed(5)
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        cuts = sorted(random.sample(range(-500, 500), n))
+        rows = spark.range(-510, 510, 3).select("id", winnowing.place(cuts, F.col("id")).alias("at")).collect()
+        assert all(r.at == sum(c <= r.id for c in cuts) for r in rows)
+
+
+def test_winnowing_over_buckets_with_nulls_and_ties(spark, monkeypatch):
+    rows = [(None if i % 5 == 0 else i // 3, f"text of row {i} " * (i % 4)) for i in range(80)] + [(7, "same text here, twice over")] * 2
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    found = []
+    for docs in (3, 11, 1000):
+        monkeypatch.setattr(winnowing, "BUCKET_DOCS", docs)
+        found.append(sorted(map(str, winnowing.compare_edited(df).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+@pytest.mark.parametrize("bucket_keys", [3, 50_000])
+def test_directory_of_shards(spark, odd, empty, monkeypatch, bucket_keys):
+    """Each key's documents through the directory: in many buckets, with a key that goes over several shards, absent and null keys."""
+    monkeypatch.setattr(token_shards, "BUCKET_KEYS", bucket_keys)
+    many = odd.select("doc_id", "text").union(spark.range(60).select(F.lit(5).alias("doc_id"), F.concat(F.lit("copy number "), F.col("id").cast("string"))))
+    many = many.union(spark.range(100, 160).select("id", F.concat(F.lit("row "), F.col("id").cast("string"))))
+    path, library = token_shards.scratch_path(spark), Tokenizer.from_file(JSON)
+    token_shards.write(many, path, JSON, 2, shard_ids=50)
+    token_shards.write_directory(spark, path, path + "-keys")
+    asked = spark.createDataFrame([(k,) for k in [*range(0, 170, 3), 5, 5, 10**12, -4, None]], "doc_id long")
+    inside = {r.doc_id for r in asked.collect()}
+    want = sorted((r.doc_id, np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], np.uint32).tobytes()) for r in many.collect() if r.doc_id is not None and r.doc_id in inside)
+    got = [token_shards.fetch_by_directory(spark, path, path + "-keys", asked), token_shards.fetch(spark, path, asked)]
+    monkeypatch.setattr(token_shards, "MOST_NAMED", 2)
+    got.append(token_shards.fetch_by_directory(spark, path, path + "-keys", asked))
+    assert [sorted((r.doc_id, bytes(r.ids)) for r in x.collect()) for x in got] == [want] * 3
+    path = token_shards.scratch_path(spark)
+    token_shards.write(empty, path, JSON, 2)
+    token_shards.write_directory(spark, path, path + "-keys")
+    assert token_shards.fetch_by_directory(spark, path, path + "-keys", asked).count() == 0
+
+
 def test_toxicity_and_quality_on_odd_rows(odd, empty, labels):
     model = toxicity.fit(odd, labels, F.lit(True))
     scores = toxicity.score(odd, model).collect()
