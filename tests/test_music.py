@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions import tables
 from cratewise.functions.text import Text
-from cratewise.operators import catalogue, duplicates, features, tags, tracks
+from cratewise.operators import catalogue, duplicates, features, numbering, tags, tracks
 from cratewise.plans import library, queries
 from cratewise.sources import files
 from cratewise.sources.library import view
@@ -424,3 +424,19 @@ def test_output_plan(spark):
     got = {r.track_id: (r.out_path, r.moved, r.action) for r in tracks.output_plan(df, high_quality_only=True).collect()}
     assert got == {1: ("/m/A - T.mp3", True, "kept"), 2: ("/m/A - T (1).mp3", True, "renamed"), 3: (None, False, "skipped")}
     assert {r.track_id: r.out_path for r in tracks.output_plan(df).collect()}[3] == "/m/A - T (2).mp3"
+
+
+def test_numbers_of_many_ranges(spark):
+    """Partitions of a sort are merged by their size, so a column more or less must not change the places; nulls come last."""
+    rows = spark.range(200_000).select(F.when(F.col("id") != 7, F.format_string("%06d", (F.col("id") * 7919) % 200_000)).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("more"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        got = numbering.numbered(rows, "k", "no").select("k", "no").orderBy("no").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert [r.no for r in got] == list(range(1, 200_001))
+    keys = [r.k for r in got]
+    assert keys[-1] is None and keys[:-1] == sorted(keys[:-1])
