@@ -440,3 +440,19 @@ def test_numbers_of_many_ranges(spark):
     assert [r.no for r in got] == list(range(1, 200_001))
     keys = [r.k for r in got]
     assert keys[-1] is None and keys[:-1] == sorted(keys[:-1])
+
+
+def test_collection_of_many_tracks_is_whole(spark, tmp_path):
+    """Every track of an export comes back, however the sort by path is parted."""
+    name = F.sha2(F.col("id").cast("string"), 512)
+    text = {c: name.alias(c) for c in ("artist", "title", "album", "genre", "bpm", "key_tag", "comment", "tdrc", "tyer")}
+    rows = spark.range(20_000).select(F.concat(F.lit("/m/"), F.col("id"), F.lit(".mp3")).alias("path"), *text.values(), F.lit(1.5).alias("length_s"), F.col("id").alias("size_bytes"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        files.write_collection(rows, str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert files.read_collection(spark, str(tmp_path / "c")).agg(F.count("*"), F.count_distinct("path")).first()[:] == (20_000, 20_000)
