@@ -456,3 +456,16 @@ def test_collection_of_many_tracks_is_whole(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert files.read_collection(spark, str(tmp_path / "c")).agg(F.count("*"), F.count_distinct("path")).first()[:] == (20_000, 20_000)
+
+
+def test_no_table_passes_through_the_driver(spark):
+    """However small a file is, the whole job's joins don't broadcast it."""
+    t = queries.tables(spark, SF)
+    own, other = t["tracks"], t["recordings"]
+    results = library.process(*(t[n] for n in library.TABLES), **{n: t[n] for n in library.MORE_TABLES})
+    made = [
+        results, library.low_quality(results, own), intake.fresh(own, t["ledger"]), intake.skipped(own, t["ledger"]), catalogue.enrich(own, other, t["releases"]), catalogue.identify_by_text(own, other),
+        catalogue.enrich_from_collection(own, t["collection"]), features.cue_points(t["audio_frames"], t["beats"]), tags.tag_maps(t["tag_frames"]), tracks.output_plan(own),
+    ]
+    for rows in made:
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
