@@ -469,3 +469,29 @@ def test_no_table_passes_through_the_driver(spark):
     ]
     for rows in made:
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_against_many():
+    """Common subsequences and edits by words of bits equal their tables."""
+    draw = random.Random(5)
+    titles = ["".join(draw.choices("abc dé", k=draw.randint(1, 64))) for _ in range(60)] + ["x" * 64, "a" * 90 + "b", "a" * 91]
+
+    def table(a, b):
+        common, edits = [0] * (len(b) + 1), list(range(len(b) + 1))
+        for x in a:
+            more, next_ = [0], [edits[0] + 1]
+            for k, y in enumerate(b):
+                more.append(common[k] + 1 if x == y else max(common[k + 1], more[k]))
+                next_.append(min(edits[k] + (x != y), edits[k + 1] + 1, next_[k] + 1))
+            common, edits = more, next_
+        return common[-1], edits[-1]
+
+    size = duplicates.np.array([len(t) for t in titles])
+    codes, other = duplicates.Codes(titles, size), duplicates.np.argsort(-size, kind="stable")
+    for i, title in enumerate(titles):
+        want = [table(title, titles[j]) for j in other]
+        assert [duplicates.edits(title, titles[j]) for j in other] == [e for _, e in want]
+        assert size[i] > 64 or codes.subsequence(i, other).tolist() == [c for c, _ in want]
+    whole = duplicates.np.ones(3, bool)
+    every = list(duplicates.close_pairs(["abcdefgh", "abcdefgi", "hgfedcba"], ["3", "1", "2"], whole, whole, 0.8))
+    assert every == [(1, 0, 1)] and [p[:2] for p in duplicates.like_pairs(["abcdefgh", "abcdefgi", "hgfedcba"], ["3", "1", "2"], whole, whole, 0.8)] == [(1, 0)]
