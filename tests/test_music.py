@@ -115,6 +115,20 @@ def test_like_names_equal_brute_force(spark):
     assert catalogue.enrich_by_like_names(t.limit(0), c).isEmpty()
 
 
+def test_like_names_in_blocks(spark, monkeypatch):
+    """Every own name meets every entry of near length in some pair of blocks, and the first like entry wins across blocks; long names and repeated characters too."""
+    monkeypatch.setattr(catalogue, "BLOCK_NAMES", 7)
+    draw = random.Random(7)
+    base = ["".join(draw.choices("ab é", k=draw.randint(5, 60))) for _ in range(12)] + ["a" * 300, "xy" * 120]
+    changed = lambda t: "".join(draw.choice(("", c, c + "z")) if draw.random() < 0.06 else c for c in t)
+    own, other = ([f"{changed(draw.choice(base))}.mp3" for _ in range(70)] for _ in range(2))
+    tracks_ = spark.createDataFrame([(i, f"/m/{n}", None, None) for i, n in enumerate(own)], "track_id long, path string, bpm string, key_tag string")
+    entries = spark.createDataFrame([(f"/u/{n}", i, 1.0, "") for i, n in enumerate(other)], "path string, ordinal long, bpm double, key string")
+    got = {r.track_id: r.ordinal for r in catalogue.enrich_by_like_names(tracks_, entries).collect()}
+    first = {i: next((k for k, m in enumerate(other) if SequenceMatcher(None, n, m).ratio() >= 0.9), None) for i, n in enumerate(own)}
+    assert got == {i: k for i, k in first.items() if k is not None} and 20 < len(got) < 70
+
+
 @pytest.mark.parametrize("name", ["dup_similar", "dup_similar_lev", "catalog_enrich", "incremental_new"])
 def test_no_cross_joins(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
