@@ -507,6 +507,16 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.remove(empty).count() == 0 and line_dedup.remove(empty, report=True).count() == 0
 
 
+def test_shard_encoder_on_repeated_words():
+    """Texts of few distinct words, and those that begin with one of them, a space or nothing, equal the library; a second time too, from what is kept."""
+    many = [" ".join(f"w{n % 700}é" for n in range(k, 3000 + k)) for k in range(4)] + ["", "one", "w1é w1é", " lead", "trail ", "w1é", " w1é"]
+    encoder, library = token_shards.Encoder(JSON), Tokenizer.from_file(JSON)
+    want = [library.encode(t, add_special_tokens=False).ids for t in many]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.batch(pa.array(many))] == want
+    assert all(x.dtype == np.uint32 for x in encoder.batch(pa.array(many)))
+
+
 def brute_personal(text):
     luhn = lambda d: sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m)
