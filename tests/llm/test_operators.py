@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers as P
@@ -517,6 +518,35 @@ def test_shard_encoder_on_repeated_words():
     assert all(x.dtype == np.uint32 for x in encoder.batch(pa.array(many)))
 
 
+def test_line_suffix_array(spark):
+    """Runs stand in the order of their texts' suffixes, and their intervals go on from range to range: one for each run of lines."""
+    random.seed(11)
+    pool = [" ".join(f"w{random.randint(0, 9)}" for _ in range(n)) for n in (4, 6, 9)]
+    docs = [(i, "\n".join([*random.choices(pool, k=random.randint(1, 12)), *(["same line"] * 15)])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    made, kept = [], line_dedup.suffix_array
+    line_dedup.suffix_array = lambda runs: made.append(kept(runs)) or made[-1]
+    try:
+        for key, value in zip(held, ("16", "false"), strict=True):
+            spark.conf.set(key, value)
+        text = {r.doc_id: r.text for r in line_dedup.remove(df).collect()}
+        array = made[0].orderBy("pos").collect()
+        starts = line_dedup.intervals(made[0].drop("part", "pos")).collect()
+    finally:
+        line_dedup.suffix_array = kept
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    gone = brute_lines(docs, 20)
+    assert text == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[(d, t)]) for d, t in docs}
+    assert len({r.part for r in array}) > 3
+    ranks = {line: n for n, line in enumerate({x for _, t in docs for x in t.split("\n")})}
+    run = lambda r: tuple(ranks[x] for x in dict(docs)[r.doc_id].split("\n")[r["at"] : r["at"] + r.lines])
+    seen = [key for key, _ in groupby(array, run)]
+    assert len(seen) == len(set(seen)) < len(array)  # equal runs stand together
+    assert len({r.interval for r in starts}) == len(seen) == len({(r.interval, run(r)) for r in starts})
+
+
 def brute_personal(text):
     luhn = lambda d: sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m)
