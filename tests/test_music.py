@@ -472,6 +472,19 @@ def test_collection_of_many_tracks_is_whole(spark, tmp_path):
     assert files.read_collection(spark, str(tmp_path / "c")).agg(F.count("*"), F.count_distinct("path")).first()[:] == (20_000, 20_000)
 
 
+def test_collection_holds_what_xml_cannot(spark, tmp_path):
+    """Tags with control characters or noncharacters come back as they were, and so do the tracks after them."""
+    odd = ["a\0b", "\x01+ %41", "\x0b", "x\x1f\ny", "\ufffe", "\uffff", "plain %41+", "a\r\n\tb", "a /> <TRACK> b", " \x7f\x85 ", "null", ""]
+    rows = spark.createDataFrame([(f"/m/{i}.mp3", x) for i, x in enumerate(odd)], "path string, x string").coalesce(1)
+    text = [F.col("x").alias(c) for c in ("artist", "title", "album", "genre", "bpm", "key_tag", "comment", "tdrc", "tyer")]
+    files.write_collection(rows.select("path", *text, F.lit(1.5).alias("length_s"), F.lit(1).alias("size_bytes")), str(tmp_path / "c"))
+    back = {r.path: r for r in files.read_collection(spark, str(tmp_path / "c")).collect()}
+    assert len(back) == len(odd)
+    for i, x in enumerate(odd):
+        assert [back[f"/m/{i}.mp3"][c] for c in ("artist", "title", "album", "genre", "comment", "key")] == [x] * 6
+    assert not spark.read.text(str(tmp_path / "c")).where("value LIKE '%plain%' AND value LIKE '%PercentEncoded%'").count()
+
+
 def test_no_table_passes_through_the_driver(spark):
     """However small a file is, the whole job's joins don't broadcast it."""
     t = queries.tables(spark, SF)
