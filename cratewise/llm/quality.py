@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cratewise.llm.common import labelled, texts
 
@@ -34,6 +33,8 @@ TRAIN_BYTES = 24 << 20
 STEPS = 600
 RATE = 0.01
 BATCH = 32
+#: Texts that are decoded at once.
+SLICE = 500
 #: Bytes convolved at once.
 BLOCK = 512 * HOP
 
@@ -126,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Network:
     chosen = labelled(labels, "quality").where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "label")
     sizes = sample.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(TRAIN_ROWS).collect()
-    taken = sample.sparkSession.createDataFrame([(r["h"], r["n"]) for r in fitting(sizes)], "h long, n int")
+    chosen_sizes = fitting(sizes)
+    # from Arrow, as a list of rows would go through Python workers of its own, which stay
+    taken = sample.sparkSession.createDataFrame(pa.table({"h": pa.array([r["h"] for r in chosen_sizes], pa.int64()), "n": pa.array([r["n"] for r in chosen_sizes], pa.int32())}))
     keys = sample.withColumn("n", F.octet_length("text")).join(F.broadcast(taken.distinct()), ["h", "n"])
     rows = keys.orderBy("h", "text").limit(TRAIN_ROWS).collect()
     y = np.array([r["label"] for r in rows], np.int64)
@@ -144,17 +147,22 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 def keep(docs: DataFrame, network: Network, at: float) -> DataFrame:
     """The rows of ``docs`` that score ``at`` or more; all columns stay, whatever their names."""
     name = "score"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):
         name += "_"
     return scored(docs, network, name).where(F.col(name) >= at).drop(name)
 
 
 def scored(kept: DataFrame, network: Network, name: str) -> DataFrame:
+    """Only the texts go to the workers and only scores come back, so neither side holds whole rows twice; a worker takes SLICE texts of a batch at once."""
     held = kept.sparkSession.sparkContext.broadcast(network)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            own = [held.value.probability((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, name])
+            own = np.empty(len(batch))
+            for at in range(0, len(batch), SLICE):
+                own[at : at + SLICE] = [held.value.probability((t or "").encode()) for t in batch.slice(at, SLICE).to_pylist()]
+            yield pa.array(own, pa.float64())
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
+    # marked so that no later filter or projection has texts scored twice
+    return kept.select("*", run.asNondeterministic()("text").alias(name))

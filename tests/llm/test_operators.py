@@ -840,3 +840,20 @@ def test_operators_keep_clashing_columns(spark, items):
         assert out.columns == df.columns and out.count() >= 3
         assert {r["a b"] for r in out.collect()} == {"x"}
     assert privacy.sanitise(df).where("doc_id = 0").first().text == "mail [EMAIL] now"
+
+
+def test_quality_sends_only_texts_to_workers(spark, monkeypatch):
+    """Whole rows don't go to the workers and back, each text is scored once, and the training rows are chosen without workers."""
+
+    def none(*_, **__):
+        raise AssertionError("a list went through workers")
+
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "@@## 11 ") * 40, "x" * 9) for i in range(1_200)], "doc_id long, text string, Score string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    with monkeypatch.context() as held:
+        held.setattr(type(spark.sparkContext), "parallelize", none)
+        network = quality.fit(docs, labels, F.lit(True))
+    kept = quality.keep(docs, network, 0.5)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(1, 1_200, 2))
