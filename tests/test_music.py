@@ -485,6 +485,16 @@ def test_collection_holds_what_xml_cannot(spark, tmp_path):
     assert not spark.read.text(str(tmp_path / "c")).where("value LIKE '%plain%' AND value LIKE '%PercentEncoded%'").count()
 
 
+def test_catalogue_works_out_long_expressions_once(spark, monkeypatch):
+    """No plan of the enrichment holds a comparison key more often than the columns that need it: a key named twice is a key worked out twice."""
+    plans, write = {}, catalogue.written
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"feat\. (?:")
+    monkeypatch.setattr(catalogue, "written", lambda df, name: (plans.update({name: times(df)}), write(df, name))[1])
+    last = catalogue.enrich(*(view(spark, SF, n) for n in ("tracks", "recordings", "releases")))
+    assert {n: k for n, k in plans.items() if n.startswith(("search-", "recording-"))} == {"search-titles": 1, "search-keys": 1, "search-tracks": 0, "recording-keys": 2, "search-recordings": 0}
+    assert times(last) == 0
+
+
 def test_no_table_passes_through_the_driver(spark):
     """However small a file is, the whole job's joins don't broadcast it."""
     t = queries.tables(spark, SF)
