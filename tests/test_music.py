@@ -532,3 +532,37 @@ def test_titles_against_many():
     whole = duplicates.np.ones(3, bool)
     every = list(duplicates.close_pairs(["abcdefgh", "abcdefgi", "hgfedcba"], ["3", "1", "2"], whole, whole, 0.8))
     assert every == [(1, 0, 1)] and [p[:2] for p in duplicates.like_pairs(["abcdefgh", "abcdefgi", "hgfedcba"], ["3", "1", "2"], whole, whole, 0.8)] == [(1, 0)]
+
+
+@pytest.mark.parametrize(("words", "row"), [(1, 3), (2, 64), (64, 2048)])
+def test_blocks_of_titles_are_compared_as_lanes(monkeypatch, words, row):
+    """Like and close titles of two blocks equal all pairs one by one; no short title is compared alone to tell its edits."""
+    monkeypatch.setattr(duplicates.lanes, "WORDS", words)
+    monkeypatch.setattr(duplicates.lanes, "ROW", row)
+    draw, exact = random.Random(9), duplicates.edits
+    titles = sorted({"".join(draw.choices(draw.choice(["abc ", "the quickly é北"]), k=draw.randint(1, draw.choice([4, 20, 60])))) for _ in range(220)})
+    titles += [t[:k] + "x" + t[k + draw.randint(0, 2) :] for t in draw.sample(titles, 60) for k in [len(t) // 2]]
+    titles = draw.sample(sorted(set(titles)), len(set(titles)))
+    paths = draw.sample([f"/{i:03}" for i in range(len(titles))], len(titles))
+    monkeypatch.setattr(duplicates, "edits", None)
+    every = duplicates.np.ones(len(titles), bool)
+    for low, high in ((every, every), (every & (duplicates.np.arange(len(titles)) < 90), duplicates.np.arange(len(titles)) >= 90)):
+        close, like = {}, {}
+        for i, j in ((i, j) for i in range(len(titles)) for j in range(len(titles)) if paths[i] < paths[j] and (low[i] and high[j] or low[j] and high[i])):
+            both = len(titles[i]) + len(titles[j])
+            if (n := exact(titles[i], titles[j])) <= int(0.2 * both + 1e-9):
+                close[i, j] = n
+            if (r := SequenceMatcher(None, titles[i], titles[j]).ratio()) >= 0.8:
+                like[i, j] = r
+        got = [list(f(titles, paths, low, high, 0.8)) for f in (duplicates.close_pairs, duplicates.like_pairs)]
+        assert [{(i, j): x for i, j, x in g} for g in got] == [close, like] and [len(g) for g in got] == [len(close), len(like)] and len(like) > 15
+
+
+def test_long_titles_in_blocks():
+    """Titles of more than 64, and of more than LONGEST, characters."""
+    draw, every = random.Random(10), duplicates.np.ones(8, bool)
+    for n in (90, 400):
+        base = "".join(draw.choices("abcdefgh ", k=n))
+        titles = [base, base[5:], base + "zz", base[::-1], base[: n // 2] + base[n // 2 + 9 :], "q" * n, base[:-1] + "y", "q" * (n - 3)]
+        want = {(i, j, duplicates.edits(titles[i], titles[j])) for i in range(8) for j in range(i + 1, 8)}
+        assert set(duplicates.close_pairs(titles, list("abcdefgh"), every, every, 0.8)) == {x for x in want if x[2] <= int(0.2 * (len(titles[x[0]]) + len(titles[x[1]])) + 1e-9)}
