@@ -566,3 +566,24 @@ def test_long_titles_in_blocks():
         titles = [base, base[5:], base + "zz", base[::-1], base[: n // 2] + base[n // 2 + 9 :], "q" * n, base[:-1] + "y", "q" * (n - 3)]
         want = {(i, j, duplicates.edits(titles[i], titles[j])) for i in range(8) for j in range(i + 1, 8)}
         assert set(duplicates.close_pairs(titles, list("abcdefgh"), every, every, 0.8)) == {x for x in want if x[2] <= int(0.2 * (len(titles[x[0]]) + len(titles[x[1]])) + 1e-9)}
+
+
+def test_files_that_stay_beside_earlier_outputs(spark):
+    """A file whose name stays gets a number if an earlier run's output has its name; of all cues none goes untold."""
+    t = queries.tables(spark, SF)
+    job = lambda ledger: library.process(t["tracks"], ledger, *(t[n] for n in library.TABLES[2:]), library.Options(incremental=False), **{n: t[n] for n in library.MORE_TABLES}).collect()
+    kept = [r.path for r in job(spark.createDataFrame([], files.LEDGER)) if r.action == "kept"]
+    held = {p for i, p in enumerate(kept) if i % 3 == 0} | {p[:-4] + " (1).mp3" for i, p in enumerate(kept) if i % 6 == 0}
+    rows = job(spark.createDataFrame([(f"/other/{i}", 0.0, None, True, p, "run-1") for i, p in enumerate(sorted(held))], files.LEDGER))
+    outs = {r.path: r for r in rows}
+    assert len(kept) > 20 and len({r.out_path for r in rows}) == len(rows) and not held & {r.out_path for r in rows}
+    for i, p in enumerate(kept):
+        n = 0 if i % 3 else 2 if i % 6 == 0 else 1
+        want = p if not n else f"{p[:-4]} ({n}).mp3"
+        assert (outs[p].out_path, outs[p].action) == (want, "renamed" if n else "kept")
+        assert ("Kept original filename" if not n else f"Renamed to: {want.rsplit('/', 1)[1]}") in outs[p].changes.split("; ")
+    cued = [r for r in rows if r.intro_end is not None]
+    for r in cued:
+        said = "".join(f", {n}: {x.replace(',', 's, ')}s" for n, x in (("Drops", r.drops), ("Recommended", r.recommended)) if x)
+        assert f"Detected cue points: Intro: {r.intro_end:.4f}s, Outro: {r.outro_start:.4f}s{said}" in r.changes.split("; ")
+    assert cued
