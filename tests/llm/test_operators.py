@@ -508,6 +508,13 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.remove(empty).count() == 0 and line_dedup.remove(empty, report=True).count() == 0
 
 
+def test_line_dedup_words_with_vertical_tabs(spark):
+    """A vertical tab doesn't part words, and a line of one isn't blank, as in the query's SQL."""
+    run = "\n".join(["\x0b", " ".join(f"w{i}" for i in range(18)), "a\x0bb"])
+    df = spark.createDataFrame([(1, f"{run}\none"), (2, f"{run}\ntwo"), (3, f"{run[2:]}\nthree")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.remove(df).collect()} == {1: f"{run}\none", 2: "two", 3: f"{run[2:]}\nthree"}
+
+
 def test_shard_encoder_on_repeated_words():
     """Texts of few distinct words, and those that begin with one of them, a space or nothing, equal the library; a second time too, from what is kept."""
     many = [" ".join(f"w{n % 700}é" for n in range(k, 3000 + k)) for k in range(4)] + ["", "one", "w1é w1é", " lead", "trail ", "w1é", " w1é"]
